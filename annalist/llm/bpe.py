@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from annalist.llm.common import map_rows
 
-CACHE_ENTRIES = 400_000  # distinct pre-tokens a task remembers; older ones are dropped together
+CACHE_ENTRIES = 600_000  # distinct pre-tokens a task remembers; older ones are dropped together
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -37,17 +37,16 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Priority queue over small integer ranks; equal ranks come out by position."""
+    """Priority queue over small integer ranks; equal ranks come out by position.
 
-    WIDTH = 64
+    Two levels of 256-bit words cover 65,536 ranks; larger vocabularies widen the top word.
+    """
+
+    BITS = tuple(1 << i for i in range(256))
 
     def __init__(self, size: int):
-        self.levels = []
-        while True:
-            size = max(1, -(-size // self.WIDTH))
-            self.levels.append([0] * size)
-            if size == 1:
-                break
+        self.words = [0] * (-(-size // 256) or 1)
+        self.top = 0  # which words are not zero
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
@@ -56,35 +55,26 @@ class RankQueue:
             heapq.heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            at, bit = at >> 6, 1 << (at & 63)
-            before = words[at]
-            words[at] = before | bit
-            if before:
-                return
+        at = rank >> 8
+        self.words[at] |= self.BITS[rank & 255]
+        self.top |= 1 << at
 
     def pop(self) -> tuple[int, int] | None:
-        top = self.levels[-1][0]
+        top = self.top
         if not top:
             return None
         at = (top & -top).bit_length() - 1
-        for words in self.levels[-2::-1]:
-            word = words[at]
-            at = (at << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            self._clear(at)
-        return at, position
-
-    def _clear(self, rank: int) -> None:
-        for words in self.levels:
-            rank, bit = rank >> 6, 1 << (rank & 63)
-            words[rank] &= ~bit
-            if words[rank]:
-                return
+        word = self.words[at]
+        first = word & -word
+        rank = (at << 8) + first.bit_length() - 1
+        bucket = self.buckets[rank]
+        if len(bucket) > 1:
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        self.words[at] = word = word ^ first
+        if not word:
+            self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Tokenizer:
@@ -105,15 +95,15 @@ class Tokenizer:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, get, queue = len(piece), ranks.get, self.queue
+        n, get, push, pop = len(piece), ranks.get, self.queue.push, self.queue.pop
         after, before = list(range(1, n + 2)), list(range(-1, n))
         pending = [-1] * (n + 1)  # rank of the pair that starts here
         for i in range(n - 1):
             rank = get(piece[i : i + 2])
             if rank is not None:
                 pending[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
+                push(rank, i)
+        while (entry := pop()) is not None:
             rank, i = entry
             if pending[i] != rank:
                 continue  # stale
@@ -121,13 +111,12 @@ class Tokenizer:
             k = after[j]
             after[i] = k
             before[k] = i
-            pending[j] = -1
-            pending[i] = -1
+            pending[j] = pending[i] = -1
             if k < n:
                 rank = get(piece[i : after[k]])
                 if rank is not None:
                     pending[i] = rank
-                    queue.push(rank, i)
+                    push(rank, i)
             if i:
                 h = before[i]
                 rank = get(piece[h:k])
@@ -135,11 +124,12 @@ class Tokenizer:
                     pending[h] = -1
                 elif pending[h] != rank:
                     pending[h] = rank
-                    queue.push(rank, h)
+                    push(rank, h)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            k = after[i]
+            ids.append(ranks[piece[i:k]])
+            i = k
         return ids
 
     def encode_packed(self, text: str) -> bytes:
@@ -177,12 +167,24 @@ def _tokenizer_source(spark, vocabulary: str, pattern: str | None):
     return spark.sparkContext.broadcast(data), pattern
 
 
+#: The last tokenizer of this worker process, so that its memo serves all tasks that the process runs.
+_worker: dict[tuple[bytes, str], Tokenizer] = {}
+
+
+def _worker_tokenizer(data: bytes, pattern: str) -> Tokenizer:
+    key = (hashlib.sha256(data).digest(), pattern)
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = Tokenizer(load_ranks(data), pattern)
+    return _worker[key]
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every text: (id, ids array<int>). Reads the id and text columns only."""
     data, pattern = _tokenizer_source(df.sparkSession, vocabulary, pattern)
 
     def make():
-        tokenizer = Tokenizer(load_ranks(data.value), pattern)
+        tokenizer = _worker_tokenizer(data.value, pattern)
         return lambda key, text: (key, tokenizer.encode(text or ""))
 
     return map_rows(df, [id_col, text_col], f"{id_col} long,ids array<int>", make)
@@ -204,7 +206,7 @@ def encode_digests(df: DataFrame, vocabulary: str, pattern: str | None = None, i
     data, pattern = _tokenizer_source(df.sparkSession, vocabulary, pattern)
 
     def make():
-        tokenizer = Tokenizer(load_ranks(data.value), pattern)
+        tokenizer = _worker_tokenizer(data.value, pattern)
 
         def one(key, text):
             packed = tokenizer.encode_packed(text or "")
