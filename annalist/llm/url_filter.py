@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.common import written
+
 # fixed values: the rules of the contract, and public suffixes of two labels
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "com.br", "co.in", "co.nz", "com.cn", "com.mx", "co.za", "co.kr")
@@ -79,10 +81,13 @@ def reputations(labelled: DataFrame, hosts: DataFrame, how: Reputation = Reputat
     """
     by_host = labelled.where(F.col("outcome").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("outcome").cast("double")).alias("k"))
     units = hosts.select("host").distinct().join(by_host, "host", "left").fillna(0.0, ["n", "k"]).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    units = written(units, "hosts")  # read once for each level of the priors
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     total = units.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m0"))  # one row
     suffixes = _shrunk(units.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(total)), "suffix", "m0", "m1", how)
+    suffixes = written(suffixes, "suffixes")
     domains = _shrunk(units.groupBy("domain", "suffix").agg(*sums).join(suffixes.select("suffix", "m1"), "suffix"), "domain", "m1", "m2", how)
+    domains = written(domains, "domains")
     found = _shrunk(units.join(domains.select("domain", "m2"), "domain"), "host", "m2", "mean", how)
     size = F.col("n") + F.col("_s_mean")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))
@@ -119,9 +124,8 @@ def text_digest(text: Column) -> Column:
 def page_outcomes(pages: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Outcomes (page_id, outcome) of pages whose article is the text of a labelled document: the majority of its labels."""
     known = (
-        documents.select("doc_id", "text")
+        documents.select("doc_id", text_digest(F.col("text")).alias("digest"))  # before the shuffle, which carries no texts
         .join(labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), "quality"), F.col("doc_id") == F.col("_id"))
-        .select(text_digest(F.col("text")).alias("digest"), "quality")
         .groupBy("digest")
         .agg((F.avg("quality") >= 0.5).cast("int").alias("outcome"))
     )
