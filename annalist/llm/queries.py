@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import bpe, pii, quality_model, quality_rules, secret_scan, url_filter
+from annalist.llm import bpe, html_extract, pii, quality_model, quality_rules, secret_scan, url_filter
 from annalist.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,6 @@ def op9_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_quality_ftrl, op3_secret_trigrams, op7_quality_divergence, op8_bpe_bitmap, op9_pii_votes)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_quality_ftrl, op3_secret_trigrams, op4_html_tree, op7_quality_divergence, op8_bpe_bitmap, op9_pii_votes)}
 
 ORACLE_SQL: dict[str, str] = {}
