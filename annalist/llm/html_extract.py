@@ -37,6 +37,8 @@ BOILER_WORDS = frozenset(
     "form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup privacy promo promotion promotions recommend recommended "
     "related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar tracking widget".split()
 )
+#: What HTML itself says of these elements counts as that many labelled nodes.
+MEANING = {("tag", t): (0, 30) for t in ("nav", "footer", "aside", "form", "header", "dialog", "menu")} | {("tag", t): (1, 30) for t in ("article", "main")}
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
@@ -157,10 +159,16 @@ def clues(nodes: list[Node]) -> list[tuple]:
     for i in range(len(nodes) - 1, 0, -1):
         length[nodes[i].parent] += length[i]
         link[nodes[i].parent] += link[i]
+    inside = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        inside[i] = n.tag in ("article", "main") or (i > 0 and inside[n.parent])
     out = []
     for i, n in enumerate(nodes):
         density = link[i] / length[i] if length[i] else 0.0
-        out.append((("tag", n.tag), ("boiler", bool(n.words & BOILER_WORDS)), ("content", bool(n.words & CONTENT_WORDS)), ("links", min(2, int(density * 3))), ("size", 0 if not n.length else 1 if n.length < 80 else 2)))
+        tag = "header in article" if n.tag == "header" and inside[n.parent] else n.tag
+        if n.tag in ("article", "main") and n.words & BOILER_WORDS:
+            tag = "marked article"
+        out.append((("tag", tag), ("boiler", bool(n.words & BOILER_WORDS)), ("content", bool(n.words & CONTENT_WORDS)), ("links", min(2, int(density * 3))), ("size", 0 if not n.length else 1 if n.length < 80 else 2)))
     return out
 
 
@@ -175,8 +183,6 @@ LABELLED_PAGES = (
     '<html data-y=0><body><nav class="breadcrumbs"><ol><li><a>Home</a></li><li><a>Art</a></li></ol></nav><div class="post" data-y=1><h1>Colour</h1><dl><dt>Red</dt><dd>Warm</dd><dt>Blue</dt><dd>Cold</dd></dl><p>Painters knew.</p></div><div class="sponsored"><p>Paint at half price in all our shops until the end of the month, while stocks last.</p></div><div role="contentinfo"><p>Legal</p></div></body></html>',
     '<html data-y=0><body><header><nav><ul><li><a>x</a></li></ul></nav></header><div><article data-y=1><h1>Wells</h1><section><h2>Depth</h2><p>Ten metres.</p><p>Some reach thirty metres and more, where the ground is sand and the water lies deep below.</p></section><section><h2>Use</h2><p>Daily.</p></section></article></div><div class="social"><a>f</a></div><aside><p>Weather today: mild and dry in most parts of the country, with some fog.</p></aside></body></html>',
     '<html data-y=0><body><h1 data-y=1>Salt</h1><p data-y=1>Salt keeps.</p><p data-y=1>It was mined in the hills for three thousand years and carried to the coast on mules.</p><div class="comments"><div class="comment"><p>My uncle worked there for most of his life and told us many stories about the dark.</p></div></div><footer><p>Made by hand in a small town, with thanks to all the people who read and write here.</p></footer></body></html>',
-    '<html data-y=0><body><div class="wrapper"><header><h2>The Gazette</h2><p>News of the valley since 1870, printed weekly and read by more people than live here.</p></header><article data-y=1><h1>Bees</h1><p>Bees dance.</p><p>The dance tells the others how far away the flowers are and in which direction to fly.</p><form data-y=0><fieldset><p>Rate this</p></fieldset></form></article></div><footer><h2>About</h2><p>We write.</p></footer></body></html>',
-    '<html data-y=0><body><header><h1>Museum</h1><p>Open daily.</p></header><div class="page"><article data-y=1><p>Glass.</p><p>Glass is made from sand.</p><form data-y=0><div>Your vote</div></form></article><form><h3>Write to us</h3><div>Your name</div></form></div></body></html>',
 )
 
 
@@ -205,7 +211,11 @@ class Model:
                     pairs[_group(nodes[node.parent])][labels[node.parent]][y] += 1
         self.pair = [[[math.log(x / sum(row)) for x in row] for row in group] for group in pairs]
         s = self.SMOOTHING
-        self.clue = {c: math.log((counts[1][c] + s) / (totals[1] + 2 * s)) - math.log((counts[0][c] + s) / (totals[0] + 2 * s)) for c in {*counts[0], *counts[1]}}
+        for clue, (y, n) in MEANING.items():
+            counts[y][clue] += n
+        # clues of one node are not independent: those that all sorts of elements share count half
+        weigh = lambda c: 1.0 if c in MEANING or c[0] in ("boiler", "content") else 0.5
+        self.clue = {c: weigh(c) * (math.log((counts[1][c] + s) / (totals[1] + 2 * s)) - math.log((counts[0][c] + s) / (totals[0] + 2 * s))) for c in {*counts[0], *counts[1]}}
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Content probability of every node by sum-product over the tree; the root is boilerplate."""
