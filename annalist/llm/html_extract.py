@@ -194,10 +194,11 @@ def _group(node: Node) -> int:
 class Model:
     """Log potentials from labelled pages: node clues given the label, and child given parent and parent's group."""
 
-    SMOOTHING, PAIR_SMOOTHING = 0.5, 0.2
+    SMOOTHING = 0.5
+    PAIR_SMOOTHING = ((0.2, 0.2), (5.0, 0.2))  # by parent, then child: articles often hold adverts, forms and comments
 
     def __init__(self, pages=LABELLED_PAGES):
-        pairs = [[[self.PAIR_SMOOTHING] * 2 for _ in range(2)] for _ in range(2)]
+        pairs = [[list(row) for row in self.PAIR_SMOOTHING] for _ in range(2)]
         counts, totals = [Counter(), Counter()], [0, 0]
         for page in pages:
             nodes, _ = parse(page)
