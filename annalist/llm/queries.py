@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import bpe, html_extract, pii, quality_model, quality_rules, secret_scan, url_filter
+from annalist.llm import bpe, html_extract, near_dedup, pii, quality_model, quality_rules, secret_scan, url_filter
 from annalist.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_quality_ftrl, op3_secret_trigrams, op4_html_tree, op7_quality_divergence, op8_bpe_bitmap, op9_pii_votes)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_quality_ftrl, op3_secret_trigrams, op4_html_tree, op7_quality_divergence, op8_bpe_bitmap, op9_pii_votes, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
