@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import bpe, quality_rules, secret_scan
+from annalist.llm import bpe, decontaminate, near_dedup, quality_rules, secret_scan
 from annalist.llm.common import shared_folder
 from annalist.llm.queries import vocabulary
 
@@ -16,6 +16,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the smallest id."""
+    return near_dedup.keep(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets replaced in their texts."""
     return secret_scan.redact(docs)
@@ -26,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, vocabulary())
 
 
-STAGES = [("quality rules", quality), ("secret scans", secrets), ("byte-level BPE", tokens)]
+STAGES = [("quality rules", quality), ("MinHash near-dedup", near), ("benchmark decontamination", benchmark), ("secret scans", secrets), ("byte-level BPE", tokens)]
 
 #: The learnt and hashed decisions of the stages have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
