@@ -7,7 +7,7 @@ number of darts looked at is about k ln k whatever the length of the text, and t
 probability of their (weighted) Jaccard similarity. Bands of coordinates are buckets of candidates.
 
 Texts with equal shingle sets collapse into one class before anything else. In a bucket every member is compared with
-the bucket's smallest member; buckets that still hold more than one component have all pairs of different components
+the bucket's smallest member; buckets that still hold more than one component have members of different components
 compared by signature, in blocks, and those above a margin verified, so that no bucket needs a cap and copies are
 never expanded into pairs. Every candidate is verified by the Jaccard similarity of the whole shingle sets (32-bit
 hashes). With 36 bands of 7 coordinates a pair at similarity 0.8 is missed with probability 2e-4.
@@ -137,13 +137,12 @@ def _slot(id_col):
     return F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).cast("int")
 
 
-def verify(pairs: DataFrame, documents: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose shingle sets have at least that Jaccard similarity, with it.
+def shingle_sets(ids: DataFrame, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, set) of the shingle sets, as sorted 32-bit hashes, of at least the documents in ``ids`` (id).
 
-    Shingle sets are made again from the texts, but only for candidates: a bitmap of FILTER_BITS bits over hashed ids,
-    the same size whatever the data, drops most others before anything is written; the joins below are exact.
+    Sets are made again from the texts, but only for candidates: a bitmap of FILTER_BITS bits over hashed ids, the same
+    size whatever the data, drops most others before anything is written; the joins with the result are exact.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     slots = ids.select(_slot(F.col("id")).alias("s")).distinct()
     bits = np.zeros(FILTER_BITS, bool)
     bits[slots.toArrow()["s"].to_numpy()] = True  # at most FILTER_BITS small rows
@@ -159,45 +158,65 @@ def verify(pairs: DataFrame, documents: DataFrame, similarity: float, id_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "set"])
 
     keyed = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"), _slot(F.col(id_col).cast("long"))).where("id is not null")
-    found = written(keyed.mapInArrow(sets, "id long, set binary"), "shingles")
+    return written(keyed.mapInArrow(sets, "id long, set binary"), "shingles")
+
+
+def _jaccard(x: bytes, y: bytes) -> float:
+    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose shingle sets have at least that Jaccard similarity, with it."""
 
     def jaccard(batches):
         for batch in batches:
-            got = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                got.append(both / max(1, len(x) + len(y) - both))
+            got = [_jaccard(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
 
     sides = pairs.join(found.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(found.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     return sides.select("a", "b", "x", "y").mapInArrow(jaccard, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
-def _mixed_pairs(members: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures come near the similarity.
+def _mixed_links(members: DataFrame, need: int, similarity: float) -> DataFrame:
+    """Verified links between different components that share a bucket: in each group a spanning forest of them.
 
-    ``members`` has (h, rep, root, sig) of the buckets with more than one component. A bucket of m members is dealt
-    into blocks of about BLOCK, and each pair of blocks is a group of its own, so no group grows with a bucket.
+    ``members`` has (h, rep, root, sig, set) of the buckets with more than one component. Pairs whose signatures agree in
+    ``need`` coordinates or more are verified where they are found, and a link is given only if it joins what no
+    earlier link of the group has joined. A bucket of m members is dealt into blocks of about BLOCK, and each pair of
+    blocks is a group of its own, so no group grows with a bucket.
     """
-    need = int((similarity - MARGIN) * bands * rows)
     sizes = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     dealt = members.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "sig")
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "sig", "set")
 
     def compare(table: pa.Table) -> pa.Table:
         rep, root, own = (table[c].to_numpy() for c in ("rep", "root", "own"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        sig, sets = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(rep), -1), table["set"]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in left:
+        above: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in above:
+                r = above[r]
+            return r
+
+        links = []
+        for x in left.tolist():
             y = right[(root[right] != root[x]) & ((rep[right] > rep[x]) | (i != j))]
-            y = y[(sig[y] == sig[x]).sum(1) >= need]
-            a.append(np.minimum(rep[x], rep[y]))
-            b.append(np.maximum(rep[x], rep[y]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            same = (sig[y] == sig[x]).sum(1)
+            for k in np.argsort(-same, kind="stable").tolist():
+                if same[k] < need:
+                    break
+                to = int(y[k])
+                p, q = top(int(root[x])), top(int(root[to]))
+                if p != q and _jaccard(sets[x].as_py(), sets[to].as_py()) >= similarity:
+                    above[max(p, q)] = min(p, q)
+                    links.append((int(min(rep[x], rep[to])), int(max(rep[x], rep[to]))))
+        return pa.table({"a": pa.array([k[0] for k in links], pa.int64()), "b": pa.array([k[1] for k in links], pa.int64())})
 
     return dealt.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -210,16 +229,16 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     banded = reps.select("rep", F.explode("bands").alias("h"))
     leaders = banded.groupBy("h").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("h", "leader")
     members = written(banded.join(leaders, "h"), "members")  # of buckets with two texts or more
-    first = written(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = written(verify(first, documents, similarity, id_col, text_col).select("a", "b"), "links")
+    tried = written(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    sets = shingle_sets(tried.select(F.explode(F.array("a", "b")).alias("id")), documents, id_col, text_col)
+    links = written(verify(tried, sets, similarity).select("a", "b"), "links")
     roots = written(components(links), "roots")
     rooted = members.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    several = rooted.join(mixed, "h").join(reps.select("rep", "sig"), "rep")
-    second = written(_mixed_pairs(several, bands, rows, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = verify(second, documents, similarity, id_col, text_col).select("a", "b")
-        roots = written(components(written(links.union(more), "links")), "roots")
+    several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    mixed = written(rooted.join(several, "h").join(reps.select("rep", "sig"), "rep").join(sets.select(F.col("id").alias("rep"), "set"), "rep"), "mixed")
+    more = written(_mixed_links(mixed, int((similarity - MARGIN) * bands * rows), similarity), "links")
+    if not more.isEmpty():
+        roots = written(components(links.union(more)), "roots")
     named = reps.select("key", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select(F.col("key").alias("_key"), F.coalesce("root", "rep").alias("root"))
     named = written(named, "classes")
     return signed.select("doc_id", "key").join(named, F.col("key") == F.col("_key"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
