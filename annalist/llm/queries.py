@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import bpe, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, secret_scan, url_filter
+from annalist.llm import bpe, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, url_filter
 from annalist.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_quality_ftrl, op3_secret_trigrams, op4_html_tree, op5_benchmark_wand, op7_quality_divergence, op8_bpe_bitmap, op9_pii_votes, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_quality_ftrl, op3_secret_trigrams, op4_html_tree, op5_benchmark_wand, op6_repeated_bytes, op7_quality_divergence, op8_bpe_bitmap, op9_pii_votes, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
