@@ -30,8 +30,8 @@ from annalist.llm.common import mix64, written
 
 LENGTH = 50
 GRAM = 24
-SHARD_BYTES = 8 << 20
-RANGE_ROWS = 2_000_000  # anchors of one hash range, about
+SHARD_BYTES = 3 << 20
+RANGE_ROWS = 1_000_000  # anchors of one hash range, about
 _POS = np.uint64(26)  # bits of a place in a shard; a longer shard has one text of its own
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -151,8 +151,10 @@ def _offers(shards: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         s = _shard_of(dict(zip(table["kind"].to_pylist(), table["blob"].to_pylist())), length, gram)
-        pairs = np.unique(np.stack([s.h, s.c], 1).view([("h", "u8"), ("c", "u8")]).ravel())
-        return pa.Table.from_batches([_rows(list(_by_range(shard, "offer", pairs["h"], [pairs["c"].astype(np.uint32)], 48, parts)))])
+        order = np.lexsort([s.c, s.h])
+        h, c = s.h[order], s.c[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+        return pa.Table.from_batches([_rows(list(_by_range(shard, "offer", h[new], [c[new].astype(np.uint32)], 48, parts)))])
 
     return written(shards.groupBy("shard").applyInArrow(run, _SCHEMA), "offers")
 
