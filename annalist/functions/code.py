@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # fixed values: definition patterns of languages other than Python
 DEFINITIONS = (
@@ -176,7 +177,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of lower-cased words."""
 

@@ -53,11 +53,11 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source_id", "target_id")).alias("node")).distinct()
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, checkpoint_every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node, rank), ranks summing to one. Parallel edges add weight; nodes without edges out spread their rank evenly.
 
-    Edges are weighted and partitioned once; an iteration is one join on the source and one aggregation by target. Stops
-    when the summed change is under ``tolerance`` per node.
+    Edges are weighted once; an iteration is one join on the source and one aggregation by target, and its result is
+    checkpointed, since the next one reads it three times. Stops when the summed change is under ``tolerance`` per node.
     """
     weight = edges.groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.count(F.lit(1)).alias("w"))
     out = weight.groupBy("src").agg(F.sum("w").alias("t"))
@@ -67,16 +67,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, toler
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     ranks = nodes.select("node", F.coalesce("has_out", F.lit(False)).alias("has_out"), F.lit(1.0 / n).alias("rank"))
-    for i in range(iterations):
+    for _ in range(iterations):
         dangling = ranks.agg(F.coalesce(F.sum(F.when(~F.col("has_out"), F.col("rank"))), F.lit(0.0)).alias("d"))  # one row
         flow = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in_rank"))
         new = ranks.join(flow, "node", "left").crossJoin(F.broadcast(dangling))
         new = new.select("node", "has_out", ((1 - alpha) / n + alpha * (F.coalesce("in_rank", F.lit(0.0)) + F.col("d") / n)).alias("rank"), F.col("rank").alias("before"))
-        if i % checkpoint_every == checkpoint_every - 1 or i + 1 == iterations:
-            new = _saved(new)
-            if new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
-                return new.select("node", "rank")
+        new = _saved(new)
         ranks = new.drop("before")
+        if new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
+            break
     return ranks.select("node", "rank")
 
 
