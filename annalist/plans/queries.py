@@ -397,7 +397,7 @@ def c7_file_chunks(spark, d):
     return chunking.chunk_files(files).select("id", "source_id", "token_count")
 
 
-@query("SELECT sha, 'Files modified (' || count(f) || '): ' || coalesce(array_to_string((list(f ORDER BY ln) FILTER (f IS NOT NULL))[1:5], ', '), '') || CASE WHEN count(f) > 5 THEN ' (+' || (count(f) - 5) || ' more)' ELSE '' END || ' (+' || count(f) || '/-0 lines)' AS first_line FROM (SELECT c.sha, 'supp/' || l_suppkey AS f, l_linenumber AS ln FROM c LEFT JOIN lineitem ON l_orderkey = k) GROUP BY sha")
+@query("SELECT sha, 'Files modified (' || count(f) || '): ' || coalesce(array_to_string((list(f ORDER BY ln, a, b) FILTER (f IS NOT NULL))[1:5], ', '), '') || CASE WHEN count(f) > 5 THEN ' (+' || (count(f) - 5) || ' more)' ELSE '' END || ' (+' || count(f) || '/-0 lines)' AS first_line FROM (SELECT c.sha, 'supp/' || l_suppkey AS f, l_linenumber AS ln, l_suppkey AS a, l_partkey AS b FROM c LEFT JOIN lineitem ON l_orderkey = k) GROUP BY sha")
 def c8_footprint(spark, d):
     c = fx.commits(spark, d)
     out = chunking.footprint(c, links.pull_of_commit(fx.pulls(spark, d), c), fx.pulls(spark, d))
