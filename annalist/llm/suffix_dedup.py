@@ -26,11 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import mix64, written
+from annalist.llm.common import mix64, release, written
 
 LENGTH = 50
 GRAM = 24
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 RANGE_ROWS = 1_000_000  # anchors of one hash range, about
 _POS = np.uint64(26)  # bits of a place in a shard; a longer shard has one text of its own
 
@@ -134,29 +134,34 @@ def _packed_shards(documents: DataFrame, id_col: str, text_col: str, n: int) ->
             shard = batch.column(2)[0].as_py() if batch.num_rows else shard
         if ids:
             lengths = np.array([len(t) for t in texts], np.int64)
-            yield _rows([(shard, "ids", 0, _pack(np.array(ids, np.int64))), (shard, "lengths", 0, _pack(lengths)), (shard, "text", 0, zstandard.compress(b"".join(texts), 3))])
+            parts = [_pack(np.array(ids, np.int64)), _pack(lengths), zstandard.compress(b"".join(texts), 3)]
+            sizes = np.array([len(p) for p in parts[:2]], np.int64).tobytes()
+            yield _rows([(shard, "pack", 0, b"".join([sizes, *parts]))])
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null")
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "t").withColumn("shard", F.spark_partition_id())
     return written(dealt.mapInArrow(run, _SCHEMA), "shards")
 
 
-def _shard_of(blobs: dict, length: int, gram: int) -> Shard:
-    return Shard(_unpack(blobs["ids"], np.int64), _unpack(blobs["lengths"], np.int64), zstandard.decompress(blobs["text"]), length, gram)
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Ids, lengths and texts of a shard."""
+    a, b = np.frombuffer(blob, np.int64, 2).tolist()
+    return _unpack(blob[16 : 16 + a], np.int64), _unpack(blob[16 + a : 16 + a + b], np.int64), zstandard.decompress(blob[16 + a + b :])
 
 
 def _offers(shards: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     """Distinct (anchor, context) pairs of each shard, by hash range."""
 
-    def run(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        s = _shard_of(dict(zip(table["kind"].to_pylist(), table["blob"].to_pylist())), length, gram)
-        order = np.lexsort([s.c, s.h])
-        h, c = s.h[order], s.c[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
-        return pa.Table.from_batches([_rows(list(_by_range(shard, "offer", h[new], [c[new].astype(np.uint32)], 48, parts)))])
+    def run(batches):
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                s = Shard(*_unpacked(blob), length, gram)
+                order = np.lexsort([s.c, s.h])
+                h, c = s.h[order], s.c[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+                yield _rows(list(_by_range(shard, "offer", h[new], [c[new].astype(np.uint32)], 48, parts)))
 
-    return written(shards.groupBy("shard").applyInArrow(run, _SCHEMA), "offers")
+    return shards.mapInArrow(run, _SCHEMA)
 
 
 def _answers(offers: DataFrame, second: int) -> DataFrame:
@@ -232,9 +237,9 @@ def _settle(shards: DataFrame, answers: DataFrame, parts: int, length: int, gram
                 several.append(np.frombuffer(blob, np.uint64))
             else:
                 blobs[kind] = blob
-        if "ids" not in blobs:
+        if "pack" not in blobs:
             return pa.Table.from_batches([_rows([])])
-        s = _shard_of(blobs, length, gram)
+        s = Shard(*_unpacked(blobs["pack"]), length, gram)
         group, pair = s.group[s.doc], _joined(s.h, s.c)
         covered = _within(pair, _seen(seen)) | _later(pair, group)
         abroad = _within(s.h, np.sort(np.concatenate(several)))
@@ -271,8 +276,8 @@ def _finish(shards: DataFrame, settled: DataFrame, answers: DataFrame, id_col: s
             elif kind != "several":
                 blobs[kind] = blob
         out = []
-        if "ids" in blobs:
-            ids, lengths, data = _unpack(blobs["ids"], np.int64), _unpack(blobs["lengths"], np.int64), zstandard.decompress(blobs["text"])
+        if "pack" in blobs:
+            ids, lengths, data = _unpacked(blobs["pack"])
             n = len(data)
             mask = np.unpackbits(_unpack(blobs["covered"], np.uint8), count=n).view(bool).copy()
             still = np.flatnonzero(np.unpackbits(_unpack(blobs["open"], np.uint8), count=n))
@@ -315,9 +320,13 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = max(1, -(-size // shard_bytes))
     parts = max(1, -(-size * 2 // (length - gram + 2) // RANGE_ROWS))
     shards = _packed_shards(documents, id_col, text_col, n)
+    release(documents.sparkSession)
     answers = _answers(_offers(shards, parts, length, gram), 4)
+    release(documents.sparkSession)
     settled = _settle(shards, answers, parts, length, gram, engine)
+    release(documents.sparkSession)
     found = _answers(settled.where("kind = 'string'"), 0)
+    release(documents.sparkSession)
     out = _finish(shards, settled, found, id_col, length)
     no_id = documents.where(F.col(id_col).isNull()).select(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8").alias("kept"))
     loose = no_id.select(F.lit(None).cast("long").alias(id_col), F.length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
