@@ -141,7 +141,7 @@ class Matcher:
 
     def _ids(self, words: list[str]) -> np.ndarray:
         memo = self.memo
-        if len(memo) > 500_000:
+        if len(memo) > 100_000:
             memo.clear()
         for w in set(words).difference(memo):
             memo[w] = zlib.crc32(w.encode()) << 32 | zlib.adler32(w.encode())

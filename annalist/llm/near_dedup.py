@@ -47,7 +47,7 @@ _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 class Shingler:
     """Distinct 64-bit shingle hashes of texts; remembers word hashes."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __init__(self, words: int = WORDS):
         self.words, self.memo = words, {}

@@ -36,7 +36,7 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 class _Hashes(dict):
     """Memo of token hashes; emptied when it holds LIMIT tokens."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.LIMIT:
