@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from annalist.llm.common import map_rows
 
-CACHE_ENTRIES = 350_000  # distinct pre-tokens a task remembers; older ones are dropped together
+CACHE_ENTRIES = 500_000  # distinct pre-tokens a task remembers; older ones are dropped together
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:

@@ -30,10 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written in the shared folder: later reads survive lost executors and recompute nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(32 << 20)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000  # rows of an Arrow batch; texts of some KB each make batches of a few MB on both sides
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches at BATCH_ROWS rows or fewer, for the JVM and the Python workers share the memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are written: its cleaner waits for the driver's collector."""
     gc.collect()
@@ -62,6 +72,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     that returns the output row. Rows are handled in slices so that output stays bounded.
     """
     names = [f.split()[0] for f in schema.split(",")]
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import mix64
+from annalist.llm.common import bounded_batches, mix64
 
 SEGMENT = 64
 BLOCK = 4
@@ -221,6 +221,7 @@ def build(items: list[tuple[int, str]]) -> Index:
 def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SLICE):
     """Indexes of at most about ``size`` items each, broadcast one after another."""
     spark = benchmark.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     n = max(1, -(-items.count() // size))
     for k in range(n):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import mix64, written
+from annalist.llm.common import bounded_batches, mix64, written
 from annalist.llm.components import components
 
 WORDS = 5
@@ -223,6 +223,7 @@ def _mixed_links(members: DataFrame, need: int, similarity: float) -> DataFrame:
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) of every row: the class is the connected component of near-duplicates, named by its smallest id."""
+    bounded_batches(documents.sparkSession)
     signed = written(signatures(documents, id_col, text_col, bands, rows), "signatures")
     # texts of one key have one signature: any of them will do
     reps = written(signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "texts")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import sha256_hex
+from annalist.llm.common import bounded_batches, sha256_hex
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("email_masked", "phone_local", "national_id", "ipv6", "iban", "person")
@@ -246,6 +246,7 @@ def _joined(spans) -> str:
 
 def detect(df: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text the counts of base spans by kind, the digest of the base spans and all spans, by kind, then start."""
+    bounded_batches(df.sparkSession)
     model = model or fit(df, text_col)
     order = {k: i for i, k in enumerate(KINDS)}
     names = [id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans"]

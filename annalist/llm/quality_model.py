@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import mix64
+from annalist.llm.common import bounded_batches, mix64
 
 BITS = 18
 SAMPLE = 6000  # documented bound on the labelled rows that train
@@ -153,6 +153,7 @@ def held_out(id_col: str = "doc_id"):
 
 def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Scores of all documents by a model of the labels that are not held out."""
+    bounded_batches(documents.sparkSession)
     model = fit(documents, labels.where(~held_out()))
     held = F.coalesce(held_out(), F.lit(False))
     return score(documents, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import sha256_hex
+from annalist.llm.common import bounded_batches, sha256_hex
 
 SEGMENT_BYTES = 4 << 20  # of text in one index segment; a longer text is a segment of its own
 EXACT_MAX = 64  # literal strings kept for one stretch of a pattern
@@ -233,6 +233,7 @@ def scan_digests(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: s
     """Per text the number of base spans of each base kind, the digest of the base spans and all spans."""
     kinds = [r.kind for r in rules if r.base]
     names = [id_col, *(f"n_{k}" for k in kinds), "base_sha256", "spans"]
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         scanner = Scanner(rules)
@@ -262,6 +263,7 @@ def redact_text(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
 def redact(df: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """All columns of ``df``; found secrets are replaced in the text. A null text stays null."""
     schema, at = df.schema, df.columns.index(text_col)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         scanner = Scanner(rules)

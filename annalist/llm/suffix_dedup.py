@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import mix64, release, written
+from annalist.llm.common import bounded_batches, mix64, release, written
 
 LENGTH = 50
 GRAM = 24
@@ -316,6 +316,7 @@ def by_fingerprint(shard: Shard, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, engine=by_fingerprint) -> DataFrame:
     """Per document (id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of every text."""
+    bounded_batches(documents.sparkSession)
     size = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first().n or 0
     n = max(1, -(-size // shard_bytes))
     parts = max(1, -(-size * 2 // (length - gram + 2) // RANGE_ROWS))
