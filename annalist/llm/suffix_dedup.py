@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import bounded_batches, mix64, release, written
+from annalist.llm.induced_sort import QUEUE_BYTES, suffix_array
 
 LENGTH = 50
 GRAM = 24
@@ -307,14 +308,39 @@ def _finish(shards: DataFrame, settled: DataFrame, answers: DataFrame, id_col: s
     return rows.groupBy("shard").applyInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def by_fingerprint(shard: Shard, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the strings at ``starts`` an earlier text of the shard holds, and one start of each distinct string."""
-    keys = shard.fingerprints(starts)
-    doc = np.searchsorted(shard.ends, starts, "right")
-    return _later(keys, shard.group[doc]), starts[np.unique(keys, return_index=True)[1]]
+def by_induced_sorting(shard: Shard, starts: np.ndarray, memory: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the strings at ``starts`` an earlier text of the shard holds, and one start of each distinct string.
 
-
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, engine=by_fingerprint) -> DataFrame:
+    The suffixes of the regions under the strings are sorted; neighbours with a common prefix of ``length`` are equal.
+    """
+    if not len(starts):
+        return np.zeros(0, bool), starts
+    n, length = len(shard.data), shard.length
+    edge = np.zeros(n + 1, np.int32)
+    edge[starts] += 1
+    edge[starts + length] -= 1
+    place = np.flatnonzero(np.cumsum(edge[:n]) > 0)
+    doc = np.searchsorted(shard.ends, place, "right")
+    cut = np.flatnonzero((np.diff(place) > 1) | (np.diff(doc) > 0)) + 1
+    t = np.concatenate([np.insert(shard.data[place].astype(np.int64) + 2, cut, 1), [0]])
+    place = np.concatenate([np.insert(place, cut, -1), [-1]])
+    order, lcp = suffix_array(t, length, memory)
+    number = np.full(n + 1, -1, np.int64)
+    number[starts] = np.arange(len(starts))
+    number[-1] = -1
+    which = number[place[order]]
+    at = np.flatnonzero(which >= 0)
+    which = which[at]
+    new = np.minimum.reduceat(lcp[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) < length
+    new[0] = True
+    head = np.flatnonzero(new)
+    group = shard.group[np.searchsorted(shard.ends, starts[which], "right")]
+    local = np.zeros(len(starts), bool)
+    local[which] = group > np.repeat(np.minimum.reduceat(group, head), np.diff(np.append(head, len(which))))
+    return local, starts[which[head]]
+
+
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, engine=by_induced_sorting) -> DataFrame:
     """Per document (id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of every text."""
     bounded_batches(documents.sparkSession)
     size = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first().n or 0
