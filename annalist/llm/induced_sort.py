@@ -33,6 +33,7 @@ class RunQueue:
     """
 
     _ROW = np.dtype([("key", "<i8"), ("pos", "<i8"), ("lcp", "u1")])
+    _FEW = 1024  # keys under this have their places in a run listed
 
     def __init__(self, memory: int = QUEUE_BYTES):
         self.memory, self.held, self.spilt = memory, 0, 0
@@ -46,10 +47,11 @@ class RunQueue:
         self._add(key[order], pos[order], np.zeros(len(key), np.uint8) if lcp is None else lcp[order])
 
     def _add(self, key, pos, lcp) -> None:
-        self.runs.append([key, pos, lcp, 0])
+        cuts = [0, *np.cumsum(np.bincount(key)).tolist()] if key[-1] < self._FEW else None
+        self.runs.append([key, pos, lcp, 0, cuts])
         self.held += len(key) * self._ROW.itemsize
         if self.held > self.memory:
-            rest = [(k[at:], p[at:], c[at:]) for k, p, c, at in self.runs]
+            rest = [(k[at:], p[at:], c[at:]) for k, p, c, at, _ in self.runs]
             key, pos, lcp = (np.concatenate(x) for x in zip(*rest))
             order = _stable(key)
             rows = np.empty(len(key), self._ROW)
@@ -63,25 +65,29 @@ class RunQueue:
                 self.disk.append([mapped, 0])
                 self.spilt += 1
 
-    def pop(self, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All tuples with a key under ``below``, sorted."""
+    def pop(self, below: int, ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tuples with a key under ``below``: sorted, or in order of arrival within each key."""
         parts = []
         for run in self.disk:
             rows, at = run
             end = at + int(np.searchsorted(rows["key"][at:], below))
-            parts.append((rows["key"][at:end], rows["pos"][at:end], rows["lcp"][at:end]))
-            run[1] = end
-        self.disk = [r for r in self.disk if r[1] < len(r[0])]
+            if end > at:
+                parts.append((rows["key"][at:end], rows["pos"][at:end], rows["lcp"][at:end]))
+                run[1] = end
         for run in self.runs:
-            key, pos, lcp, at = run
-            end = at + int(np.searchsorted(key[at:], below))
-            parts.append((key[at:end], pos[at:end], lcp[at:end]))
-            run[3] = end
-            self.held -= (end - at) * self._ROW.itemsize
-        self.runs = [r for r in self.runs if r[3] < len(r[0])]
+            key, pos, lcp, at, cuts = run
+            end = cuts[min(below, len(cuts) - 1)] if cuts else int(np.searchsorted(key, below))
+            if end > at:
+                parts.append((key[at:end], pos[at:end], lcp[at:end]))
+                run[3] = end
+                self.held -= (end - at) * self._ROW.itemsize
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.disk = [r for r in self.disk if r[1] < len(r[0])]
+        self.runs = [r for r in self.runs if r[3] < len(r[0])]
         key, pos, lcp = (np.concatenate(x) for x in zip(*parts))
+        if not ordered or min(k[0] for k, _, _ in parts) == max(k[-1] for k, _, _ in parts):
+            return key, pos, lcp
         order = _stable(key)
         return key[order], pos[order], lcp[order]
 
@@ -123,7 +129,7 @@ def _induced(t: np.ndarray, member: np.ndarray, bases: np.ndarray, depth: int, m
     while low < len(load):
         high = max(low + 1, int(np.searchsorted(load, done + batch, "right")))
         done = int(load[high - 1])
-        key, pos, _ = queue.pop(high)
+        key, pos, _ = queue.pop(high, ordered=False)
         mine = bases[slice(*np.searchsorted(base_t, [low, high]))]
         origin = np.concatenate([pos, mine])
         if not len(origin):
@@ -249,7 +255,7 @@ class _Minimum:
     def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         level = np.frexp((j - i + 1).astype(np.float64))[1] - 1
         out = np.zeros(len(i), np.uint8)
-        for k in np.unique(level).tolist():
+        for k in np.flatnonzero(np.bincount(level)).tolist():
             at = np.flatnonzero(level == k)
             out[at] = np.minimum(self.rows[k][i[at]], self.rows[k][j[at] - (1 << k) + 1])
         return out

@@ -33,6 +33,7 @@ LENGTH = 50
 GRAM = 24
 SHARD_BYTES = 2 << 20
 RANGE_ROWS = 1_000_000  # anchors of one hash range, about
+_BLOCK = 1 << 14
 _POS = np.uint64(26)  # bits of a place in a shard; a longer shard has one text of its own
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,9 +42,14 @@ _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    out = np.ones(n, np.uint64)
+    out[1:_BLOCK] = base
+    np.multiply.accumulate(out[:_BLOCK], out=out[:_BLOCK])
+    step = factor = np.uint64(pow(int(base), _BLOCK, 1 << 64))
+    for at in range(_BLOCK, n, _BLOCK):
+        out[at : at + _BLOCK] = out[: min(_BLOCK, n - at)] * factor
+        factor = np.uint64(int(factor) * int(step) % (1 << 64))
+    return out
 
 
 class Shard:
@@ -62,23 +68,30 @@ class Shard:
         self.h = self.c = np.zeros(0, np.uint64)
         if n < length:
             return
-        grams = mix64(self.hashes(np.arange(n - gram + 1), np.arange(gram, n + 1)))
-        keys = grams >> _POS << _POS | np.arange(len(grams), dtype=np.uint64)
-        size = 1
-        while 2 * size <= w:
-            keys = np.minimum(keys[:-size], keys[size:])
-            size *= 2
-        if size < w:
-            keys = np.minimum(keys[: len(keys) - (w - size)], keys[w - size :])
-        anchor = (keys & np.uint64((1 << int(_POS)) - 1)).astype(np.int64)
-        del keys
-        doc = np.repeat(np.arange(len(lengths)), lengths)[: len(anchor)]
-        ok = np.flatnonzero(self.ends[doc] - np.arange(len(anchor)) >= length)  # strings that do not cross texts
-        if not len(ok):
+        grams = mix64((self.prefix[gram:] - self.prefix[:-gram]) * self.undo[: n - gram + 1])
+        anchor = np.empty(n - length + 1, np.int64)
+        for at in range(0, len(anchor), _BLOCK):  # blocks that stay in the cache
+            keys = grams[at : at + _BLOCK + w - 1] >> _POS << _POS
+            keys |= np.arange(at, at + len(keys), dtype=np.uint64)
+            size = 1
+            while 2 * size <= w:
+                keys = np.minimum(keys[:-size], keys[size:])
+                size *= 2
+            if size < w:
+                keys = np.minimum(keys[: len(keys) - (w - size)], keys[w - size :])
+            anchor[at : at + _BLOCK] = (keys & np.uint64((1 << int(_POS)) - 1)).astype(np.int64)
+        change = np.ones(len(anchor), bool)
+        np.not_equal(anchor[1:], anchor[:-1], out=change[1:])
+        first = self.ends - lengths
+        change[first[first < len(anchor)]] = True
+        begins = np.flatnonzero(change)
+        doc = np.searchsorted(self.ends, begins, "right")
+        last = np.minimum(np.r_[begins[1:], len(anchor)] - 1, self.ends[doc] - length)  # strings do not cross texts
+        some = last >= begins
+        if not some.any():
             return
-        change = np.flatnonzero(np.r_[True, (np.diff(anchor[ok]) != 0) | (np.diff(doc[ok]) != 0)])
-        self.start, self.last = ok[change], ok[np.r_[change[1:] - 1, len(ok) - 1]]
-        self.anchor, self.doc = anchor[self.start], doc[self.start]
+        self.start, self.last, self.doc = begins[some], last[some], doc[some]
+        self.anchor = anchor[self.start]
         self.h = grams[self.anchor] >> np.uint64(16)
         begin = np.maximum(self.ends[self.doc] - lengths[self.doc], self.anchor - (w - 1))
         end = np.minimum(self.ends[self.doc], self.anchor + length)
