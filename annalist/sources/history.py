@@ -68,9 +68,10 @@ def parse_commits(records: DataFrame, repo_id: str) -> DataFrame:
     f = F.split(head, "\x1f", 6)
     lines = F.filter(F.transform(F.split(stat, "\n"), lambda x: F.split(x, "\t")), lambda x: F.size(x) == 3)
     number = lambda i: F.aggregate(lines, F.lit(0), lambda s, x: s + F.coalesce(x[i].try_cast("int"), F.lit(0)))
+    bare = lambda i: F.btrim(f[i], F.lit(" \t\n\r\x0b\x0c"))
     out = records.where(F.size(f) == 6).select(
-        F.lit(repo_id).alias("repo_id"), F.trim(f[0]).alias("sha"), f[1].alias("author_name"), f[2].alias("author_email"),
-        F.try_to_timestamp(f[3]).alias("authored_date"), F.filter(F.split(F.trim(f[4]), " "), lambda p: p != "").alias("parents"), F.trim(f[5]).alias("message"),
+        F.lit(repo_id).alias("repo_id"), bare(0).alias("sha"), bare(1).alias("author_name"), bare(2).alias("author_email"),
+        F.try_to_timestamp(bare(3)).alias("authored_date"), F.filter(F.split(F.trim(f[4]), " "), lambda p: p != "").alias("parents"), bare(5).alias("message"),
         F.transform(lines, lambda x: T.rename_target(x[2])).alias("files_changed"), number(0).alias("insertions"), number(1).alias("deletions"),
     )
     return out.withColumns({"is_merge": F.size("parents") > 1, "is_revert": T.is_revert(F.col("message")), "reverts_sha": T.revert_target(F.col("message"))})
