@@ -1,4 +1,4 @@
-"""Parsers that have no Spark form: diffs, symbols and code chunks as Python table functions, LCS as a pandas UDF."""
+"""Parsers that have no Spark form: diffs, symbols and code chunks as Python table functions, LCS and word overlap as pandas UDFs."""
 
 from __future__ import annotations
 
@@ -169,12 +169,16 @@ def register(spark) -> None:
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, bit-parallel: one addition over len(b) bits a word of ``a``."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    row = whole  # a zero bit is a column where the row's lengths rise
     for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        if hit := row & places.get(x, 0):
+            row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(DoubleType())
@@ -187,3 +191,14 @@ def rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.Series:
         return 2 * n / (len(c) + len(r)) if n else 0.0
 
     return pd.Series([one(c, r) for c, r in zip(candidate, reference)])
+
+
+@F.pandas_udf(DoubleType())
+def word_overlap(answer: pd.Series, expected: pd.Series) -> pd.Series:
+    """min(1, hits / (0.4 x words)) over the lower-cased words of ``expected`` of four ASCII word characters or more."""
+
+    def one(a, e):
+        a, words = (a or "").lower(), set(re.findall(r"\w{4,}", (e or "").lower(), re.A))
+        return min(1.0, sum(w in a for w in words) / (0.4 * len(words))) if words else 0.0
+
+    return pd.Series([one(a, e) for a, e in zip(answer, expected)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from annalist.functions import code
 from annalist.functions.text import SHORT_SHA
 
 
@@ -22,11 +23,15 @@ def canonical_refs(refs: Column) -> Column:
 
 def citation_metrics(generated: Column, expected: Column) -> Column:
     """struct(precision, recall, f1); without expected references recall is 1, without citations precision is 1 only if none was expected."""
-    got, want = citations(generated), canonical_refs(expected)
-    both = F.size(F.array_intersect(got, want)).cast("double")
-    p = F.when(F.size(got) == 0, F.when(F.size(want) == 0, 1.0).otherwise(0.0)).otherwise(both / F.size(got))
-    r = F.when(F.size(want) == 0, 1.0).otherwise(both / F.size(want))
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+    want = canonical_refs(expected)
+
+    def score(got: Column) -> Column:
+        both = F.size(F.array_intersect(got, want)).cast("double")
+        p = F.when(F.size(got) == 0, F.when(F.size(want) == 0, 1.0).otherwise(0.0)).otherwise(both / F.size(got))
+        r = F.when(F.size(want) == 0, 1.0).otherwise(both / F.size(want))
+        return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+    return F.transform(F.array(citations(generated)), score)[0]  # the text is searched once
 
 
 def calibrated_accuracy(entailment: Column, citation_f1: Column, has_citations: Column) -> Column:
@@ -35,9 +40,7 @@ def calibrated_accuracy(entailment: Column, citation_f1: Column, has_citations:
 
 def keyword_overlap(answer: Column, expected: Column) -> Column:
     """min(1, hits / (0.4 x words)) over the expected answer's words of four letters or more."""
-    words = F.array_distinct(F.filter(F.split(F.lower(expected), r"\W+"), lambda w: F.length(w) >= 4))
-    hits = F.size(F.filter(words, lambda w: F.contains(F.lower(answer), w)))
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.least(F.lit(1.0), hits / (0.4 * F.size(words))))
+    return code.word_overlap(answer, expected)
 
 
 def clamped_cosine(a: Column, b: Column) -> Column:

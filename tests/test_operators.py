@@ -147,3 +147,40 @@ def test_claims(spark):
     drafts = spark.createDataFrame([(1, "Commit b2b2b2b reverts commit a1a1a1a."), (2, "a1a1a1a reverted b2b2b2b."), (3, "b2b2b2b preceded a1a1a1a."), (4, "Commit a1a1a1a changed db.py here."), (5, "See #77 and the added facade.")], "draft_id int, draft string")
     errors = verify.claim_errors(drafts, ev, empty(spark, "pull_request"), empty(spark, "issue"), c)
     assert {(r.draft_id, r.rule) for r in errors.collect()} == {(2, "revert inversion"), (3, "chronology"), (4, "misattribution"), (5, "provenance")}
+
+
+def test_lcs_is_that_of_the_table():
+    import random
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            corner = 0
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        a, b = (rnd.choices("abcdefgh"[: rnd.randint(1, 8)], k=rnd.randint(0, 90)) for _ in range(2))
+        assert code.lcs_length(a, b) == table(a, b)
+
+
+def test_metrics_read_whole_texts(spark, tmp_path):
+    from annalist.plans.queries import QUERIES
+
+    head = "same words at the front " * 30  # 720 characters, 150 words
+    texts = [head + "see #1 and harbour", head + "harbour", "other"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["f13_f15_metrics"](spark, str(tmp_path)).collect()}
+    assert got[0].citation_f1 == 1.0 and got[1].citation_f1 == 0.0
+    assert got[0].rouge_l == got[1].rouge_l == round(2 * 151 / (154 + 151), 6)
+    assert got[2].rouge_l == 0.0 and got[2].overlap == 0.0
+
+
+def test_word_overlap_is_that_of_expressions(spark):
+    rows = spark.createDataFrame([("The Harbour bridge", "harbour bridges spree town"), ("", "some words"), ("abcdef", "bcde zzzz naïvety"), (None, "some"), ("x", "")], "a string, b string")
+    words = F.array_distinct(F.filter(F.split(F.lower("b"), r"\W+"), lambda w: F.length(w) >= 4))
+    hits = F.size(F.filter(words, lambda w: F.contains(F.lower("a"), w)))
+    want = F.when(F.size(words) == 0, 0.0).otherwise(F.least(F.lit(1.0), hits / (0.4 * F.size(words))))
+    assert all(r.x == pytest.approx(r.y) for r in rows.select(evaluate.keyword_overlap(F.col("a"), F.col("b")).alias("x"), want.alias("y")).collect())
