@@ -34,7 +34,7 @@ GRAM = 24
 SHARD_BYTES = 2 << 20
 RANGE_ROWS = 1_000_000  # anchors of one hash range, about
 _BLOCK = 1 << 14
-_POS = np.uint64(26)  # bits of a place in a shard; a longer shard has one text of its own
+_POS = np.uint64(26)  # bits of a place relative to its block, where windows span the block and a string's length
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -70,16 +70,18 @@ class Shard:
             return
         grams = mix64((self.prefix[gram:] - self.prefix[:-gram]) * self.undo[: n - gram + 1])
         anchor = np.empty(n - length + 1, np.int64)
+        if min(_BLOCK + w - 1, len(grams)) > 1 << int(_POS):
+            raise ValueError(f"strings of {length} bytes do not fit places of {_POS} bits")
         for at in range(0, len(anchor), _BLOCK):  # blocks that stay in the cache
             keys = grams[at : at + _BLOCK + w - 1] >> _POS << _POS
-            keys |= np.arange(at, at + len(keys), dtype=np.uint64)
+            keys |= np.arange(len(keys), dtype=np.uint64)
             size = 1
             while 2 * size <= w:
                 keys = np.minimum(keys[:-size], keys[size:])
                 size *= 2
             if size < w:
                 keys = np.minimum(keys[: len(keys) - (w - size)], keys[w - size :])
-            anchor[at : at + _BLOCK] = (keys & np.uint64((1 << int(_POS)) - 1)).astype(np.int64)
+            anchor[at : at + _BLOCK] = (keys & np.uint64((1 << int(_POS)) - 1)).astype(np.int64) + at
         change = np.ones(len(anchor), bool)
         np.not_equal(anchor[1:], anchor[:-1], out=change[1:])
         first = self.ends - lengths
@@ -119,13 +121,13 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), dtype)
 
 
-_SCHEMA = "shard int, kind string, part int, blob binary"
+_SCHEMA = "shard long, kind string, part int, blob binary"
 _NAMES = ["shard", "kind", "part", "blob"]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.binary()))], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=_NAMES)
 
 
 def _by_range(shard: int, kind: str, keys: np.ndarray, others: list[np.ndarray], bits: int, parts: int):
@@ -137,23 +139,36 @@ def _by_range(shard: int, kind: str, keys: np.ndarray, others: list[np.ndarray],
         yield shard, kind, p, b"".join(np.ascontiguousarray(a[at]).tobytes() for a in (keys, *others))
 
 
-def _packed_shards(documents: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """One row per shard: ids, lengths and texts of its documents, in the order of ids."""
+def _packed_shards(documents: DataFrame, id_col: str, text_col: str, n: int, shard_bytes: int) -> DataFrame:
+    """One row per shard: ids, lengths and texts of its documents, in the order of ids.
+
+    Ranges of ids are dealt by sampled rows; within a range, shards are cut by bytes: before the id whose
+    text would take one past twice ``shard_bytes``. Only texts of one id are never parted. A shard's number is its range and its place there.
+    """
 
     def run(batches):
-        ids, texts, shard = [], [], None
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            texts += [(t or "").encode() for t in batch.column(1).to_pylist()]
-            shard = batch.column(2)[0].as_py() if batch.num_rows else shard
-        if ids:
+        ids, texts, size, cuts, part = [], [], 0, 0, 0
+
+        def pack():
             lengths = np.array([len(t) for t in texts], np.int64)
             parts = [_pack(np.array(ids, np.int64)), _pack(lengths), zstandard.compress(b"".join(texts), 3)]
             sizes = np.array([len(p) for p in parts[:2]], np.int64).tobytes()
-            yield _rows([(shard, "pack", 0, b"".join([sizes, *parts]))])
+            return _rows([(part << 32 | cuts, "pack", 0, b"".join([sizes, *parts]))])
+
+        for batch in batches:
+            for key, text, part in zip(*(c.to_pylist() for c in batch.columns)):
+                text = (text or "").encode()
+                if ids and key != ids[-1] and size + len(text) > 2 * shard_bytes:
+                    yield pack()
+                    ids, texts, size, cuts = [], [], 0, cuts + 1
+                ids.append(key)
+                texts.append(text)
+                size += len(text)
+        if ids:
+            yield pack()
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null")
-    dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "t").withColumn("shard", F.spark_partition_id())
+    dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "t").withColumn("shard", F.spark_partition_id().cast("long"))
     return written(dealt.mapInArrow(run, _SCHEMA), "shards")
 
 
@@ -190,7 +205,7 @@ def _answers(offers: DataFrame, second: int) -> DataFrame:
             n = len(blob) // (8 + second)
             keys.append(np.frombuffer(blob, np.uint64, n))
             contexts.append(np.frombuffer(blob, np.uint32, n, 8 * n) if second else np.zeros(n, np.uint32))
-            shard.append(np.full(n, number, np.int32))
+            shard.append(np.full(n, number, np.int64))
         h, c, s = np.concatenate(keys), np.concatenate(contexts), np.concatenate(shard)
         order = np.lexsort([s, c, h])
         h, c, s = h[order], c[order], s[order]
@@ -359,7 +374,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first().n or 0
     n = max(1, -(-size // shard_bytes))
     parts = max(1, -(-size * 2 // (length - gram + 2) // RANGE_ROWS))
-    shards = _packed_shards(documents, id_col, text_col, n)
+    shards = _packed_shards(documents, id_col, text_col, n, shard_bytes)
     release(documents.sparkSession)
     answers = _answers(_offers(shards, parts, length, gram), 4)
     release(documents.sparkSession)

@@ -220,3 +220,28 @@ def test_pipeline(spark):
     near = {r.doc_id for r in near.collect() if r.doc_id == r.class_id}
     leaks = {r.doc_id for r in decontaminate.matches(source, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     assert got == near - leaks
+
+
+def test_suffix_anchors_beyond_the_bits_of_a_place(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_POS", np.uint64(15))
+    data = np.random.default_rng(8).integers(0, 256, 100_000).astype(np.uint8)
+    data[70_000:75_000] = data[1000:6000]
+    s = suffix_dedup.Shard(np.arange(2), np.array([50_000, 50_000]), data.tobytes())
+    w = s.length - suffix_dedup.GRAM + 1
+    assert s.start[-1] > 90_000 and (s.anchor >= s.last).all() and (s.anchor < s.start + w).all()
+    at = lambda p: int(s.anchor[np.searchsorted(s.start, p, "right") - 1]) - p
+    assert all(at(1000 + i) == at(70_000 + i) for i in range(4950))
+
+
+def test_suffix_shards_are_cut_by_bytes(spark):
+    texts = ["x" * 10] * 500 + ["y" * 3000] * 30 + ["z" * 30_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, "h" * 4000)] * 5, "doc_id long, text string")
+    got = suffix_dedup._packed_shards(df, "doc_id", "text", 3, 5000).orderBy("shard").collect()
+    ids, seen = [], set()
+    for r in got:
+        own, lengths, _ = suffix_dedup._unpacked(bytes(r.blob))
+        assert lengths.sum() <= 10_000 or len(set(own.tolist())) == 1
+        assert not seen & set(own.tolist())
+        seen |= set(own.tolist())
+        ids += own.tolist()
+    assert ids == sorted([*range(len(texts)), *[900] * 5])
