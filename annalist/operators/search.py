@@ -97,14 +97,15 @@ def mock_embedding(dimension: int = 384):
     return embed
 
 
-def exact_channel(chunks: DataFrame, shas: list[str], numbers: list[int], limit: int = 30) -> DataFrame:
-    """(id, score 3.0): chunks that name a sha or #N as a whole word."""
+def exact_channel(chunks: DataFrame, shas: list[str], numbers: list[int], limit: int | None = 30) -> DataFrame:
+    """(id, score 3.0): chunks that name a sha or #N as a whole word; all of them, in no order, without a limit."""
     parts = [F.contains(F.lower("text"), F.lit(s.lower())) | F.startswith(F.lower("source_id"), F.lit(s.lower()[:7])) for s in shas]
     parts += [F.col("text").rlike(rf"#{n}(?![0-9A-Za-z_])") | (F.col("source_id") == str(n)) & F.col("source_type").isin("pr", "issue") for n in numbers]
     cond = F.lit(False)
     for p in parts:
         cond = cond | p
-    return chunks.where(cond).select("id", F.lit(3.0).alias("score")).orderBy("id").limit(limit)
+    found = chunks.where(cond).select("id", F.lit(3.0).alias("score"))
+    return found if limit is None else found.orderBy("id").limit(limit)
 
 
 def query_words(query: str, least: int = 4) -> list[str]:

@@ -321,7 +321,7 @@ def r9_cosine_top_k(spark, d):
 
 @query("SELECT id, 3.0::DOUBLE AS score FROM ch WHERE source_type IN ('pr', 'issue') AND id IN ('7', '12') OR regexp_matches(text, '#(7|12)($|[^0-9A-Za-z_])')")
 def r11_exact_channel(spark, d):
-    return search.exact_channel(fx.chunks(spark, d), [], [7, 12], limit=1_000_000)
+    return search.exact_channel(fx.chunks(spark, d), [], [7, 12], limit=None)
 
 
 @query("SELECT id, 2.0::DOUBLE AS score FROM ch WHERE contains(sym, 'name7') ORDER BY id LIMIT 30")

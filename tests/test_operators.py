@@ -184,3 +184,10 @@ def test_word_overlap_is_that_of_expressions(spark):
     hits = F.size(F.filter(words, lambda w: F.contains(F.lower("a"), w)))
     want = F.when(F.size(words) == 0, 0.0).otherwise(F.least(F.lit(1.0), hits / (0.4 * F.size(words))))
     assert all(r.x == pytest.approx(r.y) for r in rows.select(evaluate.keyword_overlap(F.col("a"), F.col("b")).alias("x"), want.alias("y")).collect())
+
+
+def test_exact_channel_without_a_limit(spark):
+    n = 1_000_050
+    chunks = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("see #7").alias("text"), F.lit("x").alias("source_id"), F.lit("commit").alias("source_type"))
+    assert search.exact_channel(chunks, [], [7], limit=None).count() == n
+    assert search.exact_channel(chunks, [], [7], limit=3).count() == 3
