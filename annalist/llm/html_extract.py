@@ -26,8 +26,11 @@ from annalist.llm.common import map_rows
 # fixed values: element sorts of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe title textarea xmp noembed noframes".split())
-HIDDEN = frozenset("head select button object canvas svg math audio video map datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+HIDDEN = frozenset("head select button object canvas svg audio video map datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var".split()) | frozenset(
+    "math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts".split()
+)
+HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())  # all that may stand in head
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div article section main aside nav header footer form table ul ol dl blockquote td th li dd figure fieldset details".split())
@@ -64,6 +67,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     at, size = 0, len(html)
 
     def text(raw: str) -> None:
+        if stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
         if raw and not hidden:
             raw = html_lib.unescape(raw) if "&" in raw else raw
             node = nodes[stack[-1][1]]
@@ -106,6 +111,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             end = html.find(">", start)
             end = end if end >= 0 else size
         attributes, at = html[start:end], end + 1
+        if stack[-1][0] == "head" and tag not in HEAD and (html[lt + 1] != "/" or tag in ("body", "html", "br")):
+            close(len(stack) - 1)
         if html[lt + 1] == "/":
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:

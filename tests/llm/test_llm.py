@@ -245,3 +245,12 @@ def test_suffix_shards_are_cut_by_bytes(spark):
         seen |= set(own.tolist())
         ids += own.tolist()
     assert ids == sorted([*range(len(texts)), *[900] * 5])
+
+
+def test_html_open_head_and_formulas():
+    model = html_extract.Model()
+    body = "<article><h1>T</h1><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is small.</p></article>"
+    want = "T The sum x+1 is small."
+    head = "<html><head><meta charset=utf-8><title>t</title><style>p{}</style>"
+    for page in (f"{head}</head><body>{body}</body>", f"{head}<body>{body}</body>", f"{head}{body}"):
+        assert html_extract.main_text(page, model) == want
