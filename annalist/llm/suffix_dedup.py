@@ -32,7 +32,8 @@ from annalist.llm.induced_sort import QUEUE_BYTES, suffix_array
 LENGTH = 50
 GRAM = 24
 SHARD_BYTES = 2 << 20
-RANGE_ROWS = 1_000_000  # anchors of one hash range, about
+SHARDS_A_FILE = 8  # that one task packs and writes, about
+RANGE_ROWS = 250_000  # anchors of one hash range, about
 _BLOCK = 1 << 14
 _POS = np.uint64(26)  # bits of a place relative to its block, where windows span the block and a string's length
 
@@ -42,38 +43,64 @@ _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:_BLOCK] = base
-    np.multiply.accumulate(out[:_BLOCK], out=out[:_BLOCK])
-    step = factor = np.uint64(pow(int(base), _BLOCK, 1 << 64))
-    for at in range(_BLOCK, n, _BLOCK):
-        out[at : at + _BLOCK] = out[: min(_BLOCK, n - at)] * factor
-        factor = np.uint64(int(factor) * int(step) % (1 << 64))
-    return out
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Powers of both bases over two blocks; those of whole blocks are kept per shard, so no table is as long as the text.
+_LOW, _LOW_INVERSE = _powers(_BASE, 2 * _BLOCK), _powers(_INVERSE, 2 * _BLOCK)
+
+
+class Hashes:
+    """Hashes of all substrings of a text: eight bytes of state for each of its bytes."""
+
+    def __init__(self, data: bytes):
+        self.data = np.frombuffer(data, np.uint8)
+        n = len(self.data)
+        blocks = n // _BLOCK + 1
+        up = _powers(np.uint64(pow(int(_BASE), _BLOCK, 1 << 64)), blocks)
+        self.down = _powers(np.uint64(pow(int(_INVERSE), _BLOCK, 1 << 64)), blocks)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        for b, at in enumerate(range(0, n, _BLOCK)):
+            part = _BYTES[self.data[at : at + _BLOCK]]
+            part *= _LOW[: len(part)]
+            part *= up[b]
+            part[:1] += self.prefix[at : at + 1]
+            np.cumsum(part, out=self.prefix[at + 1 : at + 1 + len(part)])
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of substrings, equal wherever they stand."""
+        return (self.prefix[end] - self.prefix[begin]) * (_LOW_INVERSE[begin % _BLOCK] * self.down[begin // _BLOCK])
 
+    def grams(self, block: int, last: int, gram: int) -> np.ndarray:
+        """Hashes of the ``gram``-byte strings that start from the first byte of a block up to ``last``."""
+        at = block * _BLOCK
+        found = self.prefix[at + gram : last + gram] - self.prefix[at:last]
+        found *= _LOW_INVERSE[: last - at]
+        found *= self.down[block]
+        return mix64(found)
 
-class Shard:
+
+class Shard(Hashes):
     """The texts of one shard, with the anchors of all their LENGTH-byte strings."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, data: bytes, length: int = LENGTH, gram: int = GRAM):
+        super().__init__(data)
         self.ids, self.lengths, self.length = ids, lengths, length
-        self.data = np.frombuffer(data, np.uint8)
         n, w = len(self.data), length - gram + 1
         self.ends = np.cumsum(lengths)
         self.group = np.cumsum(np.r_[0, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)  # texts of one id
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * _powers(_BASE, n), out=self.prefix[1:])
-        self.undo = _powers(_INVERSE, n + 1)
         self.start = self.last = self.anchor = self.doc = np.zeros(0, np.int64)
         self.h = self.c = np.zeros(0, np.uint64)
         if n < length:
             return
-        grams = mix64((self.prefix[gram:] - self.prefix[:-gram]) * self.undo[: n - gram + 1])
-        anchor = np.empty(n - length + 1, np.int64)
-        if min(_BLOCK + w - 1, len(grams)) > 1 << int(_POS):
+        strings, grams = n - length + 1, n - gram + 1
+        if min(_BLOCK + w - 1, grams) > 1 << int(_POS):
             raise ValueError(f"strings of {length} bytes do not fit places of {_POS} bits")
-        for at in range(0, len(anchor), _BLOCK):  # blocks that stay in the cache
-            keys = grams[at : at + _BLOCK + w - 1] >> _POS << _POS
+        begins, anchors, before = [], [], -1
+        for block, at in enumerate(range(0, strings, _BLOCK)):  # blocks that stay in the cache
+            keys = self.grams(block, min(at + _BLOCK + w - 1, grams), gram) >> _POS << _POS
             keys |= np.arange(len(keys), dtype=np.uint64)
             size = 1
             while 2 * size <= w:
@@ -81,31 +108,34 @@ class Shard:
                 size *= 2
             if size < w:
                 keys = np.minimum(keys[: len(keys) - (w - size)], keys[w - size :])
-            anchor[at : at + _BLOCK] = (keys & np.uint64((1 << int(_POS)) - 1)).astype(np.int64) + at
-        change = np.ones(len(anchor), bool)
-        np.not_equal(anchor[1:], anchor[:-1], out=change[1:])
+            found = (keys & np.uint64((1 << int(_POS)) - 1)).astype(np.int64) + at
+            new = np.flatnonzero(np.diff(found, prepend=before))
+            begins.append(new + at)
+            anchors.append(found[new])
+            before = int(found[-1])
+        run, anchor = np.concatenate(begins), np.concatenate(anchors)
         first = self.ends - lengths
-        change[first[first < len(anchor)]] = True
-        begins = np.flatnonzero(change)
+        begins = np.union1d(run, first[first < strings])
         doc = np.searchsorted(self.ends, begins, "right")
-        last = np.minimum(np.r_[begins[1:], len(anchor)] - 1, self.ends[doc] - length)  # strings do not cross texts
+        last = np.minimum(np.r_[begins[1:], strings] - 1, self.ends[doc] - length)  # strings do not cross texts
         some = last >= begins
         if not some.any():
             return
         self.start, self.last, self.doc = begins[some], last[some], doc[some]
-        self.anchor = anchor[self.start]
-        self.h = grams[self.anchor] >> np.uint64(16)
+        self.anchor = anchor[np.searchsorted(run, self.start, "right") - 1]
+        self.h = mix64(self.hashes(self.anchor, self.anchor + gram)) >> np.uint64(16)
         begin = np.maximum(self.ends[self.doc] - lengths[self.doc], self.anchor - (w - 1))
         end = np.minimum(self.ends[self.doc], self.anchor + length)
-        around = self.hashes(begin, end) ^ mix64((self.anchor - begin).astype(np.uint64) + np.uint64(11)) ^ mix64((end - self.anchor).astype(np.uint64) + np.uint64(977))
-        self.c = mix64(around) >> np.uint64(32)
-
-    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of substrings, equal wherever they stand."""
-        return (self.prefix[end] - self.prefix[begin]) * self.undo[begin]
+        left = mix64((self.anchor - begin).astype(np.uint64) + np.uint64(11))
+        right = mix64((end - self.anchor).astype(np.uint64) + np.uint64(977))
+        self.c = mix64(self.hashes(begin, end) ^ left ^ right) >> np.uint64(32)
 
-    def fingerprints(self, starts: np.ndarray) -> np.ndarray:
-        return mix64(self.hashes(starts, starts + self.length))
+    def covered(self, which: np.ndarray) -> np.ndarray:
+        """Whether a string of the anchors marked in ``which`` starts at each byte."""
+        edge = np.zeros(len(self.data) + 1, np.int8)  # the ranges of two anchors never overlap
+        edge[self.start[which]] = 1
+        edge[self.last[which] + 1] -= 1
+        return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
 
     def strings(self, which: np.ndarray) -> np.ndarray:
         """Starts of all strings of the anchors numbered ``which``."""
@@ -113,6 +143,20 @@ class Shard:
         return np.repeat(self.start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _fingerprints(text: Hashes, starts: np.ndarray, length: int) -> np.ndarray:
+    return mix64(text.hashes(starts, starts + length))
+
+
+def _spread(mask: np.ndarray, length: int) -> np.ndarray:
+    """The bytes that strings of ``length`` bytes cover, given where those start."""
+    gone, size = mask.copy(), 1
+    while size < length:
+        step = min(size, length - size)
+        gone[step:] |= gone[:-step].copy()
+        size += step
+    return gone
+
+
 def _pack(a: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
 
@@ -142,8 +186,9 @@ def _by_range(shard: int, kind: str, keys: np.ndarray, others: list[np.ndarray],
 def _packed_shards(documents: DataFrame, id_col: str, text_col: str, n: int, shard_bytes: int) -> DataFrame:
     """One row per shard: ids, lengths and texts of its documents, in the order of ids.
 
-    Ranges of ids are dealt by sampled rows; within a range, shards are cut by bytes: before the id whose
-    text would take one past twice ``shard_bytes``. Only texts of one id are never parted. A shard's number is its range and its place there.
+    The ids are dealt to ``n`` ranges by sampled rows; within a range, shards are cut by bytes: before the id whose
+    text would take one past ``shard_bytes``. Only texts of one id are never parted. A shard's number is its range
+    and its place there.
     """
 
     def run(batches):
@@ -158,7 +203,7 @@ def _packed_shards(documents: DataFrame, id_col: str, text_col: str, n: int, sha
         for batch in batches:
             for key, text, part in zip(*(c.to_pylist() for c in batch.columns)):
                 text = (text or "").encode()
-                if ids and key != ids[-1] and size + len(text) > 2 * shard_bytes:
+                if ids and key != ids[-1] and size + len(text) > shard_bytes:
                     yield pack()
                     ids, texts, size, cuts = [], [], 0, cuts + 1
                 ids.append(key)
@@ -279,12 +324,11 @@ def _settle(shards: DataFrame, answers: DataFrame, parts: int, length: int, gram
         home = np.zeros(len(h), bool)
         home[order] = varied[np.cumsum(new_h) - 1] if len(h) else False
         open_anchors = (abroad | home) & ~covered
-        mask = np.zeros(len(s.data), bool)
-        mask[s.strings(np.flatnonzero(covered))] = True
+        mask = s.covered(covered)
         starts = s.strings(np.flatnonzero(open_anchors))
         local, first = engine(s, starts)
         mask[starts[local]] = True
-        keys = np.unique(s.fingerprints(first))
+        keys = np.unique(_fingerprints(s, first, length))
         open_mask = np.zeros(len(s.data), bool)
         open_mask[starts[~local]] = True
         rows = [(shard, "covered", 0, _pack(np.packbits(mask))), (shard, "open", 0, _pack(np.packbits(open_mask)))]
@@ -311,16 +355,8 @@ def _finish(shards: DataFrame, settled: DataFrame, answers: DataFrame, id_col: s
             mask = np.unpackbits(_unpack(blobs["covered"], np.uint8), count=n).view(bool).copy()
             still = np.flatnonzero(np.unpackbits(_unpack(blobs["open"], np.uint8), count=n))
             if len(still):
-                s = Shard.__new__(Shard)
-                s.length, s.prefix = length, np.zeros(n + 1, np.uint64)
-                np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * _powers(_BASE, n), out=s.prefix[1:])
-                s.undo = _powers(_INVERSE, n + 1)
-                mask[still[_within(s.fingerprints(still), np.sort(np.concatenate(seen)))]] = True
-            edge = np.zeros(n + length + 1, np.int32)
-            at = np.flatnonzero(mask)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length, -1)
-            gone = np.cumsum(edge)[:n] > 0
+                mask[still[_within(_fingerprints(Hashes(data), still, length), np.sort(np.concatenate(seen)))]] = True
+            gone = _spread(mask, length)
             begin = 0
             for key, size in zip(ids.tolist(), lengths.tolist()):
                 part = gone[begin : begin + size]
@@ -372,7 +408,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document (id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of every text."""
     bounded_batches(documents.sparkSession)
     size = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first().n or 0
-    n = max(1, -(-size // shard_bytes))
+    n = max(1, -(-size // (SHARDS_A_FILE * shard_bytes)))
     parts = max(1, -(-size * 2 // (length - gram + 2) // RANGE_ROWS))
     shards = _packed_shards(documents, id_col, text_col, n, shard_bytes)
     release(documents.sparkSession)
