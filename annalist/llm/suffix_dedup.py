@@ -238,7 +238,7 @@ def _offers(shards: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     return shards.mapInArrow(run, _SCHEMA)
 
 
-def _answers(offers: DataFrame, second: int) -> DataFrame:
+def _answers(offers: DataFrame, second: int, parts: int) -> DataFrame:
     """What every shard must know of each range: keys that an earlier shard holds, and anchors with several contexts.
 
     ``second`` is the width in bytes of what follows each 8-byte key: 4 for contexts, 0 for strings.
@@ -267,7 +267,8 @@ def _answers(offers: DataFrame, second: int) -> DataFrame:
                 rows.append((number, kind, 0, h[part].tobytes() + c[part].tobytes() if kind == "seen" else np.unique(h[part]).tobytes()))
         return pa.Table.from_batches([_rows(rows)])
 
-    return written(offers.groupBy("part").applyInArrow(run, _SCHEMA), "answers")
+    dealt = offers.repartition(max(1, parts // 4), "part")  # a few ranges a task, whatever the session's default
+    return written(dealt.groupBy("part").applyInArrow(run, _SCHEMA), "answers")
 
 
 def _seen(blobs: list[bytes]) -> np.ndarray:
@@ -299,7 +300,11 @@ def _later(keys: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def _settle(shards: DataFrame, answers: DataFrame, parts: int, length: int, gram: int, engine) -> DataFrame:
+def _by_shard(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(tasks, "shard")
+
+
+def _settle(shards: DataFrame, answers: DataFrame, parts: int, tasks: int, length: int, gram: int, engine) -> DataFrame:
     """Strings that repeat by their contexts (``covered``), those still open, and distinct open strings by hash range."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -334,11 +339,11 @@ def _settle(shards: DataFrame, answers: DataFrame, parts: int, length: int, gram
         rows = [(shard, "covered", 0, _pack(np.packbits(mask))), (shard, "open", 0, _pack(np.packbits(open_mask)))]
         return pa.Table.from_batches([_rows(rows + list(_by_range(shard, "string", keys, [], 64, parts)))])
 
-    rows = shards.unionByName(answers)
+    rows = _by_shard(shards.unionByName(answers), tasks)
     return written(rows.groupBy("shard").applyInArrow(run, _SCHEMA), "settled")
 
 
-def _finish(shards: DataFrame, settled: DataFrame, answers: DataFrame, id_col: str, length: int) -> DataFrame:
+def _finish(shards: DataFrame, settled: DataFrame, answers: DataFrame, tasks: int, id_col: str, length: int) -> DataFrame:
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(table: pa.Table) -> pa.Table:
@@ -368,7 +373,7 @@ def _finish(shards: DataFrame, settled: DataFrame, answers: DataFrame, id_col: s
         types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names=names)
 
-    rows = shards.unionByName(settled.where("kind != 'string'")).unionByName(answers)
+    rows = _by_shard(shards.unionByName(settled.where("kind != 'string'")).unionByName(answers), tasks)
     return rows.groupBy("shard").applyInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -412,13 +417,13 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = max(1, -(-size * 2 // (length - gram + 2) // RANGE_ROWS))
     shards = _packed_shards(documents, id_col, text_col, n, shard_bytes)
     release(documents.sparkSession)
-    answers = _answers(_offers(shards, parts, length, gram), 4)
+    answers = _answers(_offers(shards, parts, length, gram), 4, parts)
     release(documents.sparkSession)
-    settled = _settle(shards, answers, parts, length, gram, engine)
+    settled = _settle(shards, answers, parts, n, length, gram, engine)
     release(documents.sparkSession)
-    found = _answers(settled.where("kind = 'string'"), 0)
+    found = _answers(settled.where("kind = 'string'"), 0, parts)
     release(documents.sparkSession)
-    out = _finish(shards, settled, found, id_col, length)
+    out = _finish(shards, settled, found, n, id_col, length)
     no_id = documents.where(F.col(id_col).isNull()).select(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8").alias("kept"))
     loose = no_id.select(F.lit(None).cast("long").alias(id_col), F.length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
     return out.unionByName(loose)
