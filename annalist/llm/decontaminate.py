@@ -6,14 +6,19 @@ overlap by half, so every run of SEGMENT words lies whole in a passage. A passag
 reaches THRESHOLD of the score that the segment gives itself. The block maxima of all passages of a text are summed
 first, vectorised, and only passages for which some block can reach a threshold are scored by WAND. What is
 retrieved is verified: the share of the item's five-word shingles that occur anywhere in the text (OVERLAP or more), and
-that of its question (all but the last sentence) and of its answer (the last sentence) on their own.
+that of its question (all but the last sentence) and of its answer (the last sentence) on their own; parts of fewer than
+SHORT words are compared by pairs of words, and those of five or fewer by words, for one changed word would spoil most
+of their shingles.
 
-The index of at most SLICE items is a broadcast of bounded size; more items make more slices, each of them queried by
-all texts in turn. Every text is read whole, in every slice.
+Term frequencies, the number of segments and their mean length are counted once over all items, so an item's scores and
+thresholds do not depend on how items are dealt. The index of at most about SLICE items is a slice; slices are
+broadcast together up to GROUP_BYTES and queried in one pass over the texts, and more slices make more passes. Every
+text is read whole; block maxima are summed for STRETCH halves of a passage at a time, so that memory does not grow with
+the length of a text beyond its words.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than five words is one shingle; equal
-items are all reported; an empty benchmark or table gives no matches; repeated rows give repeated results; other columns
-are ignored by ``matches`` and kept by ``clean``.
+items are all reported; an empty benchmark or table gives no matches; repeated rows give repeated results; other columns,
+whatever their names, are ignored by ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import bounded_batches, mix64
+from annalist.llm.common import bounded_batches, mix64, written
 
 SEGMENT = 64
 BLOCK = 4
@@ -37,7 +42,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.7
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 SHINGLE = 5
+SHORT = 15  # words of a question or answer under which it is compared by pairs of words, or single ones
 SLICE = 1000
+GROUP_BYTES = 128 << 20  # of the indexes that are broadcast together
+STRETCH = 4096
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -58,27 +66,46 @@ def _shingles(ids: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix64(h))
 
 
+def segments_of(words: list[str]) -> list[list[str]]:
+    """Segments of an item, of even length, so that no short rest matches everything."""
+    parts = -(-len(words) // SEGMENT)
+    return [words[k * len(words) // parts : (k + 1) * len(words) // parts] for k in range(parts)]
+
+
+def counts_of(texts) -> tuple[Counter, int, int]:
+    """Of the segments of items: how many hold each term, how many there are, and their words."""
+    frequency, size, total = Counter(), 0, 0
+    for text in texts:
+        for segment in segments_of(words_of(text)) if text else ():
+            frequency.update(set(segment))
+            size += 1
+            total += len(segment)
+    return frequency, size, total
+
+
 class Index:
-    """Impact-ordered facts of a BM25 index with block maxima, and the items for verification."""
+    """Impact-ordered facts of a BM25 index with block maxima, and the items for verification.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``counts`` are those of the whole benchmark (``counts_of``); without them, the items are the whole benchmark.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], counts: tuple | None = None):
         self.items = [(i, words_of(t)) for i, t in items if t and words_of(t)]
         self.parts = {}
         segments, of = [], []
-        for n, (i, words) in enumerate(self.items):
-            parts = -(-len(words) // SEGMENT)
-            for k in range(parts):  # of even length, so that no short rest matches everything
-                segments.append(words[k * len(words) // parts : (k + 1) * len(words) // parts])
-                of.append(n)
+        for n, (_, words) in enumerate(self.items):
+            own = segments_of(words)
+            segments += own
+            of += [n] * len(own)
         self.of, self.size = np.array(of, np.int64), len(segments)
         self.terms: dict[str, int] = {}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        frequency = Counter(t for s in segments for t in set(s))
-        average = sum(map(len, segments)) / max(1, self.size)
+        frequency, everything, total = counts or counts_of(t for _, t in items)
+        average = total / max(1, everything)
         self.own = np.zeros(self.size)
         for n, s in enumerate(segments):
             for t, tf in Counter(s).items():
-                idf = math.log1p((self.size - frequency[t] + 0.5) / (frequency[t] + 0.5))
+                idf = math.log1p((everything - frequency[t] + 0.5) / (frequency[t] + 0.5))
                 impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / average))
                 postings[self.terms.setdefault(t, len(self.terms))].append((n, impact))
                 self.own[n] += impact
@@ -92,6 +119,9 @@ class Index:
         self.block_need = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)], np.float32)
         self.least = float(self.need.min()) if self.size else math.inf
 
+    def size_in_bytes(self) -> int:
+        return self.block_max.nbytes + sum(200 + 16 * len(p[0]) for p in self.postings) + sum(60 * len(w) for _, w in self.items)
+
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All segments that reach their thresholds for a passage's distinct terms: block-max WAND."""
         lists = [(*(x.tolist() for x in self.postings[t]), float(self.term_max[t]), self.block_max[t]) for t in terms]
@@ -162,19 +192,23 @@ class Matcher:
         pairs = np.unique(at // SEGMENT * n_terms + ids[at])  # the terms of each half, once
         half, term = pairs // n_terms, pairs % n_terms
         starts = np.searchsorted(half, np.arange(halves + 1))
-        sums = np.zeros((halves + 1, index.block_max.shape[1]), np.float32)
-        some = np.flatnonzero(np.diff(starts))
-        if len(some):
-            sums[some] = np.add.reduceat(index.block_max[term], starts[some], axis=0)
-        bound = sums[:-1] + sums[1:]  # of the passage of two halves; the last passage has one
         best: dict[int, float] = {}
-        for p in np.flatnonzero((bound >= index.block_need - 1e-3).any(1)).tolist():
-            terms = np.unique(term[starts[p] : starts[min(p + 2, halves)]])
-            if not (index.block_max[terms].sum(0) >= index.block_need - 1e-3).any():  # terms of both halves count once
+        for lo in range(0, halves, STRETCH):
+            hi = min(lo + STRETCH, halves)
+            inner = starts[lo : min(hi + 1, halves) + 1]  # with the half after the stretch
+            sums = np.zeros((hi - lo + 1, index.block_max.shape[1]), np.float32)
+            some = np.flatnonzero(np.diff(inner))
+            if not len(some):
                 continue
-            for segment, score in index.search(terms.tolist()):
-                n = int(index.of[segment])
-                best[n] = max(best.get(n, 0.0), score)
+            sums[some] = np.add.reduceat(index.block_max[term[inner[0] : inner[-1]]], inner[some] - inner[0], axis=0)
+            bound = sums[:-1] + sums[1:]  # of the passage of two halves; the last passage has one
+            for p in (np.flatnonzero((bound >= index.block_need - 1e-3).any(1)) + lo).tolist():
+                terms = np.unique(term[starts[p] : starts[min(p + 2, halves)]])
+                if not (index.block_max[terms].sum(0) >= index.block_need - 1e-3).any():  # terms of both halves count once
+                    continue
+                for segment, score in index.search(terms.tolist()):
+                    n = int(index.of[segment])
+                    best[n] = max(best.get(n, 0.0), score)
         return best
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
@@ -187,16 +221,14 @@ class Matcher:
             k, target = self.targets[n]
             if ids is None:
                 ids = self._ids(words)
-            if k not in runs:
-                runs[k] = _shingles(ids, k)
             cut = self._answer_at(n)
             shares = []
-            for part in (target, target[:cut], target[cut:]):
-                s = _shingles(part, min(k, len(part)))
-                if len(part) < k:  # too short for a shingle of its own
-                    shares.append(1.0)
-                    continue
-                shares.append(float(np.isin(s, runs[k]).mean()) if len(s) else 1.0)
+            for part, size in (target, k), (target[:cut], 0), (target[cut:], 0):
+                size = size or (k if len(part) >= SHORT else 2 if len(part) > SHINGLE else 1)
+                if size not in runs:
+                    runs[size] = _shingles(ids, size)
+                s = _shingles(part, size)
+                shares.append(float(np.isin(s, runs[size]).mean()) if len(s) else 1.0)
             if shares[0] >= self.overlap and min(shares[1:]) >= PART_OVERLAP:
                 found.append((item, score, *shares))
         return sorted(found)
@@ -207,39 +239,78 @@ class Matcher:
         return self.index.parts.get(n) or max(1, len(words) * 3 // 4)
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    index = Index(items)
-    texts = dict.fromkeys(range(len(index.items)), None)
+def build(items: list[tuple[int, str]], counts: tuple | None = None) -> Index:
+    index = Index(items, counts)
     kept = [t for _, t in items if t and words_of(t)]
-    for n in texts:
-        sentences = [s for s in _SENTENCE.split(kept[n]) if words_of(s)]
+    for n, text in enumerate(kept):
+        sentences = [s for s in _SENTENCE.split(text) if words_of(s)]
         if len(sentences) > 1:
             index.parts[n] = len(index.items[n][1]) - len(words_of(sentences[-1]))
     return index
 
 
+def _counted(items: DataFrame) -> DataFrame:
+    """(term, n, words): segments of all items that hold each term; under the term null, all segments and their words."""
+
+    def run(batches):
+        frequency, size, total = Counter(), 0, 0
+        for batch in batches:
+            found = counts_of(batch.column(0).to_pylist())
+            frequency.update(found[0])
+            size, total = size + found[1], total + found[2]
+        names, n = [None, *frequency], [size, *frequency.values()]
+        words = [total] + [0] * len(frequency)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(words, pa.int64())], names=["term", "n", "words"])
+
+    return items.select("t").mapInArrow(run, "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+
+
 def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SLICE):
-    """Indexes of at most about ``size`` items each, broadcast one after another."""
+    """Indexes of about ``size`` items each, one after another; all of them use the statistics of the whole benchmark."""
     spark = benchmark.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     n = max(1, -(-items.count() // size))
+    counted = _counted(items)
+    if n > 1:
+        counted = written(counted, "terms")
+    whole = counted.where("term is null").first()
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()  # about ``size`` rows
-        yield spark.sparkContext.broadcast(build([(r.i, r.t) for r in rows]))
-
-
-def matches(documents: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        terms = counted.where("term is not null").select("term", "n")
+        if n > 1:
+            own = spark.createDataFrame([(t,) for t in sorted({w for r in rows for w in words_of(r.t)})], "term string")
+            terms = terms.join(own, "term", "left_semi")
+        frequency = {r.term: r.n for r in terms.collect()}  # no more than the terms of the slice
+        yield build([(r.i, r.t) for r in rows], (frequency, whole.n if whole else 0, whole.words if whole else 0))
+
+
+def groups(benchmark: DataFrame, size: int = SLICE, most: int = GROUP_BYTES):
+    """Broadcasts of lists of slices, each of ``most`` bytes or a single slice."""
+    context, group, held = benchmark.sparkSession.sparkContext, [], 0
+    for index in slices(benchmark, size=size):
+        if group and held + index.size_in_bytes() > most:
+            yield context.broadcast(group)
+            group, held = [], 0
+        group.append(index)
+        held += index.size_in_bytes()
+    yield context.broadcast(group)
+
+
+def matches(
+    documents: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", size: int = SLICE, most: int = GROUP_BYTES
+) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): a row for each document and item it holds."""
     names = [id_col, "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
     types = [pa.int64(), pa.int64()] + [pa.float64()] * 4
     source, out = documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), None
-    for index in slices(benchmark):
+    for group in groups(benchmark, size, most):
 
-        def run(batches, index=index):
-            matcher = Matcher(index.value, overlap)
+        def run(batches, group=group):
+            matchers = [Matcher(index, overlap) for index in group.value]
             for batch in batches:
-                rows = [(key, *m) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in matcher.matches(text)]
+                texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                rows = [(key, *m) for key, text in texts for matcher in matchers for m in matcher.matches(text)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], names=names)
 
         part = source.mapInArrow(run, f"{id_col} long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
@@ -247,15 +318,16 @@ def matches(documents: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP
     return out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that hold no item of the benchmark."""
-    at = documents.columns.index(text_col)
-    for index in slices(benchmark):
+def clean(documents: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, text_col: str = "text", size: int = SLICE, most: int = GROUP_BYTES) -> DataFrame:
+    """The rows of ``documents`` that hold no item of the benchmark; between two groups of slices they are written."""
+    at, first = documents.columns.index(text_col), True
+    for group in groups(benchmark, size, most):
 
-        def run(batches, index=index):
-            matcher = Matcher(index.value, overlap)
+        def run(batches, group=group):
+            matchers = [Matcher(index, overlap) for index in group.value]
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not any(m.matches(t) for m in matchers) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = (documents if first else written(documents, "cleaned")).mapInArrow(run, documents.schema)
+        first = False
     return documents

@@ -34,6 +34,7 @@ HEAD = frozenset("head base basefont bgsound link meta noframes noscript script
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div article section main aside nav header footer form table ul ol dl blockquote td th li dd figure fieldset details".split())
+ENDS = {t: {*SIBLINGS.get(t, ()), *(("p",) if t in CLOSES_P else ())} for t in {*SIBLINGS, *CLOSES_P}}  # what a tag closes, up to a scope
 # fixed values: words of class, id and role attributes
 BOILER_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright discussion disqus dialog disclaimer footer "
@@ -63,6 +64,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes, parents first, and the text pieces (node, text) in page order; a piece of one space parts blocks."""
     nodes, pieces = [Node("#root", -1, frozenset(), None)], []
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block each belongs to
+    opened: Counter = Counter()  # tags on the stack
+    regions, runs = [Counter()], [Counter()]  # tags from each open scope on, and inline tags since each open block
     hidden = links = 0  # depth of hidden and of link elements
     at, size = 0, len(html)
 
@@ -83,8 +86,23 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             tag, _ = stack.pop()
             hidden -= tag in HIDDEN
             links -= tag == "a"
+            opened[tag] -= 1
+            if tag in SCOPES:
+                regions.pop()
+            else:
+                regions[-1][tag] -= 1
             if tag not in INLINE:
                 pieces.append((0, " "))
+                runs.pop()
+            else:
+                runs[-1][tag] -= 1
+
+    def top(tags) -> int:
+        """The place of the topmost open element of these tags; all above it are about to be closed."""
+        depth = len(stack) - 1
+        while stack[depth][0] not in tags:
+            depth -= 1
+        return depth
 
     while at < size:
         lt = html.find("<", at)
@@ -114,15 +132,10 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if stack[-1][0] == "head" and tag not in HEAD and (html[lt + 1] != "/" or tag in ("body", "html", "br")):
             close(len(stack) - 1)
         if html[lt + 1] == "/":
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
-            else:
-                if tag == "p":
-                    pieces.append((0, " "))
+            if (runs[-1] if tag in INLINE else opened)[tag]:
+                close(top((tag,)))
+            elif tag == "p":
+                pieces.append((0, " "))
             continue
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.I).search(html, at) if not attributes.rstrip().endswith("/") else None
@@ -135,16 +148,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             pieces.append((0, " "))
             continue
-        also = SIBLINGS.get(tag, ())
-        if tag in CLOSES_P or also:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = stack[depth][0]
-                if open_tag in also or (open_tag == "p" and tag in CLOSES_P):
-                    close(depth)
-                    if tag not in ("tr",):
-                        break
-                elif open_tag in SCOPES:
-                    break
+        ends = ENDS.get(tag, ())
+        while any(regions[-1][t] for t in ends):
+            close(top(ends))
+            if tag != "tr":
+                break
         block = stack[-1][1]
         if tag not in INLINE:
             marks = {k.lower(): a or b or c for k, a, b, c in _MARKS.findall(attributes)} if attributes else {}
@@ -157,6 +165,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             stack.append((tag, block))
             hidden += tag in HIDDEN
             links += tag == "a"
+            opened[tag] += 1
+            if tag in SCOPES:
+                regions.append(Counter())
+            regions[-1][tag] += 1
+            if tag in INLINE:
+                runs[-1][tag] += 1
+            else:
+                runs.append(Counter())
     return nodes, pieces
 
 

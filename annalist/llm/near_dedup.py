@@ -247,5 +247,8 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``documents`` whose id names their class: one document of each class. Rows without an id stay."""
-    gone = written(classes(documents, id_col, text_col, similarity).where("class_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return documents.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    taken, name = {c.lower() for c in documents.columns}, "gone"
+    while name in taken:
+        name += "_"
+    gone = written(classes(documents, id_col, text_col, similarity).where("class_id != doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return documents.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -230,8 +230,8 @@ def _gazetteer(kind, span, before, after):
         return int(span[1:].lstrip("( ").startswith(CALLING_CODES))
     if kind == "number":
         return 0
-    if kind == "person":
-        return int(span.split(" ")[0] in GIVEN_NAMES)
+    if kind == "person":  # a name that is not listed says nothing
+        return 1 if span.split(" ")[0] in GIVEN_NAMES else -1
     return -1
 
 

@@ -11,7 +11,7 @@ are described at ``profile``.
 
 Defined results: a null text counts as empty and fails the base; a null language is a language of its own;
 an empty table gives an empty result; repeated rows give repeated results and count repeatedly in the
-references; other columns, whatever their names, are kept by ``keep`` and ignored by ``judge`` (names that begin with an underscore are this module's own).
+references; other columns, whatever their names, are kept by ``keep`` and ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ class Limits:
     max_repeat_percent: int = 50
     char_distance: float = 0.25
     min_chars: int = 200  # code points below which the character test is off
-    word_distance: float = 0.60
-    min_word_count: int = 150  # words below which the common-word test is off
+    word_distance: float = 0.25
+    min_word_count: int = 100  # words below which the common-word test is off
     min_documents: int = 30  # below which a language has no reference of its own
 
 
@@ -103,9 +103,11 @@ def _words_of(lang: Column) -> Column:
 
 
 def profile(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The columns of ``documents``, a struct ``_m`` of the base counts and a struct ``_h`` of both histograms' shares."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = [F.col(f"`{c}`") for c in documents.columns]
+    """A struct ``_row`` of the columns of ``documents`` (so that no name of theirs clashes), the language ``_lang``, a struct
+    ``_m`` of the base counts and a struct ``_h`` of both histograms' shares."""
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    documents = documents.select(row.alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
+    text, kept = F.col("_text"), [F.col("_row"), F.col("_lang")]
     # the text without plain letters is short, and most counts need only that
     rest, words = F.regexp_replace(text, "[a-z]+", ""), F.array_remove(F.split(F.translate(text, SPACE, " " * len(SPACE)), " "), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
@@ -114,7 +116,7 @@ def profile(documents: DataFrame, text_col: str = "text", lang_col: str = "lang"
     grams = F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
     letters = F.regexp_replace(r, r"[^\p{L}\p{M}]+", "")
     upper = F.length(F.regexp_replace(letters, r"[^\p{Lu}]+", "")).cast("long")
-    common = F.array(*((n - F.size(F.array_remove(w, F.element_at(_words_of(F.col(lang_col)), F.lit(i + 1))))).cast("double") for i in range(10)))
+    common = F.array(*((n - F.size(F.array_remove(w, F.element_at(_words_of(F.col("_lang")), F.lit(i + 1))))).cast("double") for i in range(10)))
     b = a.select(
         *kept, "_len", "_dup", "_w", _once(grams).alias("_g"), n.alias("_n"), _count(r, SPACE).alias("_space"), _count(r, SYMBOLS).alias("_sym"), upper.alias("_upper"),
         (F.col("_len") - F.length(r) + F.length(letters) - upper).cast("long").alias("_lower"), _count(r, "0123456789").alias("_digit"),
@@ -132,10 +134,10 @@ def profile(documents: DataFrame, text_col: str = "text", lang_col: str = "lang"
     )
 
 
-def references(profiled: DataFrame, limits: Limits = Limits(), lang_col: str = "lang") -> DataFrame:
+def references(profiled: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Mean histograms by language over the documents long enough, and those of all under the key null and all = true."""
     flat = profiled.where(F.col("_m.n_words") >= limits.min_words).select(
-        F.col(lang_col).cast("string").alias("_lang"), *(F.col("_h.chars")[i].alias(f"c{i}") for i in range(len(CLASSES))), *(F.col("_h.words")[i].alias(f"w{i}") for i in range(11))
+        "_lang", *(F.col("_h.chars")[i].alias(f"c{i}") for i in range(len(CLASSES))), *(F.col("_h.words")[i].alias(f"w{i}") for i in range(11))
     )
     means = [F.avg(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES))] + [F.avg(f"w{i}").alias(f"w{i}") for i in range(11)]
     return (
@@ -160,20 +162,20 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 BROADCAST_LANGUAGES = 5000
 
 
-def judged(profiled: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judged(profiled: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The columns of ``profiled`` (a table that can be read twice), and a struct ``_v`` of both distances and the verdict.
 
     A reference is one row per language; while those are few they are broadcast, else joined by a shuffle.
     """
-    found = references(profiled, limits, lang_col)
+    found = references(profiled, limits)
     rows = found.limit(BROADCAST_LANGUAGES + 1).collect()
     if len(rows) <= BROADCAST_LANGUAGES:
         found = profiled.sparkSession.createDataFrame(rows, found.schema)
     own = found.where(~F.col("_all")).select(F.col("_lang").alias("_l"), F.col("_rc").alias("_oc"), F.col("_rw").alias("_ow"))
     every = found.where("_all").select("_rc", "_rw")  # one row
     own, every = (F.broadcast(own) if len(rows) <= BROADCAST_LANGUAGES else own), F.broadcast(every)
-    matched = profiled.join(own, F.col(lang_col).cast("string").eqNullSafe(F.col("_l")), "left").join(every, F.lit(True), "left")
-    own_words = F.coalesce(F.col(lang_col).isin(*COMMON_WORDS), F.lit(False))
+    matched = profiled.join(own, F.col("_lang").eqNullSafe(F.col("_l")), "left").join(every, F.lit(True), "left")
+    own_words = F.coalesce(F.col("_lang").isin(*COMMON_WORDS), F.lit(False))
     chars, words = jensen_shannon(F.col("_h.chars"), F.coalesce("_oc", "_rc")), jensen_shannon(F.col("_h.words"), F.coalesce("_ow", "_rw"))
     out = matched.select(*profiled.columns, _once(chars).alias("_cd"), _once(words).alias("_wd"))
     n = F.col("_m.n_words")
@@ -185,11 +187,12 @@ def judged(profiled: DataFrame, limits: Limits = Limits(), text_col: str = "text
 
 def judge(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per document its counts, distances and verdict. The profiles, without texts, are written once and read twice."""
-    profiled = written(profile(documents.select(id_col, text_col, lang_col), text_col, lang_col).drop(text_col), "profiles")
-    return judged(profiled, limits, text_col, lang_col).select(id_col, "_m.*", "_v.base_failed", "_v.kept", "_v.char_distance", "_v.word_distance")
+    rows = documents.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_t"), F.col(f"`{lang_col}`").alias("_l"))
+    profiled = written(profile(rows, "_t", "_l").withColumn("_row", F.struct(F.col("_row")[id_col].alias(id_col))), "profiles")
+    return judged(profiled, limits).select("_row.*", "_m.*", "_v.base_failed", "_v.kept", "_v.char_distance", "_v.word_distance")
 
 
 def keep(documents: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``documents`` that are kept, with their own columns."""
+    """The rows of ``documents`` that are kept, with their own columns, whatever their names."""
     profiled = written(profile(documents, text_col, lang_col), "profiles")
-    return judged(profiled, limits, text_col, lang_col).where("_v.kept").select(*(F.col(f"`{c}`") for c in documents.columns))
+    return judged(profiled, limits).where("_v.kept").select("_row.*")

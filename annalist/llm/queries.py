@@ -19,7 +19,7 @@ def vocabulary() -> str:
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, documents, labels = (table(spark, sf_dir, t) for t in ("pages", "documents", "labels"))
-    return url_filter.judge(pages, url_filter.page_outcomes(pages, documents, labels)).drop("upper")
+    return url_filter.judge(pages, url_filter.article_outcomes(pages, documents, labels)).drop("upper")
 
 
 def op2_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +121,6 @@ _OP7 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
  m AS (SELECT h.*, coalesce(own.c, every.c) AS qc, coalesce(own.v, every.v) AS qw FROM h LEFT JOIN (SELECT * FROM refs WHERE NOT whole AND n >= 30) own ON h.lang IS NOT DISTINCT FROM own.lang LEFT JOIN (SELECT * FROM refs WHERE whole) every ON true),
  j AS (SELECT *, {_distance("pc", "qc", _N_CHARS)} AS char_distance, {_distance("pw", "qw", 11)} AS word_distance, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance,
- NOT base_failed AND NOT coalesce((word_chars >= 200 AND char_distance > 0.25) OR (n_words >= 150 AND coalesce(lang IN {tuple(quality_rules.COMMON_WORDS)}, false) AND word_distance > 0.60), false) AS kept FROM j"""
+ NOT base_failed AND NOT coalesce((word_chars >= 200 AND char_distance > 0.25) OR (n_words >= 100 AND coalesce(lang IN {tuple(quality_rules.COMMON_WORDS)}, false) AND word_distance > 0.25), false) AS kept FROM j"""
 
 ORACLE_SQL: dict[str, str] = {"op1_url_reputation": _OP1, "op7_quality_divergence": _OP7}

@@ -10,7 +10,8 @@ Base kinds (assign, access, hex) are leftmost non-overlapping matches that pass
 kinds add spans of their own and never change the base ones. Offsets are code points, ends exclusive.
 
 Defined results: a null text counts as empty (no spans); an empty table gives an empty result; repeated rows
-give repeated results; other columns are ignored by ``scan`` and kept by ``redact``.
+give repeated results; other columns, whatever their names, are ignored by ``scan`` and kept by ``redact``. Texts are
+read whole, each rule in time linear in the text: no rule reads a run of characters once for each start in it.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("vcs_token", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),
     Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("signed_token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("signed_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
 )
 

@@ -77,9 +77,11 @@ def _shrunk(units: DataFrame, key: str, mean: str, out: str, how: Reputation) ->
 def reputations(labelled: DataFrame, hosts: DataFrame, how: Reputation = Reputation()) -> DataFrame:
     """Per host of ``hosts`` (host) its labels and posterior.
 
-    ``labelled`` has (host, outcome); the result (host, n, k, prior_mean, strength, mean, upper).
+    ``labelled`` has (host, outcome, pages): so many pages of the host with that outcome, in one row or several; the
+    result (host, n, k, prior_mean, strength, mean, upper).
     """
-    by_host = labelled.where(F.col("outcome").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("outcome").cast("double")).alias("k"))
+    n, k = F.sum("pages").cast("double"), F.sum(F.col("outcome") * F.col("pages")).cast("double")
+    by_host = labelled.where(F.col("outcome").isNotNull()).groupBy("host").agg(n.alias("n"), k.alias("k"))
     units = hosts.select("host").distinct().join(by_host, "host", "left").fillna(0.0, ["n", "k"]).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     units = written(units, "hosts")  # read once for each level of the priors
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
@@ -94,14 +96,20 @@ def reputations(labelled: DataFrame, hosts: DataFrame, how: Reputation = Reputat
     return found.select("host", "n", "k", F.col("m2").alias("prior_mean"), F.col("_s_mean").alias("strength"), "mean", F.least(F.lit(1.0), F.col("mean") + how.deviations * deviation).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, how: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def outcomes_by_host(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(host, outcome, pages) of page outcomes (page_id, outcome): 1 for a page known to be good, 0 for a bad one."""
+    parsed = pages.select(F.col(id_col).alias("page_id"), parse(F.col(url_col))[0].alias("host"))
+    known = outcomes.select(F.col("page_id").alias("_page"), "outcome")
+    return parsed.join(known, F.col("page_id") == F.col("_page")).groupBy("host", "outcome").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, how: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per page (id, host, path, rule, verdict, upper): the rule's verdict, else that of the host's reputation.
 
-    ``outcomes`` has (page_id, outcome): 1 for a page known to be good, 0 for a bad one.
+    ``labelled`` has (host, outcome, pages), as ``outcomes_by_host`` or ``article_outcomes`` give it.
     """
     host, path = parse(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    labelled = parsed.join(outcomes.select(F.col("page_id").alias("_page"), "outcome"), F.col("page_id") == F.col("_page")).select("host", "outcome")
     found = reputations(labelled, parsed, how).select(F.col("host").alias("_host"), "upper")
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("upper") < how.threshold, "block").otherwise("allow")
@@ -121,12 +129,17 @@ def text_digest(text: Column) -> Column:
     return F.md5(F.trim(F.regexp_replace(text, r"[ \t\n\x0b\f\r]+", " ")))
 
 
-def page_outcomes(pages: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Outcomes (page_id, outcome) of pages whose article is the text of a labelled document: the majority of its labels."""
+def article_outcomes(pages: DataFrame, documents: DataFrame, labels: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, outcome, pages) of the pages whose article is the text of a labelled document: the majority of its labels.
+
+    Pages are counted by digest and host before the join, so an article that a third of all pages carry is one row a host.
+    """
     known = (
         documents.select("doc_id", text_digest(F.col("text")).alias("digest"))  # before the shuffle, which carries no texts
         .join(labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), "quality"), F.col("doc_id") == F.col("_id"))
         .groupBy("digest")
         .agg((F.avg("quality") >= 0.5).cast("int").alias("outcome"))
     )
-    return pages.select("page_id", article_digest(F.col("html")).alias("_digest")).join(known, F.col("_digest") == F.col("digest")).select("page_id", "outcome")
+    articles = pages.select(parse(F.col(url_col))[0].alias("host"), article_digest(F.col(html_col)).alias("_digest")).where("_digest is not null")
+    counted = articles.groupBy("_digest", "host").agg(F.count(F.lit(1)).alias("pages"))
+    return counted.join(known, F.col("_digest") == F.col("digest")).select("host", "outcome", "pages")

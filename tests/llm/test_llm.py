@@ -204,7 +204,7 @@ def test_url_rules_and_shrinkage(spark):
     urls = ["https://WWW.Example.com/en/1?x", "http://example.com/en/2", "http://a.net/es/3", "http://b.org", None, "no scheme", "http://bad.org/1", "http://x.com"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(100 + i, "http://bad.org/") for i in range(60)] + [(200 + i, "http://good.org/") for i in range(60)], "page_id long, url string")
     outcomes = spark.createDataFrame([(100 + i, 0) for i in range(60)] + [(200 + i, 1) for i in range(60)], "page_id long, outcome int")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, outcomes).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.outcomes_by_host(pages, outcomes)).collect()}
     assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow") and got[1][2:] == ("example.com/en/", "block") and got[2][2:] == ("net/es/", "block")
     assert got[4] == ("", "", None, "allow") and got[5] == ("", "", None, "allow") and got[7][2] is None
     assert got[6][3] == "block" and got[3][3] == "allow" and got[200][3] == "allow"
