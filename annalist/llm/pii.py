@@ -62,22 +62,22 @@ AGAINST = frozenset("version isbn issn order invoice sku part ref serial section
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# boundaries are tested behind the first character, so that the engine looks for that character alone
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
-_RUN, _AT = re.compile(r"[0-9]+"), re.compile(r"at[)\]}]")
+_RUN = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = {
     "email_masked": re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[{]at[)\]}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{]dot[)\]}])\x20?[A-Za-z0-9-]{1,63}){1,8}"),
-    "phone_local": re.compile(r"(?<![\w+(.-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])"),
-    "national_id": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    "ipv6": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
-    "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w)"),
-    # a listed given name with a surname, or whatever capitalised words a title or a signature leads
-    "person": re.compile(
-        r"(?<!\w)(?:(?<=\bMr\s)|(?<=\bMs\s)|(?<=\bDr\s)|(?<=\bMrs\s)|(?<=\bMr\.\s)|(?<=\bMs\.\s)|(?<=\bDr\.\s)|(?<=\bMrs\.\s)|(?<=\b[Nn]ame\sis\s)|(?<=\b[Nn]ame:\s)"
-        r"|(?<=\bSincerely,\s)|(?<=\bRegards,\s)|(?=(?:" + "|".join(sorted(GIVEN_NAMES)) + r")\x20[A-Z]))[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30}){0,2}(?!\w)"
-    ),
+    "phone_local": re.compile(r"[(0-9](?<![\w+(.-].)(?:(?<=\()[0-9]{3}\)|(?<=[0-9])[0-9]{2})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])"),
+    "national_id": re.compile(r"[0-9](?<![\w-].)[0-9]{2}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+    "ipv6": re.compile(r"[0-9A-Fa-f](?<![\w:].)[0-9A-Fa-f]{0,3}:(?:[0-9A-Fa-f]{1,4}:){6}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    "iban": re.compile(r"[A-Z](?<!\w.)[A-Z][0-9]{2}[A-Z0-9]{11,30}(?!\w)"),
 }
+_NAME = r"[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})"
+#: Capitalised words that a title or a signature leads, and a listed given name with what follows it.
+_TITLED = re.compile(r"(?:M(?:rs?|s)\.?|Dr\.?|[Nn]ame(?::|\sis)|Sincerely,|Regards,)\s(" + _NAME + r"{0,2})(?!\w)")
+_NAMED = re.compile(r"((?:" + "|".join(sorted(GIVEN_NAMES)) + r")(?:\x20[A-Z][a-z]{1,30}){1,2})(?!\w)")
 _WORD = re.compile(r"[a-z]+")
 WINDOW = 40  # code points of context on either side that cue labelers read
 
@@ -169,10 +169,13 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
         elif n > 4:
             loose.append(("phone_failed", m.start(), m.end()))
     loose = _apart(loose, base)
-    found = [
-        (kind, *m.span()) for kind, pattern in _LOOSE.items() if kind != "email_masked" or _AT.search(text) for m in pattern.finditer(text)
-    ]
-    return base, loose + _apart(found, base + loose)
+    found = []
+    for kind, pattern in _LOOSE.items():
+        if kind == "email_masked" and not any(x in text for x in ("at)", "at]", "at}")) or kind == "ipv6" and text.count(":") < 7:
+            continue
+        found += [(kind, *m.span()) for m in pattern.finditer(text)]
+    titled, named = ([("person", *m.span(1)) for m in p.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()] for p in (_TITLED, _NAMED))
+    return base, loose + _apart(found + titled + _apart(named, titled), base + loose)
 
 
 def _apart(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
