@@ -7,8 +7,8 @@ reaches THRESHOLD of the score that the segment gives itself. The block maxima o
 first, vectorised, and only passages for which some block can reach a threshold are scored by WAND. What is
 retrieved is verified: the share of the item's five-word shingles that occur anywhere in the text (OVERLAP or more), and
 that of its question (all but the last sentence) and of its answer (the last sentence) on their own; parts of fewer than
-SHORT words are compared by pairs of words, and those of five or fewer by words, for one changed word would spoil most
-of their shingles.
+SHORT words are compared by pairs of words, for one changed word would spoil most of their shingles, and those of fewer
+than five not on their own.
 
 Term frequencies, the number of segments and their mean length are counted once over all items, so an item's scores and
 thresholds do not depend on how items are dealt. The index of at most about SLICE items is a slice; slices are
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from itertools import repeat
 
@@ -42,7 +43,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.7
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 SHINGLE = 5
-SHORT = 15  # words of a question or answer under which it is compared by pairs of words, or single ones
+SHORT = 15  # words of a question or answer under which it is compared by pairs of words
 SLICE = 1000
 GROUP_BYTES = 128 << 20  # of the indexes that are broadcast together
 STRETCH = 4096
@@ -122,12 +123,18 @@ class Index:
     def size_in_bytes(self) -> int:
         return self.block_max.nbytes + sum(200 + 16 * len(p[0]) for p in self.postings) + sum(60 * len(w) for _, w in self.items)
 
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All segments that reach their thresholds for a passage's distinct terms: block-max WAND."""
+    def search(self, terms: list[int], live: list[int] | None = None) -> list[tuple[int, float]]:
+        """All segments that reach their thresholds for a passage's distinct terms: block-max WAND.
+
+        ``live`` lists the blocks whose maxima reach a threshold of theirs, if that is known; all others are skipped.
+        """
+        live = list(range(self.block_max.shape[1])) if live is None else live
+        if not live:
+            return []
         lists = [(*(x.tolist() for x in self.postings[t]), float(self.term_max[t]), self.block_max[t]) for t in terms]
-        at = [0] * len(lists)
+        at = [bisect_left(x[0], live[0] * BLOCK) for x in lists]
         order = list(range(len(lists)))
-        found, last = [], self.size
+        found, last, alive = [], self.size, 0
         while True:
             order = [i for i in order if at[i] < len(lists[i][0])]
             order.sort(key=lambda i: lists[i][0][at[i]])
@@ -143,6 +150,13 @@ class Index:
             while pivot + 1 < len(order) and lists[order[pivot + 1]][0][at[order[pivot + 1]]] == segment:
                 pivot += 1
             block = segment // BLOCK
+            alive = bisect_left(live, block, alive)
+            if alive == len(live):
+                return found
+            if live[alive] > block:
+                for i in order:
+                    at[i] = bisect_left(lists[i][0], live[alive] * BLOCK, at[i])
+                continue
             if sum(float(lists[i][3][block]) for i in order[: pivot + 1]) >= float(self.block_need[block]) - 1e-4:
                 if lists[order[0]][0][at[order[0]]] == segment:
                     score = 0.0
@@ -157,9 +171,7 @@ class Index:
                 after = lists[order[pivot + 1]][0][at[order[pivot + 1]]] if pivot + 1 < len(order) else last
                 to = max(segment + 1, min((block + 1) * BLOCK, after))
             for i in order[: pivot + 1]:
-                ids = lists[i][0]
-                while at[i] < len(ids) and ids[at[i]] < to:
-                    at[i] += 1
+                at[i] = bisect_left(lists[i][0], to, at[i])
 
 
 class Matcher:
@@ -204,9 +216,8 @@ class Matcher:
             bound = sums[:-1] + sums[1:]  # of the passage of two halves; the last passage has one
             for p in (np.flatnonzero((bound >= index.block_need - 1e-3).any(1)) + lo).tolist():
                 terms = np.unique(term[starts[p] : starts[min(p + 2, halves)]])
-                if not (index.block_max[terms].sum(0) >= index.block_need - 1e-3).any():  # terms of both halves count once
-                    continue
-                for segment, score in index.search(terms.tolist()):
+                live = np.flatnonzero(index.block_max[terms].sum(0) >= index.block_need - 1e-3)  # terms of both halves count once
+                for segment, score in index.search(terms.tolist(), live.tolist()):
                     n = int(index.of[segment])
                     best[n] = max(best.get(n, 0.0), score)
         return best
@@ -224,7 +235,10 @@ class Matcher:
             cut = self._answer_at(n)
             shares = []
             for part, size in (target, k), (target[:cut], 0), (target[cut:], 0):
-                size = size or (k if len(part) >= SHORT else 2 if len(part) > SHINGLE else 1)
+                size = size or (k if len(part) >= SHORT else 2)
+                if len(part) < SHINGLE and part is not target:  # too few words to tell
+                    shares.append(1.0)
+                    continue
                 if size not in runs:
                     runs[size] = _shingles(ids, size)
                 s = _shingles(part, size)

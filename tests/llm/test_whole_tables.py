@@ -179,7 +179,10 @@ def _naive_matches(items, text):
             cut = len(w) - len(decontaminate.words_of(sentences[-1])) if len(sentences) > 1 else max(1, len(w) * 3 // 4)
             held = []
             for part, k in ((w, min(5, len(w))), (w[:cut], 0), (w[cut:], 0)):
-                k = k or (5 if len(part) >= 15 else 2 if len(part) > 5 else 1)
+                if not k and len(part) < 5:
+                    held.append(1.0)
+                    continue
+                k = k or (5 if len(part) >= 15 else 2)
                 grams = {tuple(part[j : j + k]) for j in range(len(part) - k + 1)} if k else set()
                 held.append(len(grams & runs[k]) / len(grams) if grams else 1.0)
             if held[0] >= 0.8 and min(held[1:]) >= 0.5:
