@@ -19,11 +19,24 @@ DEFINITIONS = (
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
+def unquoted(path: str) -> str:
+    """A path as git prints it: in quotes, with C escapes and octal bytes, where it holds unusual characters."""
+    if len(path) < 2 or path[0] != '"' or path[-1] != '"':
+        return path
+    plain = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
+
+    def one(m) -> bytes:
+        e = m[1].decode()
+        return bytes([int(e, 8) if e[0].isdigit() else plain.get(e, ord(e[0]))])
+
+    return re.sub(rb"\\([0-7]{1,3}|.)", one, path[1:-1].encode()).decode("utf-8", "replace")
+
+
 def diff_lines(diff: str | None) -> list[tuple[str, str, int]]:
     """(path, side, line) of a unified diff: added lines by their new numbers, deleted ones by their old numbers."""
 
     def path_of(text: str) -> str | None:
-        text = text.split("\t")[0].strip().strip('"')
+        text = unquoted(text.split("\t")[0].strip())
         return None if text == "/dev/null" else re.sub(r"^[ab]/", "", text)
 
     out, old_path, new_path, old, new, left_old, left_new = [], None, None, 0, 0, 0, 0

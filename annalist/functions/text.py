@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: reference and revert patterns of commit and issue texts
-CLOSING = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s*#(\d+)"
-MENTION = r"(?:^|[^\w/])#(\d+)\b"
-LINK = r"github\.com/[\w.-]+/[\w.-]+/(?:issues|pull)/(\d+)"
-SHORT_SHA = r"\b(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{7,40}\b"
-REVERTS_SHA = r"(?i)this reverts commit\s+([0-9a-f]{7,40})"
-REVERT_TITLE = r'(?i)^revert:?\s+"(.*)"\s*$'
-REVERT_PLAIN = r"(?i)^(?:revert|rollback|undo|back out)\b:?\s+(.+)$"
+CLOSING = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)(?::\s*|\s+)((?:#\d+(?:[,\s]+and\s*|[,\s]+)*)+)"
+NUMBER = r"#(\d+)"
+LINK = r"github\.com/[a-zA-Z0-9._-]+/[a-zA-Z0-9._-]+/(?:issues|pull)/(\d+)"
+SHORT_SHA = r"\b(?=[a-fA-F0-9]{7,40}\b)(?=\w*[a-fA-F])[a-fA-F0-9]{7,40}\b"
+REVERTS_SHA = r"(?i)(?:This reverts commit|revert commit|reverting commit)\s+([0-9a-fA-F]{7,40})"
+REVERT_QUOTED = r"""(?i)^Revert\s+(?:"(.*)"|'(.*)')$"""
+REVERT_COLON = r"(?i)^Revert:\s*(.+)$"
+REVERT_TRAILED = r"(?i)^Revert\s+(.+)$"  # only of messages that also name the sha
 PULL_IN_MESSAGE = r"(?i)(?:pull request|pr|fixes|closes)\s*#?(\d+)|\(#(\d+)"
 QUALIFIER = r"(?i)\b(?:repo|is|author|label|in|type|state|path):\S+"
 DAYS_OF_WINDOW = {"6m": 182, "1y": 365, "2y": 730, "full": None}
@@ -52,16 +53,18 @@ def path_match(paths: Column, wanted: str) -> Column:
     return F.exists(paths, lambda p: F.contains(F.lower(p), F.lit(low)) | F.endswith(F.lit(low), F.lower(p)))
 
 
-def numbers(text: Column, *patterns: str) -> Column:
-    found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(1)) for p in patterns))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("int"))))
+def _numbers(*found: Column) -> Column:
+    """Sorted distinct integers of arrays of digits; what is too large for a number of an issue is none."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.concat(*found), lambda x: x.try_cast("int")))))
 
 
 def extract_refs(text: Column) -> Column:
-    """struct(closes, mentions, shas): issue numbers closed, other numbers named, and lower-case shas; sorted."""
+    """struct(closes, mentions, shas): numbers in closing clauses ("Closes #1, #2 and #3"), other numbers named, and
+    lower-case shas; sorted."""
     text = F.coalesce(text, F.lit(""))
-    closes = numbers(text, CLOSING)
-    every = numbers(text, CLOSING, MENTION, LINK)
+    every = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    closes = _numbers(F.flatten(F.transform(every(text, CLOSING), lambda clause: every(clause, NUMBER))))
+    every = _numbers(every(text, NUMBER), every(text, LINK))
     shas = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(SHORT_SHA), F.lit(0)), F.lower)))
     return F.struct(closes.alias("closes"), F.array_except(every, closes).alias("mentions"), shas.alias("shas"))
 
@@ -72,9 +75,18 @@ def revert_target(message: Column) -> Column:
 
 
 def reverted_subject(message: Column) -> Column:
-    """The subject that a message's first line says it reverts, or null."""
-    line = first_line(F.coalesce(message, F.lit("")))
-    return F.coalesce(F.nullif(F.regexp_extract(line, REVERT_TITLE, 1), F.lit("")), F.nullif(F.trim(F.regexp_extract(line, REVERT_PLAIN, 1)), F.lit("")))
+    """The subject that a message's first line says it reverts, or null.
+
+    It is quoted, or stands behind a colon, or the message also names the reverted sha; "Revert to the old way" is none.
+    """
+    space = F.lit(" \t\n\r\x0b\x0c")
+    bare = lambda x: F.btrim(x, space)
+    line = bare(F.substring_index(bare(F.coalesce(message, F.lit(""))), "\n", 1))
+    colon = bare(F.regexp_extract(line, REVERT_COLON, 1))
+    colon = F.when(colon.rlike(r"""^(?:".*"|'.*')$"""), bare(F.substr(colon, F.lit(2), F.length(colon) - 2))).otherwise(colon)
+    trailed = F.when(message.rlike(REVERTS_SHA), bare(F.regexp_extract(line, REVERT_TRAILED, 1)))
+    found = [bare(F.regexp_extract(line, REVERT_QUOTED, i)) for i in (1, 2)]
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in (*found, colon, trailed)))
 
 
 def is_revert(message: Column) -> Column:

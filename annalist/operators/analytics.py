@@ -97,3 +97,13 @@ def status(**tables: DataFrame) -> DataFrame:
 def linked_ratio(commits: DataFrame, pulls_of_commits: DataFrame) -> DataFrame:
     linked = commits.select("sha").join(pulls_of_commits.select("sha").distinct().withColumn("_l", F.lit(True)), "sha", "left")
     return linked.agg(F.count_if(F.col("_l")).alias("linked"), F.count(F.lit(1)).alias("total"))
+
+
+def distinct_repos(commits: DataFrame) -> DataFrame:
+    return commits.agg(F.countDistinct("repo_id").alias("repos"))
+
+
+def mean_metrics(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The arithmetic mean of every numeric column of evaluation results, in all or by key."""
+    names = [f.name for f in results.schema if f.dataType.typeName() in ("double", "float", "integer", "long", "short") and f.name not in by]
+    return results.groupBy(*by).agg(*(F.avg(n).alias(n) for n in names))

@@ -6,32 +6,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from annalist.functions import code
-from annalist.functions.text import SHORT_SHA
 
 
-def citations(text: Column) -> Column:
-    """Distinct cited references: #N, and shas cut to seven characters."""
-    shas = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SHORT_SHA), F.lit(0)), lambda s: F.lower(F.left(s, F.lit(7))))
-    refs = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"#(\d+)\b"), F.lit(1)), lambda n: F.concat(F.lit("#"), n))
-    return F.array_sort(F.array_distinct(F.concat(refs, shas)))
-
-
-def canonical_refs(refs: Column) -> Column:
-    one = lambda r: F.when(r.rlike(r"(?i)^[0-9a-f]{7,40}$") & r.rlike("(?i)[a-f]"), F.lower(F.left(r, F.lit(7)))).otherwise(F.concat(F.lit("#"), F.regexp_extract(r, r"(\d+)\s*$", 1)))
-    return F.array_sort(F.array_distinct(F.transform(refs, one)))
+def cited_entities(text: Column) -> Column:
+    """Distinct cited entities: shas (without those that begin a longer one), pr#N and issue#N."""
+    every = lambda p, g: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), F.lower))
+    shas = every(r"\b[0-9a-fA-F]{7,40}\b", 0)
+    whole = F.filter(shas, lambda s: ~F.exists(shas, lambda t: (t != s) & F.startswith(t, s)))
+    named = lambda kind, p: F.transform(every(p, 1), lambda n: F.concat(F.lit(kind), n))
+    return F.array_sort(F.array_distinct(F.concat(whole, named("pr#", r"(?i)PR\s*#?(\d+)"), named("issue#", r"(?i)Issue\s*#?(\d+)"))))
 
 
 def citation_metrics(generated: Column, expected: Column) -> Column:
-    """struct(precision, recall, f1); without expected references recall is 1, without citations precision is 1 only if none was expected."""
-    want = canonical_refs(expected)
-
-    def score(got: Column) -> Column:
-        both = F.size(F.array_intersect(got, want)).cast("double")
-        p = F.when(F.size(got) == 0, F.when(F.size(want) == 0, 1.0).otherwise(0.0)).otherwise(both / F.size(got))
-        r = F.when(F.size(want) == 0, 1.0).otherwise(both / F.size(want))
-        return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
-
-    return F.transform(F.array(citations(generated)), score)[0]  # the text is searched once
+    """struct(precision, recall, f1). All are 1 where nothing is expected. An expected reference is found if it holds, or is
+    held by, a cited entity, or stands in the text; a cited entity is right if it holds, or is held by, an expected one."""
+    text = F.coalesce(generated, F.lit(""))
+    want = F.transform(expected, lambda e: F.lower(F.btrim(e)))
+
+    def score(v: Column) -> Column:
+        got, low = v["got"], v["low"]
+        near = lambda a, b: F.contains(a, b) | F.contains(b, a)
+        found = F.size(F.filter(want, lambda e: F.exists(got, lambda g: near(g, e)) | F.contains(low, e))).cast("double")
+        right = F.size(F.filter(got, lambda g: F.exists(want, lambda e: near(g, e)))).cast("double")
+        r = found / F.size(want)
+        p = F.when(F.size(got) == 0, 0.0).when(right > 0, right / F.size(got)).when(r >= 1, 1.0).otherwise(0.0)
+        f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+        return F.struct(p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+    one = F.struct(*(F.lit(1.0).alias(c) for c in ("precision", "recall", "f1")))
+    facts = F.struct(cited_entities(text).alias("got"), F.lower(text).alias("low"))  # the text is searched once
+    return F.when(F.coalesce(F.size(want), F.lit(0)) <= 0, one).otherwise(F.transform(F.array(facts), score)[0])
 
 
 def calibrated_accuracy(entailment: Column, citation_f1: Column, has_citations: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.text import node_key
+from annalist.storage import shared_folder, written
 
 DECAY = 0.92  # score kept per hop
 FLOOR = 0.012
@@ -17,10 +18,10 @@ def seed_variants(seed: str) -> list[str]:
     """Node ids that a free-form reference may mean."""
     seed = seed.strip()
     out = [seed]
-    if m := re.fullmatch(r"#?(\d+)", seed):
-        out += [f"issue:#{m[1]}", f"pr:#{m[1]}", f"#{m[1]}"]
+    if m := re.fullmatch(r"(#?)(\d+)", seed):
+        out += [f"issue:#{m[2]}", f"pr:#{m[2]}", m[2] if m[1] else f"#{m[2]}"]
     elif m := re.fullmatch(r"(pr|issue)\s*:?#?(\d+)", seed, re.I):
-        out.append(f"{m[1].lower()}:#{m[2]}")
+        out += [f"{m[1].lower()}:#{m[2]}", f"#{m[2]}", m[2]]
     elif m := re.fullmatch(r"(?:commit[:#])?([0-9a-f]{7,40})", seed, re.I):
         out.append(f"commit:{m[1][:7].lower()}")
     return list(dict.fromkeys(out))
@@ -61,8 +62,10 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, toler
     """
     weight = edges.groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.count(F.lit(1)).alias("w"))
     out = weight.groupBy("src").agg(F.sum("w").alias("t"))
-    links = weight.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share")).cache()
-    nodes = nodes_of(edges).join(out.select(F.col("src").alias("node"), F.lit(True).alias("has_out")), "node", "left").cache()
+    links = weight.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share"))
+    links = written(links, "links")
+    nodes = nodes_of(edges).join(out.select(F.col("src").alias("node"), F.lit(True).alias("has_out")), "node", "left")
+    nodes = written(nodes, "nodes")
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
@@ -83,12 +86,19 @@ def _saved(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the cluster's shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annalist-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def tenant_edges(edges: DataFrame, repo_id: str | None) -> DataFrame:
+    """Edges of a tenant: equal ignoring case, or equal after a slash; edges without one count only if no edge has any."""
+    if not repo_id:
+        return edges
+    low, want = F.lower(F.coalesce("repo_id", F.lit(""))), repo_id.lower()
+    none = edges.where(low != "").isEmpty()
+    return edges.where((low == want) | F.endswith(low, F.lit(f"/{want}")) | (F.lit(none) & (low == "")))
+
+
 def betweenness(edges: DataFrame, max_edges: int = 5_000_000) -> DataFrame:
     """(node, betweenness): Brandes over unweighted directed edges, normalised, end points excluded.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from annalist.functions.text import extract_refs, first_line, node_key, pull_in_message, revert_target, reverted_subject
+from annalist.functions.text import extract_refs, first_line, node_key, pull_in_message, revert_target, reverted_subject, tenant_match
 
 
 def new_rows(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,10 +15,12 @@ def new_rows(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFram
 
 
 def issue_links(pulls: DataFrame, issues: DataFrame, require_existing: bool = True) -> DataFrame:
-    """(repo_id, pr_number, issue_number): the symmetric closure of references of pulls to issues and back."""
+    """(repo_id, pr_number, issue_number): the symmetric closure of references of pulls to issues and back, in titles, bodies
+    and, where the tables have them, comments."""
 
     def refs(df, mine, other):
-        text = F.concat_ws("\n", "title", "body")
+        said = [F.transform(c, lambda x: x["body"]) for c in ("review_comments", "comments") if c in df.columns]
+        text = F.concat_ws(" ", "title", "body", *said)
         r = extract_refs(text)
         return df.select("repo_id", F.col("number").alias(mine), F.explode(F.array_union(r["closes"], r["mentions"])).alias(other))
 
@@ -68,14 +70,25 @@ def superseded(resolved: DataFrame, commits: DataFrame) -> DataFrame:
     return dated.groupBy("repo_id", F.col("reverts_sha").alias("target")).agg(F.max_by("sha", F.struct("authored_date", "sha")).alias("superseded_by_sha")).select("repo_id", F.col("target").alias("sha"), "superseded_by_sha")
 
 
+def with_ends(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """``symbols`` with a missing end: the line before the next symbol of the file, or 50 lines after the last one's start."""
+    after = F.lead("start_line").over(W.partitionBy(*keys).orderBy("start_line", "symbol_id")) - 1
+    return symbols.withColumn("end_line", F.coalesce("end_line", after, F.col("start_line") + 50))
+
+
+LINES_A_BUCKET = 64
+
+
 def lines_to_symbols(lines: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
     """The innermost symbol of each line (``line_no``): start <= line <= end, the smallest span, then the earliest start.
 
-    A missing end is the line before the next symbol of the file, or 50 lines after the start of the last one.
+    Lines are numbered by buckets of LINES_A_BUCKET and a symbol is looked up in the buckets of its span, so a line meets only
+    the symbols near it, however long its file is.
     """
-    after = F.lead("start_line").over(W.partitionBy(*keys).orderBy("start_line", "symbol_id")) - 1
-    spans = symbols.withColumn("end_line", F.coalesce("end_line", after, F.col("start_line") + 50))
-    hit = lines.join(spans.select(*keys, "symbol_id", "start_line", "end_line"), keys).where(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
+    bucket = lambda c: F.floor(F.col(c) / LINES_A_BUCKET)
+    spans = with_ends(symbols, keys).where("end_line >= start_line")
+    spans = spans.select(*keys, "symbol_id", "start_line", "end_line", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))).alias("_b"))
+    hit = lines.withColumn("_b", bucket("line_no")).join(spans, [*keys, "_b"]).where(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
     best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "start_line", "symbol_id")).alias("s")
     return hit.groupBy(*keys, "line_no").agg(best).select(*keys, "line_no", F.col("s.symbol_id").alias("symbol_id"))
 
@@ -112,3 +125,100 @@ def symbol_alias(refs: DataFrame, symbols: DataFrame, column: str = "ref") -> Da
         side = by(k).select(F.col("_k").alias(f"_k{i}"), F.col("_s").alias(f"_s{i}"))
         out = out.join(side, w == F.col(f"_k{i}"), "left")
     return out.select(*refs.columns, F.coalesce("_s0", "_s1", "_s2").alias("symbol_id"))
+
+
+# fixed values: words that no candidate symbol is looked up for
+CANDIDATE_STOPWORDS = frozenset(
+    "what when where which does from with this that have been were commit commits pull request issue repository history code "
+    "file method function class architecture handle using".split()
+)
+
+
+def known_shas(refs: DataFrame, commits: DataFrame, repo_id: str | None = None) -> DataFrame:
+    """The rows of ``refs`` (ref) of seven characters or more that begin the sha of a commit of the tenant."""
+    own = commits.where(tenant_match(F.col("repo_id"), repo_id, alias=True)).select("sha", F.lower(F.left("sha", F.lit(7))).alias("_7"))
+    short = refs.where(F.length("ref") >= 7).withColumn("_7", F.lower(F.left("ref", F.lit(7))))
+    return short.join(own, (short["_7"] == own["_7"]) & F.startswith(F.lower(own["sha"]), F.lower(short["ref"])), "left_semi").drop("_7")
+
+
+def known_numbers(refs: DataFrame, pulls: DataFrame, issues: DataFrame, repo_id: str | None = None) -> DataFrame:
+    """The rows of ``refs`` (ref, text) that are the number of a pull or an issue of the tenant."""
+    own = lambda df: df.where(tenant_match(F.col("repo_id"), repo_id, alias=True)).select(F.col("number").alias("_n"))
+    numbers = own(pulls).union(own(issues)).distinct()
+    return refs.join(numbers, F.trim("ref").try_cast("int") == F.col("_n"), "left_semi")
+
+
+def candidate_symbols(texts: DataFrame, symbols: DataFrame, repo_id: str | None = None, limit: int = 8) -> DataFrame:
+    """(text_id, symbol_id, symbol_name, file_path, kind) of ``texts`` (text_id, text): symbols whose name or file holds a word
+    of the text, up to ``limit`` for each text, by the word's place, then by id.
+
+    The texts are questions of users, few beside the symbols: their words are broadcast while they are under WORDS_MOST.
+    """
+    every = F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]{3,}"), F.lit(0))
+    words = texts.select("text_id", F.posexplode(F.array_distinct(F.transform(every, F.lower))).alias("pos", "word")).where(~F.col("word").isin(*CANDIDATE_STOPWORDS))
+    small = words.limit(WORDS_MOST + 1).count() <= WORDS_MOST
+    own = symbols.where(tenant_match(F.col("repo_id"), repo_id, alias=True))
+    holds = F.contains(F.lower("symbol_name"), F.col("word")) | F.contains(F.lower("file_path"), F.col("word"))
+    if small:
+        hit = own.join(F.broadcast(words), holds)
+    else:  # a word is held only where its first four characters are: those are an equi key
+        grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.lower(F.substr(F.col(c), i, F.lit(4))))
+        keyed = own.withColumn("_g", F.explode(F.array_union(grams("symbol_name"), grams("file_path"))))
+        hit = keyed.join(words.withColumn("_g", F.left("word", F.lit(4))), "_g").where(holds)
+    first = hit.groupBy("text_id", "symbol_id").agg(F.min(F.struct("pos", "symbol_name", "file_path", "kind")).alias("s"))
+    order = W.partitionBy("text_id").orderBy("s.pos", "symbol_id")
+    return first.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("text_id", "symbol_id", "s.symbol_name", "s.file_path", "s.kind")
+
+
+WORDS_MOST = 10_000
+
+
+def candidate_forensics(texts: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame, symbols: DataFrame, repo_id: str | None = None) -> DataFrame:
+    """(text_id, evidence): what the first four #N, the first three shas and up to six symbols of ``texts`` (text_id, text) name."""
+    own = lambda df: df.where(tenant_match(F.col("repo_id"), repo_id, alias=True))
+    first = lambda pattern, group, n: F.explode(F.slice(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), 1, n))
+    numbers = texts.select("text_id", first(r"#(\d+)", 1, 4).alias("n")).select("text_id", F.col("n").try_cast("int").alias("number"))
+    titles = lambda df, name: own(df).groupBy("number").agg(F.min("title").alias(name))
+    named = numbers.join(titles(pulls, "p"), "number", "left").join(titles(issues, "i"), "number", "left")
+    tag = lambda kind, title: F.concat(F.lit(f"{kind} #"), F.col("number").cast("string"), F.lit(": "), F.col(title))
+    out = named.where("p is not null").select("text_id", tag("Pull Request", "p").alias("evidence"))
+    out = out.unionByName(named.where("i is not null and (p is null or p != i)").select("text_id", tag("Issue", "i").alias("evidence")))
+    shas = texts.select("text_id", first(r"\b[0-9a-fA-F]{7,40}\b", 0, 3).alias("ref")).withColumn("ref", F.lower("ref")).withColumn("_7", F.left("ref", F.lit(7)))
+    known = own(commits).select("sha", "message", F.lower(F.left("sha", F.lit(7))).alias("_7"))
+    hit = shas.join(known, "_7").where(F.startswith("sha", "ref")).groupBy("text_id", "ref").agg(F.min(F.struct("sha", "message")).alias("c"))
+    line = F.concat(F.lit("Commit "), F.left("c.sha", F.lit(7)), F.lit(": "), F.coalesce(F.substring_index("c.message", "\n", 1), F.lit("")))
+    found = candidate_symbols(texts, symbols, repo_id, 6)
+    symbol = F.concat(F.lit("Symbol: "), "symbol_name", F.lit(" ("), "kind", F.lit(" in "), "file_path", F.lit(")"))
+    return out.unionByName(hit.select("text_id", line.alias("evidence"))).unionByName(found.select("text_id", symbol.alias("evidence"))).distinct()
+
+
+def related_discussion(refs: DataFrame, commits: DataFrame, pulls: DataFrame, issues: DataFrame, chunks: DataFrame, repo_id: str | None = None) -> DataFrame:
+    """(ref, kind, key) of ``refs`` (ref): what a sha, or the number of a pull or an issue, is linked with, itself included.
+
+    A sha leads to the pulls and issues that its chunks relate to. A number leads over the link arrays of its pull and issue to
+    issues, pulls and commits; without linked commits, to those whose message names the number as a whole word.
+    """
+    own = lambda df: df.where(tenant_match(F.col("repo_id"), repo_id, alias=True))
+    commits, pulls, issues, chunks = own(commits), own(pulls), own(issues), own(chunks)
+    asked = refs.select("ref", F.lower(F.trim("ref")).alias("_r")).distinct()
+    is_sha = F.col("_r").rlike("^[0-9a-f]{7,40}$")
+    row = lambda df, kind, key: df.select("ref", "repo_id", F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    by7 = commits.select("repo_id", "sha", F.lower(F.left("sha", F.lit(7))).alias("_7"))
+    shas = asked.where(is_sha).withColumn("_7", F.left("_r", F.lit(7))).join(by7, "_7").where(F.startswith("sha", "_r"))
+    shas = shas.groupBy("ref").agg(F.min(F.struct("sha", "repo_id")).alias("c")).select("ref", "c.sha", "c.repo_id")
+    related = chunks.where("source_type = 'commit'").select("repo_id", F.col("source_id").alias("sha"), F.explode("related_ids").alias("rel"))
+    related = shas.join(related, ["repo_id", "sha"]).select("ref", "repo_id", F.regexp_extract("rel", r"^(pr|issue)#\d+$", 1).alias("k"), F.regexp_extract("rel", r"^(?:pr|issue)#(\d+)$", 1).try_cast("int").alias("number"))
+    numbers = asked.where(~is_sha).select("ref", F.regexp_extract("_r", r"\d+", 0).try_cast("int").alias("number")).where("number is not null")
+    mine = lambda df, links: numbers.join(df.select("repo_id", "number", links, F.col("linked_commit_shas").alias("shas")), "number")
+    p, i = mine(pulls, F.col("linked_issue_numbers").alias("to")), mine(issues, F.col("linked_pr_numbers").alias("to"))
+    to = lambda df: df.select("ref", "repo_id", F.explode("to").alias("number"))
+    exist = lambda df, there: df.join(there.select("repo_id", "number").distinct(), ["repo_id", "number"], "left_semi")
+    all_pulls = p.select("ref", "repo_id", "number").unionByName(exist(to(i), pulls)).unionByName(exist(related.where("k = 'pr'").drop("k"), pulls))
+    all_issues = i.select("ref", "repo_id", "number").unionByName(exist(to(p), issues)).unionByName(exist(related.where("k = 'issue'").drop("k"), issues))
+    both = p.drop("to").unionByName(i.drop("to"))
+    linked = both.select("ref", "repo_id", F.explode("shas").alias("sha")).join(commits.select("repo_id", "sha"), ["repo_id", "sha"], "left_semi")
+    said = commits.select("repo_id", "sha", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit(r"#(\d+)\b"), F.lit(1)))).alias("n"))
+    said = said.select("repo_id", "sha", F.col("n").try_cast("int").alias("number"))
+    spoken = both.where(F.size("shas") <= 0).select("ref", "repo_id", "number").join(said, ["repo_id", "number"]).select("ref", "repo_id", "sha")
+    found = row(shas, "commit", F.col("sha")).unionByName(row(linked.unionByName(spoken), "commit", F.col("sha")))
+    return found.unionByName(row(all_pulls, "pr", F.col("number"))).unionByName(row(all_issues, "issue", F.col("number"))).select("ref", "kind", "key").distinct()

@@ -46,6 +46,11 @@ def mark_embedded(chunks: DataFrame, done: DataFrame) -> DataFrame:
     return chunks.join(flag, "id", "left").withColumn("embedded", F.col("embedded") | F.coalesce("_d", F.lit(False))).drop("_d").select(*chunks.columns)
 
 
+def upsert_meta(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Facts of repositories: what a run knows replaces what is stored, and what it does not know stays; so does created_at."""
+    return upsert(stored, incoming, ["repo_id"], ("created_at",))
+
+
 def write_partitions(df: DataFrame, path: str) -> None:
     """Overwrite only the repositories in ``df``."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from annalist.functions.text import code_tokens, path_match, tenant_match, time_range
+from annalist.operators import links
+from annalist.storage import shared_folder
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -16,9 +21,20 @@ WEIGHTS = {"exact": 2.5, "symbol": 0.2, "dense": 1.0, "sparse": 1.0, "fallback":
 TOP_DENSE_WEIGHT = 3.2  # of the first dense hit with a score from 0.98 to under 1
 COMMIT_TYPES = ("commit", "commit_diff", "historical_commit")
 CODE_TYPES = ("code", "source_code", "ast_symbol", "file")
-HISTORICAL = r"(?i)\b(original|originally|first|initial|initially|history|historical|introduced|oldest|early|evolution|evolve|began)\b"
-STOPWORDS = frozenset("the and for was were why what when how did does who which this that with from into are has have had not can could should would about after before".split())
-
+HISTORICAL = r"(?i)\b(why|revert|reverted|pr|issue|blame|sha|commit|author|history|deprecated|legacy|origin|motivation|reason|#\d+)\b"
+STOPWORDS = frozenset(
+    "why how what when where which with that this from into were been have some more make made "
+    "here there then them they will would could should does done about after before added removed fixed "
+    "changed change updating updated modify modified the and for also over under again only such handler".split()
+)
+# fixed values: words that name no symbol and that no fallback looks for
+SYMBOL_STOPWORDS = frozenset(
+    "http httpx python code file path test class func defs does how what where when why with from into request "
+    "response session context global system method function module script option parameter config configuration "
+    "default structure pattern design decision rationale implementation architecture hierarchy unify platform error "
+    "handler interface server client common shared core base main init start stop close read write open save load "
+    "update delete".split()
+)
 
 def filter_chunks(chunks: DataFrame, repo_id=None, source_types=None, is_reverted=None, file_path=None, date_from=None, date_to=None) -> DataFrame:
     """Conjunction of the search filters; applied before scoring, while statistics stay those of the whole corpus."""
@@ -32,26 +48,45 @@ def filter_chunks(chunks: DataFrame, repo_id=None, source_types=None, is_reverte
     return out.where(time_range(F.col("timestamp"), date_from, date_to)) if date_from or date_to else out
 
 
-def bm25_fit(chunks: DataFrame, id_col: str = "id", text_col: str = "text", tokens=code_tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, terms, corpus): (id, term, tf, len), (term, idf) and one row of (n, avg_len).
+def bm25_fit(chunks: DataFrame, id_col: str = "id", text_col: str = "text", tokens=code_tokens, at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, terms, corpus): (id, term, tf, len), (term, idf) and one row of (n, avg_len); stored under ``at`` if it is given.
 
-    A negative idf becomes EPSILON times the mean idf of all terms, negative ones included.
+    Texts are cut into tokens once: postings are written in the order of terms, so that a search reads only the row groups of
+    its words, and the statistics are read from them. A negative idf becomes EPSILON times the mean idf of all terms,
+    negative ones included.
     """
-    docs = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).withColumn("len", F.size("t"))
-    corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    postings = docs.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    spark, at = chunks.sparkSession, at or f"{shared_folder(chunks.sparkSession)}/bm25-{uuid.uuid4().hex}"
+    docs = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    found = docs.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
+    postings = spark.read.schema(found.schema).parquet(f"{at}/postings")
+    size = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).crossJoin(chunks.agg(F.count(F.lit(1)).alias("n")))
+    corpus = size.select("n", (F.col("words") / F.nullif("n", F.lit(0))).alias("avg_len"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus.select("n"))).select("term", idf.alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, terms, corpus
+    terms.write.mode("overwrite").parquet(f"{at}/terms")
+    corpus.write.mode("overwrite").parquet(f"{at}/corpus")
+    return bm25_load(spark, at)
+
+
+def bm25_load(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``bm25_fit`` stored under ``at``."""
+    return tuple(spark.read.parquet(f"{at}/{name}") for name in ("postings", "terms", "corpus"))
+
+
+PUSHED_WORDS = 1000  # distinct words of all queries up to which they are a filter of the scan
 
 
-def bm25_search(fitted, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def bm25_search(fitted, queries: DataFrame, allowed: DataFrame | None = None, tokens=code_tokens) -> DataFrame:
     """(query_id, id, score) for ``queries`` (query_id, query): repeated query words count; a score of zero or less is rescued
     as half the number of distinct query words in the text."""
     postings, terms, corpus = fitted
-    words = queries.select("query_id", F.explode(code_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    words = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    named = [r.term for r in words.select("term").distinct().limit(PUSHED_WORDS + 1).collect()]
+    if len(named) <= PUSHED_WORDS:
+        postings, terms = (t.where(F.col("term").isin(*named)) for t in (postings, terms))
     rows = postings if allowed is None else postings.join(allowed.select("id"), "id", "left_semi")
     hit = rows.join(words.join(terms, "term"), "term").crossJoin(F.broadcast(corpus))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -59,6 +94,14 @@ def bm25_search(fitted, queries: DataFrame, allowed: DataFrame | None = None) ->
     return total.select("query_id", "id", F.when(F.col("s") <= 0, 0.5 * F.col("overlap")).otherwise(F.col("s")).alias("score"))
 
 
+def bm25_tenant(repo: Column, wanted: str | None) -> Column:
+    """Equal ignoring case, or equal after the last slash; a row without a repository never matches."""
+    if not wanted:
+        return F.lit(True)
+    low, want = F.lower(F.trim(repo)), wanted.strip().lower()
+    return F.coalesce((low == want) | (F.substring_index(low, "/", -1) == want.rsplit("/", 1)[-1]), F.lit(False))
+
+
 def top_k(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k)
@@ -77,22 +120,24 @@ def vector_search(vectors: DataFrame, query: list[float], k: int = 10, allowed:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
+def mock_vector(text: str | None, dimension: int = 384) -> list[float]:
+    """A reproducible unit vector seeded by the text's md5."""
+    import hashlib
+    import random
+
+    rng = random.Random(int(hashlib.md5((text or "").encode()).hexdigest(), 16) % (1 << 32))
+    v = [rng.uniform(-0.5, 0.5) for _ in range(dimension)]
+    norm = sum(x * x for x in v) ** 0.5 or 1.0
+    return [x / norm for x in v]
+
+
 def mock_embedding(dimension: int = 384):
-    """A pandas UDF of reproducible unit vectors seeded by the text's md5; for tests and offline runs."""
+    """A pandas UDF of reproducible unit vectors; for tests and offline runs."""
     import pandas as pd
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        import hashlib
-        import random
-
-        def one(t):
-            rng = random.Random(int(hashlib.md5((t or "").encode()).hexdigest(), 16) % (1 << 32))
-            v = [rng.uniform(-0.5, 0.5) for _ in range(dimension)]
-            norm = sum(x * x for x in v) ** 0.5 or 1.0
-            return [x / norm for x in v]
-
-        return texts.map(one)
+        return texts.map(lambda t: mock_vector(t, dimension))
 
     return embed
 
@@ -108,38 +153,45 @@ def exact_channel(chunks: DataFrame, shas: list[str], numbers: list[int], limit:
     return found if limit is None else found.orderBy("id").limit(limit)
 
 
-def query_words(query: str, least: int = 4) -> list[str]:
+def query_words(query: str, least: int = 4, stopwords: frozenset = SYMBOL_STOPWORDS) -> list[str]:
+    """Identifiers of ``least`` characters or more that are not stopwords, in order."""
     import re
 
-    return [w for w in dict.fromkeys(re.findall(r"\w+", query)) if len(w) >= least and w.lower() not in STOPWORDS]
+    words = re.findall(rf"\b([a-zA-Z_][a-zA-Z0-9_]{{{least - 1},}})\b", query)
+    return [w for w in dict.fromkeys(words) if w.lower() not in stopwords]
 
 
 def symbol_channel(chunks: DataFrame, query: str, symbols: DataFrame, limit: int = 30) -> DataFrame:
-    """(id, score 2.0): chunks that touch a symbol whose name is a word of the query and is known."""
-    words = [w.lower() for w in query_words(query)]
-    known = symbols.where(F.lower("symbol_name").isin(*words)).select(F.lower("symbol_name").alias("w")).distinct()
-    hit = chunks.select("id", F.explode("symbols_modified").alias("s")).join(F.broadcast(known) if len(words) < 1000 else known, F.contains(F.lower("s"), F.col("w")), "left_semi")
-    return hit.select("id").distinct().select("id", F.lit(2.0).alias("score")).orderBy("id").limit(limit)
+    """(id, score 2.0): chunks that touch a symbol whose name holds a word of the query that the name of some symbol holds."""
+    words = F.array(*(F.lit(w.lower()) for w in query_words(query))).cast("array<string>")
+    held = F.explode(F.filter(words, lambda w: F.contains(F.lower("symbol_name"), w)))
+    known = F.array(*(F.lit(r.w) for r in symbols.select(held.alias("w")).distinct().collect())).cast("array<string>")  # words of the query
+    hit = F.exists("symbols_modified", lambda s: F.exists(known, lambda w: F.contains(F.lower(s), w)))
+    return chunks.where(hit).select("id", F.lit(2.0).alias("score")).orderBy("id").limit(limit)
 
 
 def keyword_fallback(chunks: DataFrame, query: str, words: int = 4, per_word: int = 10) -> DataFrame:
     """(id, score 1.0): for when the other channels find fewer than five chunks."""
-    out = None
-    for w in query_words(query)[:words]:
+    out, known = None, [w.lower() for w in query.split() if len(w) >= 4 and w.lower() not in SYMBOL_STOPWORDS]
+    for w in known[:words]:
         part = chunks.where(F.contains(F.lower("text"), F.lit(w.lower()))).select("id").orderBy("id").limit(per_word)
         out = part if out is None else out.union(part)
     out = out if out is not None else chunks.select("id").limit(0)
     return out.distinct().select("id", F.lit(1.0).alias("score"))
 
 
-def rrf(hits: DataFrame, chunks: DataFrame, query: str, as_of_year: int, k: int = RRF_K, limit: int | None = 10) -> DataFrame:
+def rrf(hits: DataFrame, chunks: DataFrame, query: str, as_of_year: int, k: int = RRF_K, limit: int | None = 10, most: int | None = None) -> DataFrame:
     """(id, score) of fused ``hits`` (channel, id, score): the sum over channels of weight / (k + rank), by age and name boosts.
 
     Commits lose with their age in years (slower when the query asks for history), code gains, and a chunk whose symbol
-    the query names, or whose text holds an identifier of the query, is boosted.
+    the query names, or whose text holds an identifier of the query, is boosted. ``most`` hits of each channel count, if
+    it is given; without it all of a channel's hits are ranked in one task.
     """
     import re
 
+    if most:  # as many partial sorts as there are channels, of which no task gets more than ``most`` rows each
+        first = [hits.where(F.col("channel") == c).orderBy(F.desc("score"), "id").limit(most) for c in WEIGHTS]
+        hits = reduce(DataFrame.unionByName, first)
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("channel").orderBy(F.desc("score"), "id")))
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
@@ -148,13 +200,12 @@ def rrf(hits: DataFrame, chunks: DataFrame, query: str, as_of_year: int, k: int
     rate = 0.01 if re.search(HISTORICAL, query) else 0.03
     years = F.greatest(F.lit(as_of_year) - F.year("timestamp"), F.lit(0))
     decay = F.when(F.col("source_type").isin(*COMMIT_TYPES), F.coalesce(F.greatest(F.lit(0.35), F.exp(-rate * years)), F.lit(1.0))).when(F.col("source_type").isin(*CODE_TYPES), 1.25).otherwise(1.0)
-    words = [w for w in query_words(query, 3)]
-    low = [w.lower() for w in words]
-    named = F.exists("symbols_modified", lambda s: F.lower(s).isin(*low) | F.arrays_overlap(F.split(F.lower(s), r"::|\."), F.array(*map(F.lit, low)))) if low else F.lit(False)
-    identifiers = [w for w in words if "_" in w or w != w.lower()]
-    quoted = F.lit(False)
-    for w in identifiers:
-        quoted = quoted | F.col("text").rlike(rf"(?<!\w){re.escape(w)}(?!\w)")
+    words = query_words(query, 3, STOPWORDS)
+    low = F.array(*map(F.lit, sorted({w.lower() for w in words}))).cast("array<string>")
+    bare = lambda s: F.concat(F.array(s), F.split(s, "::"), F.split(s, r"\."))
+    named = F.exists("symbols_modified", lambda s: F.arrays_overlap(bare(F.lower(F.btrim(s))), low))
+    identifiers = sorted({w.lower() for w in words if "_" in w or w != w.lower()})
+    quoted = F.col("text").rlike(rf"(?i)\b(?:{'|'.join(identifiers)})\b") if identifiers else F.lit(False)
     boost = F.when(F.coalesce(named, F.lit(False)), 1.75).when(quoted, 1.15).otherwise(1.0)
     facts = chunks.select("id", (decay * boost).alias("_f"))
     fused = ranked.join(facts, "id").groupBy("id").agg(F.sum(weight / (k + F.col("rank")) * F.col("_f")).alias("score"))
@@ -186,11 +237,40 @@ def interleave(hits: DataFrame, first: int = 3) -> DataFrame:
 
 def within_budget(evidence: DataFrame, budget: int, least_tail: int = 200) -> DataFrame:
     """The first rows of ``evidence`` (pos, line) that fit the budget of characters, never none; the row that overflows is
-    cut to what is left if that is over ``least_tail``. Evidence is a bounded result list, so one window is right."""
-    run = evidence.withColumn("end", F.sum(F.length("line")).over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
-    run = run.withColumn("begin", F.col("end") - F.length("line"))
-    over = F.min(F.when(F.col("end") > budget, F.col("pos"))).over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    run = run.withColumn("first_over", over)
-    cut = (F.col("pos") == F.col("first_over")) & ((budget - F.col("begin") > least_tail) | (F.col("begin") == 0))
-    keep = F.col("first_over").isNull() | (F.col("pos") < F.col("first_over")) | cut
-    return run.where(keep).select("pos", F.when(cut, F.substr("line", F.lit(1), (budget - F.col("begin")).cast("int"))).otherwise(F.col("line")).alias("line"))
+    cut to what is left if that is over ``least_tail``.
+
+    No more than ``budget`` rows that are not empty can fit, so the running sum is taken over these alone; all other rows are
+    only compared with the place where it ends.
+    """
+    first = evidence.where(F.length("line") > 0).orderBy("pos").limit(budget + 1).select("pos", F.length("line").alias("n"))
+    run = first.withColumn("end", F.sum("n").over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    over = run.where(F.col("end") > budget).agg(F.min(F.struct("pos", (F.col("end") - F.col("n")).alias("begin"))).alias("o"))  # one row
+    rows = evidence.crossJoin(F.broadcast(over.select(F.col("o.pos").alias("_over"), F.col("o.begin").alias("_begin"))))
+    cut = (F.col("pos") == F.col("_over")) & ((budget - F.col("_begin") > least_tail) | (F.col("_begin") == 0))
+    line = F.when(cut, F.substr("line", F.lit(1), (budget - F.col("_begin")).cast("int"))).otherwise(F.col("line"))
+    return rows.where(F.col("_over").isNull() | (F.col("pos") < F.col("_over")) | cut).select("pos", line.alias("line"))
+
+
+def search_many(chunks: DataFrame, fitted, queries: list[str], as_of_year: int, symbols: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame, limit: int = 10, **filters) -> DataFrame:
+    """(id, score) of several queries at once: each channel's hits, once each at their best, fused with the first query.
+
+    Shas and numbers count only where they are recorded; texts are looked through when other channels find fewer than five.
+    """
+    import re
+
+    spark, said = chunks.sparkSession, "\n".join(queries)
+    allowed = filter_chunks(chunks, **filters)
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    best = lambda df, channel: df.groupBy("id").agg(F.max("score").alias("score")).select(F.lit(channel).alias("channel"), "id", "score")
+    sparse = best(top_k(bm25_search(fitted, asked, allowed), 30), "sparse")
+    refs = lambda found: spark.createDataFrame([(x,) for x in sorted(set(found))], "ref string")
+    shas = refs(x for x in re.findall(r"\b([0-9a-fA-F]{7,40})\b", said) if not x.isdigit())
+    shas = [r.ref for r in links.known_shas(shas, commits, filters.get("repo_id")).collect()]
+    numbers = [int(r.ref) for r in links.known_numbers(refs(re.findall(r"#(\d+)", said)), pulls, issues, filters.get("repo_id")).collect()]
+    exact = best(exact_channel(allowed, shas, numbers), "exact")
+    symbol = best(reduce(DataFrame.unionByName, [symbol_channel(allowed, q, symbols) for q in queries]), "symbol")
+    hits = sparse.unionByName(exact).unionByName(symbol.join(exact, "id", "left_anti"))
+    if exact.unionByName(symbol).select("id").distinct().limit(5).count() < 5:
+        back = best(reduce(DataFrame.unionByName, [keyword_fallback(allowed, q) for q in queries]), "fallback")
+        hits = hits.unionByName(back.join(exact.unionByName(symbol), "id", "left_anti"))
+    return rrf(hits, chunks, queries[0], as_of_year, limit=limit)

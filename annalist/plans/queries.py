@@ -11,6 +11,16 @@ from annalist.operators import analytics, chunking, evaluate, graph, links, merg
 from annalist.sources import fixtures as fx, history
 
 QUERIES: dict = {}
+
+
+def _uuid5(key: str) -> str:
+    """SQL of the uuid5 of ``key`` in the URL namespace."""
+    h = f"sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode({key}))"
+    part = lambda a, n: f"substr({h}, {a}, {n})"
+    variant = f"substr('89ab', (strpos('0123456789abcdef', {part(17, 1)}) - 1) % 4 + 1, 1)"
+    return f"{part(1, 8)} || '-' || {part(9, 4)} || '-5' || {part(14, 3)} || '-' || {variant} || {part(18, 3)} || '-' || {part(21, 12)}"
+
+
 ORACLE_SQL: dict[str, str] = {}
 
 _C = """WITH c AS (SELECT o.o_orderkey AS k, md5(CAST(o.o_orderkey AS VARCHAR)) AS sha, r.r_name AS repo_id,
@@ -107,7 +117,7 @@ def a8_status(spark, d):
 
 @query("SELECT count(DISTINCT repo_id) AS repos FROM c")
 def a9_distinct_repos(spark, d):
-    return fx.commits(spark, d).agg(F.countDistinct("repo_id").alias("repos"))
+    return analytics.distinct_repos(fx.commits(spark, d))
 
 
 @query(", x AS (SELECT DISTINCT repo_id, s, sn FROM cf) SELECT repo_id, s AS symbol_id, sn AS symbol_name, count(*) OVER (PARTITION BY repo_id, sn) AS multiplicity FROM x")
@@ -139,10 +149,10 @@ def p10_reverts(spark, d):
     return fx.commits(spark, d).where(T.is_revert(F.col("message"))).select("sha")
 
 
-@query("SELECT id, trim(regexp_replace(regexp_replace(left(text, 60), '[\"''`-]', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS q FROM ch")
+@query(r"""SELECT id, CASE WHEN q = '' THEN 'repo:a/b --all ' || text ELSE q END AS q FROM (SELECT id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ '(?i)\b(?:repo|is|author|label|in|type|state|path):\S+', ' ', 'g'), '(^|[ \t\n\v\f\r])--?\w[\w-]*(=\S+)?', ' ', 'g'), '["''`-]', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')) AS q FROM ch)""")
 def p13_sanitize_query(spark, d):
-    head = F.left("text", F.lit(60))
-    return fx.chunks(spark, d).select("id", T.sanitize_query(F.concat(F.lit("repo:a/b --all "), head)).alias("q"))
+    return fx.chunks(spark, d).select("id", T.sanitize_query(F.concat(F.lit("repo:a/b --all "), "text")).alias("q"))
 
 
 # --- links ---------------------------------------------------------------------------------------------------------
@@ -271,15 +281,17 @@ def g4b_betweenness(spark, d):
     return graph.betweenness(fx.place_edges(spark, d, True)).select("node", F.bround("betweenness", 6).alias("betweenness"))
 
 
-@query()
+@query(f"""SELECT {_uuid5("repo_id || ':commit:' || merge_sha || ':0'")} AS id, 0.04232::DOUBLE AS score, 'commit:' || left(merge_sha, 7) AS via FROM (SELECT * FROM p ORDER BY number, repo_id LIMIT 15)""")
 def g5_follow_links(spark, d):
     c = fx.commits(spark, d)
     edges = links.materialise_edges(c, fx.pulls(spark, d), fx.issues(spark, d))
-    hits = fx.pulls(spark, d).orderBy("number", "repo_id").limit(5).select(F.concat(F.lit("h"), F.col("number").cast("string")).alias("id"), F.lit(0.05).alias("score"), F.array(T.node_key("pr", F.col("number"))).alias("refs"))
+    seeds = fx.pulls(spark, d).orderBy("number", "repo_id").limit(15)  # as many as are followed
+    hits = seeds.select(F.concat(F.lit("h"), F.col("number").cast("string")).alias("id"), F.lit(0.05).alias("score"), F.array(T.node_key("pr", F.col("number"))).alias("refs"))
     return graph.follow_links(edges, hits, chunking.chunk_commits(c))
 
 
-@query()
+@query("""SELECT 'commit:' || left(sha, 7) AS source_id, 'symbol:' || s AS target_id, 'modifies' AS edge_type, 'MODIFIES_SYMBOL' AS label, false AS highlight FROM cf GROUP BY 1, 2
+ UNION ALL SELECT 'pr:#' || number, 'commit:' || left(merge_sha, 7), 'merges', 'MERGES_COMMIT', false FROM p WHERE left(merge_sha, 7) IN (SELECT left(sha, 7) FROM c) GROUP BY 1, 2""")
 def g7_knowledge_graph(spark, d):
     c = fx.commits(spark, d)
     edges = links.materialise_edges(c, fx.pulls(spark, d), fx.issues(spark, d))
@@ -288,25 +300,27 @@ def g7_knowledge_graph(spark, d):
 
 # --- search --------------------------------------------------------------------------------------------------------
 
-_TOK = ", t AS (SELECT id, source_type, ts, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM ch), tf AS (SELECT id, w, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT id, CAST(sum(tf) AS DOUBLE) AS len FROM tf GROUP BY id)"
-
-
-def plain_tokens(text):
-    """Lower-cased words without code splitting, for languages where case is no word border."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+_MARKED = r"regexp_replace(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([0-9]+)', ' \1 ', 'g')"
+_TOK = rf""", t0 AS (SELECT id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS w FROM ch),
+ t1 AS (SELECT id, w, CASE WHEN contains(w, '_') THEN list_concat([lower(w)], list_filter(string_split(lower(w), '_'), lambda x: x <> '')) ELSE [lower(w)] END AS own,
+  list_filter(string_split_regex(lower(replace({_MARKED}, '_', ' ')), ' +'), lambda x: x <> '') AS camel FROM t0),
+ t AS (SELECT id, unnest(CASE WHEN len(camel) > 1 THEN list_concat(own, list_filter(list_distinct(camel), lambda x: NOT list_contains(own, x))) ELSE own END) AS w FROM t1),
+ tf AS (SELECT id, w, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT id, CAST(sum(tf) AS DOUBLE) AS len FROM tf GROUP BY id)"""
+_BM25 = _TOK + """, n AS (SELECT count(*) AS n FROM ch), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), raw AS (SELECT w, ln((n - df + 0.5) / (df + 0.5)) AS i FROM df, n),
+ idf AS (SELECT w, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM raw) ELSE i END AS i FROM raw), av AS (SELECT (SELECT sum(len) FROM l) / (SELECT n FROM n) AS a), q AS (SELECT * FROM (VALUES %s) v(w, m)),
+ s0 AS (SELECT tf.id, sum(m * i * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS s, count(*) AS o FROM tf JOIN q USING (w) JOIN idf USING (w) JOIN l ON l.id = tf.id, av GROUP BY tf.id),
+ s AS (SELECT id, CASE WHEN s <= 0 THEN 0.5 * o ELSE s END AS s FROM s0)"""
 
 
 @query(_TOK + " SELECT id, count(DISTINCT w) AS terms, count(*) AS words FROM t GROUP BY id")
 def r1_token_stats(spark, d):
-    return fx.chunks(spark, d).select("id", plain_tokens(F.col("text")).alias("t")).where(F.size("t") > 0).select("id", F.size(F.array_distinct("t")).cast("bigint").alias("terms"), F.size("t").cast("bigint").alias("words"))
+    tokens = fx.chunks(spark, d).select("id", T.code_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return tokens.select("id", F.size(F.array_distinct("t")).cast("bigint").alias("terms"), F.size("t").cast("bigint").alias("words"))
 
 
-@query(_TOK + """, n AS (SELECT count(*) AS n FROM ch), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), raw AS (SELECT w, ln((n - df + 0.5) / (df + 0.5)) AS i FROM df, n), idf AS (SELECT w, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM raw) ELSE i END AS i FROM raw),
- av AS (SELECT (SELECT sum(len) FROM l) / (SELECT n FROM n) AS a), q AS (SELECT * FROM (VALUES ('the', 1), ('ther', 2), ('eaon', 1)) v(w, m)),
- s AS (SELECT tf.id, sum(m * i * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS s, count(*) AS o FROM tf JOIN q USING (w) JOIN idf USING (w) JOIN l ON l.id = tf.id, av GROUP BY tf.id)
- SELECT id, CAST(floor(CASE WHEN s <= 0 THEN 0.5 * o ELSE s END * 10000 + 0.5) AS BIGINT) AS score_e4 FROM s""")
+@query(_BM25 % "('the', 1), ('ther', 2), ('eaon', 1)" + " SELECT id, CAST(floor(s * 10000 + 0.5) AS BIGINT) AS score_e4 FROM s")
 def r2_r3_bm25(spark, d):
-    fitted = search.bm25_fit(fx.chunks(spark, d), tokens=plain_tokens)
+    fitted = search.bm25_fit(fx.chunks(spark, d))
     asked = spark.createDataFrame([(0, "the ther ther eaon")], "query_id int, query string")
     return search.bm25_search(fitted, asked).select("id", F.floor(F.col("score") * 10000 + 0.5).alias("score_e4"))
 
@@ -345,9 +359,13 @@ def r14_rrf(spark, d):
     return search.rrf(hits, c, "where is name7", 2024, limit=None).select("id", F.floor(F.col("score") * 1e6 + 0.5).alias("score_e6"))
 
 
-@query()
+@query(_BM25 % "('ther', 1), ('eaon', 1), ('blend', 1)" + """, a AS (SELECT s.id, row_number() OVER (ORDER BY s DESC, s.id) AS rk FROM s JOIN ch ON ch.id = s.id WHERE source_type IN ('commit', 'pr')),
+ f AS (SELECT a.id, 1.0 / (60 + rk) * CASE WHEN source_type = 'commit' THEN greatest(0.35, exp(-0.03 * greatest(2024 - year(ts), 0))) ELSE 1.0 END AS score, source_type, text FROM a JOIN ch ON ch.id = a.id WHERE rk <= 30)
+ SELECT id, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score_e6, source_type, id AS source_id, CASE WHEN length(text) > 4000 THEN left(text, 4000) || chr(10) || '[truncated]' ELSE text END AS text, true AS is_untrusted_data
+ FROM f ORDER BY score DESC, id LIMIT 10""")
 def r15_search_history(spark, d):
-    return search.search_history(fx.chunks(spark, d), None, "ther eaon blend", 2024, source_types=["commit", "pr"])
+    found = search.search_history(fx.chunks(spark, d), None, "ther eaon blend", 2024, source_types=["commit", "pr"])
+    return found.select("id", F.floor(F.col("score") * 1e6 + 0.5).alias("score_e6"), "source_type", "source_id", "text", "is_untrusted_data")
 
 
 @query(", r AS (SELECT id, doc_id % 4 AS q, doc_id % 101 AS s, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id % 101 DESC, id) AS rn FROM ch WHERE source_type = 'pr') SELECT id, row_number() OVER (ORDER BY CASE WHEN rn <= 3 THEN 0 ELSE 1 END, CASE WHEN rn <= 3 THEN rn ELSE 0 END, CASE WHEN rn <= 3 THEN q ELSE 0 END, s DESC, id) AS pos FROM r")
@@ -364,44 +382,47 @@ def w3_budget(spark, d):
 
 @query("SELECT l_orderkey AS file, l_linenumber AS n, coalesce(lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1, l_linenumber + 50) AS end_line FROM lineitem")
 def w6_missing_ends(spark, d):
-    after = F.lead("l_linenumber").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
-    return fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n"), F.coalesce(after, F.col("l_linenumber") + 50).alias("end_line"))
+    li = fx.table(spark, d, "lineitem")
+    starts = li.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("string").alias("symbol_id"), F.col("l_linenumber").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    return links.with_ends(starts, ["file"]).select("file", F.col("start_line").alias("n"), "end_line")
+
+
+_CFL = """, cfl AS (SELECT sha, l_linenumber AS ln, l_suppkey AS a, l_partkey AS b, 'supp/' || l_suppkey || '::part' || (l_partkey % 50) AS s FROM c JOIN lineitem ON l_orderkey = k),
+ sy AS (SELECT sha, string_agg(s, ', ' ORDER BY o) AS syms FROM (SELECT sha, s, min(o) AS o FROM (SELECT sha, s, row_number() OVER (PARTITION BY sha ORDER BY ln, a, b) AS o FROM cfl) GROUP BY sha, s) WHERE o <= 1000 GROUP BY sha)"""
 
 
 # --- chunking and functions ----------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""{_CFL}, m AS (SELECT c.*, CASE WHEN k % 7 = 0 THEN subject || CASE WHEN named IS NOT NULL THEN chr(10) || chr(10) || 'This reverts commit ' || named || '.' ELSE '' END ELSE subject || chr(10) || chr(10) || 'Fixes #' || (k % 50) END AS message FROM c),
+ x AS (SELECT repo_id, m.sha, 'Commit ' || left(m.sha, 7) || ' by ' || author || coalesce(chr(10) || 'Symbols: ' || syms, '') || chr(10) || message AS text FROM m LEFT JOIN sy ON sy.sha = m.sha)
+ SELECT {_uuid5("repo_id || ':commit:' || sha || ':0'")} AS id, sha AS source_id, text, CAST(ceil(length(text) / 4) AS INT) AS token_count FROM x""")
 def c3_commit_chunks(spark, d):
     return chunking.chunk_commits(fx.commits(spark, d)).select("id", "source_id", "text", "token_count")
 
 
-@query()
+@query(f"""SELECT {_uuid5("repo_id || ':pr:' || number || ':0'")} AS id, 'pr' AS source_type, CAST(number AS VARCHAR) AS source_id, 'PR #' || number || ': PR ' || number || chr(10) || 'Fixes #' || (number + 1) || ' and see #' || (number + 4) || '.' AS text FROM p
+ UNION ALL SELECT {_uuid5("repo_id || ':issue:' || number || ':0'")}, 'issue', CAST(number AS VARCHAR), 'Issue #' || number || ': Issue ' || number || chr(10) || 'Broken by #' || (number + 2) || '.' FROM i""")
 def c4_c5_pull_issue_chunks(spark, d):
     none = F.array().cast("array<struct<author:string,user:string,path:string,line:int,body:string,created_at:string>>")
     p, i = (t.withColumn("comments", none).withColumn("review_comments", none) for t in (fx.pulls(spark, d), fx.issues(spark, d)))
     return chunking.chunk_pulls(p).unionByName(chunking.chunk_issues(i)).select("id", "source_type", "source_id", "text")
 
 
-@query("SELECT lang || '/' || doc_id AS source_id, n AS slice_index, length(substr(text, CAST(n * 3000 + 1 AS BIGINT), 3000)) AS chars FROM documents, unnest(range(CAST(greatest(ceil(length(text) / 3000), 1) AS BIGINT))) u(n)")
-def c7_file_slices(spark, d):
-    files = fx.table(spark, d, "documents").select(F.lit("r").alias("repo_id"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("file_path"), "text")
-    n = F.row_number().over(W.partitionBy("source_id").orderBy("index")) - 1
-    rows = files.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / 3000).cast("int"), F.lit(1)) - 1)).alias("index")).select(F.col("file_path").alias("source_id"), "index", F.expr("length(substring(text, index * 3000 + 1, 3000))").alias("chars"))
-    return rows.select("source_id", n.cast("bigint").alias("slice_index"), F.col("chars").cast("bigint").alias("chars"))
-
-
-@query()
+@query(f"""SELECT {_uuid5("'r:file:' || source_id || ':' || n")} AS id, source_id, part AS text, CAST(ceil(length(part) / 4) AS INT) AS token_count FROM (SELECT lang || '/' || doc_id AS source_id, n, substr(text, CAST(n * 3000 + 1 AS BIGINT), 3000) AS part
+ FROM documents, unnest(range(CAST(greatest(ceil(length(text) / 3000), 1) AS BIGINT))) u(n))""")
 def c7_file_chunks(spark, d):
     files = fx.table(spark, d, "documents").select(F.lit("r").alias("repo_id"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("file_path"), "text")
-    return chunking.chunk_files(files).select("id", "source_id", "token_count")
+    return chunking.chunk_files(files).select("id", "source_id", "text", "token_count")
 
 
-@query("SELECT sha, 'Files modified (' || count(f) || '): ' || coalesce(array_to_string((list(f ORDER BY ln, a, b) FILTER (f IS NOT NULL))[1:5], ', '), '') || CASE WHEN count(f) > 5 THEN ' (+' || (count(f) - 5) || ' more)' ELSE '' END || ' (+' || count(f) || '/-0 lines)' AS first_line FROM (SELECT c.sha, 'supp/' || l_suppkey AS f, l_linenumber AS ln, l_suppkey AS a, l_partkey AS b FROM c LEFT JOIN lineitem ON l_orderkey = k) GROUP BY sha")
+@query(f"""{_CFL}, fp AS (SELECT c.repo_id, c.sha, c.k, 'Files modified (' || count(f) || '): ' || coalesce(array_to_string((list(f ORDER BY ln, a, b) FILTER (f IS NOT NULL))[1:5], ', '), '') || CASE WHEN count(f) > 5 THEN ' (+' || (count(f) - 5) || ' more)' ELSE '' END
+  || ' (+' || count(f) || '/-0 lines)' AS files FROM (SELECT c.repo_id, c.sha, c.k, 'supp/' || l_suppkey AS f, l_linenumber AS ln, l_suppkey AS a, l_partkey AS b FROM c LEFT JOIN lineitem ON l_orderkey = k) c GROUP BY 1, 2, 3),
+ pc AS (SELECT c.repo_id, c.sha, max(p.number) AS n FROM c JOIN p ON p.repo_id = c.repo_id AND (starts_with(c.sha, p.ref) OR c.sha = p.merge_sha) GROUP BY 1, 2)
+ SELECT fp.sha, files || coalesce(chr(10) || 'Symbols: ' || syms, '') || coalesce(chr(10) || 'PR #' || n || ': PR ' || n || ' Fixes #' || (n + 1) || ' and see #' || (n + 4) || '.', '') AS diff_summary FROM fp LEFT JOIN sy ON sy.sha = fp.sha LEFT JOIN pc ON pc.sha = fp.sha AND pc.repo_id = fp.repo_id""")
 def c8_footprint(spark, d):
     c = fx.commits(spark, d)
-    out = chunking.footprint(c, links.pull_of_commit(fx.pulls(spark, d), c), fx.pulls(spark, d))
-    return out.select("sha", F.substring_index("diff_summary", "\n", 1).alias("first_line"))
+    return chunking.footprint(c, links.pull_of_commit(fx.pulls(spark, d), c), fx.pulls(spark, d)).select("sha", "diff_summary")
 
 
 @query("SELECT id, CAST(ceil(length(text) / 4) AS INT) AS tokens FROM ch")
@@ -421,14 +442,17 @@ def f2_f3_revert_message(spark, d):
     return fx.commits(spark, d).where("is_revert").select("sha", T.reverted_subject(F.col("message")).alias("subject"), T.revert_target(F.col("message")).alias("target"))
 
 
-@query()
+@query("""SELECT l_orderkey AS key, 'supp/' || l_suppkey || '.py' AS name, 'added' AS kind, l_linenumber * 10 + 1 AS line FROM lineitem UNION ALL SELECT l_orderkey, 'old/' || l_partkey || '.py', 'deleted', 1 FROM lineitem
+ UNION ALL SELECT o_orderkey, 'src/' || o_orderkey || '.py::C' || o_custkey, 'class', 1 FROM orders UNION ALL SELECT o_orderkey, 'src/' || o_orderkey || '.py::C' || o_custkey || '::m' || o_orderkey, 'method', 2 FROM orders UNION ALL SELECT o_orderkey, 'src/' || o_orderkey || '.py::f', 'function', 5 FROM orders""")
 def f4_f5_diff_and_symbols(spark, d):
     code.register(spark)
-    diff = "--- a/src/auth.py\n+++ b/src/auth.py\n@@ -10,3 +10,4 @@\n context\n+added\n context\n-removed\n+put back\n"
-    source = "class AuthService:\n    def login(self):\n        return 1\n\ndef helper():\n    return 2\n"
-    one = spark.createDataFrame([(diff, source, "src/auth.py")], "diff string, code string, path string")
-    one.createOrReplaceTempView("_annalist_diff")
-    return spark.sql("SELECT path AS name, side AS kind, line_no AS line FROM (SELECT t.* FROM _annalist_diff, LATERAL diff_lines(diff) t) UNION ALL SELECT symbol_id, kind, start_line FROM (SELECT t.* FROM _annalist_diff, LATERAL code_symbols(code, path) t)")
+    change = "'--- a/supp/', l_suppkey, '.py\\n+++ b/supp/', l_suppkey, '.py\\n@@ -', l_linenumber * 10, ',1 +', l_linenumber * 10, ',2 @@\\n context\\n+added\\n--- a/old/', l_partkey, '.py\\n+++ /dev/null\\n@@ -1 +0,0 @@\\n-gone\\n'"
+    diffs = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.expr(f"array_join(collect_list(concat({change})), '')").alias("diff"))
+    source = "concat('class C', o_custkey, ':\\n    def m', o_orderkey, '(self):\\n        return 1\\n\\ndef f():\\n    return 2\\n')"
+    files = fx.table(spark, d, "orders").selectExpr("o_orderkey AS key", f"{source} AS code", "concat('src/', o_orderkey, '.py') AS path")
+    diffs.createOrReplaceTempView("_annalist_diffs")
+    files.createOrReplaceTempView("_annalist_files")
+    return spark.sql("SELECT key, path AS name, side AS kind, line_no AS line FROM _annalist_diffs, LATERAL diff_lines(diff) UNION ALL SELECT key, symbol_id, kind, start_line FROM (SELECT key, t.* FROM _annalist_files f, LATERAL code_symbols(f.code, f.path) t)")
 
 
 @query()
@@ -439,22 +463,33 @@ def f13_f15_metrics(spark, d):
     return rows.select("doc_id", F.bround(code.rouge_l("a", "b"), 6).alias("rouge_l"), m["f1"].alias("citation_f1"), F.bround(evaluate.keyword_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-@query()
+@query("SELECT md5(CAST(o_orderkey AS VARCHAR)) AS sha, 12 AS insertions, 5 AS deletions, 'src/new/a.py,b.py,img.png' AS files, o_orderkey % 5 = 0 AS is_revert FROM orders")
 def s1_s3_parse_log(spark, d):
-    fields = ["md5(cast(o_orderkey as string))", "'Ann'", "'ann@x.org'", "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ssXXX\")", "''", "concat('Order ', o_orderkey)"]
+    title = "CASE WHEN o_orderkey % 5 = 0 THEN 'Revert: things' WHEN o_orderkey % 5 = 1 THEN 'Revert to the old way' ELSE concat('Order ', o_orderkey) END"
+    fields = ["md5(cast(o_orderkey as string))", "'Ann'", "'ann@x.org'", "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ssXXX\")", "''", title]
     head = F.concat_ws("\x1f", *(F.expr(f) for f in fields))
     stat = F.lit("\x1fNUMSTAT\n10\t5\tsrc/{old => new}/a.py\n2\t0\tb.py\n-\t-\timg.png\n")
     return history.parse_commits(fx.table(spark, d, "orders").select(F.concat(head, stat).alias("record")), "repo").select("sha", "insertions", "deletions", F.array_join("files_changed", ",").alias("files"), "is_revert")
 
 
-@query()
+@query(""", r AS (SELECT repo_id, sha, d, named, 'Order ' || (k - 7) AS want, k FROM c WHERE k % 7 = 0), s AS (SELECT r.repo_id, r.sha, r.k, coalesce(n.sha, o.sha) AS t FROM r LEFT JOIN c n ON n.repo_id = r.repo_id AND n.sha = r.named LEFT JOIN c o ON o.repo_id = r.repo_id AND o.subject = r.want AND o.d < r.d),
+ x AS (SELECT sha, k % 5 AS v, CAST(regexp_matches(left(sha, 7), '[a-f]') AS INT) + CAST(regexp_matches(left(t, 7), '[a-f]') AS INT) AS cites FROM s WHERE t IS NOT NULL)
+ SELECT sha AS draft_id, v IN (0, 3) AS passed, v IN (0, 3) AND cites > 0 AS fast_pass, CASE WHEN v = 4 THEN round_even((cites + 0) / (cites + 1.0), 4) ELSE 1.0 END AS score FROM x""")
 def v_claims(spark, d):
     c = fx.commits(spark, d)
     done = links.resolve_reverts(c).select("repo_id", "sha", F.col("reverts_sha").alias("_r"))
     c = c.join(done, ["repo_id", "sha"], "left").withColumn("reverts_sha", F.col("_r")).drop("_r")
     evidence = verify.evidence_index(c, chunking.chunk_commits(c))
-    claim = F.concat(F.lit("Commit "), F.left("reverts_sha", F.lit(7)), F.lit(" reverts commit "), F.left("sha", F.lit(7)), F.lit(" and commit abcdef1 is new."))
+    a, b = F.left("sha", F.lit(7)), F.left("reverts_sha", F.lit(7))
+    v = F.regexp_extract("message", r"Order (\d+)", 1).cast("bigint") % 5  # the reverted order; seven more is this one
+    v = (v + 7) % 5
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    claim = F.when(v == 0, say("Commit ", a, " reverts commit ", b, ".")).when(v == 1, say("Commit ", b, " undid commit ", a, ".")).when(v == 2, say("Commit ", a, " reverted commit ", b, ", as abcdef1 says."))
+    claim = claim.when(v == 3, say("Commit ", b, " was reverted by commit ", a, ".")).otherwise(say("Commit ", a, " reverts commit ", b, " in `invented_name`."))
     drafts = c.where("reverts_sha is not null").select(F.col("sha").alias("draft_id"), claim.alias("draft"))
-    errors = verify.claim_errors(drafts, evidence, fx.pulls(spark, d), fx.issues(spark, d), c)
-    text = drafts.select("draft_id", F.col("draft").alias("evidence"))
-    return verify.verdicts(drafts, errors, verify.grounding(drafts, text))
+    pulls, issues = fx.pulls(spark, d), fx.issues(spark, d)
+    errors = verify.claim_errors(drafts, evidence, pulls, issues, c)
+    text = drafts.select("draft_id", F.lit("what the evidence says").alias("evidence"))
+    return verify.verdicts(drafts, errors, verify.grounding(drafts, text), verify.citations(drafts, evidence, pulls, issues, c))
+
+from annalist.plans import lookups  # noqa: E402, F401

@@ -30,7 +30,7 @@ def _path(path) -> bool:
 
 def _git(repo: str, *args: str, most: int | None = None) -> str | None:
     """Output of a git command (its first ``most`` bytes), or None if it fails."""
-    with subprocess.Popen(["git", "-C", repo, *args], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, stdin=subprocess.DEVNULL) as run:
+    with subprocess.Popen(["git", "-c", "core.quotepath=false", "-C", repo, *args], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, stdin=subprocess.DEVNULL) as run:
         out = run.stdout.read() if most is None else run.stdout.read(most)
         cut = most is not None and len(out) == most
         if cut:

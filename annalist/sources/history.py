@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from annalist.functions import text as T
 
 LOG_FORMAT = "%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%P%x1f%s%n%b%x1fNUMSTAT"
+PART_COMMITS = 20_000
 SUFFIXES = ("py", "md", "json", "ts", "js", "yml", "yaml")
 EXCLUDED_DIRS = ("node_modules", ".git", "venv", ".venv", "__pycache__", "dist", "build")
 
@@ -33,18 +34,27 @@ class _GitLogReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
 
+    def _command(self, *args: str) -> list[str]:
+        tail = [f"--since={self.options['since']}"] if self.options.get("since") else []
+        tail += ["--", self.options["subpath"]] if self.options.get("subpath") else []
+        return ["git", "-c", "core.quotepath=false", "-C", self.options["path"], *args, *tail]
+
     def partitions(self):
-        return [InputPartition(0)]
+        """Ranges of PART_COMMITS commits of the log."""
+        done = subprocess.run(self._command("rev-list", "--count", "HEAD"), capture_output=True, text=True, check=False)
+        if done.returncode:
+            raise ValueError(f"git can't read {self.options['path']}: {done.stderr.strip()}")
+        return [InputPartition(at) for at in range(0, int(done.stdout), PART_COMMITS)] or [InputPartition(0)]
 
     def read(self, partition):
-        command = ["git", "-C", self.options["path"], "log", f"--pretty=format:{LOG_FORMAT}", "--numstat"]
-        command += [f"--since={self.options['since']}"] if self.options.get("since") else []
-        command += ["--", self.options["subpath"]] if self.options.get("subpath") else []
-        with subprocess.Popen(command, stdout=subprocess.PIPE, text=True, errors="replace") as git:
+        command = self._command("log", f"--skip={partition.value}", f"--max-count={PART_COMMITS}", f"--pretty=format:{LOG_FORMAT}", "--numstat")
+        with subprocess.Popen(command, stdout=subprocess.PIPE, text=True, encoding="utf-8", errors="replace") as git:
             rest = ""
             for part in iter(lambda: git.stdout.read(1 << 16), ""):
                 *whole, rest = (rest + part).split("\x1e")
                 yield from ((r,) for r in whole if r.strip())
+            if git.wait():  # a log that ends early is no shorter log
+                raise ValueError(f"git log of {self.options['path']} ended with {git.returncode}")
             if rest.strip():
                 yield (rest,)
 
