@@ -57,14 +57,14 @@ def f2_f3_revert_forms(spark, d):
     return o.select("k", T.reverted_subject(text).alias("subject"), T.revert_target(text).alias("target"), T.is_revert(text).alias("is_revert"))
 
 
-@query(""" SELECT o_orderkey AS k, o_orderkey || ',' || (o_orderkey + 1) || ',' || (o_orderkey + 2) AS numbers, 'b' || left(md5(CAST(o_orderkey AS VARCHAR)), 5) || '1,deafene' AS shas FROM orders""")
+@query(""" SELECT o_orderkey AS k, o_orderkey || ',' || (o_orderkey + 1) || ',' || (o_orderkey + 2) AS numbers, 'b' || left(md5(CAST(o_orderkey AS VARCHAR)), 5) || '1,defaced' AS shas FROM orders""")
 def f7_f8_citations(spark, d):
     k = F.col("o_orderkey")
-    text = _say("PR ", k, ", Issue #", k + 1, " and #", k + 2, " on 20240101: feedback of 0xabc1234, b", F.left(F.md5(k.cast("string")), F.lit(5)), "1ff, facaded, commit `deafened`")
+    text = _say("PR ", k, ", Issue #", k + 1, " and #", k + 2, " on 20240101: feedback of 0xabc1234, b", F.left(F.md5(k.cast("string")), F.lit(5)), "1ff, facaded, commit `defaced`")
     return fx.table(spark, d, "orders").select(k.alias("k"), _joined(verify.cited_numbers(text)).alias("numbers"), _joined(verify.cited_shas(text)).alias("shas"))
 
 
-@query(""" SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 2 THEN 1.0 WHEN 1 THEN 0.0 ELSE 2 / 3.0 END::DOUBLE AS precision, CASE o_orderkey % 4 WHEN 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS recall,
+@query(""" SELECT o_orderkey AS k, round_even(CASE o_orderkey % 4 WHEN 2 THEN 1.0 WHEN 1 THEN 0.0 ELSE 2 / 3.0 END::DOUBLE, 9) AS precision, CASE o_orderkey % 4 WHEN 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS recall,
  CASE o_orderkey % 4 WHEN 2 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.8 END::DOUBLE AS f1 FROM orders""")
 def f15_citation_metrics(spark, d):
     k = F.col("o_orderkey")
@@ -104,8 +104,8 @@ def j15_candidate_symbols(spark, d):
     return links.candidate_symbols(texts, fx.symbols(spark, d))
 
 
-@query(""", t AS (SELECT k, k AS text_id FROM c WHERE k % 50 = 1) SELECT text_id, 'Pull Request #' || (text_id - 1) || ': PR ' || (text_id - 1) AS evidence FROM t WHERE text_id - 1 IN (SELECT number FROM p)
- UNION SELECT text_id, 'Issue #' || text_id || ': Issue ' || text_id FROM t WHERE text_id IN (SELECT number FROM i) UNION SELECT text_id, 'Commit ' || left(sha, 7) || ': ' || subject FROM t JOIN c ON c.k = text_id""")
+@query(""", t AS (SELECT k, k AS text_id FROM c WHERE k % 50 = 1), nm AS (SELECT text_id, unnest([text_id - 1, text_id, 0]) AS n FROM t) SELECT text_id, 'Pull Request #' || n || ': PR ' || n AS evidence FROM nm WHERE n IN (SELECT number FROM p)
+ UNION SELECT text_id, 'Issue #' || n || ': Issue ' || n FROM nm WHERE n IN (SELECT number FROM i) UNION SELECT text_id, 'Commit ' || left(sha, 7) || ': ' || subject FROM t JOIN c ON c.k = text_id""")
 def j16_candidate_forensics(spark, d):
     k = F.col("o_orderkey")
     texts = fx.orders(spark, d).where(k % 50 == 1).select(k.alias("text_id"), _say("why #", k - 1, " or #", k, " or #0 and ", F.left(F.md5(k.cast("string")), F.lit(12)), "?").alias("text"))

@@ -388,7 +388,7 @@ def w6_missing_ends(spark, d):
 
 
 _CFL = """, cfl AS (SELECT sha, l_linenumber AS ln, l_suppkey AS a, l_partkey AS b, 'supp/' || l_suppkey || '::part' || (l_partkey % 50) AS s FROM c JOIN lineitem ON l_orderkey = k),
- sy AS (SELECT sha, string_agg(s, ', ' ORDER BY o) AS syms FROM (SELECT sha, s, min(o) AS o FROM (SELECT sha, s, row_number() OVER (PARTITION BY sha ORDER BY ln, a, b) AS o FROM cfl) GROUP BY sha, s) WHERE o <= 1000 GROUP BY sha)"""
+ sy AS (SELECT sha, string_agg(s, ', ' ORDER BY o) AS syms FROM (SELECT sha, s, o, row_number() OVER (PARTITION BY sha ORDER BY o) AS r FROM (SELECT sha, s, min(o) AS o FROM (SELECT sha, s, row_number() OVER (PARTITION BY sha ORDER BY ln, a, b) AS o FROM cfl) GROUP BY sha, s)) WHERE r <= 10 GROUP BY sha)"""
 
 
 # --- chunking and functions ----------------------------------------------------------------------------------------

@@ -138,6 +138,8 @@ def test_diff_and_symbols():
 
 def test_citation_metrics(spark):
     m = value(spark, evaluate.citation_metrics(F.col("t"), F.array(F.lit("abc1234f"), F.lit("pr#12"))), t="see abc1234f and #12 and #99")
+    assert (m.precision, m.recall) == (1.0, 0.5)  # a bare #12 is neither a pull nor an issue
+    m = value(spark, evaluate.citation_metrics(F.col("t"), F.array(F.lit("abc1234f"), F.lit("pr#12"))), t="see abc1234f, PR 12 and issue #99")
     assert (round(m.precision, 3), m.recall) == (0.667, 1.0)
 
 
@@ -170,11 +172,11 @@ def test_metrics_read_whole_texts(spark, tmp_path):
     from annalist.plans.queries import QUERIES
 
     head = "same words at the front " * 30  # 720 characters, 150 words
-    texts = [head + "see #1 and harbour", head + "harbour", "other"]
+    texts = [head + "see PR #1 and harbour", head + "harbour", "other"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in QUERIES["f13_f15_metrics"](spark, str(tmp_path)).collect()}
     assert got[0].citation_f1 == 1.0 and got[1].citation_f1 == 0.0
-    assert got[0].rouge_l == got[1].rouge_l == round(2 * 151 / (154 + 151), 6)
+    assert got[0].rouge_l == got[1].rouge_l == round(2 * 151 / (155 + 151), 6)
     assert got[2].rouge_l == 0.0 and got[2].overlap == 0.0
 
 
