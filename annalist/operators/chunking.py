@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.functions import code
 from annalist.functions.text import token_count, truncate_tokens, uuid5_url
 
 # fixed values: token limits of the chunkers
@@ -99,6 +100,15 @@ def chunk_files(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame
     return _finish(rows, "file", F.col("file_path"), F.array("file_path"), none, none, F.lit(False), F.lit(None))
 
 
+def chunk_code(files: DataFrame) -> DataFrame:
+    """The definitions of the Python files among ``files`` (repo_id, file_path, text), a chunk for each."""
+    code.register(files.sparkSession)
+    files.where(F.endswith("file_path", F.lit(".py"))).createOrReplaceTempView("_annalist_code")
+    rows = files.sparkSession.sql("SELECT repo_id, file_path, c.symbol_id, c.text, 0 AS index FROM _annalist_code f, LATERAL code_chunks(f.text, f.file_path) c")
+    none = F.array().cast("array<string>")
+    return _finish(rows, "code", F.col("symbol_id"), F.array("file_path"), F.array("symbol_id"), none, F.lit(False), F.lit(None))
+
+
 def footprint(commits: DataFrame, pulls_of_commits: DataFrame, pulls: DataFrame) -> DataFrame:
     """(repo_id, sha, diff_summary): files, line counts, symbols, and the pull that brought the commit."""
     more = F.when(F.size("files_changed") > 5, F.concat(F.lit(" (+"), (F.size("files_changed") - 5).cast("string"), F.lit(" more)"))).otherwise("")

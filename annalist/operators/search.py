@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -36,6 +37,7 @@ SYMBOL_STOPWORDS = frozenset(
     "update delete".split()
 )
 
+
 def filter_chunks(chunks: DataFrame, repo_id=None, source_types=None, is_reverted=None, file_path=None, date_from=None, date_to=None) -> DataFrame:
     """Conjunction of the search filters; applied before scoring, while statistics stay those of the whole corpus."""
     out = chunks.where(tenant_match(F.col("repo_id"), repo_id))
@@ -133,7 +135,6 @@ def mock_vector(text: str | None, dimension: int = 384) -> list[float]:
 
 def mock_embedding(dimension: int = 384):
     """A pandas UDF of reproducible unit vectors; for tests and offline runs."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:

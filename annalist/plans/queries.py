@@ -492,4 +492,5 @@ def v_claims(spark, d):
     text = drafts.select("draft_id", F.lit("what the evidence says").alias("evidence"))
     return verify.verdicts(drafts, errors, verify.grounding(drafts, text), verify.citations(drafts, evidence, pulls, issues, c))
 
+
 from annalist.plans import lookups  # noqa: E402, F401

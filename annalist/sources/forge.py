@@ -59,7 +59,7 @@ def _rows(fetch: Callable, kind: str, limit: int, since: str | None, token: bool
         return
     entries = pages(fetch, kind)
     if kind == "issues":
-        entries = (e for e in entries if not e.get("pull_request"))
+        entries = (e for e in entries if e.get("pull_request") is None)
     for e in recent(entries, limit, since):
         comments, reviews = [], []
         if token:
