@@ -493,4 +493,4 @@ def v_claims(spark, d):
     return verify.verdicts(drafts, errors, verify.grounding(drafts, text), verify.citations(drafts, evidence, pulls, issues, c))
 
 
-from annalist.plans import lookups  # noqa: E402, F401
+from annalist.plans import facts, lookups  # noqa: E402, F401
