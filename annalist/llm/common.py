@@ -34,6 +34,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS = 50_000  # keys that salted_join can treat as hot: a bound of what it broadcasts
+HOT_ROWS = 512  # rows that any key may have in one task
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """``rows`` joined on ``key`` with ``one``, which has one row a key, where few keys may hold most of ``rows``.
+
+    A key is hot if it has more than HOT_ROWS rows and more than one in HOT_KEYS of all rows, so at most HOT_KEYS keys are; their
+    number of salts is broadcast, their rows are dealt by ``by`` over the salts, and their row of ``one`` is repeated
+    for each salt. No task then has to take more than that share of the rows for one key. ``counts`` (key, n) and
+    ``total`` spare counting ``rows`` again.
+    """
+    limit = max(HOT_ROWS, (rows.count() if total is None else total) // HOT_KEYS)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0)))
+    copies = one.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+    return dealt.drop("_hot", "_salts").join(copies.drop("_hot", "_salts"), [key, "_salt"], how).drop("_salt")
+
+
 BATCH_ROWS = 1000  # rows of an Arrow batch; texts of some KB each make batches of a few MB on both sides
 
 

@@ -7,9 +7,10 @@ number of darts looked at is about k ln k whatever the length of the text, and t
 probability of their (weighted) Jaccard similarity. Bands of coordinates are buckets of candidates.
 
 Texts with equal shingle sets collapse into one class before anything else. In a bucket every member is compared with
-the bucket's smallest member; buckets that still hold more than one component have members of different components
-compared by signature, in blocks, and those above a margin verified, so that no bucket needs a cap and copies are
-never expanded into pairs. Every candidate is verified by the Jaccard similarity of the whole shingle sets (32-bit
+the bucket's smallest member; in buckets that still hold more than one component the members outside the largest one
+are compared by signature, in blocks, with all members of other components, and those above a margin verified, so
+that no bucket needs a cap, copies are never expanded into pairs, and a large group with few strangers in its bucket
+costs in proportion to its size. Joins on buckets, leaders and copies salt the keys that hold many rows. Every candidate is verified by the Jaccard similarity of the whole shingle sets (32-bit
 hashes). With 36 bands of 7 coordinates a pair at similarity 0.8 is missed with probability 2e-4.
 
 Defined results: a null or empty text, or one without words, is a class of its own; a text of fewer than five words is
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import bounded_batches, mix64, written
+from annalist.llm.common import bounded_batches, mix64, salted_join, written
 from annalist.llm.components import components
 
 WORDS = 5
@@ -175,21 +176,27 @@ def verify(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
             got = [_jaccard(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
 
-    sides = pairs.join(found.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(found.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    sides = pairs.join(found.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sides = salted_join(sides, found.select(F.col("id").alias("a"), F.col("set").alias("x")), "a", "b", counts=counts, total=pairs.count())
     return sides.select("a", "b", "x", "y").mapInArrow(jaccard, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
 def _mixed_links(members: DataFrame, need: int, similarity: float) -> DataFrame:
     """Verified links between different components that share a bucket: in each group a spanning forest of them.
 
-    ``members`` has (h, rep, root, sig, set) of the buckets with more than one component. Pairs whose signatures agree in
-    ``need`` coordinates or more are verified where they are found, and a link is given only if it joins what no
-    earlier link of the group has joined. A bucket of m members is dealt into blocks of about BLOCK, and each pair of
-    blocks is a group of its own, so no group grows with a bucket.
+    ``members`` has (h, rep, root, large, n_large, n_rest, sig, set) of the buckets with more than one component:
+    the root of the bucket's largest component, its members and the others. Pairs whose signatures agree in ``need``
+    coordinates or more are verified where they are found, and a link is given only if it joins what no earlier link
+    of the group has joined. Both parts are dealt into blocks of about BLOCK, numbered below zero for the largest
+    component. Each pair of blocks but those of the largest component is a group of its own, so no group grows with a
+    bucket.
     """
-    sizes = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    dealt = members.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    blocks, rests = F.ceil(F.col("n_large") / BLOCK).cast("int"), F.ceil(F.col("n_rest") / BLOCK).cast("int")
+    is_large, code = F.col("root") == F.col("large"), F.xxhash64("rep")
+    own = F.when(is_large, -1 - F.pmod(code, blocks)).otherwise(F.pmod(code, rests)).cast("int")
+    other = F.sequence(F.when(is_large, 0).otherwise(-blocks), rests - 1)
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(other))
     dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "sig", "set")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -226,23 +233,30 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(documents.sparkSession)
     signed = written(signatures(documents, id_col, text_col, bands, rows), "signatures")
     # texts of one key have one signature: any of them will do
-    reps = written(signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "texts")
+    reps = written(signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "texts")
     banded = reps.select("rep", F.explode("bands").alias("h"))
-    leaders = banded.groupBy("h").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("h", "leader")
-    members = written(banded.join(leaders, "h"), "members")  # of buckets with two texts or more
+    leaders = banded.groupBy("h").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("leader < last")
+    leaders = written(leaders.select("h", "leader", "n"), "leaders")  # of buckets with two texts or more
+    members = salted_join(banded, leaders.select("h", "leader"), "h", "rep", counts=leaders.select("h", "n"), total=reps.count() * bands)
+    members = written(members.select("h", "rep", "leader"), "members")
     tried = written(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     sets = shingle_sets(tried.select(F.explode(F.array("a", "b")).alias("id")), documents, id_col, text_col)
     links = written(verify(tried, sets, similarity).select("a", "b"), "links")
     roots = written(components(links), "roots")
-    rooted = members.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("root"))
-    several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    mixed = written(rooted.join(several, "h").join(reps.select("rep", "sig"), "rep").join(sets.select(F.col("id").alias("rep"), "set"), "rep"), "mixed")
+    rooted = written(members.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+    parts = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = written(several.select("h", F.col("top.root").alias("large"), F.col("top.n").alias("n_large"), (F.col("n") - F.col("top.n")).alias("n_rest"), "n"), "several")
+    mixed = salted_join(rooted, several.drop("n"), "h", "rep", counts=several.select("h", "n"))
+    mixed = written(mixed.join(reps.select("rep", "sig"), "rep").join(sets.select(F.col("id").alias("rep"), "set"), "rep"), "mixed")
     more = written(_mixed_links(mixed, int((similarity - MARGIN) * bands * rows), similarity), "links")
     if not more.isEmpty():
         roots = written(components(links.union(more)), "roots")
-    named = reps.select("key", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select(F.col("key").alias("_key"), F.coalesce("root", "rep").alias("root"))
+    named = reps.select("key", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
     named = written(named, "classes")
-    return signed.select("doc_id", "key").join(named, F.col("key") == F.col("_key"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    worded = salted_join(signed.where("key is not null").select("doc_id", "key"), named, "key", "doc_id", "left", counts=reps.select("key", "n"), total=signed.count())
+    alone = signed.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    return worded.select("doc_id", F.coalesce("root", "doc_id").alias("class_id")).union(alone)
 
 
 def keep(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, url_filter
+from annalist.llm import bpe, common, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, url_filter
 from tests.conftest import DATA
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -140,6 +140,45 @@ def test_near_brute_force(spark, docs):
     assert got == {i: top(i) for i in ids}
 
 
+def test_near_with_salts_and_small_blocks(spark, monkeypatch):
+    """One large group of near copies, one of exact copies, and strangers: same classes however keys and buckets are dealt."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    base = list(rng.choice(words, 200))
+    texts = [" ".join(base[:at] + ["other"] + base[at + 1 :]) for at in range(0, 200, 4)] + [" ".join(base)] * 20 + [" ".join(rng.choice(words, 120)) for _ in range(20)]
+    df = documents(spark, *texts)
+    want = sorted((r.doc_id, r.class_id) for r in near_dedup.classes(df).collect())
+    assert len({c for _, c in want}) == 21
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 1000)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    assert sorted((r.doc_id, r.class_id) for r in near_dedup.classes(df).collect()) == want
+
+
+def test_links_within_a_mixed_bucket(spark, monkeypatch):
+    """Each two components of a bucket that a similar pair connects are linked, across blocks as within."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    sets = {i: np.arange(100) + (1000 if i < 10 else 1000 * i) for i in range(24)}
+    sets[15] = np.concatenate([sets[4][:95], [7, 8]])  # a stranger near the largest component
+    sets[17], sets[22] = sets[16] + 5, sets[16] + 8  # strangers near each other
+    rows = [(1, i, 0 if i < 10 else i, 0, 10, 14, bytes(8), sets[i].astype(np.uint32).tobytes()) for i in sets]
+    members = spark.createDataFrame(rows, "h long, rep long, root long, large long, n_large long, n_rest long, sig binary, set binary")
+    links = {(r.a, r.b) for r in near_dedup._mixed_links(members, 0, 0.8).collect()}
+    joined = {(min(a, b) if min(a, b) >= 10 else "large", max(a, b)) for a, b in links}
+    assert ("large", 15) in joined and {16, 17, 22} <= {x for link in links for x in link}
+    assert all(len({a, b} & set(range(10))) < 2 for a, b in links) and {x for link in links for x in link} - set(range(10)) == {15, 16, 17, 22}
+
+
+def test_salted_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    rows = spark.createDataFrame([(1, i) for i in range(40)] + [(2, i) for i in range(30)] + [(k, 0) for k in range(3, 9)] + [(None, 1)], "k long, v long")
+    one = spark.createDataFrame([(k, k * 10) for k in range(1, 8)], "k long, w long")
+    for how in ("inner", "left"):
+        key = lambda r: tuple(-1 if x is None else x for x in r)
+        assert sorted(common.salted_join(rows, one, "k", "v", how).collect(), key=key) == sorted(rows.join(one, "k", how).collect(), key=key)
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     x, w = rng.integers(0, 2**63, 100).astype(np.uint64), rng.random(100) * 5
