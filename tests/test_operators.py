@@ -1,3 +1,4 @@
+import os
 import uuid
 from datetime import datetime
 
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 from annalist.functions import code, text as T
 from annalist.operators import analytics, chunking, evaluate, graph, links, merge, search, verify
 from annalist.schemas import SCHEMAS, empty
-from annalist.sources import history
+from annalist.plans.queries import QUERIES
+from annalist.sources import fixtures, history
+from tests.conftest import DATA
 
 
 def value(spark, column, **literals):
@@ -108,6 +111,33 @@ def test_pagerank_and_betweenness(spark):
     assert graph.topology(edges(spark, ("a", "b")).limit(0))["total_nodes"] == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_betweenness_query_by_counting_paths(spark):
+    """g4b against distances and numbers of shortest paths between all pairs of its graph."""
+    pairs = {(r.source_id, r.target_id) for r in fixtures.place_edges(spark, DATA, True).collect()}
+    nodes = sorted({x for p in pairs for x in p})
+    after = {v: [t for s, t in pairs if s == v] for v in nodes}
+    far, paths = {}, {}
+    for s in nodes:
+        far[s], paths[s], front = {s: 0}, {s: 1}, [s]
+        while front:
+            step = {}
+            for v in front:
+                for w in after[v]:
+                    if w not in far[s]:
+                        step[w] = step.get(w, 0) + paths[s][v]
+            far[s] |= dict.fromkeys(step, far[s][front[0]] + 1)
+            paths[s] |= step
+            front = list(step)
+    n = len(nodes)
+    want = {}
+    for v in nodes:
+        through = [paths[s][v] * paths[v][t] / paths[s][t] for s in nodes for t in far[s] if v in far[s] and v not in (s, t) and t != s and t in far[v] and far[s][v] + far[v][t] == far[s][t]]
+        want[v] = pytest.approx(sum(through) / ((n - 1) * (n - 2)), abs=1e-6)
+    assert {r.node: r.betweenness for r in QUERIES["g4b_betweenness"](spark, DATA).collect()} == want
+    assert graph.betweenness(edges(spark, ("a", "b")).limit(0)).count() == 0
+
+
 def test_upsert_keeps_what_is_not_given(spark):
     old = spark.createDataFrame([(1, "x", "me"), (2, "y", "me")], "k int, v string, author string")
     new = spark.createDataFrame([(1, None, "you"), (3, "z", "you")], "k int, v string, author string")
