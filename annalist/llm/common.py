@@ -23,8 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; unset (as in tests), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/annalist-shared-{os.getpid()}"
+    """The folder of spark.checkpoint.dir. Unset, a local one does, but only where driver and executors are one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+    return f"file://{tempfile.gettempdir()}/annalist-shared-{os.getpid()}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made and that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+
+
 HOT_KEYS = 50_000  # keys that salted_join can treat as hot: a bound of what it broadcasts
 HOT_ROWS = 512  # rows that any key may have in one task
 

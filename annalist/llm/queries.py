@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, url_filter
+from annalist.llm import bpe, clustering, decontaminate, html_extract, near_dedup, packing, pii, quality_model, quality_rules, ranked_search, secret_scan, suffix_dedup, url_filter
 from annalist.llm.common import table
 
 
@@ -17,6 +17,12 @@ def vocabulary() -> str:
     return os.environ.get("ANNALIST_BPE_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return os.environ.get("ANNALIST_WORD_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, documents, labels = (table(spark, sf_dir, t) for t in ("pages", "documents", "labels"))
     return url_filter.judge(pages, url_filter.article_outcomes(pages, documents, labels)).drop("upper")
@@ -59,7 +65,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_quality_ftrl, op3_secret_trigrams, op4_html_tree, op5_benchmark_wand, op6_repeated_bytes, op7_quality_divergence, op8_bpe_bitmap, op9_pii_votes, op10_near_dedup)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), word_vocabulary()))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_quality_ftrl, op3_secret_trigrams, op4_html_tree, op5_benchmark_wand, op6_repeated_bytes, op7_quality_divergence, op8_bpe_bitmap, op9_pii_votes, op10_near_dedup, op11_centroids, op12_packing, op13_ranked_search)}
 
 
 def _shrink(level: str, units: str, mean: str, out: str) -> str:
@@ -123,4 +141,34 @@ _OP7 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance,
  NOT base_failed AND NOT coalesce((word_chars >= 200 AND char_distance > 0.25) OR (n_words >= 100 AND coalesce(lang IN {tuple(quality_rules.COMMON_WORDS)}, false) AND word_distance > 0.25), false) AS kept FROM j"""
 
-ORACLE_SQL: dict[str, str] = {"op1_url_reputation": _OP1, "op7_quality_divergence": _OP7}
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds as one CTE each for assignments and centroids."""
+    out = """WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS j, x AS c FROM kept ORDER BY sha256('2:' || vec_id), x LIMIT %d)""" % k
+    for r in range(rounds + 1):
+        out += f""",
+ a{r} AS MATERIALIZED (SELECT rid, min({{'d': d, 'j': j}}) AS b FROM (SELECT rid, j, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, c{r}) GROUP BY rid)"""
+        if r < rounds:
+            out += f""",
+ m{r} AS (SELECT j, i, CAST(floor(sum(v)::DECIMAL(38, 0) / count(*)) AS BIGINT) AS v FROM (SELECT b.j AS j, unnest(x) AS v, unnest(range(64)) AS i FROM a{r} JOIN kept USING (rid)) GROUP BY j, i),
+ c{r + 1} AS MATERIALIZED (SELECT j, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN (SELECT j, list(v ORDER BY i) AS c FROM m{r} GROUP BY j) n USING (j))"""
+    return out + f"""
+SELECT vec_id, CAST(b.j AS INT) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.j) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN kept USING (rid) JOIN c{rounds} ON j = b.j"""
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+ s AS MATERIALIZED (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM d WHERE len(t) > 0),
+ p AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY rid, term),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+ q AS (SELECT qid, item_id, term, count(*) AS qtf FROM (SELECT row_number() OVER () AS qid, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+ m AS (SELECT rid, doc_id, 75 + CAST((25 * len(t)::HUGEINT * n_docs) // n_terms AS BIGINT) AS m FROM d, s),
+ scored AS (SELECT qid, item_id, rid, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL),
+ ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_reputation": _OP1, "op7_quality_divergence": _OP7, "op11_centroids": _centroids_sql(), "op13_ranked_search": _OP13}
