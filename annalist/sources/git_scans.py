@@ -1,6 +1,7 @@
 """Scans of diffs, blobs and blame: rows name what to read, the executors run git on a repository that they all reach.
 
-Each scan maps a table of requests to a table of results, so its parallelism is the partitioning of the requests. A
+Each scan maps a table of requests to a table of results, so its parallelism is the partitioning of the requests; diffs
+and files come from the long-lived processes of a task (``git_objects``), blame from a process for each span. A
 revision is a hash of 4 to 40 hex digits, with ``^`` or ``~n`` behind it if need be; a path stays below the repository.
 What is not of that form, and what git does not find, gives a null (a diff, a blob) or no row (blame).
 """
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import code
 from annalist.operators import links
+from annalist.sources.git_objects import Objects, command
 
 _REVISION = re.compile(r"[0-9a-fA-F]{4,40}(?:\^|~\d{1,4})*")
 
@@ -28,14 +30,10 @@ def _path(path) -> bool:
     return isinstance(path, str) and bool(path) and not path.startswith(("/", "-")) and "\0" not in path and ".." not in path.replace("\\", "/").split("/")
 
 
-def _git(repo: str, *args: str, most: int | None = None) -> str | None:
-    """Output of a git command (its first ``most`` bytes), or None if it fails."""
-    with subprocess.Popen(["git", "-c", "core.quotepath=false", "-C", repo, *args], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, stdin=subprocess.DEVNULL) as run:
-        out = run.stdout.read() if most is None else run.stdout.read(most)
-        cut = most is not None and len(out) == most
-        if cut:
-            run.kill()
-    return out.decode("utf-8", "replace") if cut or run.returncode == 0 else None
+def _git(repo: str, *args: str) -> str | None:
+    """Output of a git command, or None if it fails."""
+    done = subprocess.run(command(repo, *args), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, stdin=subprocess.DEVNULL, check=False)
+    return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else None
 
 
 def commit_count(repo: str, since: str | None = None) -> int:
@@ -43,24 +41,28 @@ def commit_count(repo: str, since: str | None = None) -> int:
     return int(_git(repo, "rev-list", "--count", "HEAD", *([f"--since={since}"] if since else [])) or 0)
 
 
-def _mapped(requests: DataFrame, columns: list[str], name: str, read) -> DataFrame:
+def _mapped(requests: DataFrame, columns: list[str], name: str, repo: str, read) -> DataFrame:
     def run(frames):
-        for frame in frames:
-            found = [read(*row) for row in frame[columns].itertuples(index=False, name=None)]
-            yield frame.assign(**{name: pd.Series(found, index=frame.index, dtype=object)})
+        with Objects(repo) as objects:
+            for frame in frames:
+                found = [read(objects, *row) for row in frame[columns].itertuples(index=False, name=None)]
+                yield frame.assign(**{name: pd.Series(found, index=frame.index, dtype=object)})
 
     return requests.mapInPandas(run, f"{requests._jdf.schema().toDDL()}, {name} string")
 
 
+def _text(data: bytes | None) -> str | None:
+    return None if data is None else data.decode("utf-8", "replace")
+
+
 def with_diffs(commits: DataFrame, repo: str, max_bytes: int = 20_000, sha_col: str = "sha") -> DataFrame:
     """``commits`` with ``diff``: against the first parent, cut at ``max_bytes``."""
-    args = ("show", "-m", "--first-parent", "--format=", "--unified=3")
-    return _mapped(commits, [sha_col], "diff", lambda sha: _git(repo, *args, sha, "--", most=max_bytes) if _revision(sha) else None)
+    return _mapped(commits, [sha_col], "diff", repo, lambda git, sha: _text(git.diff(sha, max_bytes)) if _revision(sha) else None)
 
 
 def with_blobs(files: DataFrame, repo: str, sha_col: str = "sha", path_col: str = "path") -> DataFrame:
     """``files`` with ``text``: the file as it was at the revision."""
-    return _mapped(files, [sha_col, path_col], "text", lambda sha, path: _git(repo, "show", f"{sha}:{path}") if _revision(sha) and _path(path) else None)
+    return _mapped(files, [sha_col, path_col], "text", repo, lambda git, sha, path: _text(git.blob(sha, path)) if _revision(sha) and _path(path) else None)
 
 
 def blame(spans: DataFrame, repo: str, ignore_revs: str | None = None) -> DataFrame:

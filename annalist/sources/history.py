@@ -2,67 +2,25 @@
 
 from __future__ import annotations
 
-import subprocess
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from annalist.functions import text as T
+from annalist.sources.git_objects import GitFiles, GitLog
 
-LOG_FORMAT = "%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%P%x1f%s%n%b%x1fNUMSTAT"
-PART_COMMITS = 20_000
+# fixed values: what is not ingested of a tree
 SUFFIXES = ("py", "md", "json", "ts", "js", "yml", "yaml")
 EXCLUDED_DIRS = ("node_modules", ".git", "venv", ".venv", "__pycache__", "dist", "build")
+EXCLUDED_FILES = ("context.md", "bugs.md", "recentbugs.md", "secrets.json")
 
 
-class GitLog(DataSource):
-    """``spark.read.format("gitlog").option("path", repo)``: one raw record per commit; ``since`` and ``subpath`` narrow it."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "gitlog"
-
-    def schema(self) -> str:
-        return "record string"
-
-    def reader(self, schema):
-        return _GitLogReader(self.options)
-
-
-class _GitLogReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = dict(options)
-
-    def _command(self, *args: str) -> list[str]:
-        tail = [f"--since={self.options['since']}"] if self.options.get("since") else []
-        tail += ["--", self.options["subpath"]] if self.options.get("subpath") else []
-        return ["git", "-c", "core.quotepath=false", "-C", self.options["path"], *args, *tail]
-
-    def partitions(self):
-        """Ranges of PART_COMMITS commits of the log."""
-        done = subprocess.run(self._command("rev-list", "--count", "HEAD"), capture_output=True, text=True, check=False)
-        if done.returncode:
-            raise ValueError(f"git can't read {self.options['path']}: {done.stderr.strip()}")
-        return [InputPartition(at) for at in range(0, int(done.stdout), PART_COMMITS)] or [InputPartition(0)]
-
-    def read(self, partition):
-        command = self._command("log", f"--skip={partition.value}", f"--max-count={PART_COMMITS}", f"--pretty=format:{LOG_FORMAT}", "--numstat")
-        with subprocess.Popen(command, stdout=subprocess.PIPE, text=True, encoding="utf-8", errors="replace") as git:
-            rest = ""
-            for part in iter(lambda: git.stdout.read(1 << 16), ""):
-                *whole, rest = (rest + part).split("\x1e")
-                yield from ((r,) for r in whole if r.strip())
-            if git.wait():  # a log that ends early is no shorter log
-                raise ValueError(f"git log of {self.options['path']} ended with {git.returncode}")
-            if rest.strip():
-                yield (rest,)
-
-
-def read_git_log(spark: SparkSession, path: str, since: str | None = None, subpath: str | None = None) -> DataFrame:
+def read_git_log(spark: SparkSession, path: str, since: str | None = None, subpath: str | None = None, revision: str | None = None) -> DataFrame:
+    """Raw records of the commits that ``revision`` (by default HEAD) reaches when the read is planned."""
     spark.dataSource.register(GitLog)
     reader = spark.read.format("gitlog").option("path", path)
-    for k, v in (("since", since), ("subpath", subpath)):
+    for k, v in (("since", since), ("subpath", subpath), ("revision", revision)):
         reader = reader.option(k, v) if v else reader
     return reader.load()
 
@@ -94,6 +52,34 @@ def read_tree(spark: SparkSession, root: str, suffixes=SUFFIXES, exclude_tests:
     return files.where(~F.col("path").rlike(rf"/(?:{skip.replace('.', chr(92) + '.')})/")).select("path", F.decode("content", "utf-8").alias("text"))
 
 
+def read_tracked(spark: SparkSession, repo: str, suffixes=SUFFIXES, parts: int | None = None) -> DataFrame:
+    """(file_path, text) of the files that the repository tracks and that are there, by paths below it; blank ones are left out.
+
+    Paths are listed by one task, then dealt over ``parts`` tasks, which read the files as UTF-8 without what is not.
+    """
+    spark.dataSource.register(GitFiles)
+    name, folders = F.element_at(F.split("file_path", "/"), -1), F.split("file_path", "/")
+    listed = spark.read.format("gitfiles").option("path", repo).load()
+    wanted = listed.where(F.substring_index("file_path", ".", -1).isin(*suffixes) & F.contains(name, F.lit(".")) & ~name.isin(*EXCLUDED_FILES))
+    wanted = wanted.where(~F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED_DIRS)))).distinct()
+    dealt = wanted.repartition(parts, "file_path") if parts else wanted.repartition("file_path")
+
+    def run(frames):
+        for frame in frames:
+            texts = [_content(os.path.join(repo, p)) for p in frame["file_path"]]
+            yield frame.assign(text=texts)
+
+    return dealt.mapInPandas(run, "file_path string, text string").where("text is not null")
+
+
+def _content(path: str) -> str | None:
+    if not os.path.isfile(path):
+        return None
+    with open(path, encoding="utf-8", errors="ignore", newline="") as f:
+        text = f.read()
+    return text if text.strip() else None
+
+
 def read_pulls(spark: SparkSession, path: str) -> DataFrame:
     from annalist.schemas import SCHEMAS
 
