@@ -16,30 +16,38 @@ a lost task packs the same rows in the same way again.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import bounded_batches
 
 WINDOW = 1 << 20  # tokens of rows that wait for a bin; packing goes on until half of them are left
-WORDS_KEPT = 400_000  # words that a worker remembers the ids of, about 150 bytes each
+WORDS_KEPT = 1_000_000  # words that a worker remembers the ids of, about 200 bytes each
+TEXTS, TEXT_BYTES = 200, 1 << 20  # texts whose words are looked up together
 PIECES = 2000  # rows of an output batch
 TASK_BITS = 33  # sequences of a task are numbered in so many bits, below its number
-TRAILING = b".,;:!?"
+TRAILING = ".,;:!?"
+#: Letters that the tokenizer lower-cases one by one, composes with nothing behind them, and has as letters.
+LETTERS = "".join(c for c in map(chr, (*range(65, 91), *range(97, 123), *range(0xC0, 0x17F))) if c.isalpha() and c not in "\u0130\u0149")
+LETTERS_ONLY = re.compile(f"[{LETTERS}]+").fullmatch
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss boolean"
 
 
 class WordIds:
     """Token ids of texts by a tokenizer that drops white space and never joins what it parts: words are encoded once.
 
-    A worker keeps the ids of up to WORDS_KEPT words over its tasks. Case is dropped by the tokenizer, and a run of
-    TRAILING behind an ASCII letter or digit is a unit of its own to it, so both are taken off before a word is
-    looked up.
+    A worker keeps the ids of up to WORDS_KEPT words over its tasks; beyond that, those of the words it met first, which are
+    the common ones. Case is dropped by the tokenizer, and a run of TRAILING behind a letter is a unit of its own to it,
+    so both are taken off before a word is encoded. Words of letters alone are one unit, and go to the merges directly.
     """
 
     _of: dict = {}
@@ -53,45 +61,48 @@ class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        to_chars = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.chars = {ord(c): to_chars(c)[0][0] for c in LETTERS}  # a letter as the characters that stand for its bytes
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
-    def _learn(self, words: list[bytes]) -> None:
-        parted = []
-        for w in words:
-            low = w.lower() if w.isascii() and b"<|" not in w else w  # a special token is one only as it is written
-            core = low.rstrip(TRAILING)
-            apart = core and core != low and core[-1] < 128 and core[-1:].isalnum() and b"<|" not in w
-            parted.append((core, low[len(core) :]) if apart else (low, b""))
-        new = {p for pair in parted for p in pair if p and p not in self.cores}
-        letters = [w for w in new if w.isascii() and w.isalpha() and w.islower()]  # one unit each, as they are
-        tokenize = self.tokenizer.model.tokenize
-        self.cores.update((w, np.array([t.id for t in tokenize(w.decode())], "<u4").tobytes()) for w in letters)
-        others = sorted(new.difference(letters))
+    def _learn(self, words: set[bytes]) -> None:
+        merge, chars, pack = self.tokenizer.model.tokenize, self.chars, [struct.Struct(f"<{n}I").pack for n in range(64)]
+        known, ends, others, cores = self.known, {}, [], {}
+        for word in words:
+            text = word.decode()
+            core = text.rstrip(TRAILING)
+            if not LETTERS_ONLY(core) or len(core) > 60:
+                others.append(word)
+                continue
+            low = core.lower()
+            if low not in cores:
+                ids = [t.id for t in merge(low.translate(chars))]
+                cores[low] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+            tail = text[len(core) :]
+            if tail and tail not in ends:
+                ends[tail] = self._encode([tail.encode()])[0]
+            known[word] = cores[low] + ends[tail] if tail else cores[low]
         for at in range(0, len(others), 4096):
-            self.cores.update(zip(others[at : at + 4096], self._encode(others[at : at + 4096])))
-        self.cores[b""] = b""
-        self.known.update((w, self.cores[core] + self.cores[tail]) for w, (core, tail) in zip(words, parted))
-
-    def __call__(self, text: bytes) -> bytes:
-        """The ids of a text in UTF-8, as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            new = {w for w, ids in zip(words, found) if ids is None}
-            if len(self.known) + len(self.cores) > WORDS_KEPT:
-                self.known.clear()
-                self.cores.clear()
-                new = set(words)
-            self._learn(sorted(new))
-            found = list(map(self.known.__getitem__, words))
-        return b"".join(found)
+            known.update(zip(others[at : at + 4096], self._encode(others[at : at + 4096])))
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each of ``texts`` in UTF-8, as little-endian unsigned 32-bit integers."""
+        if len(self.known) > WORDS_KEPT:
+            self.known = dict(islice(self.known.items(), WORDS_KEPT // 4))
+        split = [text.split() for text in texts]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if new:
+            self._learn(new)
+        get = self.known.__getitem__
+        for words in split:
+            yield b"".join(map(get, words))
 
 
 class Packer:
@@ -226,12 +237,13 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, max_segments: i
         encode = WordIds.get(vocabulary)
         packer = Packer(*limits, first=TaskContext.get().partitionId() << TASK_BITS)
         for batch in batches:
-            keys, texts, bear = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-            for i, key in enumerate(keys):
-                packer.add(key, encode(texts[i].as_py() or b"") + end, bear[i])
-                if len(packer.done) >= PIECES:
-                    yield out(packer.done)
-                    packer.done = []
+            for part in _parts(batch):
+                keys, texts, bear = (part.column(i).to_pylist() for i in range(3))
+                for key, ids, loss in zip(keys, encode([t or b"" for t in texts]), bear):
+                    packer.add(key, ids + end, loss)
+                    if len(packer.done) >= PIECES:
+                        yield out(packer.done)
+                        packer.done = []
         packer.pack()
         for at in range(0, len(packer.done), PIECES):
             yield out(packer.done[at : at + PIECES])
@@ -241,6 +253,19 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, max_segments: i
     return rows.mapInArrow(run, SCHEMA)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of up to TEXTS rows whose texts hold TEXT_BYTES together, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first >= TEXTS or held + size > TEXT_BYTES):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
 def digests(pieces: DataFrame) -> DataFrame:
     """``pieces`` with the CRC-32 of their ids in place of these."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

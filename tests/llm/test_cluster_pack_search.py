@@ -102,12 +102,16 @@ ODD = [
 
 
 def test_words_equal_the_tokenizer(tokenizer, monkeypatch):
+    rng = random.Random(3)
+    letters = ["".join(rng.choices(packing.LETTERS, k=rng.randint(1, 12))) + rng.choice(["", ".", ",!"]) for _ in range(3000)]
+    texts = [t or "" for t in ODD] * 2 + [" ".join(letters), " ".join(packing.LETTERS), "a" * 70 + " " + "é" * 59 + ","]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
     for kept in (packing.WORDS_KEPT, 3):
         monkeypatch.setattr(packing, "WORDS_KEPT", kept)
         ids = packing.WordIds(queries.word_vocabulary())
-        for text in [t or "" for t in ODD] * 2:
-            want = tokenizer.encode(text, add_special_tokens=False).ids
-            assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want, text[:50]
+        for n in (1, len(texts)):
+            got = [x for at in range(0, len(texts), n) for x in ids([t.encode() for t in texts[at : at + n]])]
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
 def check_pieces(rows, tokens, capacity, segments=None, loss=None):
