@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# fixed values: definition patterns of languages other than Python
+from annalist.functions import scanner
+
+#: Definitions in text that is not of a known language, or is Python that does not parse.
 DEFINITIONS = (
-    ("class", re.compile(r"^\s*(?:export\s+)?(?:public\s+|private\s+|abstract\s+|final\s+)*(?:class|interface|struct|trait|enum)\s+([A-Za-z_]\w*)")),
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:pub\s+)?(?:async\s+)?(?:function|func|fn|def)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)")),
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_]\w*)\s*=>")),
-    ("method", re.compile(r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|final\s+|async\s+)+[\w<>\[\], ]*?([A-Za-z_]\w*)\s*\([^;]*\)\s*\{")),
+    ("class", re.compile(r"^\s*(?:(?:export|default|pub|public|private|protected|abstract|final)\s+)*(?:class|interface|struct|trait|enum|type)\s+([A-Za-z_]\w*)")),
+    ("function", re.compile(r"^\s*(?:(?:export|default|pub|public|private|protected|static|async)\s+)*(?:function|func|fn|def)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(")),
 )
+NO_CODE = ("md", "json", "yml", "yaml", "txt", "rst", "toml", "lock")  # in which nothing is defined
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
@@ -109,9 +110,12 @@ def pattern_symbols(code: str, path: str) -> list[tuple]:
 
 
 def symbols_of(code: str | None, path: str) -> list[tuple]:
-    """(symbol_id, name, kind, start_line, end_line); unparsable Python falls back to patterns."""
-    if not code:
+    """(symbol_id, name, kind, start_line, end_line): Python by its syntax tree, brace languages by the scanner, else by patterns."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if not code or suffix in NO_CODE:
         return []
+    if suffix in scanner.LANGUAGES:
+        return scanner.definitions(code, path, scanner.LANGUAGES[suffix])
     if path.endswith(".py"):
         try:
             return python_symbols(code, path)
@@ -175,6 +179,29 @@ class CodeChunks:
         yield from code_chunks(code, path)
 
 
+def _applied(files, table_function, schema: str, names: list[str]):
+    """(repo_id, file_path, ...) of ``files`` (repo_id, file_path, text): the rows that a Python function makes of each file."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(repo, path, *row) for repo, path, text in frame.itertuples(index=False, name=None) for row in table_function(text, path)]
+            made = pd.DataFrame(rows, columns=["repo_id", "file_path", *names])
+            yield made.astype({n: "Int32" for n in names if n.endswith("_line")})
+
+    return files.select("repo_id", "file_path", "text").mapInPandas(run, f"repo_id string, file_path string, {schema}")
+
+
+def with_symbols(files):
+    """(repo_id, file_path, symbol_id, symbol_name, kind, start_line, end_line) of ``files`` (repo_id, file_path, text)."""
+    names = ["symbol_id", "symbol_name", "kind", "start_line", "end_line"]
+    return _applied(files, symbols_of, "symbol_id string, symbol_name string, kind string, start_line int, end_line int", names)
+
+
+def with_chunks(files):
+    """(repo_id, file_path, symbol_id, text): the definitions of the Python files among ``files``."""
+    return _applied(files, code_chunks, "symbol_id string, text string", ["symbol_id", "text"])
+
+
 def register(spark) -> None:
     """Name the table functions for SQL: diff_lines(diff), code_symbols(code, path), code_chunks(code, path)."""
     for name, f in (("diff_lines", DiffLines), ("code_symbols", Symbols), ("code_chunks", CodeChunks)):

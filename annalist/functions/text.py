@@ -14,8 +14,10 @@ REVERTS_SHA = r"(?i)(?:This reverts commit|revert commit|reverting commit)\s+([0
 REVERT_QUOTED = r"""(?i)^Revert\s+(?:"(.*)"|'(.*)')$"""
 REVERT_COLON = r"(?i)^Revert:\s*(.+)$"
 REVERT_TRAILED = r"(?i)^Revert\s+(.+)$"  # only of messages that also name the sha
-PULL_IN_MESSAGE = r"(?i)(?:pull request|pr|fixes|closes)\s*#?(\d+)|\(#(\d+)"
-QUALIFIER = r"(?i)\b(?:repo|is|author|label|in|type|state|path):\S+"
+PULL_IN_MESSAGE = r"(?i)(?:(?:pull\s*request|PR|fixes|closes)\s*#?|\(#)(\d+)"
+QUALIFIER = r"(?i)\b(?:repo|is|owner|org|site|author|label):\S+"
+FLAG = r"(?i)git\s+log|--(?:grep|oneline|author|since|until|path|name-only|stat)\S*"
+LONE_DASHES = r"(?:\s+|^)-+(?=\s+|$)"
 DAYS_OF_WINDOW = {"6m": 182, "1y": 365, "2y": 730, "full": None}
 
 
@@ -93,10 +95,10 @@ def is_revert(message: Column) -> Column:
     return revert_target(message).isNotNull() | reverted_subject(message).isNotNull()
 
 
-def pull_in_message(message: Column) -> Column:
-    message = F.coalesce(message, F.lit(""))
-    one, two = F.regexp_extract(message, PULL_IN_MESSAGE, 1), F.regexp_extract(message, PULL_IN_MESSAGE, 2)
-    return F.when(one != "", one).when(two != "", two).cast("int")
+def pulls_in_message(message: Column) -> Column:
+    """The numbers that a message may name pulls with, in order, once each: "PR 7", "Fixes #12 (#34)"."""
+    found = F.regexp_extract_all(F.coalesce(message, F.lit("")), F.lit(PULL_IN_MESSAGE), F.lit(1))
+    return F.array_distinct(F.array_compact(F.transform(found, lambda n: n.try_cast("int"))))
 
 
 def node_key(kind: str, value: Column) -> Column:
@@ -115,8 +117,9 @@ def code_tokens(text: Column) -> Column:
         marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"([a-z])([A-Z])", "$1 $2"), r"([A-Z])([A-Z][a-z])", "$1 $2"), r"(\d+)", " $1 ")
         camel = F.filter(F.split(F.lower(F.translate(marked, "_", " ")), " +"), lambda p: p != "")
         own = F.array(F.lower(w))
+        plain = F.translate(F.lower(w), "0123456789_", "") == w  # letters in lower case alone have no parts
         out = F.when(F.contains(w, F.lit("_")), F.concat(own, snake)).otherwise(own)
-        return F.when(F.size(camel) > 1, F.concat(out, F.array_except(camel, out))).otherwise(out)
+        return F.when(plain, own).when(F.size(camel) > 1, F.concat(out, F.array_except(camel, out))).otherwise(out)
 
     return F.flatten(F.transform(words, parts))
 
@@ -137,10 +140,10 @@ def truncate_tokens(text: Column, n: int) -> Column:
 
 
 def sanitize_query(q: Column) -> Column:
-    """Without qualifiers, flags, quotes and dashes; an empty result gives the query back."""
-    out = F.regexp_replace(q, QUALIFIER, " ")
-    out = F.regexp_replace(out, r"(^|\s)--?[\w-]+(=\S+)?", " ")
-    out = F.trim(F.regexp_replace(F.translate(out, "\"'`-", "    "), r"\s+", " "))
+    """Without search qualifiers, git commands and flags, quotes and dashes that stand alone; an empty result gives the query back."""
+    out = F.regexp_replace(F.regexp_replace(q, QUALIFIER, ""), FLAG, "")
+    out = F.regexp_replace(F.translate(out, "\"'", "  "), LONE_DASHES, " ")
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
     return F.when(out == "", q).otherwise(out)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import code
-from annalist.functions.text import token_count, truncate_tokens, uuid5_url
+from annalist.functions.text import pulls_in_message, token_count, truncate_tokens, uuid5_url
 
 # fixed values: token limits of the chunkers
 COMMIT_LIMIT, COMMIT_BODY, COMMIT_HARD, PART_TOKENS = 500, 350, 520, 350
@@ -29,15 +29,23 @@ def _finish(df: DataFrame, kind: str, source: Column, paths: Column, symbols: Co
     )
 
 
-def chunk_commits(commits: DataFrame) -> DataFrame:
-    """A chunk per commit, and one per bullet of its message, or else per further paragraph of a long one."""
+def chunk_commits(commits: DataFrame, pulls_of_commits: DataFrame | None = None) -> DataFrame:
+    """A chunk per commit, and one per bullet of its message, or else per further paragraph of a long one.
+
+    They relate to the pull that brought the commit (repo_id, sha, pr_number), where it is given, and to what the message names
+    as one.
+    """
     static = F.concat_ws(
         "\n", F.concat(F.lit("Commit "), F.left("sha", F.lit(7)), F.lit(" by "), F.coalesce("author_name", F.lit("unknown"))),
         F.when(F.size("symbols_modified") > 0, F.concat(F.lit("Symbols: "), F.array_join(F.slice("symbols_modified", 1, 10), ", "))),
         F.when(F.col("reverts_sha").isNotNull(), F.concat(F.lit("Reverts: "), F.left("reverts_sha", F.lit(7)))),
         F.when(F.col("superseded_by_sha").isNotNull(), F.concat(F.lit("Superseded by: "), F.left("superseded_by_sha", F.lit(7)))),
     )
-    base = commits.withColumns({"_head": static, "_message": F.coalesce("message", F.lit("")), "_diff": F.coalesce("diff_summary", F.lit(""))})
+    own = commits.withColumn("_pulls", pulls_in_message(F.col("message")))
+    if pulls_of_commits is not None:
+        own = own.join(pulls_of_commits.select("repo_id", "sha", F.col("pr_number").alias("_own")), ["repo_id", "sha"], "left")
+        own = own.withColumn("_pulls", F.array_distinct(F.array_compact(F.concat(F.array("_own"), "_pulls"))))
+    base = own.withColumns({"_head": static, "_message": F.coalesce("message", F.lit("")), "_diff": F.coalesce("diff_summary", F.lit(""))})
     whole = F.concat_ws("\n", "_head", "_message", F.nullif("_diff", F.lit("")))
     cut_message = F.expr(f"substring(_message, 1, 4 * greatest({COMMIT_BODY} - cast(ceil(length(_head) / 4) as int), 100))")
     long = token_count(whole) > COMMIT_LIMIT
@@ -52,7 +60,8 @@ def chunk_commits(commits: DataFrame) -> DataFrame:
     head = F.concat(F.lit("Commit "), F.left("sha", F.lit(7)), F.lit(": "))
     texts = F.concat(F.array(text), F.transform(subs, lambda x: F.concat(head, x)))
     rows = base.select("*", F.posexplode(texts).alias("index", "text"))
-    related = F.array_compact(F.array(F.when(F.col("reverts_sha").isNotNull(), F.concat(F.lit("commit#"), "reverts_sha")), F.when(F.col("superseded_by_sha").isNotNull(), F.concat(F.lit("commit#"), "superseded_by_sha"))))
+    related = F.transform("_pulls", lambda n: F.concat(F.lit("pr#"), n.cast("string")))
+    related = F.concat(related, F.array_compact(F.array(F.when(F.col("reverts_sha").isNotNull(), F.concat(F.lit("commit#"), "reverts_sha")), F.when(F.col("superseded_by_sha").isNotNull(), F.concat(F.lit("commit#"), "superseded_by_sha")))))
     return _finish(rows, "commit", F.col("sha"), F.col("files_changed"), F.col("symbols_modified"), related, F.col("superseded_by_sha").isNotNull(), F.col("authored_date"))
 
 
@@ -102,9 +111,7 @@ def chunk_files(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame
 
 def chunk_code(files: DataFrame) -> DataFrame:
     """The definitions of the Python files among ``files`` (repo_id, file_path, text), a chunk for each."""
-    code.register(files.sparkSession)
-    files.where(F.endswith("file_path", F.lit(".py"))).createOrReplaceTempView("_annalist_code")
-    rows = files.sparkSession.sql("SELECT repo_id, file_path, c.symbol_id, c.text, 0 AS index FROM _annalist_code f, LATERAL code_chunks(f.text, f.file_path) c")
+    rows = code.with_chunks(files.where(F.endswith("file_path", F.lit(".py")))).withColumn("index", F.lit(0))
     none = F.array().cast("array<string>")
     return _finish(rows, "code", F.col("symbol_id"), F.array("file_path"), F.array("symbol_id"), none, F.lit(False), F.lit(None))
 
@@ -116,7 +123,8 @@ def footprint(commits: DataFrame, pulls_of_commits: DataFrame, pulls: DataFrame)
         F.lit("Files modified ("), F.size("files_changed").cast("string"), F.lit("): "), F.array_join(F.slice("files_changed", 1, 5), ", "), more,
         F.lit(" (+"), F.coalesce("insertions", F.lit(0)).cast("string"), F.lit("/-"), F.coalesce("deletions", F.lit(0)).cast("string"), F.lit(" lines)"),
     )
-    symbols = F.when(F.size("symbols_modified") > 0, F.concat(F.lit("Symbols: "), F.array_join(F.slice("symbols_modified", 1, 10), ", ")))
+    others = F.when(F.size("symbols_modified") > 10, F.concat(F.lit(" (+"), (F.size("symbols_modified") - 10).cast("string"), F.lit(" more)"))).otherwise("")
+    symbols = F.when(F.size("symbols_modified") > 0, F.concat(F.lit("Symbols: "), F.array_join(F.slice("symbols_modified", 1, 10), ", "), others))
     joined = commits.join(pulls_of_commits, ["repo_id", "sha"], "left").join(pulls.select("repo_id", F.col("number").alias("pr_number"), "title", "body"), ["repo_id", "pr_number"], "left")
     pull = F.when(F.col("pr_number").isNotNull(), F.concat(F.lit("PR #"), F.col("pr_number").cast("string"), F.lit(": "), F.coalesce("title", F.lit("")), F.lit(" "), F.left(F.coalesce("body", F.lit("")), F.lit(200))))
     return joined.select("repo_id", "sha", F.concat_ws("\n", files, symbols, pull).alias("diff_summary"))

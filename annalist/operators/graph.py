@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.text import node_key
+from annalist.operators import centrality, links
 from annalist.storage import shared_folder, written
 
 DECAY = 0.92  # score kept per hop
@@ -30,22 +32,32 @@ def seed_variants(seed: str) -> list[str]:
 def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, direction: str = "both", compat: bool = False) -> DataFrame:
     """(seed, node, depth, edge_type, label, path, direction) reached from ``seeds`` (seed); the shortest way to a node wins.
 
-    The frontier is thinned after every hop, so a dense graph does not multiply paths. With ``compat`` an incoming walk
+    Each hop is written, and goes on only from nodes that the seed meets first in it, so neither dense graphs nor cycles
+    multiply paths. With ``compat`` an incoming walk
     also returns what is reached outgoing.
     """
     ways = {"outgoing": ["outgoing"], "incoming": ["outgoing", "incoming"] if compat else ["incoming"], "both": ["outgoing", "incoming"]}[direction]
-    result = None
+    parts = []
     for way in ways:
         a, b = ("source_id", "target_id") if way == "outgoing" else ("target_id", "source_id")
-        step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "edge_type", "label").distinct()
-        front = seeds.select("seed", F.col("seed").alias("node"), F.col("seed").alias("path"))
+        # one way of each pair of nodes is left: the one that is taken of equal paths anyway
+        step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "edge_type", "label").where("node is not null and next is not null")
+        step = written(step.groupBy("node", "next").agg(F.min(F.struct("edge_type", "label")).alias("e")).select("node", "next", "e.edge_type", "e.label"), "steps")
+        front = seeds.select("seed", F.col("seed").alias("node"), F.col("seed").alias("path")).distinct()
+        met = None
         for depth in range(1, max_depth + 1):
             arrow = F.concat("path", F.lit(" -> " if way == "outgoing" else " <- "), "next")
             reached = front.join(step, "node").select("seed", F.col("next").alias("node"), F.lit(depth).alias("depth"), "edge_type", "label", arrow.alias("path"), F.lit(way).alias("direction"))
+            if met is not None:
+                reached = reached.join(met, ["seed", "node"], "left_anti")
             best = reached.groupBy("seed", "node", "direction", "depth").agg(F.min(F.struct("path", "edge_type", "label")).alias("w"))
-            level = best.select("seed", "node", "depth", "w.edge_type", "w.label", "w.path", "direction")
-            result = level if result is None else result.unionByName(level)
+            level = written(best.select("seed", "node", "depth", "w.edge_type", "w.label", "w.path", "direction"), "reached")
+            parts.append(level)
+            met = level.select("seed", "node") if met is None else met.unionByName(level.select("seed", "node"))
             front = level.select("seed", "node", "path")
+            if depth < max_depth and front.isEmpty():
+                break
+    result = reduce(DataFrame.unionByName, parts)
     first = F.min(F.struct("depth", F.when(F.col("direction") == "outgoing", 0).otherwise(1).alias("o"), "path", "edge_type", "label", "direction")).alias("w")
     return result.groupBy("seed", "node").agg(first).select("seed", "node", "w.depth", "w.edge_type", "w.label", "w.path", "w.direction")
 
@@ -104,7 +116,7 @@ def betweenness(edges: DataFrame, max_edges: int = 5_000_000) -> DataFrame:
 
     Sources are dealt to tasks, each with the whole adjacency as a broadcast of two packed arrays: 4 bytes an edge and
     8 a node, so some 60 MB at the most. Partial dependencies are summed by node. Graphs over ``max_edges`` distinct
-    edges are refused: exact centrality is quadratic. An edge without one of its ends does not count.
+    edges go to ``centrality.betweenness``, which holds the graph nowhere. An edge without one of its ends does not count.
     """
     import numpy as np
     import pyarrow as pa
@@ -112,7 +124,7 @@ def betweenness(edges: DataFrame, max_edges: int = 5_000_000) -> DataFrame:
     spark = edges.sparkSession
     pairs = edges.select("source_id", "target_id").dropna().distinct()
     if pairs.count() > max_edges:
-        raise ValueError(f"exact betweenness is limited to {max_edges} edges")
+        return centrality.betweenness(pairs).drop("error")
     table = pairs.toArrow()
     ends = pa.chunked_array(table["source_id"].chunks + table["target_id"].chunks, pa.string()).dictionary_encode().unify_dictionaries()
     names = ends.chunk(0).dictionary if ends.num_chunks else pa.array([], pa.string())
@@ -193,6 +205,14 @@ def chunk_keys():
     )
 
 
+def related_nodes():
+    """Graph nodes that a chunk's ``related_ids`` ("pr#7", "issue#5", "commit#<sha>") name."""
+    kind = lambda r: F.lower(F.substring_index(r, "#", 1))
+    value = lambda r: F.substring_index(r, "#", -1)
+    node = lambda r: F.when(kind(r) == "commit", node_key("commit", value(r))).when(kind(r).isin("pr", "issue"), F.concat(kind(r), F.lit(":#"), value(r)))
+    return F.array_compact(F.transform(F.coalesce("related_ids", F.array().cast("array<string>")), node))
+
+
 def knowledge_graph(commits: DataFrame, pulls: DataFrame, issues: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 250, include_all: bool = True, n_symbols: int = 60) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) for export: all reverts, the latest ``limit`` commits and those with links; both ends of an edge exist."""
     special = commits.where("is_revert or reverts_sha is not null or superseded_by_sha is not null")
@@ -207,3 +227,55 @@ def knowledge_graph(commits: DataFrame, pulls: DataFrame, issues: DataFrame, sym
     ids = nodes.select("id")
     ends = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return nodes, ends.groupBy("source_id", "target_id", "edge_type").agg(F.min("label").alias("label"), F.max("highlight").alias("highlight"))
+
+
+def canonical_nodes(ends: DataFrame, nodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(node, canonical): for each of ``ends`` (node) the one of ``nodes`` (id) that it means; ends that mean none are left out.
+
+    A node means itself; a sha of seven characters or more, with or without "commit:", its commit; "#N", "pr#N", "issue 7" and the
+    like the pull or issue of that number, of a bare number the pull first; a symbol's id, bare name or last segment, with
+    or without "symbol:", the symbol (``links.symbol_alias``).
+    """
+    node, ends = F.col("node"), ends.select("node").dropna().distinct()
+    sha = F.lower(F.regexp_extract(node, r"^(?:commit[:#\s]*)?([0-9a-fA-F]{7,40})$", 1))
+    kind = F.lower(F.regexp_extract(node, r"(?i)^(pr|issue)?[:\s]*#?\d+$", 1))
+    number = F.regexp_extract(node, r"(?i)^(?:pr|issue)?[:\s]*#?(\d+)$", 1)
+    option = lambda cond, value, order: F.when(cond, F.struct(value.alias("to"), F.lit(order).alias("order")))
+    options = F.array_compact(
+        F.array(
+            option(F.lit(True), node, 0), option(sha != "", node_key("commit", sha), 1),
+            option((number != "") & (kind != "issue"), node_key("pr", number), 2), option((number != "") & (kind != "pr"), node_key("issue", number), 3),
+        )
+    )
+    meant = ends.select("node", F.explode(options).alias("o")).select("node", "o.to", "o.order")
+    named = links.symbol_alias(ends.select("node", F.regexp_replace("node", "^symbol:", "").alias("ref")), symbols).where("symbol_id is not null")
+    meant = meant.unionByName(named.select("node", node_key("symbol", F.col("symbol_id")).alias("to"), F.lit(4).alias("order")))
+    there = meant.join(nodes.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
+    return there.groupBy("node").agg(F.min_by("to", "order").alias("canonical"))
+
+
+def dynamic_edges(commits: DataFrame, pulls: DataFrame, issues: DataFrame) -> DataFrame:
+    """The edges that the tables give now: those that are stored, and the commits that pulls name."""
+    named = pulls.select("repo_id", "number", F.explode("linked_commit_shas").alias("sha")).where(F.length("sha") >= 7)
+    merged = named.select(
+        F.coalesce("repo_id", F.lit("")).alias("repo_id"), node_key("pr", F.col("number")).alias("source_id"), node_key("commit", F.col("sha")).alias("target_id"),
+        F.lit("merges").alias("edge_type"), F.lit("MERGED_IN_COMMIT").alias("label"), F.lit(False).alias("highlight"),
+    )
+    return links.materialise_edges(commits, pulls, issues).unionByName(merged)
+
+
+def repaired_graph(commits: DataFrame, pulls: DataFrame, issues: DataFrame, symbols: DataFrame, stored: DataFrame, limit: int = 250, include_all: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``knowledge_graph`` of the stored and the dynamic edges, with the ends of both brought to their canonical nodes first.
+
+    Of edges that are then equal in source, target and type, a stored one gives label and mark.
+    """
+    kept = ("source_id", "target_id", "edge_type", "label", "highlight")
+    edges = stored.select(*kept, F.lit(0).alias("_p")).unionByName(dynamic_edges(commits, pulls, issues).select(*kept, F.lit(1).alias("_p")))
+    edges = written(edges, "edges")
+    nodes, _ = knowledge_graph(commits, pulls, issues, symbols, edges, limit, include_all)
+    nodes = written(nodes, "nodes")
+    canonical = written(canonical_nodes(nodes_of(edges), nodes, symbols), "canonical")
+    source, target = (canonical.select(F.col("node").alias(c), F.col("canonical").alias(f"_{c}")) for c in ("source_id", "target_id"))
+    meant = edges.join(source, "source_id").join(target, "target_id").groupBy("_source_id", "_target_id", "edge_type")
+    first = meant.agg(F.min(F.struct("_p", "label", "highlight")).alias("e"))
+    return nodes, first.select(F.col("_source_id").alias("source_id"), F.col("_target_id").alias("target_id"), "edge_type", "e.label", "e.highlight")

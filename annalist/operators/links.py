@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from annalist.functions.text import extract_refs, first_line, node_key, pull_in_message, revert_target, reverted_subject, tenant_match
+from annalist.functions.text import extract_refs, first_line, node_key, pulls_in_message, revert_target, reverted_subject, tenant_match
 
 
 def new_rows(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,9 +44,31 @@ def pull_of_commit(pulls: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def pull_of_message(commits: DataFrame, pulls: DataFrame) -> DataFrame:
-    """(repo_id, sha, pr_number): the pull that a message names, if it exists."""
-    named = commits.select("repo_id", "sha", pull_in_message(F.col("message")).alias("pr_number")).where("pr_number is not null")
-    return named.join(pulls.select("repo_id", F.col("number").alias("pr_number")).distinct(), ["repo_id", "pr_number"], "left_semi").select("repo_id", "sha", "pr_number")
+    """(repo_id, sha, pr_number): of the numbers that a message may name pulls with, the first that is one."""
+    named = commits.select("repo_id", "sha", F.posexplode(pulls_in_message(F.col("message"))).alias("at", "pr_number"))
+    there = named.join(pulls.select("repo_id", F.col("number").alias("pr_number")).distinct(), ["repo_id", "pr_number"], "left_semi")
+    return there.groupBy("repo_id", "sha").agg(F.min_by("pr_number", "at").alias("pr_number"))
+
+
+def linked_pulls(pulls: DataFrame, commits: DataFrame) -> DataFrame:
+    """(repo_id, sha, pr_number): the pull that names a commit, else the one that its message names."""
+    by_sha, by_message = pull_of_commit(pulls, commits), pull_of_message(commits, pulls)
+    return by_sha.unionByName(by_message.join(by_sha.select("repo_id", "sha"), ["repo_id", "sha"], "left_anti"))
+
+
+def link_pulls_and_issues(pulls: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with their link arrays: what is stored in them, and the closure of what their texts name (``issue_links``).
+
+    An issue counts for a pull if it is known; a pull that an issue names is known, for the closure asks for it.
+    """
+    found = issue_links(pulls, issues)
+
+    def grown(rows, name, key, value):
+        made = link_arrays(found.withColumnRenamed(key, "number"), "number", value, "_found")
+        both = F.array_sort(F.array_union(F.coalesce(name, F.array().cast("array<int>")), F.coalesce("_found", F.array().cast("array<int>"))))
+        return rows.join(made, ["repo_id", "number"], "left").withColumn(name, both).select(*rows.columns)
+
+    return grown(pulls, "linked_issue_numbers", "pr_number", "issue_number"), grown(issues, "linked_pr_numbers", "issue_number", "pr_number")
 
 
 def resolve_reverts(commits: DataFrame) -> DataFrame:

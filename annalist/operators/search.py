@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from annalist.functions import text as T
 from annalist.functions.text import code_tokens, path_match, tenant_match, time_range
-from annalist.operators import links
+from annalist.operators import links, ranks
 from annalist.storage import shared_folder
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -50,22 +51,34 @@ def filter_chunks(chunks: DataFrame, repo_id=None, source_types=None, is_reverte
     return out.where(time_range(F.col("timestamp"), date_from, date_to)) if date_from or date_to else out
 
 
+def postings_of(chunks: DataFrame, id_col: str = "id", text_col: str = "text", tokens=code_tokens) -> DataFrame:
+    """(id, len, term, tf): a row for each distinct term of each text, counted in the text's own row before it is exploded."""
+    docs = chunks.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("t")).where(F.size("t") > 0)
+    n = F.size("t")
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    docs = docs.select("id", "t", begins.alias("b"))
+    runs = F.transform("b", lambda at, i: F.struct(F.get("t", at).alias("term"), (F.coalesce(F.get("b", i + 1), n) - at).alias("tf")))
+    return docs.select("id", n.alias("len"), F.explode(runs).alias("r")).select("id", "len", "r.term", "r.tf")
+
+
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5))
+
+
 def bm25_fit(chunks: DataFrame, id_col: str = "id", text_col: str = "text", tokens=code_tokens, at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, terms, corpus): (id, term, tf, len), (term, idf) and one row of (n, avg_len); stored under ``at`` if it is given.
+    """(postings, terms, corpus): (id, len, term, tf), (term, idf) and one row of (n, avg_len); stored under ``at`` if it is given.
 
-    Texts are cut into tokens once: postings are written in the order of terms, so that a search reads only the row groups of
-    its words, and the statistics are read from them. A negative idf becomes EPSILON times the mean idf of all terms,
-    negative ones included.
+    Texts are cut into tokens once: postings are written in the order of terms within each file, so that a search reads
+    only the row groups of its words, and the statistics are read from them. A negative idf becomes EPSILON times the
+    mean idf of all terms, negative ones included.
     """
     spark, at = chunks.sparkSession, at or f"{shared_folder(chunks.sparkSession)}/bm25-{uuid.uuid4().hex}"
-    docs = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    found = docs.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = postings_of(chunks, id_col, text_col, tokens)
     found.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
     postings = spark.read.schema(found.schema).parquet(f"{at}/postings")
     size = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).crossJoin(chunks.agg(F.count(F.lit(1)).alias("n")))
     corpus = size.select("n", (F.col("words") / F.nullif("n", F.lit(0))).alias("avg_len"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus.select("n"))).select("term", idf.alias("raw"))
+    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus.select("n"))).select("term", raw_idf(F.col("n"), F.col("df")).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     terms.write.mode("overwrite").parquet(f"{at}/terms")
@@ -104,6 +117,11 @@ def bm25_tenant(repo: Column, wanted: str | None) -> Column:
     return F.coalesce((low == want) | (F.substring_index(low, "/", -1) == want.rsplit("/", 1)[-1]), F.lit(False))
 
 
+def lexical_tenant(chunks: DataFrame, repo_id: str | None) -> DataFrame:
+    """The chunks of a tenant as the lexical channel knows it (``bm25_tenant``)."""
+    return chunks.where(bm25_tenant(F.col("repo_id"), repo_id))
+
+
 def top_k(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k)
@@ -144,12 +162,20 @@ def mock_embedding(dimension: int = 384):
 
 
 def exact_channel(chunks: DataFrame, shas: list[str], numbers: list[int], limit: int | None = 30) -> DataFrame:
-    """(id, score 3.0): chunks that name a sha or #N as a whole word; all of them, in no order, without a limit."""
-    parts = [F.contains(F.lower("text"), F.lit(s.lower())) | F.startswith(F.lower("source_id"), F.lit(s.lower()[:7])) for s in shas]
-    parts += [F.col("text").rlike(rf"#{n}(?![0-9A-Za-z_])") | (F.col("source_id") == str(n)) & F.col("source_type").isin("pr", "issue") for n in numbers]
-    cond = F.lit(False)
-    for p in parts:
-        cond = cond | p
+    """(id, score 3.0): chunks whose source or text holds a sha, or that relate to or speak of #N; all of them, in no order, without a limit.
+
+    A chunk speaks of N if its text has "#N" as a whole word, or says "PR N" or "issue N" and "#N" begins a word of it or of
+    what it relates to.
+    """
+    low, cond = F.lower("text"), F.lit(False)
+    for s in shas:
+        cond = cond | F.coalesce(F.contains(low, F.lit(s.lower())), F.lit(False)) | F.coalesce(F.contains(F.lower("source_id"), F.lit(s.lower())), F.lit(False))
+    for n in numbers:
+        mark = F.lit(f"#{n}")
+        named = F.exists("related_ids", lambda r: F.contains(r, mark)) | F.contains("text", mark)
+        relates = F.exists("related_ids", lambda r: F.lower(r).isin(f"pr#{n}", f"issue#{n}", f"#{n}", str(n)))
+        says = F.col("text").rlike(rf"(?iU)(?:pr|issue|#)\s*#?{n}\b")
+        cond = cond | (F.coalesce(named, F.lit(False)) & (F.coalesce(relates, F.lit(False)) | F.coalesce(says, F.lit(False))))
     found = chunks.where(cond).select("id", F.lit(3.0).alias("score"))
     return found if limit is None else found.orderBy("id").limit(limit)
 
@@ -186,14 +212,15 @@ def rrf(hits: DataFrame, chunks: DataFrame, query: str, as_of_year: int, k: int
 
     Commits lose with their age in years (slower when the query asks for history), code gains, and a chunk whose symbol
     the query names, or whose text holds an identifier of the query, is boosted. ``most`` hits of each channel count, if
-    it is given; without it all of a channel's hits are ranked in one task.
+    it is given; without it all of a channel's hits are ranked, over ranges of their scores.
     """
     import re
 
     if most:  # as many partial sorts as there are channels, of which no task gets more than ``most`` rows each
         first = [hits.where(F.col("channel") == c).orderBy(F.desc("score"), "id").limit(most) for c in WEIGHTS]
-        hits = reduce(DataFrame.unionByName, first)
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("channel").orderBy(F.desc("score"), "id")))
+        ranked = reduce(DataFrame.unionByName, first).withColumn("rank", F.row_number().over(W.partitionBy("channel").orderBy(F.desc("score"), "id")))
+    else:
+        ranked = ranks.group_rank(hits, "channel", [F.desc("score"), F.asc("id")])
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
         weight = F.when(F.col("channel") == name, w).otherwise(weight)
@@ -214,64 +241,85 @@ def rrf(hits: DataFrame, chunks: DataFrame, query: str, as_of_year: int, k: int
     return fused.limit(limit) if limit else fused
 
 
-def search_history(chunks: DataFrame, vectors: DataFrame | None, query: str, as_of_year: int, query_vector: list[float] | None = None, limit: int = 10, **filters) -> DataFrame:
-    """Hybrid search: 30 lexical and 30 vector hits, fused."""
+def sanitized(query: str) -> str:
+    """What ``functions.text.sanitize_query`` makes of a column, of one query."""
+    import re
+
+    out = re.sub(T.FLAG, "", re.sub(T.QUALIFIER, "", query))
+    out = re.sub(T.LONE_DASHES, " ", out.replace('"', " ").replace("'", " "))
+    return re.sub(r"\s+", " ", out).strip() or query
+
+
+CHANNEL_HITS = 30  # of each query in each channel
+
+
+def search_history(chunks: DataFrame, vectors: DataFrame | None, query: str, as_of_year: int, query_vector: list[float] | None = None, limit: int = 10, fitted=None, **filters) -> DataFrame:
+    """Hybrid search: 30 lexical and 30 vector hits, fused. ``fitted`` is a stored index of the chunks; without it one is made."""
     spark = chunks.sparkSession
     allowed = filter_chunks(chunks, **filters)
     asked = spark.createDataFrame([(0, query)], "query_id int, query string")
-    hits = top_k(bm25_search(bm25_fit(chunks), asked, allowed), 30).select(F.lit("sparse").alias("channel"), "id", "score")
+    hits = top_k(bm25_search(fitted or bm25_fit(chunks), asked, allowed), CHANNEL_HITS).select(F.lit("sparse").alias("channel"), "id", "score")
     if vectors is not None and query_vector:
-        hits = hits.unionByName(vector_search(vectors, query_vector, 30, allowed).select(F.lit("dense").alias("channel"), "id", "score"))
-    found = rrf(hits, chunks, query, as_of_year, limit=limit)
+        hits = hits.unionByName(vector_search(vectors, query_vector, CHANNEL_HITS, allowed).select(F.lit("dense").alias("channel"), "id", "score"))
+    found = rrf(hits, chunks, query, as_of_year, limit=limit, most=CHANNEL_HITS)
     text = F.when(F.length("text") > 4000, F.concat(F.left("text", F.lit(4000)), F.lit("\n[truncated]"))).otherwise(F.col("text"))
     return found.join(chunks, "id").select("id", "score", "source_type", "source_id", text.alias("text"), F.lit(True).alias("is_untrusted_data"))
 
 
 def interleave(hits: DataFrame, first: int = 3) -> DataFrame:
     """``hits`` (sub_question_idx, id, score) with ``pos``: the top ones of each question in turn, then the rest by score."""
-    rn = F.row_number().over(W.partitionBy("sub_question_idx").orderBy(F.desc("score"), "id"))
-    ranked = hits.withColumn("rn", rn)
-    late = F.when(F.col("rn") <= first, 0).otherwise(1)
-    order = [late, F.when(late == 0, F.col("rn")).otherwise(0), F.when(late == 0, F.col("sub_question_idx")).otherwise(0), F.desc("score"), "id"]
-    return ranked.withColumn("pos", F.row_number().over(W.orderBy(*order)))
+    ranked = ranks.group_rank(hits, "sub_question_idx", [F.desc("score"), F.asc("id")], "rn")
+    early = F.col("rn") <= first
+    keyed = ranked.withColumns({"_late": F.when(early, 0).otherwise(1), "_turn": F.when(early, F.col("rn")).otherwise(0), "_question": F.when(early, F.col("sub_question_idx")).otherwise(0)})
+    return ranks.global_rank(keyed, [F.asc("_late"), F.asc("_turn"), F.asc("_question"), F.desc("score"), F.asc("id")], "pos").drop("_late", "_turn", "_question")
 
 
 def within_budget(evidence: DataFrame, budget: int, least_tail: int = 200) -> DataFrame:
     """The first rows of ``evidence`` (pos, line) that fit the budget of characters, never none; the row that overflows is
-    cut to what is left if that is over ``least_tail``.
-
-    No more than ``budget`` rows that are not empty can fit, so the running sum is taken over these alone; all other rows are
-    only compared with the place where it ends.
-    """
-    first = evidence.where(F.length("line") > 0).orderBy("pos").limit(budget + 1).select("pos", F.length("line").alias("n"))
-    run = first.withColumn("end", F.sum("n").over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
-    over = run.where(F.col("end") > budget).agg(F.min(F.struct("pos", (F.col("end") - F.col("n")).alias("begin"))).alias("o"))  # one row
+    cut to what is left if that is over ``least_tail``."""
+    sized = evidence.select("pos", F.length("line").alias("n"))
+    run = ranks.running_sum(sized, [F.asc("pos")], "n", "end")
+    over = run.where((F.col("end") > budget) & (F.col("n") > 0)).agg(F.min(F.struct("pos", (F.col("end") - F.col("n")).alias("begin"))).alias("o"))  # one row
     rows = evidence.crossJoin(F.broadcast(over.select(F.col("o.pos").alias("_over"), F.col("o.begin").alias("_begin"))))
     cut = (F.col("pos") == F.col("_over")) & ((budget - F.col("_begin") > least_tail) | (F.col("_begin") == 0))
     line = F.when(cut, F.substr("line", F.lit(1), (budget - F.col("_begin")).cast("int"))).otherwise(F.col("line"))
     return rows.where(F.col("_over").isNull() | (F.col("pos") < F.col("_over")) | cut).select("pos", line.alias("line"))
 
 
-def search_many(chunks: DataFrame, fitted, queries: list[str], as_of_year: int, symbols: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame, limit: int = 10, **filters) -> DataFrame:
-    """(id, score) of several queries at once: each channel's hits, once each at their best, fused with the first query.
+def channel_hits(
+    chunks: DataFrame, fitted, queries: list[str], symbols: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame,
+    vectors: DataFrame | None = None, query_vectors: list[list[float]] = (), **filters,
+) -> DataFrame:
+    """(channel, id, score) of several queries: what each channel finds, a chunk once in each, as the first query that finds it scores it.
 
-    Shas and numbers count only where they are recorded; texts are looked through when other channels find fewer than five.
+    Queries are sanitised, but shas and numbers are looked for in them as they are, and count only where they are recorded;
+    texts are looked through when the exact and symbol channels find fewer than five.
     """
     import re
 
-    spark, said = chunks.sparkSession, "\n".join(queries)
+    spark, said, clean = chunks.sparkSession, "\n".join(queries), [sanitized(q) for q in queries]
     allowed = filter_chunks(chunks, **filters)
-    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
-    best = lambda df, channel: df.groupBy("id").agg(F.max("score").alias("score")).select(F.lit(channel).alias("channel"), "id", "score")
-    sparse = best(top_k(bm25_search(fitted, asked, allowed), 30), "sparse")
+    asked = spark.createDataFrame(list(enumerate(clean)), "query_id int, query string")
+    first = lambda df, channel: df.groupBy("id").agg(F.min_by("score", "query_id").alias("score")).select(F.lit(channel).alias("channel"), "id", "score")
+    every = lambda found: reduce(DataFrame.unionByName, [f.select(F.lit(i).alias("query_id"), "id", "score") for i, f in enumerate(found)])
+    lexical = lexical_tenant(filter_chunks(chunks, **{k: v for k, v in filters.items() if k != "repo_id"}), filters.get("repo_id"))
+    hits = first(top_k(bm25_search(fitted, asked, lexical), CHANNEL_HITS), "sparse")
+    if vectors is not None and query_vectors:
+        hits = hits.unionByName(first(every([vector_search(vectors, v, CHANNEL_HITS, allowed) for v in query_vectors]), "dense"))
     refs = lambda found: spark.createDataFrame([(x,) for x in sorted(set(found))], "ref string")
     shas = refs(x for x in re.findall(r"\b([0-9a-fA-F]{7,40})\b", said) if not x.isdigit())
     shas = [r.ref for r in links.known_shas(shas, commits, filters.get("repo_id")).collect()]
     numbers = [int(r.ref) for r in links.known_numbers(refs(re.findall(r"#(\d+)", said)), pulls, issues, filters.get("repo_id")).collect()]
-    exact = best(exact_channel(allowed, shas, numbers), "exact")
-    symbol = best(reduce(DataFrame.unionByName, [symbol_channel(allowed, q, symbols) for q in queries]), "symbol")
-    hits = sparse.unionByName(exact).unionByName(symbol.join(exact, "id", "left_anti"))
+    exact = first(every([exact_channel(allowed, shas, numbers)]), "exact")
+    symbol = first(every([symbol_channel(allowed, q, symbols) for q in clean]), "symbol").join(exact, "id", "left_anti")
+    hits = hits.unionByName(exact).unionByName(symbol)
     if exact.unionByName(symbol).select("id").distinct().limit(5).count() < 5:
-        back = best(reduce(DataFrame.unionByName, [keyword_fallback(allowed, q) for q in queries]), "fallback")
+        back = first(every([keyword_fallback(allowed, q) for q in clean]), "fallback")
         hits = hits.unionByName(back.join(exact.unionByName(symbol), "id", "left_anti"))
-    return rrf(hits, chunks, queries[0], as_of_year, limit=limit)
+    return hits
+
+
+def search_many(chunks: DataFrame, fitted, queries: list[str], as_of_year: int, symbols: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame, limit: int = 10, **more) -> DataFrame:
+    """(id, score) of several queries at once: the hits of ``channel_hits``, fused with the first query."""
+    hits = channel_hits(chunks, fitted, queries, symbols, pulls, issues, commits, **more)
+    return rrf(hits, chunks, sanitized(queries[0]), as_of_year, limit=limit, most=4 * CHANNEL_HITS * len(queries))

@@ -72,11 +72,11 @@ def p1b_tenant_alias(spark, d):
     return fx.commits(spark, d).where(T.tenant_match(F.col("repo_id"), "org/python-Asia", alias=True)).select("sha")
 
 
-@query("SELECT CAST(n AS INT) AS number, 'ann' AS author, CAST(n + 1 AS VARCHAR) AS linked FROM range(101, 251) r(n)")
+@query("SELECT CAST(o_orderkey AS INT) AS number, n_name AS author, CAST(o_orderkey + 1 AS VARCHAR) AS linked FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def s10_pages_of_pulls(spark, d):
-    def fetch(path, page):  # three recorded pages, the newest change first
-        last = 250 - forge.PAGE * (page - 1)
-        return [{"number": n, "title": "t", "body": f"Fixes #{n + 1}", "user": {"login": "ann"}, "updated_at": "2024-01-01"} for n in range(last, max(last - forge.PAGE, 0), -1)]
-
-    found = forge.read(spark, fetch, "pulls", "r", limit=150)
+    """Recorded pages of a host, one entry for each order; pages are put together by Spark and read by the connector's parser."""
+    k = F.col("o_orderkey")
+    entry = F.to_json(F.struct(k.alias("number"), F.lit("t").alias("title"), F.concat(F.lit("Fixes #"), (k + 1).cast("string")).alias("body"), F.struct(F.col("n_name").alias("login")).alias("user"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at")))
+    pages = fx.orders(spark, d).select(F.floor(k / forge.PAGE).cast("int").alias("page"), entry.alias("e")).groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list("e"), ","), F.lit("]")).alias("body"))
+    found = forge.rows_of(forge.entries_of(pages), "pulls", "r")
     return found.select("number", "author", F.array_join(F.transform("linked_issue_numbers", lambda n: n.cast("string")), ",").alias("linked"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import analytics, evaluate, graph, links, merge, search, vectors, verify
-from annalist.plans.queries import query
+from annalist.operators import analytics, ann, evaluate, graph, index, links, merge, search, vectors, verify
+from annalist.plans.queries import _BM25, query
 from annalist.sources import fixtures as fx
 from annalist.storage import shared_folder
 
@@ -132,10 +134,13 @@ def p1c_traverse_tenant(spark, d):
     return graph.traverse(graph.tenant_edges(both, "here"), seeds, 1, "outgoing").select("node", "depth")
 
 
-@query("SELECT id FROM ch WHERE repo_id = 'en'")
+@query(_BM25 % "('ther', 1), ('eaon', 1)" + " SELECT id, CAST(floor(s * 10000 + 0.5) AS BIGINT) AS score_e4 FROM s JOIN ch USING (id) WHERE repo_id = 'en'")
 def p1d_bm25_tenant(spark, d):
+    """A lexical search within a tenant: its texts are scored with the statistics of all, and a text of no repository is no one's."""
     c = fx.chunks(spark, d).withColumn("repo_id", F.when(F.col("repo_id") == "en", "Org/EN").when(F.col("repo_id") == "de", None).otherwise(F.col("repo_id")))
-    return c.where(search.bm25_tenant(F.col("repo_id"), "x/en")).select("id")
+    asked = spark.createDataFrame([(0, "ther eaon")], "query_id int, query string")
+    found = search.bm25_search(search.bm25_fit(c), asked, search.lexical_tenant(c, "x/en"))
+    return found.select("id", F.floor(F.col("score") * 10000 + 0.5).alias("score_e4"))
 
 
 # --- vectors, stored indexes, merges ----------------------------------------------------------------------------------
@@ -157,11 +162,14 @@ def r7_r8_vector_table(spark, d):
     return rows.select("chunk_id", "repo_base", F.floor(F.col("embedding")[0].cast("double") * 10000 + 0.5).alias("first_e4"))
 
 
-@query("SELECT count(*) AS same, 0 AS other FROM embeddings")
+@query("SELECT count(*) AS same, 0 AS other, count(*) FILTER (vec_id % 2 = 0) AS replaced, 32 AS size FROM embeddings")
 def r10_collection(spark, d):
+    """A table of another dimension is not taken over; points of another dimension replace the whole table."""
     stored = _vectors(spark, d)
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return one(vectors.collection(stored, 64), "same").crossJoin(one(vectors.collection(stored, 32), "other").select(F.col("other").cast("int").alias("other")))
+    short = stored.where("chunk_id % 2 = 0").withColumn("embedding", F.slice("embedding", 1, 32))
+    after = vectors.upsert(stored, short).agg(F.count(F.lit(1)).alias("replaced"), F.max(F.size("embedding")).alias("size"))
+    return one(vectors.collection(stored, 64), "same").crossJoin(one(vectors.collection(stored, 32), "other").select(F.col("other").cast("int").alias("other"))).crossJoin(after)
 
 
 @query("SELECT id, doc_id % 7 != 0 AS embedded, 4 AS size FROM ch")
@@ -173,21 +181,38 @@ def r5_embed(spark, d):
     return rows.select("id", "embedded", F.size("embedding").alias("size"))
 
 
-@query(""", t AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM ch) SELECT id, count(*) AS n FROM t WHERE w = 'ther' GROUP BY id""")
+@query(_BM25 % "('ther', 1), ('eaon', 1)" + " SELECT id, CAST(floor(s * 10000 + 0.5) AS BIGINT) AS score_e4 FROM s")
 def r4_stored_index(spark, d):
-    import uuid
-
-    at = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    search.bm25_fit(fx.chunks(spark, d), at=at)
-    return search.bm25_load(spark, at)[0].where("term = 'ther'").select("id", F.col("tf").alias("n"))
-
-
-@query("""SELECT count(*) AS hits FROM (SELECT 1 FROM range(10))""")
+    """A search of the index as it is loaded again after three changes: all texts with others in place of some, those of the others, a deletion of what was never there."""
+    at, chunks = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", fx.chunks(spark, d).select("id", "text")
+    n = F.col("id").cast("bigint")
+    stale = chunks.where("text is not null").withColumn("text", F.when(n % 3 == 0, F.reverse("text")).otherwise(F.col("text"))).unionByName(spark.range(1).selectExpr("'gone' AS id", "'ther ther' AS text"))
+    built = index.Index(spark, at).changed(stale, spark.createDataFrame([], "id string")).follow(stale, chunks)
+    loaded = index.Index(spark, at, built.changed(chunks.limit(0), spark.createDataFrame([("never",)], "id string")).facts)
+    asked = spark.createDataFrame([(0, "ther eaon")], "query_id int, query string")
+    return search.bm25_search(loaded.fitted(), asked).select("id", F.floor(F.col("score") * 10000 + 0.5).alias("score_e4"))
+
+
+@query(_BM25 % "('ther', 1), ('eaon', 1), ('name7', 1), ('name', 1), ('7', 1)" + """, sp AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rk FROM s QUALIFY rk <= 30),
+ sy AS (SELECT id, row_number() OVER (ORDER BY id) AS rk FROM (SELECT id FROM ch WHERE contains(sym, 'name7') ORDER BY id LIMIT 30)),
+ f AS (SELECT id, 1.0::DOUBLE / (60 + rk) AS p FROM sp UNION ALL SELECT id, 0.2::DOUBLE / (60 + rk) FROM sy),
+ g AS (SELECT f.id, sum(p) * any_value(CASE WHEN source_type = 'commit' THEN greatest(0.35, exp(-0.03 * greatest(2024 - year(ts), 0))) WHEN source_type IN ('code', 'file') THEN 1.25 ELSE 1.0 END * CASE WHEN sym = 'mod::name7' THEN 1.75 ELSE 1.0 END) AS score FROM f JOIN ch ON ch.id = f.id GROUP BY f.id)
+ SELECT id, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score_e6 FROM g ORDER BY score DESC, id LIMIT 10""")
 def r16_search_many(spark, d):
-    c = fx.commits(spark, d)
-    chunks = fx.chunks(spark, d)
-    found = search.search_many(chunks, search.bm25_fit(chunks), ["ther eaon", "who wrote name7"], 2024, fx.symbols(spark, d), fx.pulls(spark, d), fx.issues(spark, d), c)
-    return found.agg(F.count(F.lit(1)).alias("hits"))
+    chunks, known = fx.chunks(spark, d), spark.createDataFrame([("xname7x",)], "symbol_name string")
+    none = lambda df: df.limit(0)
+    found = search.search_many(chunks, search.bm25_fit(chunks), ["repo:x ther eaon 'name7'"], 2024, known, none(fx.pulls(spark, d)), none(fx.issues(spark, d)), none(fx.commits(spark, d)))
+    return found.select("id", F.floor(F.col("score") * 1e6 + 0.5).alias("score_e6"))
+
+
+@query()
+def r7_approximate_vectors(spark, d):
+    """The ten nearest vectors of every twentieth one by the approximate index; tested by its recall against the exact scan."""
+    e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    at = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    model, codes = ann.build(e, at)
+    asked = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return ann.search(model, codes, e, asked).select("query_id", "id", F.floor(F.col("score") * 10000 + 0.5).alias("score_e4"))
 
 
 @query("SELECT avg(l_quantity) AS quantity, avg(l_discount) AS discount, l_returnflag AS flag FROM lineitem GROUP BY l_returnflag")

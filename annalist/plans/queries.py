@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from annalist.functions import code, text as T
-from annalist.operators import analytics, chunking, evaluate, graph, links, merge, search, verify
+from annalist.operators import analytics, centrality, chunking, evaluate, graph, links, merge, search, verify
 from annalist.sources import fixtures as fx, history
 
 QUERIES: dict = {}
@@ -149,10 +149,16 @@ def p10_reverts(spark, d):
     return fx.commits(spark, d).where(T.is_revert(F.col("message"))).select("sha")
 
 
-@query(r"""SELECT id, CASE WHEN q = '' THEN 'repo:a/b --all ' || text ELSE q END AS q FROM (SELECT id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
- '(?i)\b(?:repo|is|author|label|in|type|state|path):\S+', ' ', 'g'), '(^|[ \t\n\v\f\r])--?\w[\w-]*(=\S+)?', ' ', 'g'), '["''`-]', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')) AS q FROM ch)""")
+# each text that holds nothing to be taken out, with what is taken out before and behind it
+_PLAIN = r"(?i)\b(repo|is|owner|org|site|author|label):\S|git\s+log|--(grep|oneline|author|since|until|path|name-only|stat)|(^|[\s\"'])-+($|[\s\"'])"
+_PLAIN_SQL = _PLAIN.replace("'", "''")
+
+
+@query(rf"""SELECT id, 'why ' || trim(regexp_replace(translate(text, '"''', '  '), '[ \t\n\v\f\r]+', ' ', 'g')) || ' retry x-y' AS q FROM ch WHERE trim(text) <> '' AND NOT regexp_matches(text, '{_PLAIN_SQL}')""")
 def p13_sanitize_query(spark, d):
-    return fx.chunks(spark, d).select("id", T.sanitize_query(F.concat(F.lit("repo:a/b --all "), "text")).alias("q"))
+    texts = fx.chunks(spark, d).where((F.trim("text") != "") & ~F.col("text").rlike(_PLAIN))
+    asked = F.concat(F.lit('why owner:psf ORG:x "site:y " '), "text", F.lit(" --since=2024 git  log 'retry' - -- x-y is:open label:a,b"))
+    return texts.select("id", T.sanitize_query(asked).alias("q"))
 
 
 # --- links ---------------------------------------------------------------------------------------------------------
@@ -281,6 +287,21 @@ def g4b_betweenness(spark, d):
     return graph.betweenness(fx.place_edges(spark, d, True)).select("node", F.bround("betweenness", 6).alias("betweenness"))
 
 
+# in the tree of all places each path between two nodes is the only one: a node lies on those from above it to below it
+@query(""", up AS (SELECT b AS node, a AS above FROM e), anc AS (SELECT node, above FROM up UNION ALL SELECT x.node, y.above FROM up x JOIN up y ON y.node = x.above UNION ALL SELECT x.node, z.above FROM up x JOIN up y ON y.node = x.above JOIN up z ON z.node = y.above),
+ n AS (SELECT a AS v FROM e UNION SELECT b FROM e), s AS (SELECT count(*)::DOUBLE AS n FROM n) SELECT v AS node, CAST(floor(coalesce(u, 0) * coalesce(d, 0) / ((n - 1) * (n - 2)) * 1e9 + 0.5) AS BIGINT) AS betweenness_e9
+ FROM n CROSS JOIN s LEFT JOIN (SELECT node, count(*) AS u FROM anc GROUP BY 1) a ON a.node = v LEFT JOIN (SELECT above, count(*) AS d FROM anc GROUP BY 1) b ON b.above = v""")
+def g4b_betweenness_of_all_places(spark, d):
+    found = centrality.betweenness(fx.place_edges(spark, d))
+    return found.select("node", F.floor(F.col("betweenness") * 1e9 + 0.5).alias("betweenness_e9"))
+
+
+@query(_pagerank_sql(20).replace("any_value(t)", "any_value(o.t)").replace(" es ", " e ").replace("es.a", "e.a").replace("FROM es)", "FROM e)").replace("FROM es UNION", "FROM e UNION"))
+def g4a_pagerank_of_all_places(spark, d):
+    r = graph.pagerank(fx.place_edges(spark, d), iterations=20, tolerance=0.0)
+    return r.select("node", F.floor(F.col("rank") * 100000 + 0.5).alias("rank_e5"))
+
+
 @query(f"""SELECT {_uuid5("repo_id || ':commit:' || merge_sha || ':0'")} AS id, 0.04232::DOUBLE AS score, 'commit:' || left(merge_sha, 7) AS via FROM (SELECT * FROM p ORDER BY number, repo_id LIMIT 15)""")
 def g5_follow_links(spark, d):
     c = fx.commits(spark, d)
@@ -298,6 +319,24 @@ def g7_knowledge_graph(spark, d):
     return graph.knowledge_graph(c, fx.pulls(spark, d), fx.issues(spark, d), analytics.symbol_counts(c, fx.symbols(spark, d)), edges)[1]
 
 
+@query("""SELECT 'commit:' || left(sha, 7) AS source_id, 'symbol:' || s AS target_id, 'modifies' AS edge_type, 'MODIFIES_SYMBOL' AS label, false AS highlight FROM cf GROUP BY 1, 2
+ UNION ALL SELECT 'pr:#' || number, 'commit:' || left(merge_sha, 7), 'merges', 'STORED', true FROM p GROUP BY 1, 2
+ UNION ALL SELECT DISTINCT 'pr:#' || number, 'commit:' || left(ref, 7), 'merges', 'MERGED_IN_COMMIT', false FROM p WHERE left(ref, 7) IN (SELECT left(sha, 7) FROM c)
+ UNION ALL SELECT 'commit:' || left(c.sha, 7), min_id, 'names', 'BARE', false FROM c JOIN (SELECT sn, 'symbol:' || min(s) AS min_id FROM cf GROUP BY sn) x ON x.sn = 'part' || (k % 50) GROUP BY 1, 2
+ UNION ALL SELECT DISTINCT 'issue:#' || number, 'pr:#' || (number + 2), 'asks', 'BY NUMBER', false FROM i WHERE number + 2 IN (SELECT number FROM p)""")
+def g7_aliases(spark, d):
+    """Stored edges whose ends are full shas, bare symbol names and bare numbers, with the dynamic edges of the tables."""
+    c, p, i = fx.commits(spark, d), fx.pulls(spark, d), fx.issues(spark, d)
+    edge = lambda df, a, b, kind, label, mark=False: df.select(a.alias("source_id"), b.alias("target_id"), F.lit(kind).alias("edge_type"), F.lit(label).alias("label"), F.lit(mark).alias("highlight"))
+    number = F.col("number").cast("string")
+    stored = edge(p, F.concat(F.lit("#"), number), F.upper("merge_commit_sha"), "merges", "STORED", True)
+    key = F.regexp_extract("message", r"Order (-?\d+)", 1).cast("bigint") + F.when(F.col("is_revert"), 7).otherwise(0)
+    stored = stored.unionByName(edge(c, F.concat(F.lit("commit:"), "sha"), F.concat(F.lit("symbol:part"), (key % 50).cast("string")), "names", "BARE"))
+    stored = stored.unionByName(edge(i, F.concat(F.lit("issue "), number), F.concat(F.lit("PR #"), (F.col("number") + 2).cast("string")), "asks", "BY NUMBER"))
+    stored = stored.unionByName(edge(i, F.lit("symbol:no such"), F.lit("#999999999"), "asks", "NONE"))
+    return graph.repaired_graph(c, p, i, fx.symbols(spark, d).withColumn("commit_count", F.lit(1)), stored)[1]
+
+
 # --- search --------------------------------------------------------------------------------------------------------
 
 _MARKED = r"regexp_replace(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([0-9]+)', ' \1 ', 'g')"
@@ -333,9 +372,15 @@ def r9_cosine_top_k(spark, d):
     return search.vector_search(v, list(q.embedding), 10).select("id", F.floor(F.col("score") * 10000 + 0.5).alias("score_e4"))
 
 
-@query("SELECT id, 3.0::DOUBLE AS score FROM ch WHERE source_type IN ('pr', 'issue') AND id IN ('7', '12') OR regexp_matches(text, '#(7|12)($|[^0-9A-Za-z_])')")
+# by the remainder: related in three ways, said in three, longer numbers, a source; "pr 7" alone is not looked for; the sha is in the source
+@query("SELECT id, 3.0::DOUBLE AS score FROM ch WHERE doc_id % 12 IN (0, 1, 2, 4, 5, 6) OR doc_id % 12 = 10 AND contains(md5(id), 'abc')")
 def r11_exact_channel(spark, d):
-    return search.exact_channel(fx.chunks(spark, d), [], [7, 12], limit=None)
+    n, none = F.col("id").cast("bigint") % 12, F.array().cast("array<string>")
+    related = F.when(n == 0, F.array(F.lit("pr#7"))).when(n == 1, F.array(F.lit("Issue#7"))).when(n == 2, F.array(F.lit("#7"))).when(n == 3, F.array(F.lit("pr#71"))).otherwise(none)
+    said = F.when(n == 4, " see #7.").when(n == 5, " see PR #7").when(n == 6, " pr 7, that is #7x").when(n == 7, " in #70").when(n == 8, " pr 7").otherwise("")
+    source = F.when(n == 10, F.md5("id")).when(n == 9, F.lit("7")).otherwise(F.lit("none"))
+    chunks = fx.chunks(spark, d).withColumns({"related_ids": related, "text": F.concat(F.translate("text", "#", " "), said), "source_id": source})
+    return search.exact_channel(chunks.where(~F.contains("text", F.lit("abc")) & ~F.contains(F.lower("text"), F.lit("abc")) | (n != 10)), ["ABC"], [7], limit=None)
 
 
 @query("SELECT id, 2.0::DOUBLE AS score FROM ch WHERE contains(sym, 'name7') ORDER BY id LIMIT 30")
@@ -457,8 +502,9 @@ def f4_f5_diff_and_symbols(spark, d):
 
 @query()
 def f13_f15_metrics(spark, d):
-    pair = W.partitionBy(F.floor(F.col("doc_id") / 2)).orderBy("doc_id")  # whole texts, each against its neighbour's, dealt once
-    rows = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("a"), F.coalesce(F.lead("text").over(pair), F.lag("text").over(pair), F.lit("")).alias("b"))
+    """Whole texts, the first half of each against the second: a row holds both sides, so no text is shuffled."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = fx.table(spark, d, "documents").select("doc_id", F.coalesce(F.left("text", half), F.lit("")).alias("a"), F.coalesce(F.substr("text", half + 1), F.lit("")).alias("b"))
     m = evaluate.citation_metrics(F.col("a"), F.array(F.lit("#1")))
     return rows.select("doc_id", F.bround(code.rouge_l("a", "b"), 6).alias("rouge_l"), m["f1"].alias("citation_f1"), F.bround(evaluate.keyword_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 

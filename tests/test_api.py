@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from annalist import __main__ as front, api
 from annalist.operators import merge, search, vectors
 from annalist.sources import forge, history
-from annalist.storage import read_table, stored_meta
+from annalist.storage import Store, stored_meta
 
 
 @pytest.fixture(scope="module")
@@ -35,11 +35,15 @@ def repo(tmp_path_factory):
     return root
 
 
+def embed(texts):
+    return [search.mock_vector(t, 16) for t in texts]
+
+
 @pytest.fixture(scope="module")
 def store(spark, repo, tmp_path_factory):
-    pulls = spark.createDataFrame([(101, "Rate limiter", "Fixes #7", [7])], "number int, title string, body string, linked_issue_numbers array<int>")
-    issues = spark.createDataFrame([(7, "Too many calls", "see PR #101", [101])], "number int, title string, body string, linked_pr_numbers array<int>")
-    h = api.History(spark, str(tmp_path_factory.mktemp("tables")))
+    pulls = spark.createDataFrame([(101, "Rate limiter", "Fixes #7"), (102, "Later", "")], "number int, title string, body string")  # no link arrays: they follow from the texts
+    issues = spark.createDataFrame([(7, "Too many calls", "see PR #101"), (8, "Same", "mended by #102")], "number int, title string, body string")
+    h = api.History(spark, str(tmp_path_factory.mktemp("tables")), embed, 16)
     h.ingest(str(repo), "org/app", pulls=pulls, issues=issues)
     return h
 
@@ -55,7 +59,51 @@ def test_ingested_tables(store, repo):
     edges = {(r.source_id.split(":")[0], r.target_id.split(":")[0], r.edge_type) for r in store.table("causal_edges").collect()}
     assert {("issue", "pr", "resolves"), ("commit", "commit", "reverts"), ("commit", "symbol", "modifies")} <= edges
     assert {r.source_type for r in store.table("chunk").select("source_type").distinct().collect()} == {"commit", "pr", "issue", "file", "code"}
-    assert stored_meta(store.spark, store.folder)["repo_name"] == "app"
+    assert stored_meta(store.version())["repo_name"] == "app"
+    pulls = {r.number: r.linked_issue_numbers for r in store.table("pull_request").collect()}
+    assert pulls == {101: [7], 102: [8]} and {r.number: r.linked_pr_numbers for r in store.table("issue").collect()} == {7: [101], 8: [102]}
+    assert {(r.source_id, r.target_id) for r in store.table("causal_edges").where("edge_type = 'resolves'").collect()} == {("issue:#7", "pr:#101"), ("issue:#8", "pr:#102")}
+    limiter = commits["Add rate limiter (#101)"]
+    assert "PR #101: Rate limiter" in limiter.diff_summary
+    related = {r.source_id: r.related_ids for r in store.table("chunk").where("source_type = 'commit'").collect()}
+    assert related[limiter.sha] == ["pr#101", "pr#7"]
+
+
+def test_vectors_and_index_follow_the_chunks(store):
+    chunks = {r.id: r for r in store.table("chunk").collect()}
+    assert all(r.embedded for r in chunks.values())
+    stored = {r.id: r.embedding for r in store.table("vector").collect()}
+    assert set(stored) == set(chunks) and [round(x, 5) for x in stored[min(stored)]] == [round(x, 5) for x in search.mock_vector(chunks[min(stored)].text, 16)]
+    asked = store.spark.createDataFrame([(0, "login tea limiter")], "query_id int, query string")
+    same = lambda fitted: {r.id: round(r.score, 9) for r in search.bm25_search(fitted, asked).collect()}
+    assert same(store.index().fitted()) == same(search.bm25_fit(store.table("chunk")))
+    text = next(r.text for r in chunks.values() if r.source_type == "code")
+    assert api.call(store, "search_history", {"query": text, "limit": 1})[0]["text"] == text  # the dense channel knows it
+
+
+def test_a_reader_keeps_its_version(store):
+    before, number = store.at(), store.version().number
+    commits = before.table("commit")
+    n = commits.count()
+    store.store(store.table("commit").limit(1), "commit")
+    assert store.version().number == number + 1 and store.table("commit").count() == 1
+    assert before.table("commit").count() == n == commits.count()
+    store.store(before.table("commit"), "commit")
+
+
+def test_a_killed_ingestion_leaves_the_version_before(store, repo, monkeypatch):
+    number, n = store.version().number, store.table("commit").count()
+    (repo / "later.py").write_text("def later():\n    return 1\n")
+    subprocess.run(["git", "-C", str(repo), "add", "-A"], check=True)
+    subprocess.run(["git", "-C", str(repo), "-c", "user.name=Ann", "-c", "user.email=ann@x.org", "commit", "-qm", "Later"], check=True)
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(merge, "upsert_meta", lambda *_: 1 / 0)  # the last step
+            with pytest.raises(ZeroDivisionError):
+                store.ingest(str(repo), "org/app")
+        assert store.version().number == number and store.table("commit").count() == n
+    finally:
+        subprocess.run(["git", "-C", str(repo), "reset", "-q", "--hard", "HEAD^"], check=True)
 
 
 def test_second_ingestion_adds_only_what_is_new(store, repo):
@@ -65,7 +113,7 @@ def test_second_ingestion_adds_only_what_is_new(store, repo):
     store.ingest(str(repo), "org/app")
     assert before == {t: store.table(t).count() for t in before}
     assert store.table("chunk").where("embedded").count() == before["chunk"]
-    assert store.table("pull_request").first().title == "Rate limiter"
+    assert store.table("pull_request").orderBy("number").first().title == "Rate limiter"
 
 
 def test_tools(store, repo):
@@ -88,8 +136,11 @@ def test_questions(store):
     hints = store.plan("why was #101 made, and what does limiter do?")["hints"]
     assert "Pull Request #101: Rate limiter" in hints
     got = store.ask("who added the rate limiter in #101?", 2024)
-    assert got["passed"] and "limiter" in got["answer"] and got["evidence"]
-    wrong = store.ask("rate limiter", 2024, write=lambda q, e: "It came with #9999.")
+    assert got["passed"] and "limiter" in got["answer"] and got["evidence"], got
+    assert any(r.source_type == "issue" for r in store.evidence("rate limiter", 2024, limit=40))  # over the links of the pull
+    asked = []
+    wrong = store.ask("rate limiter", 2024, write=lambda q, e: asked.append(q) or "It came with #9999.")
+    assert len(asked) == api.RETRIES + 1
     assert not wrong["passed"] and "9999" in wrong["answer"].split("Unverified")[1]
     assert store.evidence("rate limiter", 2024, repo_id="nobody")  # tried again without the filter
     assert api.decompose("a", lambda q: ["b", " "]) == ["b"] and api.decompose("a") == ["a"]
@@ -128,17 +179,56 @@ def test_recorded_pages_of_a_host(spark):
             raise forge.RateLimited
         return [{"body": "said", "user": {"login": "bob"}}] * 100
 
-    pulls = forge.read(spark, fetch, "pulls", "r", limit=500).collect()
+    pulls = forge.read(spark, fetch, "pulls", "r", limit=500).orderBy(F.desc("number")).collect()
     assert len(pulls) == 210 and pulls[0].linked_issue_numbers == [5] and pulls[0].author == "ann" and pulls[1].body == ""
     assert forge.read(spark, fetch, "pulls", "r", limit=150).count() == 150
     assert forge.read(spark, fetch, "pulls", "r", since="2024-02-15").count() == 100
-    assert forge.read(spark, fetch, "pulls", "r", left=4).count() == 0
-    issues = forge.read(spark, fetch, "issues", "r", token=True).collect()
-    assert [(r.number, r.author, len(r.comments)) for r in issues] == [(1, "unknown", 100)]
+    with pytest.raises(forge.Incomplete):
+        forge.read(spark, fetch, "pulls", "r", left=4)
+    rows, state = forge.run(spark, fetch, "issues", "r", token=True)  # the second page of comments is refused
+    assert rows.count() == 0 and state["pending"] == [1] and not state["complete"]
+    assert [(r.number, r.author) for r in forge.read(spark, fetch, "issues", "r").collect()] == [(1, "unknown")]
+
+
+def test_a_limited_run_goes_on_from_its_cursor(spark, monkeypatch):
+    monkeypatch.setattr(forge, "PAGE", 3)
+    monkeypatch.setattr(forge, "WAVE", 2)
+    changed = {n: f"2024-01-{n:02}" for n in range(1, 21)}
+
+    def fetch_from(changed, last):
+        def fetch(path, page):
+            if path.startswith("pulls/") and not path.endswith("comments"):
+                return [{"number": int(path.split("/")[1]), "title": "late"}]
+            if path.endswith("comments"):
+                if int(path.split("/")[1]) == 13 and last < 99:
+                    raise forge.RateLimited
+                return [{"body": "said", "user": {"login": "bob"}}]
+            if page >= last:
+                raise forge.RateLimited
+            order = sorted(changed, key=lambda n: changed[n], reverse=True)[3 * (page - 1) : 3 * page]
+            return [{"number": n, "title": f"t{n}", "updated_at": changed[n]} for n in order]
+
+        return fetch
+
+    rows, state = forge.run(spark, fetch_from(changed, 4), "pulls", "r")
+    assert sorted(r.number for r in rows.collect()) == list(range(12, 21)) and not state["complete"] and state["oldest"] == "2024-01-12"
+    changed = {**changed, 2: "2024-02-01", 21: "2024-02-02"}  # meanwhile one old pull changes and one is new
+    rows, state = forge.run(spark, fetch_from(changed, 6), "pulls", "r", state)
+    got = sorted(r.number for r in rows.collect())
+    assert {2, 21} <= set(got) and not set(got) & set(range(12, 21)) and not state["complete"]
+    rows, state = forge.run(spark, fetch_from(changed, 99), "pulls", "r", state)
+    assert sorted(got + [r.number for r in rows.collect()]) == [*range(1, 12), 21] and state["complete"]
+    rows, state = forge.run(spark, fetch_from(changed, 99), "pulls", "r", state)
+    assert rows.count() == 0 and state["complete"]
+    rows, state = forge.run(spark, fetch_from(changed, 98), "pulls", "r", token=True)
+    assert state["pending"] == [13] and rows.count() == 20 and all(len(r.comments) == 1 == len(r.review_comments) for r in rows.collect())
+    rows, state = forge.run(spark, fetch_from(changed, 99), "pulls", "r", state, token=True)
+    assert [(r.number, r.title) for r in rows.collect()] == [(13, "late")] and state["complete"]
 
 
 def test_unstored_tables_are_empty(spark, tmp_path):
-    assert read_table(spark, str(tmp_path), "commit").count() == 0 and stored_meta(spark, str(tmp_path)) is None
+    empty = Store(spark, str(tmp_path)).version()
+    assert empty.number == 0 and empty.table("commit").count() == 0 and stored_meta(empty) is None
 
 
 def test_pending_embeddings(spark):

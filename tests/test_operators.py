@@ -162,7 +162,7 @@ def test_diff_and_symbols():
     got = code.symbols_of("class A:\n    def m(self):\n        pass\n", "a.py")
     assert [s[0] for s in got] == ["a.py::A", "a.py::A::m"]
     js = code.symbols_of("class A {\n  run() {}\n}\nfunction f() {\n}\n", "a.js")
-    assert [(s[0], s[3], s[4]) for s in js] == [("a.js::A", 1, 3), ("a.js::f", 4, 5)]
+    assert [(s[0], s[3], s[4]) for s in js] == [("a.js::A", 1, 3), ("a.js::A::run", 2, 2), ("a.js::f", 4, 5)]
     assert code.code_chunks("def f():\n    return 1\n", "a.py") == [("a.py::f", "def f():\n    return 1")]
 
 
