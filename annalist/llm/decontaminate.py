@@ -11,8 +11,10 @@ SHORT words are compared by pairs of words, for one changed word would spoil mos
 than five not on their own.
 
 Term frequencies, the number of segments and their mean length are counted once over all items, so an item's scores and
-thresholds do not depend on how items are dealt. The index of at most about SLICE items is a slice; slices are
-broadcast together up to GROUP_BYTES and queried in one pass over the texts, and more slices make more passes. Every
+thresholds do not depend on how items are dealt. The index of up to SLICE items or SLICE_BYTES of their text (or of one longer
+item) is a slice; slices are broadcast together up to GROUP_BYTES and queried in one pass over the texts, and more slices
+make more passes. An index is linear in its items' words: postings and block maxima are kept for the blocks alone that
+hold a term. Every
 text is read whole; block maxima are summed for STRETCH halves of a passage at a time, so that memory does not grow with
 the length of a text beyond its words.
 
@@ -44,7 +46,9 @@ THRESHOLD = 0.7
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 SHINGLE = 5
 SHORT = 15  # words of a question or answer under which it is compared by pairs of words
+NEAR_PAIRS, NEAR_WORDS = 0.75, 0.85
 SLICE = 1000
+SLICE_BYTES = 1 << 20  # of the texts of a slice
 GROUP_BYTES = 128 << 20  # of the indexes that are broadcast together
 STRETCH = 4096
 
@@ -112,26 +116,46 @@ class Index:
                 self.own[n] += impact
         self.need = THRESHOLD * self.own
         self.postings = [(np.array([p[0] for p in postings[t]]), np.array([p[1] for p in postings[t]])) for t in range(len(self.terms))]
-        blocks = -(-self.size // BLOCK)
-        self.block_max = np.zeros((len(self.terms), blocks), np.float32)
-        for t, (at, impact) in enumerate(self.postings):
-            np.maximum.at(self.block_max[t], at // BLOCK, impact)
-        self.term_max = self.block_max.max(1) if blocks else np.zeros(0)
-        self.block_need = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)], np.float32)
+        self.blocks = blocks = -(-self.size // BLOCK)
+        of, tops = [], []  # for each term, the blocks that hold it, and its largest impact in each
+        for at, impact in self.postings:
+            own, first = np.unique(at // BLOCK, return_index=True)
+            of.append(own)
+            tops.append(np.maximum.reduceat(impact, first))
+        self.block_starts = np.concatenate([[0], np.cumsum([len(x) for x in of])]).astype(np.int64)
+        self.block_of = np.concatenate(of) if of else np.zeros(0, np.int64)
+        self.block_top = np.concatenate(tops) if tops else np.zeros(0)
+        self.term_max = np.array([x.max() for x in tops])
+        self.block_need = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)])
         self.least = float(self.need.min()) if self.size else math.inf
 
     def size_in_bytes(self) -> int:
-        return self.block_max.nbytes + sum(200 + 16 * len(p[0]) for p in self.postings) + sum(60 * len(w) for _, w in self.items)
+        return sum(200 + 32 * len(p[0]) for p in self.postings) + sum(60 * len(w) for _, w in self.items)
+
+    def tops_of(self, terms) -> np.ndarray:
+        """Block maxima of a few terms, a row for each."""
+        out = np.zeros((len(terms), self.blocks))
+        for i, t in enumerate(terms):
+            at = slice(self.block_starts[t], self.block_starts[t + 1])
+            out[i, self.block_of[at]] = self.block_top[at]
+        return out
+
+    def sums_of(self, row: np.ndarray, terms: np.ndarray, rows: int) -> np.ndarray:
+        """The block maxima of ``terms``, each added to its ``row`` of a table of ``rows``."""
+        wide = self.block_starts[terms + 1] - self.block_starts[terms]
+        at = np.repeat(self.block_starts[terms] - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
+        place = np.repeat(row, wide) * self.blocks + self.block_of[at]
+        return np.bincount(place, self.block_top[at], rows * self.blocks).reshape(rows, self.blocks)
 
     def search(self, terms: list[int], live: list[int] | None = None) -> list[tuple[int, float]]:
         """All segments that reach their thresholds for a passage's distinct terms: block-max WAND.
 
         ``live`` lists the blocks whose maxima reach a threshold of theirs, if that is known; all others are skipped.
         """
-        live = list(range(self.block_max.shape[1])) if live is None else live
+        live = list(range(self.blocks)) if live is None else live
         if not live:
             return []
-        lists = [(*(x.tolist() for x in self.postings[t]), float(self.term_max[t]), self.block_max[t]) for t in terms]
+        lists = [(*(x.tolist() for x in self.postings[t]), float(self.term_max[t]), tops) for t, tops in zip(terms, self.tops_of(terms))]
         at = [bisect_left(x[0], live[0] * BLOCK) for x in lists]
         order = list(range(len(lists)))
         found, last, alive = [], self.size, 0
@@ -192,8 +216,8 @@ class Matcher:
     def _target(self, words: list[str]):
         return min(SHINGLE, len(words)), self._ids(words)
 
-    def candidates(self, words: list[str]) -> dict[int, float]:
-        """Best score of each item retrieved by some passage of the text."""
+    def candidates(self, words: list[str]) -> dict[int, tuple[float, list[int]]]:
+        """Best score of each item retrieved by some passage of the text, and the halves that these passages begin with."""
         index = self.index
         ids = np.fromiter(map(index.terms.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(ids >= 0)
@@ -204,22 +228,21 @@ class Matcher:
         pairs = np.unique(at // SEGMENT * n_terms + ids[at])  # the terms of each half, once
         half, term = pairs // n_terms, pairs % n_terms
         starts = np.searchsorted(half, np.arange(halves + 1))
-        best: dict[int, float] = {}
+        best: dict[int, tuple[float, list[int]]] = {}
         for lo in range(0, halves, STRETCH):
             hi = min(lo + STRETCH, halves)
             inner = starts[lo : min(hi + 1, halves) + 1]  # with the half after the stretch
-            sums = np.zeros((hi - lo + 1, index.block_max.shape[1]), np.float32)
-            some = np.flatnonzero(np.diff(inner))
-            if not len(some):
+            if inner[0] == inner[-1]:
                 continue
-            sums[some] = np.add.reduceat(index.block_max[term[inner[0] : inner[-1]]], inner[some] - inner[0], axis=0)
+            sums = index.sums_of(half[inner[0] : inner[-1]] - lo, term[inner[0] : inner[-1]], hi - lo + 1)
             bound = sums[:-1] + sums[1:]  # of the passage of two halves; the last passage has one
             for p in (np.flatnonzero((bound >= index.block_need - 1e-3).any(1)) + lo).tolist():
                 terms = np.unique(term[starts[p] : starts[min(p + 2, halves)]])
-                live = np.flatnonzero(index.block_max[terms].sum(0) >= index.block_need - 1e-3)  # terms of both halves count once
+                live = np.flatnonzero(index.tops_of(terms).sum(0) >= index.block_need - 1e-3)  # terms of both halves count once
                 for segment, score in index.search(terms.tolist(), live.tolist()):
                     n = int(index.of[segment])
-                    best[n] = max(best.get(n, 0.0), score)
+                    most, places = best.get(n, (0.0, []))
+                    best[n] = (max(most, score), places + [p] if places[-1:] != [p] else places)
         return best
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
@@ -227,7 +250,7 @@ class Matcher:
         words = words_of(text) if text else []
         found, runs = [], {}
         ids = None
-        for n, score in sorted(self.candidates(words).items()):
+        for n, (score, places) in sorted(self.candidates(words).items()):
             item, item_words = self.index.items[n]
             k, target = self.targets[n]
             if ids is None:
@@ -243,10 +266,19 @@ class Matcher:
                     runs[size] = _shingles(ids, size)
                 s = _shingles(part, size)
                 shares.append(float(np.isin(s, runs[size]).mean()) if len(s) else 1.0)
-            if shares[0] >= self.overlap and min(shares[1:]) >= PART_OVERLAP:
+            if shares[0] >= self.overlap and min(shares[1:]) >= PART_OVERLAP or self._near(ids, target, cut, places):
                 found.append((item, score, *shares))
         return sorted(found)
 
+    def _near(self, ids: np.ndarray, target: np.ndarray, cut: int, places: list[int]) -> bool:
+        """Whether the passages at ``places`` hold an item of some length but for a few of its words."""
+        if len(target) < SHORT:
+            return False
+        passages = [ids[p * SEGMENT : (p + 2) * SEGMENT] for p in places]
+        share = lambda part, k: float(np.isin(_shingles(part, k), np.concatenate([_shingles(p, k) for p in passages])).mean())
+        parts = [x for x in (target[:cut], target[cut:]) if len(x) >= SHINGLE]
+        return share(target, 1) >= NEAR_WORDS and share(target, 2) >= NEAR_PAIRS and min(share(x, 2) for x in parts) >= PART_OVERLAP
+
     def _answer_at(self, n: int) -> int:
         """Words before the answer: the last sentence, or the last quarter of a single one."""
         words = self.index.items[n][1]
@@ -279,24 +311,38 @@ def _counted(items: DataFrame) -> DataFrame:
     return items.select("t").mapInArrow(run, "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
 
 
-def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SLICE):
-    """Indexes of about ``size`` items each, one after another; all of them use the statistics of the whole benchmark."""
+def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SLICE, most: int = SLICE_BYTES):
+    """Indexes of up to ``size`` items or ``most`` bytes of text each, one after another, with the statistics of the whole benchmark.
+
+    Items are dealt by their hashes into parts of about that many bytes, which the driver reads one after another, so it
+    holds a part and a slice, or a longer item.
+    """
     spark = benchmark.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    n = max(1, -(-items.count() // size))
-    counted = _counted(items)
-    if n > 1:
-        counted = written(counted, "terms")
-    whole = counted.where("term is null").first()
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()  # about ``size`` rows
-        terms = counted.where("term is not null").select("term", "n")
-        if n > 1:
-            own = spark.createDataFrame([(t,) for t in sorted({w for r in rows for w in words_of(r.t)})], "term string")
-            terms = terms.join(own, "term", "left_semi")
-        frequency = {r.term: r.n for r in terms.collect()}  # no more than the terms of the slice
-        yield build([(r.i, r.t) for r in rows], (frequency, whole.n if whole else 0, whole.words if whole else 0))
+    whole = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    parts = max(1, -(-whole.n // size), -(-whole.b // most))
+    counted = written(_counted(items), "terms") if parts > 1 else _counted(items)
+    total = counted.where("term is null").first()
+    part, held, k = [], 0, 0
+    for r in items.repartition(parts, "i", "t").sortWithinPartitions("i", "t").toLocalIterator():
+        n = len(r.t.encode())
+        if part and (len(part) == size or held + n > most):
+            yield _indexed(spark, part, counted, total, parts > 1)
+            part, held, k = [], 0, k + 1
+        part.append((r.i, r.t))
+        held += n
+    if part or not k:
+        yield _indexed(spark, part, counted, total, parts > 1)
+
+
+def _indexed(spark, items: list[tuple[int, str]], counted: DataFrame, total, narrow: bool) -> Index:
+    terms = counted.where("term is not null").select("term", "n")
+    if narrow:
+        own = spark.createDataFrame([(t,) for t in sorted({w for _, text in items for w in words_of(text)})], "term string")
+        terms = terms.join(own, "term", "left_semi")
+    frequency = {r.term: r.n for r in terms.collect()}  # no more than the terms of the slice
+    return build(items, (frequency, total.n if total else 0, total.words if total else 0))
 
 
 def groups(benchmark: DataFrame, size: int = SLICE, most: int = GROUP_BYTES):

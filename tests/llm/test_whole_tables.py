@@ -169,7 +169,9 @@ def _naive_matches(items, text):
         return total
 
     words, found = decontaminate.words_of(text or ""), set()
-    passages = [set(words[k : k + 128]) for k in range(0, max(len(words), 1), 64)]
+    runs_of = lambda x, k: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}
+    every = [words[k : k + 128] for k in range(0, max(len(words), 1), 64)]
+    passages = [set(p) for p in every]
     runs = {k: {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} for k in (1, 2, 3, 4, 5)}
     for i, s in segments:
         own = score(s, set(s))
@@ -187,6 +189,13 @@ def _naive_matches(items, text):
                 held.append(len(grams & runs[k]) / len(grams) if grams else 1.0)
             if held[0] >= 0.8 and min(held[1:]) >= 0.5:
                 found.add(i)
+            elif len(w) >= 15:  # but for a few words, in the passages that retrieve some segment of it
+                own_segments = [x for j, x in segments if j == i]
+                near = [p for p, q in zip(every, passages) if any(score(x, q) >= 0.7 * score(x, set(x)) - 1e-9 for x in own_segments)]
+                pairs, single = set().union(*(runs_of(p, 2) for p in near)), set().union(*(runs_of(p, 1) for p in near))
+                share = lambda part, k, there: len(runs_of(part, k) & there) / len(runs_of(part, k))
+                if share(w, 1, single) >= 0.85 and share(w, 2, pairs) >= 0.75 and min(share(x, 2, pairs) for x in (w[:cut], w[cut:]) if len(x) >= 5) >= 0.5:
+                    found.add(i)
     return found
 
 
@@ -227,6 +236,35 @@ def test_decontamination_finds_edited_items(benchmark):
     assert tried > 10
 
 
+@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.05, 0.95), (0.1, 0.6)])
+def test_recall_of_edited_items(benchmark, share, least):
+    """Of copies with a share of their words changed, in the midst of other text, at least so many are found, and no others."""
+    items = [(r.item_id, r.text) for r in benchmark.collect() if r.text and len(decontaminate.words_of(r.text)) >= 20]
+    matcher = decontaminate.Matcher(decontaminate.build(items))
+    rng, found = np.random.default_rng(6), 0
+    for item, text in items:
+        words = decontaminate.words_of(text)
+        for at in rng.choice(len(words), round(share * len(words)), replace=False):
+            words[at] = f"edit{at}"
+        got = {m[0] for m in matcher.matches(" ".join(["filler"] * 100 + words + ["more"] * 100))}
+        found += item in got
+        assert got <= {item} | {i for i, t in items if decontaminate.words_of(t) == decontaminate.words_of(text)}
+    assert found / len(items) >= least, found / len(items)
+
+
+def test_slices_are_bounded_by_bytes(spark, benchmark):
+    """A long item is a slice of its own, small ones share one; results do not depend on it."""
+    long = spark.createDataFrame([(-50, " ".join(f"w{i}" for i in range(20_000)))], "item_id long, text string")
+    items = benchmark.unionByName(long)
+    cut = list(decontaminate.slices(items, most=4000))
+    assert sum(len(x.items) for x in cut) == sum(len(x.items) for x in decontaminate.slices(items)) and len(cut) > 3
+    assert all(sum(len(w) for _, w in x.items) < 2000 or len(x.items) == 1 for x in cut)
+    big = max(cut, key=lambda x: x.size)
+    assert len(big.block_of) < 3 * 20_000  # linear in the words, not terms times blocks
+    text = " ".join(f"w{i}" for i in range(20_000))
+    assert -50 in {m[0] for m in decontaminate.Matcher(big).matches(text)}
+
+
 def test_pii_brute_force_of_votes_and_rates(spark, docs):
     """Counts, rates by EM and decisions against loops over single candidates."""
     texts = [r.text or "" for r in docs.collect()]
