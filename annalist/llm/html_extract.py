@@ -3,7 +3,8 @@
 The block-level elements of a page are the nodes of a tree; each is content or boilerplate. Node potentials come from
 what an element shows (tag, words of its class, id and role, link density, text length), parent-child potentials
 tie neighbours together. Sum-product message passing, once upward and once downward, gives the exact content marginal
-of every node. Both kinds of potential are estimated from labelled pages: the small set below, or the caller's own.
+of every node. Both kinds of potential are estimated from labelled pages: the small set below, and pages of the corpus itself
+that are labelled by the documents which their articles were made from (``training_pages``).
 Inline elements belong to the block around them. Text of nodes whose marginal exceeds 1/2 is kept, in page order.
 
 Defined results: a null html counts as empty (empty text); character references are decoded; white space inside a
@@ -20,6 +21,7 @@ import re
 from collections import Counter
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from annalist.llm.common import map_rows
 
@@ -41,8 +43,12 @@ BOILER_WORDS = frozenset(
     "form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup privacy promo promotion promotions recommend recommended "
     "related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar tracking widget".split()
 )
-#: What HTML itself says of these elements counts as that many labelled nodes.
-MEANING = {("tag", t): (0, 30) for t in ("nav", "footer", "aside", "form", "header", "dialog", "menu")} | {("tag", t): (1, 30) for t in ("article", "main")}
+#: What HTML itself says of these elements counts as one labelled node.
+MEANING = {("tag", t): (0, 1) for t in ("nav", "footer", "aside", "form", "header", "dialog", "menu")} | {("tag", t): (1, 1) for t in ("article", "main")}
+SAMPLE = 400  # pages of the corpus that the model is fitted to: those with the smallest hashed ids
+SAMPLE_CHARS = 200_000  # that such a page, or the document that labels it, may have
+ALIGNED = 0.8  # of a document's text, that a page has to hold to be labelled by it
+KEY_WORDS = 8  # with which a document begins and some block of its page
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
@@ -206,6 +212,9 @@ LABELLED_PAGES = (
     '<html data-y=0><body><nav class="breadcrumbs"><ol><li><a>Home</a></li><li><a>Art</a></li></ol></nav><div class="post" data-y=1><h1>Colour</h1><dl><dt>Red</dt><dd>Warm</dd><dt>Blue</dt><dd>Cold</dd></dl><p>Painters knew.</p></div><div class="sponsored"><p>Paint at half price in all our shops until the end of the month, while stocks last.</p></div><div role="contentinfo"><p>Legal</p></div></body></html>',
     '<html data-y=0><body><header><nav><ul><li><a>x</a></li></ul></nav></header><div><article data-y=1><h1>Wells</h1><section><h2>Depth</h2><p>Ten metres.</p><p>Some reach thirty metres and more, where the ground is sand and the water lies deep below.</p></section><section><h2>Use</h2><p>Daily.</p></section></article></div><div class="social"><a>f</a></div><aside><p>Weather today: mild and dry in most parts of the country, with some fog.</p></aside></body></html>',
     '<html data-y=0><body><h1 data-y=1>Salt</h1><p data-y=1>Salt keeps.</p><p data-y=1>It was mined in the hills for three thousand years and carried to the coast on mules.</p><div class="comments"><div class="comment"><p>My uncle worked there for most of his life and told us many stories about the dark.</p></div></div><footer><p>Made by hand in a small town, with thanks to all the people who read and write here.</p></footer></body></html>',
+    '<html data-y=0><body><nav><p>Start</p></nav><article data-y=1><header><h1>Glass</h1></header><p>Sand melts at a great heat, and ash lowers it so that a wood fire will do.</p><aside data-y=0><p>More on crafts</p></aside><p>It cools for a day.</p><form data-y=0><p>Your address</p></form></article><footer><p>Imprint</p></footer></body></html>',
+    '<html data-y=0><body><aside><p>Weather</p><p>Rain later.</p></aside><main data-y=1><header><h1>Bees</h1></header><p>A hive holds forty thousand of them in June.</p><aside data-y=0><ul><li><a>Honey</a></li></ul></aside><blockquote><p>They know the way.</p></blockquote></main><form><p>Your name</p></form></body></html>',
+    '<html data-y=0><body><header><p>The Post</p></header><article data-y=1><h1>Tide</h1><p>Twice a day.</p><form data-y=0><p>Get the tables by mail every week, at no cost to you, from our office.</p></form><p>The moon pulls the sea towards it, and the land keeps it back.</p><nav data-y=0><a>Next</a></nav></article></body></html>',
 )
 
 
@@ -214,25 +223,110 @@ def _group(node: Node) -> int:
     return int(not (node.tag in ("#root", "html", "body", "div", "section", "main") and not node.words & (BOILER_WORDS | CONTENT_WORDS)))
 
 
+def marked(nodes: list[Node]) -> list[int]:
+    """Labels by the marks of a page; children inherit."""
+    labels: list[int] = []
+    for node in nodes:
+        labels.append(int(node.mark) if node.mark is not None else labels[node.parent] if labels else 0)
+    return labels
+
+
+def own_texts(nodes: list[Node], pieces: list[tuple[int, str]]) -> list[str]:
+    """The text of each node itself, without that of the nodes in it."""
+    parts: list[list[str]] = [[] for _ in nodes]
+    last = 0
+    for at, text in pieces:
+        if text == " " and at == 0:
+            parts[last].append(" ")
+        else:
+            parts[at].append(text)
+            last = at
+    return [" ".join("".join(p).split()) for p in parts]
+
+
+def aligned_labels(nodes: list[Node], texts: list[str], document: str) -> list[int] | None:
+    """Labels of a page that was made from ``document`` (its words parted by single spaces); None if it does not hold ALIGNED of it.
+
+    The innermost element with ALIGNED of the page's text that is of the document is content. In it, what is of the document is
+    content, the headings before its first block too, and an element without text of its own if most of the text in it
+    is. All else is boilerplate.
+    """
+    held = f" {document} "
+    of_it = [bool(t) and f" {t} " in held for t in texts]
+    good, every = [len(t) if ok else 0 for t, ok in zip(texts, of_it)], [len(t) for t in texts]
+    for i in range(len(nodes) - 1, 0, -1):
+        good[nodes[i].parent] += good[i]
+        every[nodes[i].parent] += every[i]
+    if not document or good[0] < ALIGNED * len(document):
+        return None
+    common = max(i for i, g in enumerate(good) if g >= ALIGNED * good[0])  # nodes are numbered from the outside
+    common = nodes[common].parent if of_it[common] and nodes[common].parent > 0 else common
+    inside = [False] * len(nodes)
+    inside[common] = True
+    for i in range(common + 1, len(nodes)):
+        inside[i] = inside[nodes[i].parent]
+    first = min(i for i, ok in enumerate(of_it) if ok and inside[i])
+    labels = []
+    for i, node in enumerate(nodes):
+        heading = node.tag in ("h1", "h2") and i < first
+        own = bool(texts[i]) and (of_it[i] or heading) or not texts[i] and 2 * good[i] > every[i]
+        labels.append(int(i == common or inside[i] and own))
+    return labels
+
+
+def training_pages(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE, html_col: str = "html", id_col: str = "page_id") -> list[tuple]:
+    """(nodes, labels) of up to ``sample`` pages of which some block begins like a document of ``documents`` (text).
+
+    Pages and documents longer than SAMPLE_CHARS are not drawn. The driver holds the sample and the documents that
+    label it.
+    """
+    short = pages.where(F.length(html_col) <= SAMPLE_CHARS)
+    drawn = [r[0] for r in short.orderBy(F.xxhash64(F.col(id_col).cast("long")), html_col).limit(sample).select(html_col).collect()]
+    read = []
+    for html in drawn:
+        nodes, pieces = parse(html)
+        texts = own_texts(nodes, pieces)
+        read.append((nodes, texts, {" ".join(t.split(" ")[:KEY_WORDS]) for t in texts if t.count(" ") >= KEY_WORDS - 1}))
+    keys = sorted(set().union(*(k for *_, k in read)))
+    if not keys:
+        return []
+    spark = pages.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key string"))  # blocks of the sample
+    begin = F.regexp_replace(F.regexp_extract("text", rf"^\s*((?:\S+\s+){{{KEY_WORDS - 1}}}\S+)", 1), r"\s+", " ")
+    begun = documents.where(F.length("text") <= SAMPLE_CHARS).select(begin.alias("key"), "text").join(wanted, "key")
+    begun = begun.groupBy("key").agg(F.min("text").alias("a"), F.max("text").alias("b")).collect()  # copies may differ
+    known = {r.key: {" ".join(t.split()) for t in (r.a, r.b)} for r in begun}
+    out = []
+    for nodes, texts, own in read:
+        found = [aligned_labels(nodes, texts, d) for k in sorted(own & set(known)) for d in sorted(known[k])]
+        found = [x for x in found if x]
+        if found:
+            out.append((nodes, max(found, key=sum)))
+    return out
+
+
 class Model:
     """Log potentials from labelled pages: node clues given the label, and child given parent and parent's group."""
 
     SMOOTHING = 0.5
     PAIR_SMOOTHING = ((0.2, 0.2), (5.0, 0.2))  # by parent, then child: articles often hold adverts, forms and comments
 
-    def __init__(self, pages=LABELLED_PAGES):
+    def __init__(self, pages=LABELLED_PAGES, aligned=()):
+        """From ``pages`` with marks, and ``aligned`` ones: (nodes, their labels).
+
+        Pages of a corpus are of few templates: all of them together weigh as much as one page with marks, which is one too.
+        """
         pairs = [[list(row) for row in self.PAIR_SMOOTHING] for _ in range(2)]
         counts, totals = [Counter(), Counter()], [0, 0]
-        for page in pages:
-            nodes, _ = parse(page)
-            labels = []
-            for node, shown in zip(nodes, clues(nodes)):
-                y = int(node.mark) if node.mark is not None else labels[node.parent] if labels else 0
-                labels.append(y)
-                counts[y].update(shown)
-                totals[y] += 1
+        own = [(nodes, marked(nodes), 1.0) for nodes, _ in map(parse, pages)]
+        share = sum(len(n) for n, *_ in own) / len(own) / max(1, sum(len(n) for n, _ in aligned)) if own else 1.0
+        for nodes, labels, weight in [*own, *((n, y, min(1.0, share)) for n, y in aligned)]:
+            for node, shown, y in zip(nodes, clues(nodes), labels):
+                for c in shown:
+                    counts[y][c] += weight
+                totals[y] += weight
                 if node.parent >= 0:
-                    pairs[_group(nodes[node.parent])][labels[node.parent]][y] += 1
+                    pairs[_group(nodes[node.parent])][labels[node.parent]][y] += weight
         self.pair = [[[math.log(x / sum(row)) for x in row] for row in group] for group in pairs]
         s = self.SMOOTHING
         for clue, (y, n) in MEANING.items():
@@ -273,12 +367,11 @@ def main_text(html: str, model: Model) -> str:
     return " ".join("".join(text if text == " " or content[node] else " " for node, text in pieces).split())
 
 
-def extract(pages: DataFrame, labelled=LABELLED_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every page."""
+def extract(pages: DataFrame, documents: DataFrame | None = None, labelled=LABELLED_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, url, text, n_chars) of every page; with ``documents`` the model is also fitted to pages that they label."""
+    model = Model(labelled, training_pages(pages, documents, html_col=html_col, id_col=id_col) if documents is not None else ())
 
     def make():
-        model = Model(labelled)
-
         def one(key, url, html):
             text = main_text(html or "", model)
             return key, url, text, len(text)

@@ -37,7 +37,7 @@ def op3_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    return html_extract.extract(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
 def op5_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
