@@ -44,7 +44,7 @@ def _parser() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     add = commands.add_parser("ingest", help="add what is new of a repository")
     add.add_argument("path")
-    add.add_argument("repo_id")
+    add.add_argument("repo_id", nargs="?", help="owner/name; without it the remote's")
     add.add_argument("--window", default="full")
     add.add_argument("--pulls", help="JSON export")
     add.add_argument("--issues", help="JSON export")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +19,7 @@ from annalist.functions import code, text as T
 from annalist.operators import analytics, chunking, graph, links, merge, search, vectors, verify
 from annalist.operators.index import Index
 from annalist.schemas import empty
-from annalist.sources import git_objects, git_scans, history
+from annalist.sources import forge, git_objects, git_scans, history
 from annalist.storage import Store, Transaction, Version, written
 
 ANSWER_ROWS = 15  # chunks that an offline answer shows
@@ -83,12 +84,13 @@ class History:
 
     # --- ingestion --------------------------------------------------------------------------------------------------------
 
-    def ingest(self, path: str, repo_id: str, window: str = "full", as_of: datetime.date | None = None, pulls: DataFrame | None = None, issues: DataFrame | None = None) -> None:
+    def ingest(self, path: str, repo_id: str | None = None, window: str = "full", as_of: datetime.date | None = None, pulls: DataFrame | None = None, issues: DataFrame | None = None) -> None:
         """Add what is new of the repository at ``path``, with the pulls and issues that are given, and renew all that follows.
 
-        The history is that of HEAD when the ingestion begins. Link arrays of pulls and issues grow by what their texts name.
+        Without ``repo_id`` the remote names it, else the folder. The history is that of HEAD when the ingestion begins. Link arrays of pulls and issues grow by what their texts name.
         """
         since = window_since(window, as_of) if as_of else None
+        repo_id, url = repo_id or git_objects.repo_id_of(path), git_objects.remote_url(path)
         head = git_objects.resolve(path)
         with self.stored.transaction() as t:
             commits = self._commits(t, path, repo_id, since, head)
@@ -101,10 +103,26 @@ class History:
             t.replace(conform(links.materialise_edges(commits, pulls, issues), "causal_edges"), "causal_edges")
             self._chunked(t, files, commits, pulls, issues, repo_id)
             now = F.current_timestamp()
-            meta = self.spark.range(1).select(F.lit(repo_id).alias("repo_id"), F.lit(repo_id.rsplit("/", 1)[-1]).alias("repo_name"), now.alias("last_ingested_at"), now.alias("created_at"), now.alias("updated_at"))
+            meta = self.spark.range(1).select(F.lit(repo_id).alias("repo_id"), F.lit(repo_id.rsplit("/", 1)[-1]).alias("repo_name"), F.lit(url).cast("string").alias("repo_url"), now.alias("last_ingested_at"), now.alias("created_at"), now.alias("updated_at"))
             t.replace(conform(merge.upsert_meta(t.table("repo_meta"), conform(meta, "repo_meta")), "repo_meta"), "repo_meta")
         self.stored.vacuum()
 
+    def ingest_host(self, fetch: Callable, repo_id: str, **options) -> dict:
+        """Add what a code host has of pulls and issues (``forge.run``), from where the last run ended; the states of both.
+
+        A run that a limit of calls ends is stored with its state, and the next one goes on from there.
+        """
+        states = {}
+        with self.stored.transaction() as t:
+            rows = {}
+            for kind in ("pulls", "issues"):
+                key = f"host:{repo_id}:{kind}"
+                found, states[kind] = forge.run(self.spark, fetch, kind, repo_id, t.facts(key), **options)
+                rows[kind] = t.written(found, kind)
+                t.keep(key, states[kind])
+            self._discussions(t, repo_id, rows["pulls"], rows["issues"])
+        return states
+
     def _commits(self, t: Transaction, path: str, repo_id: str, since: str | None, head: str) -> DataFrame:
         found = history.parse_commits(history.read_git_log(self.spark, path, since, revision=head), repo_id)
         stored = t.table("commit")
@@ -194,6 +212,10 @@ class History:
         spans = self.spark.createDataFrame([(file_path, first_line, last_line)], "path string, first_line int, last_line int")
         return git_scans.explain_lines(spans, path, self.table("commit"), repo_id)
 
+    def why(self, target: str, path: str = ".", repo_id: str = "") -> DataFrame:
+        """The commits behind a line or lines of a file ("file:line", "file:first-last"), as ``blame_explain`` gives them."""
+        return self.blame_explain(path, *span_of(target), repo_id)
+
     def search_history(self, query: str, limit: int = 10, as_of_year: int | None = None, **filters) -> DataFrame:
         at = self.at(self.pinned and self.pinned.number)
         dense = {"vectors": at.table("vector"), "query_vector": list(self.embed([query])[0])} if self.embed else {"vectors": None}
@@ -277,6 +299,14 @@ class History:
         return verdict, sorted(r.message for r in errors.collect())
 
 
+def span_of(target: str) -> tuple[str, int, int]:
+    """(file, first line, last line) of "file:line" or "file:first-last"."""
+    found = re.fullmatch(r"(.+):(\d+)(?:-(\d+))?", target)
+    if not found or not 1 <= int(found[2]) <= int(found[3] or found[2]):
+        raise ValueError("a target is file:line or file:first-last")
+    return found[1], int(found[2]), int(found[3] or found[2])
+
+
 def table_of(rows: list) -> str:
     """The evidence as a table in Markdown."""
 
@@ -291,6 +321,7 @@ def table_of(rows: list) -> str:
 #: The tools by name, with the parameters that a caller may give.
 TOOLS = {
     "search_history": ("query", "limit", "repo_id", "source_types", "date_from", "date_to", "file_path"),
+    "why": ("target", "path", "repo_id"),
     "blame_explain": ("path", "file_path", "first_line", "last_line", "repo_id"),
     "find_related_discussion": ("ref", "repo_id"),
     "repo_hotspots": ("top_n", "repo_id"),

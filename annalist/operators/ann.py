@@ -68,9 +68,18 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
+def proper(vectors: DataFrame, dimension: int) -> DataFrame:
+    """The rows with ``dimension`` components, all finite and some of them no zero."""
+    finite = F.forall("embedding", lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False)))
+    return vectors.where((F.size("embedding") == dimension) & finite & F.exists("embedding", lambda v: v != 0))
+
+
 def learn(vectors: DataFrame, lists: int, parts: int, id_col: str = "id") -> Model:
-    """The model of ``vectors`` (id, embedding) of one dimension, which ``parts`` divides; deterministic for the same rows."""
-    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
+    """The model of ``vectors`` (id, embedding) of the dimension that most have, which ``parts`` divides; deterministic for the same rows."""
+    sizes = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if sizes is None:
+        raise ValueError("there are no vectors to learn from")
+    rows = proper(vectors, sizes.n).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
     if not len(rows):
         raise ValueError("there are no vectors to learn from")
     x = _unit(rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1))
@@ -97,9 +106,7 @@ def encode(vectors: DataFrame, model: Model, id_col: str = "id") -> DataFrame:
             codes = np.stack([_apart(r, w).argmin(axis=1) for r, w in zip(rest, model.words)], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "list", "code"])
 
-    finite = F.forall("embedding", lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False)))
-    rows = vectors.where((F.size("embedding") == dimension) & finite & F.exists("embedding", lambda v: v != 0))
-    return rows.select(F.col(id_col).alias("id"), "embedding").mapInArrow(run, f"id {kind}, list int, code binary")
+    return proper(vectors, dimension).select(F.col(id_col).alias("id"), "embedding").mapInArrow(run, f"id {kind}, list int, code binary")
 
 
 def build(vectors: DataFrame, at: str, lists: int = 64, parts: int = 16, id_col: str = "id") -> tuple[Model, DataFrame]:
@@ -166,8 +173,7 @@ def search(model: Model, codes: DataFrame, vectors: DataFrame, queries: DataFram
     narrowed = codes if allowed is None else codes.join(allowed.select("id"), "id", "left_semi")
     known = vectors.select("id", F.col("embedding").alias("_e"))
     key = queries.schema["query_id"].dataType.simpleString()
-    proper = queries.where((F.size("embedding") == dimension) & F.exists("embedding", lambda v: v != 0)).select("query_id", "embedding")
-    for part in _slices(proper.toLocalIterator()):
+    for part in _slices(proper(queries, dimension).select("query_id", "embedding").toLocalIterator()):
         asked = [(i, list(r.embedding)) for i, r in enumerate(part)]
         names = F.broadcast(spark.createDataFrame([(i, r.query_id, list(r.embedding)) for i, r in enumerate(part)], f"q int, query_id {key}, _q array<double>"))
         hits = _probed(model, narrowed, asked, KEPT * k, min(probes, len(model.centres)))

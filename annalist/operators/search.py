@@ -168,6 +168,8 @@ def exact_channel(chunks: DataFrame, shas: list[str], numbers: list[int], limit:
     what it relates to.
     """
     low, cond = F.lower("text"), F.lit(False)
+    if "related_ids" not in chunks.columns:
+        chunks = chunks.withColumn("related_ids", F.array().cast("array<string>"))
     for s in shas:
         cond = cond | F.coalesce(F.contains(low, F.lit(s.lower())), F.lit(False)) | F.coalesce(F.contains(F.lower("source_id"), F.lit(s.lower())), F.lit(False))
     for n in numbers:

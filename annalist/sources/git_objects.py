@@ -9,6 +9,7 @@ early fails the task, and Spark tries the task again.
 from __future__ import annotations
 
 import contextlib
+import os
 import re
 import subprocess
 import uuid
@@ -33,6 +34,20 @@ def resolve(repo: str, revision: str = "HEAD") -> str:
     return done.stdout.strip()
 
 
+def remote_url(repo: str) -> str | None:
+    """The https address of the code host that the remote "origin" names by https, http or ssh; None for other remotes."""
+    done = subprocess.run(command(repo, "remote", "get-url", "origin"), capture_output=True, text=True, check=False)
+    url = done.stdout.strip() if done.returncode == 0 else ""
+    found = re.fullmatch(r"(?:https?://|(?:ssh://)?git@)github\.com[:/]([^/\s]+)/([^\s]+?)(?:\.git)?/*", url)
+    return f"https://github.com/{found[1]}/{found[2]}" if found else None
+
+
+def repo_id_of(repo: str) -> str:
+    """owner/name of the remote, else the name of the repository's folder."""
+    url = remote_url(repo)
+    return "/".join(url.split("/")[-2:]) if url else os.path.basename(os.path.abspath(repo))
+
+
 class Objects:
     """The objects of a repository by request; close it, or use it in a with statement."""
 

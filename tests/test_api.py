@@ -124,6 +124,9 @@ def test_tools(store, repo):
     assert {(r["kind"], r["key"]) for r in api.call(store, "find_related_discussion", {"ref": "101"})} >= {("pr", "101"), ("issue", "7")}
     assert api.call(store, "graph_topology", {})["total_edges"] == store.table("causal_edges").count()
     assert [r["message"].split("\n")[0] for r in api.call(store, "blame_explain", {"path": str(repo), "file_path": "limiter.py", "first_line": 1, "last_line": 2})] == ["Add rate limiter (#101)"]
+    assert [r["author_name"] for r in api.call(store, "why", {"target": "limiter.py:1-2", "path": str(repo)})] == ["Bob"]
+    with pytest.raises(ValueError):
+        api.call(store, "why", {"target": "limiter.py"})
     found = api.call(store, "search_history", {"query": "rate limiter", "limit": 3})
     assert any("limiter" in r["text"] for r in found)
     with pytest.raises(ValueError):
@@ -226,6 +229,22 @@ def test_a_limited_run_goes_on_from_its_cursor(spark, monkeypatch):
     assert [(r.number, r.title) for r in rows.collect()] == [(13, "late")] and state["complete"]
 
 
+def test_a_host_is_ingested_in_runs(spark, tmp_path):
+    def fetch(path, page):
+        if path == "pulls" and page == 1:
+            return [{"number": 3, "title": "p", "body": "Fixes #4", "updated_at": "2024-01-03", "user": {"login": "ann"}}]
+        if path == "issues":
+            raise forge.RateLimited
+        return []
+
+    h = api.History(spark, str(tmp_path))
+    assert {k: s["complete"] for k, s in h.ingest_host(fetch, "org/app").items()} == {"pulls": True, "issues": False}
+    assert h.table("issue").count() == 0 and not h.version().facts("host:org/app:issues")["complete"]
+    issues = lambda path, page: [{"number": 4, "title": "i", "body": None}] if path == "issues" and page == 1 else []
+    assert h.ingest_host(issues, "org/app")["issues"]["complete"]
+    assert h.table("pull_request").first().linked_issue_numbers == [4] and h.table("issue").first().linked_pr_numbers == [3]
+
+
 def test_unstored_tables_are_empty(spark, tmp_path):
     empty = Store(spark, str(tmp_path)).version()
     assert empty.number == 0 and empty.table("commit").count() == 0 and stored_meta(empty) is None

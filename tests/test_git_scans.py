@@ -154,3 +154,15 @@ def test_tracked_files(spark, tmp_path):
     (tmp_path / "gone.py").unlink()
     got = history.read_tracked(spark, str(tmp_path), parts=2).collect()
     assert sorted((r.file_path, r.text) for r in got) == [("a.py", "a.py"), ("sub/é.md", "sub/é.md")]
+
+
+@pytest.mark.parametrize("url, want", [
+    ("git@github.com:org/app.git", "org/app"), ("ssh://git@github.com/org/app", "org/app"), ("https://github.com/org/app.git/", "org/app"), ("http://github.com/org/app/", "org/app"), ("https://example.org/org/app", None),
+])
+def test_the_remote_names_a_repository(tmp_path, url, want):
+    root = tmp_path / "folder"
+    root.mkdir()
+    run_git(root, "init", "-q")
+    assert git_objects.remote_url(str(root)) is None and git_objects.repo_id_of(str(root)) == "folder"
+    run_git(root, "remote", "add", "origin", url)
+    assert git_objects.remote_url(str(root)) == (want and f"https://github.com/{want}") and git_objects.repo_id_of(str(root)) == (want or "folder")
