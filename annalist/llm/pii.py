@@ -79,6 +79,7 @@ _NAME = r"[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})"
 _TITLED = re.compile(r"(?:M(?:rs?|s)\.?|Dr\.?|[Nn]ame(?::|\sis)|Sincerely,|Regards,)\s(" + _NAME + r"{0,2})(?!\w)")
 _NAMED = re.compile(r"((?:" + "|".join(sorted(GIVEN_NAMES)) + r")(?:\x20[A-Z][a-z]{1,30}){1,2})(?!\w)")
 _WORD = re.compile(r"[a-z]+")
+_GROUPED = re.compile(r"[0-9]{3}[\x20-][0-9]{3}[\x20-][0-9]{4}")
 WINDOW = 40  # code points of context on either side that cue labelers read
 
 
@@ -205,8 +206,8 @@ def _shape(kind, span, before, after):
         return int(2 <= len(span.rpartition(".")[2]) <= 24 and span.rpartition(".")[2].isalpha())
     if kind in ("ip", "ip_failed"):
         return int(not any(len(p) > 3 or int(p) > 255 for p in span.split(".")) and not any(len(p) > 1 and p[0] == "0" for p in span.split(".")))
-    if kind == "number":  # nothing but a length
-        return 0
+    if kind == "number":  # the groups of a local phone number
+        return int(bool(_GROUPED.fullmatch(span)))
     if FAMILY[kind] == "phone":
         return int(10 <= len(d) <= 13)
     if kind == "national_id":
@@ -231,7 +232,7 @@ def _gazetteer(kind, span, before, after):
         return int(span[0] in ISSUER_DIGITS)
     if span[0] == "+":
         return int(span[1:].lstrip("( ").startswith(CALLING_CODES))
-    if kind == "number":
+    if kind == "number" and not _GROUPED.fullmatch(span):
         return 0
     if kind == "person":  # a name that is not listed says nothing
         return 1 if span.split(" ")[0] in GIVEN_NAMES else -1
