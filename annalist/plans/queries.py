@@ -495,9 +495,8 @@ def f4_f5_diff_and_symbols(spark, d):
     diffs = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.expr(f"array_join(collect_list(concat({change})), '')").alias("diff"))
     source = "concat('class C', o_custkey, ':\\n    def m', o_orderkey, '(self):\\n        return 1\\n\\ndef f():\\n    return 2\\n')"
     files = fx.table(spark, d, "orders").selectExpr("o_orderkey AS key", f"{source} AS code", "concat('src/', o_orderkey, '.py') AS path")
-    diffs.createOrReplaceTempView("_annalist_diffs")
-    files.createOrReplaceTempView("_annalist_files")
-    return spark.sql("SELECT key, path AS name, side AS kind, line_no AS line FROM _annalist_diffs, LATERAL diff_lines(diff) UNION ALL SELECT key, symbol_id, kind, start_line FROM (SELECT key, t.* FROM _annalist_files f, LATERAL code_symbols(f.code, f.path) t)")
+    sql = "SELECT key, path AS name, side AS kind, line_no AS line FROM {diffs}, LATERAL diff_lines(diff) UNION ALL SELECT key, symbol_id, kind, start_line FROM (SELECT key, t.* FROM {files} f, LATERAL code_symbols(f.code, f.path) t)"
+    return spark.sql(sql, diffs=diffs, files=files)
 
 
 @query()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import ann, centrality, graph, ranks, search
+from annalist.operators import ann, centrality, graph, links, ranks, search
 
 
 def test_ranks_and_sums_over_ranges(spark):
@@ -130,3 +130,25 @@ def test_recall_of_the_vector_index(spark, vectors, tmp_path, monkeypatch):
     best = {r.id: r.score for r in ann.search(*again, vectors, asked.where("query_id = 0"), probes=32).collect()}
     same = {r.id: r.score for r in search.vector_search(vectors.where("id < 9000"), dict(queries)[0]).collect()}
     assert len(set(best) & set(same)) >= 9 and all(abs(best[i] - same[i]) < 1e-9 for i in set(best) & set(same))
+
+
+# --- switches of size at lowered values -----------------------------------------------------------------------------------
+
+
+def test_words_that_are_not_pushed(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i), f"alpha beta{i % 3} gamma{i % 7}") for i in range(40)], "id string, text string")
+    asked = spark.createDataFrame([(0, "alpha beta1"), (1, "gamma2 gamma3 beta0")], "query_id int, query string")
+    fitted = search.bm25_fit(docs)
+    found = lambda: {(r.query_id, r.id, round(r.score, 9)) for r in search.bm25_search(fitted, asked).collect()}
+    want = found()
+    monkeypatch.setattr(search, "PUSHED_WORDS", 1)
+    assert want and found() == want
+
+
+def test_words_that_are_not_broadcast(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "does Login call handle_token or logins"), (2, "nothing"), (3, None)], "text_id int, text string")
+    symbols = spark.createDataFrame([(f"src/{n}.py::{n}", n, f"src/{n}.py", "function", "r") for n in ("login", "handle_token", "tea", "loginsPage")], "symbol_id string, symbol_name string, file_path string, kind string, repo_id string")
+    found = lambda: sorted((r.text_id, r.symbol_id) for r in links.candidate_symbols(texts, symbols).collect())
+    want = found()
+    monkeypatch.setattr(links, "WORDS_MOST", 1)
+    assert len(want) >= 3 and found() == want
