@@ -14,7 +14,7 @@ Term frequencies, the number of segments and their mean length are counted once
 thresholds do not depend on how items are dealt. The index of up to SLICE items or SLICE_BYTES of their text (or of one longer
 item) is a slice; slices are broadcast together up to GROUP_BYTES and queried in one pass over the texts, and more slices
 make more passes. An index is linear in its items' words: postings and block maxima are kept for the blocks alone that
-hold a term. Every
+hold a term, and as a table while that is small. Every
 text is read whole; block maxima are summed for STRETCH halves of a passage at a time, so that memory does not grow with
 the length of a text beyond its words.
 
@@ -49,6 +49,8 @@ SHORT = 15  # words of a question or answer under which it is compared by pairs
 NEAR_PAIRS, NEAR_WORDS = 0.75, 0.85
 SLICE = 1000
 SLICE_BYTES = 1 << 20  # of the texts of a slice
+TABLE_BYTES = 16 << 20  # up to which all terms have a row of all block maxima
+COMMON = 16  # beyond it, a term in one block of so many has one
 GROUP_BYTES = 128 << 20  # of the indexes that are broadcast together
 STRETCH = 4096
 
@@ -126,26 +128,54 @@ class Index:
         self.block_of = np.concatenate(of) if of else np.zeros(0, np.int64)
         self.block_top = np.concatenate(tops) if tops else np.zeros(0)
         self.term_max = np.array([x.max() for x in tops])
+        wide = np.diff(self.block_starts)
+        self.dense = len(wide) * blocks * 4 <= TABLE_BYTES
+        common = np.arange(len(wide)) if self.dense else np.flatnonzero(wide * COMMON >= blocks)  # a table that is linear in the postings too
+        self.row_of, self.rows = np.full(len(wide), -1, np.int64), np.zeros((0, blocks), np.float32)
+        table = np.zeros((len(common), blocks), np.float32)
+        table.ravel()[self._places(np.arange(len(common)), common)] = self.block_top[self._entries(common)]
+        self.row_of[common], self.rows = np.arange(len(common)), table
         self.block_need = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)])
         self.least = float(self.need.min()) if self.size else math.inf
 
     def size_in_bytes(self) -> int:
-        return sum(200 + 32 * len(p[0]) for p in self.postings) + sum(60 * len(w) for _, w in self.items)
+        return self.rows.nbytes + sum(200 + 32 * len(p[0]) for p in self.postings) + sum(60 * len(w) for _, w in self.items)
 
-    def tops_of(self, terms) -> np.ndarray:
+    def tops_of(self, terms: np.ndarray) -> np.ndarray:
         """Block maxima of a few terms, a row for each."""
-        out = np.zeros((len(terms), self.blocks))
-        for i, t in enumerate(terms):
-            at = slice(self.block_starts[t], self.block_starts[t + 1])
-            out[i, self.block_of[at]] = self.block_top[at]
+        if self.dense:
+            return self.rows[terms]
+        out = np.zeros((len(terms), self.blocks), np.float32)
+        common = self.row_of[terms]
+        out[common >= 0] = self.rows[common[common >= 0]]
+        at = np.flatnonzero(common < 0)
+        out.ravel()[self._places(at, terms[at])] = self.block_top[self._entries(terms[at])]
         return out
 
-    def sums_of(self, row: np.ndarray, terms: np.ndarray, rows: int) -> np.ndarray:
-        """The block maxima of ``terms``, each added to its ``row`` of a table of ``rows``."""
+    def _entries(self, terms: np.ndarray) -> np.ndarray:
+        """The places of the block maxima of ``terms``, those of each one after another."""
         wide = self.block_starts[terms + 1] - self.block_starts[terms]
-        at = np.repeat(self.block_starts[terms] - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
-        place = np.repeat(row, wide) * self.blocks + self.block_of[at]
-        return np.bincount(place, self.block_top[at], rows * self.blocks).reshape(rows, self.blocks)
+        ends = np.cumsum(wide)
+        return np.arange(wide.sum()) + np.repeat(self.block_starts[terms] - ends + wide, wide)
+
+    def _places(self, row: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Where they stand in a table of all blocks, each in its ``row``."""
+        return np.repeat(row, self.block_starts[terms + 1] - self.block_starts[terms]) * self.blocks + self.block_of[self._entries(terms)]
+
+    def sums_of(self, row: np.ndarray, terms: np.ndarray, rows: int) -> np.ndarray:
+        """The block maxima of ``terms``, each added to its ``row`` of a table of ``rows``; rows are ascending."""
+        if rows == 1 and self.dense:
+            return self.rows[terms].sum(0, keepdims=True)
+        out = np.zeros((rows, self.blocks), np.float32)
+        common = self.row_of[terms]
+        at = np.flatnonzero(common >= 0)
+        if len(at):
+            first = np.flatnonzero(np.diff(row[at], prepend=-1))
+            out[row[at[first]]] = np.add.reduceat(self.rows[common[at]], first, axis=0)
+        at = np.flatnonzero(common < 0)
+        if len(at):
+            out += np.bincount(self._places(row[at], terms[at]), self.block_top[self._entries(terms[at])], rows * self.blocks).reshape(rows, self.blocks)
+        return out
 
     def search(self, terms: list[int], live: list[int] | None = None) -> list[tuple[int, float]]:
         """All segments that reach their thresholds for a passage's distinct terms: block-max WAND.
@@ -155,7 +185,7 @@ class Index:
         live = list(range(self.blocks)) if live is None else live
         if not live:
             return []
-        lists = [(*(x.tolist() for x in self.postings[t]), float(self.term_max[t]), tops) for t, tops in zip(terms, self.tops_of(terms))]
+        lists = [(*(x.tolist() for x in self.postings[t]), float(self.term_max[t]), tops) for t, tops in zip(terms, self.tops_of(np.array(terms, np.int64)))]
         at = [bisect_left(x[0], live[0] * BLOCK) for x in lists]
         order = list(range(len(lists)))
         found, last, alive = [], self.size, 0
@@ -238,7 +268,10 @@ class Matcher:
             bound = sums[:-1] + sums[1:]  # of the passage of two halves; the last passage has one
             for p in (np.flatnonzero((bound >= index.block_need - 1e-3).any(1)) + lo).tolist():
                 terms = np.unique(term[starts[p] : starts[min(p + 2, halves)]])
-                live = np.flatnonzero(index.tops_of(terms).sum(0) >= index.block_need - 1e-3)  # terms of both halves count once
+                both = index.sums_of(np.zeros(len(terms), np.int64), terms, 1)[0]  # terms of both halves count once
+                live = np.flatnonzero(both >= index.block_need - 1e-3)
+                if not len(live):
+                    continue
                 for segment, score in index.search(terms.tolist(), live.tolist()):
                     n = int(index.of[segment])
                     most, places = best.get(n, (0.0, []))

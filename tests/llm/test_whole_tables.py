@@ -252,6 +252,17 @@ def test_recall_of_edited_items(benchmark, share, least):
     assert found / len(items) >= least, found / len(items)
 
 
+@pytest.mark.parametrize("table, common", [(0, 16), (0, 1), (0, 10**9)])
+def test_block_maxima_as_they_are_kept(benchmark, monkeypatch, table, common):
+    """Matches do not depend on which terms have a row of all block maxima."""
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    texts = [t for _, t in items if t] + [" ".join(t or "" for _, t in items)]
+    want = [decontaminate.Matcher(decontaminate.build(items)).matches(t) for t in texts]
+    monkeypatch.setattr(decontaminate, "TABLE_BYTES", table)
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    assert [decontaminate.Matcher(decontaminate.build(items)).matches(t) for t in texts] == want and any(want)
+
+
 def test_slices_are_bounded_by_bytes(spark, benchmark):
     """A long item is a slice of its own, small ones share one; results do not depend on it."""
     long = spark.createDataFrame([(-50, " ".join(f"w{i}" for i in range(20_000)))], "item_id long, text string")
