@@ -9,7 +9,8 @@ from annalist.llm.common import salted_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every end of ``edges`` (a, b): the root is the smallest id of the component.
+    """(v, root) for every end of ``edges`` (a, b): the root is the smallest id of the component. Edges from a vertex to itself, and
+    those with a null end, count as none; without edges there is no row.
 
     Rounds of hooking each vertex to its smallest neighbour, pointer jumping and contraction of the edges between
     roots: the number of vertices at least halves in each round. All tables stay distributed and are written in

@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: five stages, each written and reread before the next."""
+"""A training-data pipeline over ``documents``: five stages, each written and reread before the next.
+
+Defined results: an empty table gives an empty result of the last stage's columns; a null text counts as empty, and is
+rejected by the first stage as too short; rows with a null id and rows that share one are kept or dropped each on its own
+account, but of copies with one id near-dedup keeps all rows of the smallest id; further columns, whatever their names,
+go through all stages but the last, which returns its own.
+"""
 
 from __future__ import annotations
 
