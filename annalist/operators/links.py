@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from annalist.functions.text import extract_refs, first_line, node_key, pulls_in_message, revert_target, reverted_subject, tenant_match
+from annalist.storage import written
 
 
 def new_rows(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,7 +74,9 @@ def link_pulls_and_issues(pulls: DataFrame, issues: DataFrame) -> tuple[DataFram
 
 def resolve_reverts(commits: DataFrame) -> DataFrame:
     """(repo_id, sha, reverts_sha, how): by the named sha (prefix join), else by subject: the latest such commit before (as-of join)."""
-    reverts = commits.select("repo_id", "sha", "authored_date", revert_target(F.col("message")).alias("target"), reverted_subject(F.col("message")).alias("subject")).where("target is not null or subject is not null")
+    maybe = commits.where(F.contains(F.lower("message"), F.lit("revert")))  # every form has the word; three joins read the rest
+    reverts = maybe.select("repo_id", "sha", "authored_date", revert_target(F.col("message")).alias("target"), reverted_subject(F.col("message")).alias("subject")).where("target is not null or subject is not null")
+    reverts = written(reverts, "reverts")
     named = commits.select("repo_id", F.col("sha").alias("of"), F.left("sha", F.lit(7)).alias("sha7"))
     by_sha = (
         reverts.where("target is not null").withColumn("sha7", F.left("target", F.lit(7))).join(named, ["repo_id", "sha7"])

@@ -80,3 +80,25 @@ def s10_pages_of_pulls(spark, d):
     pages = fx.orders(spark, d).select(F.floor(k / forge.PAGE).cast("int").alias("page"), entry.alias("e")).groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list("e"), ","), F.lit("]")).alias("body"))
     found = forge.rows_of(forge.entries_of(pages), "pulls", "r")
     return found.select("number", "author", F.array_join(F.transform("linked_issue_numbers", lambda n: n.cast("string")), ",").alias("linked"))
+
+
+@query(""", x AS (SELECT repo_id, sha, unnest([1, 2, 3]) AS o, unnest([k + 1, k + 3, k]) AS number FROM c) SELECT repo_id, sha, arg_min(number, o) AS pr_number FROM x JOIN p USING (repo_id, number) GROUP BY 1, 2""")
+def j5_first_pull_of_several_numbers(spark, d):
+    """Messages that name three numbers, of which none, one or two are pulls of the repository."""
+    k = F.col("o_orderkey")
+    text = lambda x: x.cast("string")
+    message = F.concat(F.lit("Fixes #"), text(k + 1), F.lit(", after PR "), text(k + 3), F.lit(" (#"), text(k), F.lit(") and #1"))
+    commits = fx.orders(spark, d).select(F.col("r_name").alias("repo_id"), F.md5(text(k)).alias("sha"), message.alias("message"))
+    return links.pull_of_message(commits, fx.pulls(spark, d)).select("repo_id", "sha", F.col("pr_number").cast("bigint").alias("pr_number"))
+
+
+@query(""", b AS (SELECT repo_id, sha, k, unnest(['* first change', '- second, PR ' || (k + 1), '• third (#' || k || ')']) AS b FROM c)
+ SELECT sha AS source_id, 'Commit ' || left(sha, 7) || ': ' || b AS text, 'pr#' || (k + 1) || ',pr#' || k AS related FROM b""")
+def c3_bullets_of_commits(spark, d):
+    """Squashed commits: a chunk for each bullet, related to what the message names."""
+    k = F.regexp_extract("message", r"Order (-?\d+)", 1).cast("bigint") + F.when(F.col("is_revert"), 7).otherwise(0)
+    text = lambda x: x.cast("string")
+    said = F.concat(F.lit("Squash\n\n* first change\n- second, PR "), text(k + 1), F.lit("\n  • third (#"), text(k), F.lit(")\nend"))
+    chunks = chunking.chunk_commits(fx.commits(spark, d).withColumn("message", said))
+    parts = chunks.where(F.startswith("text", F.concat(F.lit("Commit "), F.left("source_id", F.lit(7)), F.lit(": "))))
+    return parts.select("source_id", "text", F.array_join("related_ids", ",").alias("related"))

@@ -106,4 +106,4 @@ def test_a_query_reads_only_its_terms(spark, tmp_path):
     index = Index(spark, str(tmp_path)).changed(docs, spark.createDataFrame([], "id string"))
     asked = spark.createDataFrame([(0, "word7")], "query_id int, query string")
     plan = search.bm25_search(index.fitted(), asked)._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(term, [7,word,word7])" in plan.replace("word,7", "7,word") or "In(term" in plan
+    assert plan.count("In(term, [") >= 2  # of the scans of postings and of counts
