@@ -53,7 +53,7 @@ def chunk_commits(commits: DataFrame, pulls_of_commits: DataFrame | None = None)
     body = F.expr(f"substring(_diff, 1, 4 * greatest({COMMIT_LIMIT} - cast(ceil(length(_m) / 4) as int), 50))")
     text = F.concat_ws("\n", "_head", "_m", F.nullif(F.when(F.col("_long"), body).otherwise(F.col("_diff")), F.lit("")))
     text = F.when(token_count(text) > COMMIT_HARD, truncate_tokens(text, COMMIT_LIMIT)).otherwise(text)
-    bullets = F.filter(F.transform(F.split("_m", "\n"), F.trim), lambda x: x.rlike(BULLET) & (F.length(x) > 5))
+    bullets = F.filter(F.transform(F.split("_m", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(BULLET) & (F.length(x) > 5))
     paragraphs = F.filter(F.slice(F.split("_m", "\n\n"), 2, 1000000), lambda x: F.length(F.trim(x)) > 20)
     parts = F.when(F.size(bullets) > 0, bullets).when(token_count(F.col("_message")) > 250, paragraphs).otherwise(F.array().cast("array<string>"))
     subs = F.transform(parts, lambda x: F.when(token_count(x) > 400, truncate_tokens(x, PART_TOKENS)).otherwise(x))

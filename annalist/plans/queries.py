@@ -433,7 +433,7 @@ def w6_missing_ends(spark, d):
 
 
 _CFL = """, cfl AS (SELECT sha, l_linenumber AS ln, l_suppkey AS a, l_partkey AS b, 'supp/' || l_suppkey || '::part' || (l_partkey % 50) AS s FROM c JOIN lineitem ON l_orderkey = k),
- sy AS (SELECT sha, string_agg(s, ', ' ORDER BY o) AS syms FROM (SELECT sha, s, o, row_number() OVER (PARTITION BY sha ORDER BY o) AS r FROM (SELECT sha, s, min(o) AS o FROM (SELECT sha, s, row_number() OVER (PARTITION BY sha ORDER BY ln, a, b) AS o FROM cfl) GROUP BY sha, s)) WHERE r <= 10 GROUP BY sha)"""
+ sy AS (SELECT sha, string_agg(s, ', ' ORDER BY o) AS syms, any_value(m) AS n_syms FROM (SELECT sha, s, o, count(*) OVER (PARTITION BY sha) AS m, row_number() OVER (PARTITION BY sha ORDER BY o) AS r FROM (SELECT sha, s, min(o) AS o FROM (SELECT sha, s, row_number() OVER (PARTITION BY sha ORDER BY ln, a, b) AS o FROM cfl) GROUP BY sha, s)) WHERE r <= 10 GROUP BY sha)"""
 
 
 # --- chunking and functions ----------------------------------------------------------------------------------------
@@ -464,7 +464,7 @@ def c7_file_chunks(spark, d):
 @query(f"""{_CFL}, fp AS (SELECT c.repo_id, c.sha, c.k, 'Files modified (' || count(f) || '): ' || coalesce(array_to_string((list(f ORDER BY ln, a, b) FILTER (f IS NOT NULL))[1:5], ', '), '') || CASE WHEN count(f) > 5 THEN ' (+' || (count(f) - 5) || ' more)' ELSE '' END
   || ' (+' || count(f) || '/-0 lines)' AS files FROM (SELECT c.repo_id, c.sha, c.k, 'supp/' || l_suppkey AS f, l_linenumber AS ln, l_suppkey AS a, l_partkey AS b FROM c LEFT JOIN lineitem ON l_orderkey = k) c GROUP BY 1, 2, 3),
  pc AS (SELECT c.repo_id, c.sha, max(p.number) AS n FROM c JOIN p ON p.repo_id = c.repo_id AND (starts_with(c.sha, p.ref) OR c.sha = p.merge_sha) GROUP BY 1, 2)
- SELECT fp.sha, files || coalesce(chr(10) || 'Symbols: ' || syms, '') || coalesce(chr(10) || 'PR #' || n || ': PR ' || n || ' Fixes #' || (n + 1) || ' and see #' || (n + 4) || '.', '') AS diff_summary FROM fp LEFT JOIN sy ON sy.sha = fp.sha LEFT JOIN pc ON pc.sha = fp.sha AND pc.repo_id = fp.repo_id""")
+ SELECT fp.sha, files || coalesce(chr(10) || 'Symbols: ' || syms || CASE WHEN n_syms > 10 THEN ' (+' || (n_syms - 10) || ' more)' ELSE '' END, '') || coalesce(chr(10) || 'PR #' || n || ': PR ' || n || ' Fixes #' || (n + 1) || ' and see #' || (n + 4) || '.', '') AS diff_summary FROM fp LEFT JOIN sy ON sy.sha = fp.sha LEFT JOIN pc ON pc.sha = fp.sha AND pc.repo_id = fp.repo_id""")
 def c8_footprint(spark, d):
     c = fx.commits(spark, d)
     return chunking.footprint(c, links.pull_of_commit(fx.pulls(spark, d), c), fx.pulls(spark, d)).select("sha", "diff_summary")

@@ -154,6 +154,8 @@ def test_bm25_common_term_has_floor(spark):
 def test_commit_chunks_by_bullet(spark):
     c = commits(spark, commit("1" * 40, message="Squash\n\n* first change\n* second change\n* third change"))
     assert chunking.chunk_commits(c).count() == 4
+    c = commits(spark, commit("1" * 40, message="Squash\n\n* one of 2\n- two of 3\n  • three (#5)\nend"))
+    assert [r.text for r in chunking.chunk_commits(c).collect()][1:] == ["Commit 1111111: * one of 2", "Commit 1111111: - two of 3", "Commit 1111111: • three (#5)"]
 
 
 def test_diff_and_symbols():
