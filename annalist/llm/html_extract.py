@@ -45,9 +45,10 @@ BOILER_WORDS = frozenset(
 )
 #: What HTML itself says of these elements counts as one labelled node.
 MEANING = {("tag", t): (0, 1) for t in ("nav", "footer", "aside", "form", "header", "dialog", "menu")} | {("tag", t): (1, 1) for t in ("article", "main")}
-SAMPLE = 400  # pages of the corpus that the model is fitted to: those with the smallest hashed ids
+SAMPLE = 400  # pages of the corpus that the model is fitted to: distinct ones with the smallest hashes
 SAMPLE_CHARS = 200_000  # that such a page, or the document that labels it, may have
 ALIGNED = 0.8  # of a document's text, that a page has to hold to be labelled by it
+_BUCKETS = 1 << 40
 KEY_WORDS = 8  # with which a document begins and some block of its page
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 
@@ -274,14 +275,16 @@ def aligned_labels(nodes: list[Node], texts: list[str], document: str) -> list[i
     return labels
 
 
-def training_pages(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE, html_col: str = "html", id_col: str = "page_id") -> list[tuple]:
-    """(nodes, labels) of up to ``sample`` pages of which some block begins like a document of ``documents`` (text).
+def training_pages(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE, html_col: str = "html") -> list[tuple]:
+    """(nodes, labels) of up to ``sample`` distinct pages of which some block begins like a document of ``documents`` (text).
 
     Pages and documents longer than SAMPLE_CHARS are not drawn. The driver holds the sample and the documents that
     label it.
     """
-    short = pages.where(F.length(html_col) <= SAMPLE_CHARS)
-    drawn = [r[0] for r in short.orderBy(F.xxhash64(F.col(id_col).cast("long")), html_col).limit(sample).select(html_col).collect()]
+    short = pages.where(F.length(html_col) <= SAMPLE_CHARS).select(html_col, F.pmod(F.xxhash64(html_col), F.lit(_BUCKETS)).alias("h"))
+    share = min(_BUCKETS, 2 * sample * _BUCKETS // max(1, pages.count()) + 1)  # about twice as many as are wanted reach the last step
+    drawn = short.where(F.col("h") < share).distinct().orderBy("h", html_col).limit(sample).collect()
+    drawn = [r[html_col] for r in drawn]
     read = []
     for html in drawn:
         nodes, pieces = parse(html)
@@ -369,7 +372,7 @@ def main_text(html: str, model: Model) -> str:
 
 def extract(pages: DataFrame, documents: DataFrame | None = None, labelled=LABELLED_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page; with ``documents`` the model is also fitted to pages that they label."""
-    model = Model(labelled, training_pages(pages, documents, html_col=html_col, id_col=id_col) if documents is not None else ())
+    model = Model(labelled, training_pages(pages, documents, html_col=html_col) if documents is not None else ())
 
     def make():
         def one(key, url, html):
