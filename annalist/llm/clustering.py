@@ -143,6 +143,23 @@ def _moved(state: DataFrame, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def _start(rows: DataFrame, k: int, seed: str, n: int) -> list[list[int]]:
+    """The vectors of the k rows with the smallest hashes, in their order.
+
+    Only rows under a bound of the hash, some hundreds however many ``n`` are, reach the last step, equal rows as one
+    with their number; where these are too few, all rows do.
+    """
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
+    bound = (4 * k + 200) * (1 << 40) // max(1, n)
+    hashed = rows.select(h.alias("h"), "vec_id", "x")
+    for some in ([hashed.where(F.col("h") < f"{bound:010x}")] if bound < 1 << 40 else []) + [hashed]:
+        found = some.groupBy("h", "vec_id", "x").agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_last("h"), "x").limit(k).collect()
+        start = [r.x for r in found for _ in range(min(r.n, k))][:k]
+        if len(start) == k:
+            break
+    return start
+
+
 def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dimension: int = 64, seed: str = "2") -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of ``vectors`` (vec_id, embedding) that are kept.
 
@@ -159,10 +176,10 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dimension: int = 6
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = quantised(vectors, dimension)
-    start = rows.orderBy(F.asc_nulls_last(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)), "x").limit(k).collect()
+    start = _start(rows, k, seed, vectors.count())
     if not start:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
-    c = np.array([r.x for r in start], np.int64)
+    c = np.array(start, np.int64)
     before, state = None, rows
     for at in range(rounds + 1):
         last = at == rounds
