@@ -9,12 +9,18 @@ from annalist.functions import code
 
 
 def cited_entities(text: Column) -> Column:
-    """Distinct cited entities: shas (without those that begin a longer one), pr#N and issue#N."""
+    """Distinct cited entities: shas (without those that begin a longer one), pr#N and issue#N. The number of a pull or an issue
+    is no sha, however long it is."""
     every = lambda p, g: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), F.lower))
-    shas = every(r"\b[0-9a-fA-F]{7,40}\b", 0)
-    whole = F.filter(shas, lambda s: ~F.exists(shas, lambda t: (t != s) & F.startswith(t, s)))
-    named = lambda kind, p: F.transform(every(p, 1), lambda n: F.concat(F.lit(kind), n))
-    return F.array_sort(F.array_distinct(F.concat(whole, named("pr#", r"(?i)PR\s*#?(\d+)"), named("issue#", r"(?i)Issue\s*#?(\d+)"))))
+    parts = F.struct(every(r"\b[0-9a-fA-F]{7,40}\b", 0).alias("shas"), every(r"(?i)PR\s*#?(\d+)", 1).alias("pulls"), every(r"(?i)Issue\s*#?(\d+)", 1).alias("issues"))
+
+    def entities(v: Column) -> Column:
+        shas = F.filter(v["shas"], lambda s: ~F.array_contains(v["pulls"], s) & ~F.array_contains(v["issues"], s))
+        whole = F.filter(shas, lambda s: ~F.exists(v["shas"], lambda t: (t != s) & F.startswith(t, s)))
+        named = lambda kind, numbers: F.transform(numbers, lambda n: F.concat(F.lit(kind), n))
+        return F.array_sort(F.array_distinct(F.concat(whole, named("pr#", v["pulls"]), named("issue#", v["issues"]))))
+
+    return F.transform(F.array(parts), entities)[0]  # the text is searched once
 
 
 def citation_metrics(generated: Column, expected: Column) -> Column:
@@ -24,7 +30,7 @@ def citation_metrics(generated: Column, expected: Column) -> Column:
     want = F.transform(expected, lambda e: F.lower(F.btrim(e)))
 
     def score(v: Column) -> Column:
-        got, low = v["got"], v["low"]
+        got, low, want = v["got"], v["low"], v["want"]
         near = lambda a, b: F.contains(a, b) | F.contains(b, a)
         found = F.size(F.filter(want, lambda e: F.exists(got, lambda g: near(g, e)) | F.contains(low, e))).cast("double")
         right = F.size(F.filter(got, lambda g: F.exists(want, lambda e: near(g, e)))).cast("double")
@@ -34,7 +40,7 @@ def citation_metrics(generated: Column, expected: Column) -> Column:
         return F.struct(p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
     one = F.struct(*(F.lit(1.0).alias(c) for c in ("precision", "recall", "f1")))
-    facts = F.struct(cited_entities(text).alias("got"), F.lower(text).alias("low"))  # the text is searched once
+    facts = F.struct(cited_entities(text).alias("got"), F.lower(text).alias("low"), want.alias("want"))  # the text is searched once
     return F.when(F.coalesce(F.size(want), F.lit(0)) <= 0, one).otherwise(F.transform(F.array(facts), score)[0])
 
 
