@@ -178,14 +178,17 @@ def topology(edges: DataFrame, top_n: int = 20) -> dict:
 def follow_links(edges: DataFrame, hits: DataFrame, chunks: DataFrame, depth: int = 2, max_seeds: int = 15, per_ref: int = 5) -> DataFrame:
     """Chunks reached over the graph from ``hits`` (id, score, refs), with inherited scores.
 
-    A hop keeps DECAY of its seed's score, the best path counts, and fetching the chunk costs one DECAY more.
+    A hop keeps DECAY of its seed's score, the best path counts, and fetching the chunk costs one DECAY more. Commits of the edges
+    go by seven characters of their shas or by all; ``via`` names seven.
     """
     seeds = hits.select("score", F.explode("refs").alias("seed")).groupBy("seed").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "seed").limit(max_seeds)
     reached = traverse(edges, seeds, depth).join(seeds, "seed").groupBy("node").agg(F.max(F.col("score") * F.pow(F.lit(DECAY), F.col("depth"))).alias("parent")).join(seeds.select(F.col("seed").alias("node")), "node", "left_anti")
-    keyed = chunks.select("id", F.explode(chunk_keys()).alias("node"))
+    is_commit = F.col("source_type").isin("commit", "commit_diff", "historical_commit")
+    whole = F.array_compact(F.array(F.when(is_commit, F.concat(F.lit("commit:"), F.regexp_replace("source_id", "^#", "")))))
+    keyed = chunks.select("id", F.explode(F.array_union(chunk_keys(), whole)).alias("node"))
     ranked = reached.join(keyed, "node").withColumn("_r", F.row_number().over(_by("node", "id"))).where(F.col("_r") <= per_ref)
     fresh = ranked.join(hits.select("id"), "id", "left_anti")
-    return fresh.groupBy("id").agg(F.bround(F.greatest(F.lit(FLOOR), F.max("parent") * DECAY), 6).alias("score"), F.min("node").alias("via"))
+    return fresh.groupBy("id").agg(F.bround(F.greatest(F.lit(FLOOR), F.max("parent") * DECAY), 6).alias("score"), F.min(F.regexp_replace("node", "^(commit:[0-9a-fA-F]{7})[0-9a-fA-F]+$", "$1")).alias("via"))
 
 
 def _by(key: str, order: str):
