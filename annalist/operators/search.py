@@ -52,13 +52,19 @@ def filter_chunks(chunks: DataFrame, repo_id=None, source_types=None, is_reverte
 
 
 def postings_of(chunks: DataFrame, id_col: str = "id", text_col: str = "text", tokens=code_tokens) -> DataFrame:
-    """(id, len, term, tf): a row for each distinct term of each text, counted in the text's own row before it is exploded."""
-    docs = chunks.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("t")).where(F.size("t") > 0)
-    n = F.size("t")
-    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    docs = docs.select("id", "t", begins.alias("b"))
-    runs = F.transform("b", lambda at, i: F.struct(F.get("t", at).alias("term"), (F.coalesce(F.get("b", i + 1), n) - at).alias("tf")))
-    return docs.select("id", n.alias("len"), F.explode(runs).alias("r")).select("id", "len", "r.term", "r.tf")
+    """(id, len, term, tf): a row for each distinct term of each text, counted in the text's own row before it is exploded.
+
+    Tokens and the places where terms begin are bound by lambdas, and no condition stands on them before the rows are exploded:
+    Spark would copy their expressions into it, and into each use of them, and cut the text again for each.
+    """
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def runs(t: Column) -> Column:
+        begins = F.filter(F.transform(t, lambda w, i: F.when((i == 0) | (w != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return bound(begins, lambda b: F.transform(b, lambda at, i: F.struct(F.size(t).alias("len"), F.get(t, at).alias("term"), (F.coalesce(F.get(b, i + 1), F.size(t)) - at).alias("tf"))))
+
+    found = chunks.select(F.col(id_col).alias("id"), F.explode_outer(bound(F.sort_array(tokens(F.col(text_col))), runs)).alias("r"))
+    return found.where("r is not null").select("id", "r.len", "r.term", "r.tf")
 
 
 def raw_idf(n: Column, df: Column) -> Column:
