@@ -218,15 +218,8 @@ def related_nodes():
 
 def knowledge_graph(commits: DataFrame, pulls: DataFrame, issues: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 250, include_all: bool = True, n_symbols: int = 60) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) for export: all reverts, the latest ``limit`` commits and those with links; both ends of an edge exist."""
-    special = commits.where("is_revert or reverts_sha is not null or superseded_by_sha is not null")
-    latest = commits.orderBy(F.desc("authored_date"), "sha").limit(limit)
-    named = edges.select(F.explode(F.array("source_id", "target_id")).alias("n")).where(F.startswith("n", F.lit("commit:"))).select(F.substring("n", 8, 7).alias("sha7")).distinct()
-    linked = commits.withColumn("sha7", F.left("sha", F.lit(7))).join(named, "sha7", "left_semi").drop("sha7")
-    kept = special.unionByName(latest).unionByName(linked.select(*commits.columns)).dropDuplicates(["sha"])
-    chosen = symbols if include_all else symbols.orderBy(F.desc("commit_count"), "symbol_id").limit(n_symbols)
-    node = lambda df, kind, value, label: df.select(node_key(kind, value).alias("id"), F.lit(kind).alias("type"), label.alias("label"))
-    nodes = node(kept, "commit", F.col("sha"), F.substring_index("message", "\n", 1)).unionByName(node(pulls, "pr", F.col("number"), F.col("title")))
-    nodes = nodes.unionByName(node(issues, "issue", F.col("number"), F.col("title"))).unionByName(node(chosen, "symbol", F.col("symbol_id"), F.col("symbol_name"))).groupBy("id").agg(F.min("type").alias("type"), F.min("label").alias("label"))
+    edges = written(edges, "edges")  # read for the nodes and for the result
+    nodes = written(_graph_nodes(commits, pulls, issues, symbols, nodes_of(edges), limit, include_all, n_symbols), "nodes")
     ids = nodes.select("id")
     ends = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return nodes, ends.groupBy("source_id", "target_id", "edge_type").agg(F.min("label").alias("label"), F.max("highlight").alias("highlight"))
@@ -239,22 +232,41 @@ def canonical_nodes(ends: DataFrame, nodes: DataFrame, symbols: DataFrame) -> Da
     like the pull or issue of that number, of a bare number the pull first; a symbol's id, bare name or last segment, with
     or without "symbol:", the symbol (``links.symbol_alias``).
     """
-    node, ends = F.col("node"), ends.select("node").dropna().distinct()
+    node = F.col("node")
+    marked = ends.select("node").dropna().distinct().join(nodes.select(F.col("id").alias("node")).distinct().withColumn("_is", F.lit(True)), "node", "left")
+    marked = written(marked, "ends")
+    itself = marked.where("_is").select("node", node.alias("canonical"))
+    ends = marked.where("_is is null").select("node")
     sha = F.lower(F.regexp_extract(node, r"^(?:commit[:#\s]*)?([0-9a-fA-F]{7,40})$", 1))
+def _graph_nodes(commits: DataFrame, pulls: DataFrame, issues: DataFrame, symbols: DataFrame, ends: DataFrame, limit: int, include_all: bool, n_symbols: int) -> DataFrame:
+    """(id, type, label) of the graph whose edges have ``ends`` (node). Commits are read once, with what a node needs of them."""
+    special = F.coalesce("is_revert", F.lit(False)) | F.col("reverts_sha").isNotNull() | F.col("superseded_by_sha").isNotNull()
+    commits = written(commits.select("sha", F.substring_index("message", "\n", 1).alias("subject"), "authored_date", special.alias("special")), "commits")
+    latest = commits.orderBy(F.desc("authored_date"), "sha").limit(limit)
+    named = ends.where(F.startswith("node", F.lit("commit:"))).select(F.substring("node", 8, 7).alias("sha7"))
+    linked = commits.where("not special").withColumn("sha7", F.left("sha", F.lit(7))).join(named, "sha7", "left_semi").drop("sha7")
+    kept = commits.where("special").unionByName(latest).unionByName(linked)
+    chosen = symbols if include_all else symbols.orderBy(F.desc("commit_count"), "symbol_id").limit(n_symbols)
+    node = lambda df, kind, value, label: df.select(node_key(kind, value).alias("id"), F.lit(kind).alias("type"), label.alias("label"))
+    nodes = node(kept, "commit", F.col("sha"), F.col("subject")).unionByName(node(pulls, "pr", F.col("number"), F.col("title")))
+    nodes = nodes.unionByName(node(issues, "issue", F.col("number"), F.col("title"))).unionByName(node(chosen, "symbol", F.col("symbol_id"), F.col("symbol_name")))
+    return nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("label").alias("label"))
+
+
     kind = F.lower(F.regexp_extract(node, r"(?i)^(pr|issue)?[:\s]*#?\d+$", 1))
     number = F.regexp_extract(node, r"(?i)^(?:pr|issue)?[:\s]*#?(\d+)$", 1)
     option = lambda cond, value, order: F.when(cond, F.struct(value.alias("to"), F.lit(order).alias("order")))
     options = F.array_compact(
         F.array(
-            option(F.lit(True), node, 0), option(sha != "", node_key("commit", sha), 1),
+            option(sha != "", node_key("commit", sha), 1),
             option((number != "") & (kind != "issue"), node_key("pr", number), 2), option((number != "") & (kind != "pr"), node_key("issue", number), 3),
         )
     )
     meant = ends.select("node", F.explode(options).alias("o")).select("node", "o.to", "o.order")
     named = links.symbol_alias(ends.select("node", F.regexp_replace("node", "^symbol:", "").alias("ref")), symbols).where("symbol_id is not null")
     meant = meant.unionByName(named.select("node", node_key("symbol", F.col("symbol_id")).alias("to"), F.lit(4).alias("order")))
-    there = meant.join(nodes.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
-    return there.groupBy("node").agg(F.min_by("to", "order").alias("canonical"))
+    there = meant.join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
+    return itself.unionByName(there.groupBy("node").agg(F.min_by("to", "order").alias("canonical")))
 
 
 def dynamic_edges(commits: DataFrame, pulls: DataFrame, issues: DataFrame) -> DataFrame:
@@ -275,9 +287,9 @@ def repaired_graph(commits: DataFrame, pulls: DataFrame, issues: DataFrame, symb
     kept = ("source_id", "target_id", "edge_type", "label", "highlight")
     edges = stored.select(*kept, F.lit(0).alias("_p")).unionByName(dynamic_edges(commits, pulls, issues).select(*kept, F.lit(1).alias("_p")))
     edges = written(edges, "edges")
-    nodes, _ = knowledge_graph(commits, pulls, issues, symbols, edges, limit, include_all)
-    nodes = written(nodes, "nodes")
-    canonical = written(canonical_nodes(nodes_of(edges), nodes, symbols), "canonical")
+    ends = written(nodes_of(edges), "ends")
+    nodes = written(_graph_nodes(commits, pulls, issues, symbols, ends, limit, include_all, 60), "nodes")
+    canonical = written(canonical_nodes(ends, nodes, symbols), "canonical")
     source, target = (canonical.select(F.col("node").alias(c), F.col("canonical").alias(f"_{c}")) for c in ("source_id", "target_id"))
     meant = edges.join(source, "source_id").join(target, "target_id").groupBy("_source_id", "_target_id", "edge_type")
     first = meant.agg(F.min(F.struct("_p", "label", "highlight")).alias("e"))
