@@ -69,29 +69,38 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node, rank), ranks summing to one. Parallel edges add weight; nodes without edges out spread their rank evenly.
 
+    Nodes without edges out whose one edge in brings the same share of the same node always have equal ranks: they are one row
+    with their number ``m`` while ranks are iterated, and get their ranks from it at the end.
     Edges are weighted once; an iteration is one join on the source and one aggregation by target, and its result is
-    checkpointed, since the next one reads it three times. Stops when the summed change is under ``tolerance`` per node.
+    checkpointed, since the next one reads it. Stops when the summed change is under ``tolerance`` per node.
     """
     weight = edges.groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.count(F.lit(1)).alias("w"))
+    weight = written(weight, "weights")
     out = weight.groupBy("src").agg(F.sum("w").alias("t"))
     links = weight.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share"))
-    links = written(links, "links")
-    nodes = nodes_of(edges).join(out.select(F.col("src").alias("node"), F.lit(True).alias("has_out")), "node", "left")
-    nodes = written(nodes, "nodes")
+    into = links.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"), F.min(F.struct("src", "share")).alias("one"))
+    nodes = nodes_of(edges).join(out.select(F.col("src").alias("node"), F.lit(True).alias("has_out")), "node", "left").join(into.withColumnRenamed("dst", "node"), "node", "left")
+    alike = F.col("has_out").isNull() & (F.col("n_in") == 1)
+    unit = F.when(alike, F.struct(F.col("one.src").alias("of"), F.col("one.share").alias("share"))).otherwise(F.struct(F.col("node").alias("of"), F.lit(None).cast("double").alias("share")))
+    nodes = written(nodes.select("node", F.coalesce("has_out", F.lit(False)).alias("has_out"), unit.alias("unit")), "nodes")
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("node", F.coalesce("has_out", F.lit(False)).alias("has_out"), F.lit(1.0 / n).alias("rank"))
+    ranks = written(nodes.groupBy("unit").agg(F.count(F.lit(1)).alias("m"), F.first("has_out").alias("has_out")), "units").withColumn("rank", F.lit(1.0 / n))
+    own = nodes.where("unit.share is null").select(F.col("node").alias("dst"), "unit")
+    links = links.join(own, "dst").select("src", "share", "unit").unionByName(ranks.where("unit.share is not null").select("unit.of", "unit.share", "unit").toDF("src", "share", "unit"))
+    links = written(links, "links")
     for _ in range(iterations):
-        dangling = ranks.agg(F.coalesce(F.sum(F.when(~F.col("has_out"), F.col("rank"))), F.lit(0.0)).alias("d"))  # one row
-        flow = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in_rank"))
-        new = ranks.join(flow, "node", "left").crossJoin(F.broadcast(dangling))
-        new = new.select("node", "has_out", ((1 - alpha) / n + alpha * (F.coalesce("in_rank", F.lit(0.0)) + F.col("d") / n)).alias("rank"), F.col("rank").alias("before"))
+        dangling = ranks.agg(F.coalesce(F.sum(F.when(~F.col("has_out"), F.col("rank") * F.col("m"))), F.lit(0.0)).alias("d"))  # one row
+        sending = ranks.where("has_out").select(F.col("unit.of").alias("src"), "rank")
+        flow = links.join(sending, "src").groupBy("unit").agg(F.sum(F.col("rank") * F.col("share")).alias("in_rank"))
+        new = ranks.join(flow, "unit", "left").crossJoin(F.broadcast(dangling))
+        new = new.select("unit", "m", "has_out", ((1 - alpha) / n + alpha * (F.coalesce("in_rank", F.lit(0.0)) + F.col("d") / n)).alias("rank"), F.col("rank").alias("before"))
         new = _saved(new)
         ranks = new.drop("before")
-        if new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
+        if tolerance > 0 and new.agg(F.sum(F.col("m") * F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
             break
-    return ranks.select("node", "rank")
+    return nodes.select("node", "unit").join(ranks.select("unit", "rank"), "unit").select("node", "rank")
 
 
 def _saved(df: DataFrame) -> DataFrame:
@@ -225,19 +234,6 @@ def knowledge_graph(commits: DataFrame, pulls: DataFrame, issues: DataFrame, sym
     return nodes, ends.groupBy("source_id", "target_id", "edge_type").agg(F.min("label").alias("label"), F.max("highlight").alias("highlight"))
 
 
-def canonical_nodes(ends: DataFrame, nodes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(node, canonical): for each of ``ends`` (node) the one of ``nodes`` (id) that it means; ends that mean none are left out.
-
-    A node means itself; a sha of seven characters or more, with or without "commit:", its commit; "#N", "pr#N", "issue 7" and the
-    like the pull or issue of that number, of a bare number the pull first; a symbol's id, bare name or last segment, with
-    or without "symbol:", the symbol (``links.symbol_alias``).
-    """
-    node = F.col("node")
-    marked = ends.select("node").dropna().distinct().join(nodes.select(F.col("id").alias("node")).distinct().withColumn("_is", F.lit(True)), "node", "left")
-    marked = written(marked, "ends")
-    itself = marked.where("_is").select("node", node.alias("canonical"))
-    ends = marked.where("_is is null").select("node")
-    sha = F.lower(F.regexp_extract(node, r"^(?:commit[:#\s]*)?([0-9a-fA-F]{7,40})$", 1))
 def _graph_nodes(commits: DataFrame, pulls: DataFrame, issues: DataFrame, symbols: DataFrame, ends: DataFrame, limit: int, include_all: bool, n_symbols: int) -> DataFrame:
     """(id, type, label) of the graph whose edges have ``ends`` (node). Commits are read once, with what a node needs of them."""
     special = F.coalesce("is_revert", F.lit(False)) | F.col("reverts_sha").isNotNull() | F.col("superseded_by_sha").isNotNull()
@@ -253,6 +249,19 @@ def _graph_nodes(commits: DataFrame, pulls: DataFrame, issues: DataFrame, symbol
     return nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("label").alias("label"))
 
 
+def canonical_nodes(ends: DataFrame, nodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(node, canonical): for each of ``ends`` (node) the one of ``nodes`` (id) that it means; ends that mean none are left out.
+
+    A node means itself; a sha of seven characters or more, with or without "commit:", its commit; "#N", "pr#N", "issue 7" and the
+    like the pull or issue of that number, of a bare number the pull first; a symbol's id, bare name or last segment, with
+    or without "symbol:", the symbol (``links.symbol_alias``).
+    """
+    node = F.col("node")
+    marked = ends.select("node").dropna().distinct().join(nodes.select(F.col("id").alias("node")).distinct().withColumn("_is", F.lit(True)), "node", "left")
+    marked = written(marked, "ends")
+    itself = marked.where("_is").select("node", node.alias("canonical"))
+    ends = marked.where("_is is null").select("node")
+    sha = F.lower(F.regexp_extract(node, r"^(?:commit[:#\s]*)?([0-9a-fA-F]{7,40})$", 1))
     kind = F.lower(F.regexp_extract(node, r"(?i)^(pr|issue)?[:\s]*#?\d+$", 1))
     number = F.regexp_extract(node, r"(?i)^(?:pr|issue)?[:\s]*#?(\d+)$", 1)
     option = lambda cond, value, order: F.when(cond, F.struct(value.alias("to"), F.lit(order).alias("order")))
