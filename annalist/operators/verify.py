@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.storage import written
+
 FAST_PASS = 0.70
 # fixed values: words that look like shas, and the patterns of the rules
 HEX_WORDS = (
@@ -115,10 +117,13 @@ def citations(drafts: DataFrame, evidence: DataFrame, pulls: DataFrame, issues:
     return shas.union(numbers).join(known, "ref", "left").select("draft_id", "ref", F.coalesce("_known", F.lit(False)).alias("known"))
 
 
-def claim_errors(drafts: DataFrame, evidence: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame) -> DataFrame:
+def claim_errors(drafts: DataFrame, evidence: DataFrame, pulls: DataFrame, issues: DataFrame, commits: DataFrame, cited: DataFrame | None = None) -> DataFrame:
     """(draft_id, rule, message) of ``drafts`` (draft_id, draft): unknown references, inverted reverts, misattributed files and
-    symbols, and wrong chronology."""
-    unknown = citations(drafts, evidence, pulls, issues, commits).where("not known")
+    symbols, and wrong chronology. ``cited`` are the citations of the drafts, where they have been looked up already.
+
+    Wrong files and symbols are written before their owners are looked for among all evidence, which is not read without any.
+    """
+    unknown = (citations(drafts, evidence, pulls, issues, commits) if cited is None else cited).where("not known")
     errors = _error(unknown, "provenance", "unknown reference ", F.col("ref"))
     side = lambda name: evidence.select(F.col("sha7").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("reverts", "superseded_by", "date")))
     claimed = _pairs(drafts, ACTIVE).unionByName(_pairs(drafts, PASSIVE).select("draft_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -134,11 +139,16 @@ def claim_errors(drafts: DataFrame, evidence: DataFrame, pulls: DataFrame, issue
     token = lambda pattern: F.explode(F.array_distinct(_every(F.col("clause"), pattern))).alias("token")
     files = alone.where(F.size("files") > 0).select("draft_id", "sha7", "files", "text", token(FILE_TOKEN))
     wrong = files.where(~file_matches(F.col("token"), F.col("files"), F.col("text"))).withColumn("base", _base(file_token(F.col("token"))))
-    elsewhere = evidence.select(F.col("sha7").alias("other"), F.explode("files").alias("f")).select("other", _base(F.lower("f")).alias("base"))
-    moved = wrong.join(elsewhere, "base").where("other != sha7").select("draft_id", "sha7", "token").distinct()
-    errors = errors.unionByName(_error(moved, "misattribution", F.col("token"), " is not in the footprint of ", F.col("sha7")))
+    wrong = written(wrong.select("draft_id", "sha7", "token", "base"), "wrong")
+    if not wrong.isEmpty():
+        elsewhere = evidence.select(F.col("sha7").alias("other"), F.explode("files").alias("f")).select("other", _base(F.lower("f")).alias("base"))
+        moved = wrong.join(elsewhere, "base").where("other != sha7").select("draft_id", "sha7", "token").distinct()
+        errors = errors.unionByName(_error(moved, "misattribution", F.col("token"), " is not in the footprint of ", F.col("sha7")))
     symbols = alone.where(F.size("symbols") > 0).select("draft_id", "sha7", "symbols", "text", token(SYMBOL_TOKEN)).where(~F.col("token").rlike("^" + FILE_TOKEN) & (sha7(F.col("token")) != F.col("sha7")))
     wrong = symbols.where(~symbol_matches(F.col("token"), F.col("symbols"), F.col("text"))).withColumn("part", F.explode(symbol_parts(F.col("token"))))
+    wrong = written(wrong.select("draft_id", "sha7", "token", "part"), "wrong")
+    if wrong.isEmpty():
+        return errors.distinct()
     owners = evidence.select(F.col("sha7").alias("other"), F.explode(F.array_distinct(F.flatten(F.transform("symbols", symbol_parts)))).alias("part"))
     moved = wrong.join(owners, "part").where("other != sha7").select("draft_id", "sha7", "token").distinct()
     return errors.unionByName(_error(moved, "symbol misattribution", F.col("token"), " is not a symbol of ", F.col("sha7"))).distinct()
