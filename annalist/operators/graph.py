@@ -33,30 +33,29 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, direction:
     """(seed, node, depth, edge_type, label, path, direction) reached from ``seeds`` (seed); the shortest way to a node wins.
 
     Each hop is written, and goes on only from nodes that the seed meets first in it, so neither dense graphs nor cycles
-    multiply paths. With ``compat`` an incoming walk
+    multiply paths. A hop reads ``edges`` once, for both ways, and joins them as they come: beside a front that Spark broadcasts
+    they are neither shuffled nor written. Parallel edges may be among them. With ``compat`` an incoming walk
     also returns what is reached outgoing.
     """
     ways = {"outgoing": ["outgoing"], "incoming": ["outgoing", "incoming"] if compat else ["incoming"], "both": ["outgoing", "incoming"]}[direction]
     parts = []
-    for way in ways:
-        a, b = ("source_id", "target_id") if way == "outgoing" else ("target_id", "source_id")
-        # one way of each pair of nodes is left: the one that is taken of equal paths anyway
-        step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "edge_type", "label").where("node is not null and next is not null")
-        step = written(step.groupBy("node", "next").agg(F.min(F.struct("edge_type", "label")).alias("e")).select("node", "next", "e.edge_type", "e.label"), "steps")
-        front = seeds.select("seed", F.col("seed").alias("node"), F.col("seed").alias("path")).distinct()
-        met = None
-        for depth in range(1, max_depth + 1):
-            arrow = F.concat("path", F.lit(" -> " if way == "outgoing" else " <- "), "next")
-            reached = front.join(step, "node").select("seed", F.col("next").alias("node"), F.lit(depth).alias("depth"), "edge_type", "label", arrow.alias("path"), F.lit(way).alias("direction"))
-            if met is not None:
-                reached = reached.join(met, ["seed", "node"], "left_anti")
-            best = reached.groupBy("seed", "node", "direction", "depth").agg(F.min(F.struct("path", "edge_type", "label")).alias("w"))
-            level = written(best.select("seed", "node", "depth", "w.edge_type", "w.label", "w.path", "direction"), "reached")
-            parts.append(level)
-            met = level.select("seed", "node") if met is None else met.unionByName(level.select("seed", "node"))
-            front = level.select("seed", "node", "path")
-            if depth < max_depth and front.isEmpty():
-                break
+    ends = {"outgoing": ("source_id", "target_id"), "incoming": ("target_id", "source_id")}
+    taken = [F.struct(F.col(ends[way][0]).alias("node"), F.col(ends[way][1]).alias("next"), F.lit(way).alias("direction")) for way in ways]
+    step = edges.where("source_id is not null and target_id is not null").select("edge_type", "label", F.inline(F.array(*taken)))
+    front = written(seeds.select("seed").distinct(), "seeds").select("seed", F.col("seed").alias("node"), F.col("seed").alias("path"), F.explode(F.array(*map(F.lit, ways))).alias("direction"))
+    met = None
+    for depth in range(1, max_depth + 1):
+        arrow = F.concat("path", F.when(F.col("direction") == "outgoing", " -> ").otherwise(" <- "), "next")
+        reached = front.join(step, ["node", "direction"]).select("seed", F.col("next").alias("node"), F.lit(depth).alias("depth"), "edge_type", "label", arrow.alias("path"), "direction")
+        if met is not None:
+            reached = reached.join(met, ["seed", "node", "direction"], "left_anti")
+        best = reached.groupBy("seed", "node", "direction", "depth").agg(F.min(F.struct("path", "edge_type", "label")).alias("w"))
+        level = written(best.select("seed", "node", "depth", "w.edge_type", "w.label", "w.path", "direction"), "reached")
+        parts.append(level)
+        met = level.select("seed", "node", "direction") if met is None else met.unionByName(level.select("seed", "node", "direction"))
+        front = level.select("seed", "node", "path", "direction")
+        if depth < max_depth and front.isEmpty():
+            break
     result = reduce(DataFrame.unionByName, parts)
     first = F.min(F.struct("depth", F.when(F.col("direction") == "outgoing", 0).otherwise(1).alias("o"), "path", "edge_type", "label", "direction")).alias("w")
     return result.groupBy("seed", "node").agg(first).select("seed", "node", "w.depth", "w.edge_type", "w.label", "w.path", "w.direction")
@@ -190,8 +189,10 @@ def follow_links(edges: DataFrame, hits: DataFrame, chunks: DataFrame, depth: in
     A hop keeps DECAY of its seed's score, the best path counts, and fetching the chunk costs one DECAY more. Commits of the edges
     go by seven characters of their shas or by all; ``via`` names seven.
     """
+    hits = written(hits.select("id", "score", "refs"), "hits")
     seeds = hits.select("score", F.explode("refs").alias("seed")).groupBy("seed").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "seed").limit(max_seeds)
     reached = traverse(edges, seeds, depth).join(seeds, "seed").groupBy("node").agg(F.max(F.col("score") * F.pow(F.lit(DECAY), F.col("depth"))).alias("parent")).join(seeds.select(F.col("seed").alias("node")), "node", "left_anti")
+    reached = written(reached, "reached")  # its size is known then, and chunks aren't shuffled beside a small one
     is_commit = F.col("source_type").isin("commit", "commit_diff", "historical_commit")
     whole = F.array_compact(F.array(F.when(is_commit, F.concat(F.lit("commit:"), F.regexp_replace("source_id", "^#", "")))))
     keyed = chunks.select("id", F.explode(F.array_union(chunk_keys(), whole)).alias("node"))
